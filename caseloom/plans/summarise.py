@@ -13,7 +13,7 @@ from caseloom.operators.phrases import redact_phrases
 from caseloom.operators.route import approved
 from caseloom.operators.seam import Model
 from caseloom.operators.summary import case_summary
-from caseloom.sinks.outputs import read_table, write_summaries, write_table
+from caseloom.sinks.outputs import store, write_summaries
 
 
 def scrub(
@@ -48,10 +48,8 @@ def summarise(
     """Stage 2. Only redacted texts, stored once, reach the summary; a package without approval
     or without texts gets none."""
     safe = scrub(approved(relevant, approvals), entities, protect=protect, model=scrub_model)
-    write_table(safe.select("package_id", "ord", "file_id", "category", "safe_text"), f"{out}/safe_texts")
-    texts = read_table(spark, f"{out}/safe_texts").withColumnRenamed("safe_text", "text")
-    summaries = case_summary(texts, model=summary_model)
-    write_table(summaries, f"{out}/summaries")
-    stored = read_table(spark, f"{out}/summaries")
-    write_summaries(stored, f"{out}/anonymous_summary")
-    return stored
+    kept = safe.select("package_id", "ord", "file_id", "category", "safe_text")
+    texts = store(kept, f"{out}/safe_texts").withColumnRenamed("safe_text", "text")
+    summaries = store(case_summary(texts, model=summary_model), f"{out}/summaries")
+    write_summaries(summaries, f"{out}/anonymous_summary")
+    return summaries

@@ -17,10 +17,19 @@ from caseloom.operators.route import (
     summary_text,
 )
 from caseloom.operators.seam import Model
-from caseloom.sinks.outputs import read_table, write_audit_csv, write_exclusion_log, write_package, write_table
-from caseloom.sources.archives import read_packages
+from caseloom.sinks.outputs import read_table, store, write_audit_csv, write_exclusion_log, write_package
+from caseloom.sources.archives import good_files, ingest_errors, read_packages
 from caseloom.sources.documents import extract_contents, with_reader
 
+# Schemas of the stored tables.
+DECISIONS = (
+    "package_id string, file_id string, parent_id string, depth int, ord long, ordinal int, via string, path string, "
+    "length long, file_name string, ext string, kind string, text string, media_type string, is_relevant boolean, "
+    "category string, reason string, description string, model_error string, destination string, copy_failed boolean"
+)
+MANIFEST = "package_id string, ord long, destination string, file_name string, dest_name string"
+ERRORS = "package_id string, error string"
+
 
 def decide(
     files: DataFrame,
@@ -47,21 +56,20 @@ def triage_files(
     opened archives and the decisions (a model is asked once per file). A lost executor then
     costs the tasks it ran, not a second round of calls.
     """
-    with_reader(files).write.mode("overwrite").partitionBy("reader").parquet(f"{out}/files")
-    stored = spark.read.parquet(f"{out}/files")
-    opened = stored.filter(F.col("file_id").isNotNull())
-    write_table(decide(opened, rules, model, pages), f"{out}/decisions")
-    write_table(stored.filter(F.col("file_id").isNull()).select("package_id", "error"), f"{out}/ingest_errors")
+    typed = with_reader(files)
+    typed.write.mode("overwrite").partitionBy("reader").parquet(f"{out}/files")
+    stored = spark.read.schema(typed.schema).parquet(f"{out}/files")
+    opened = good_files(stored)
+    decisions = store(decide(opened, rules, model, pages), f"{out}/decisions")
+    store(ingest_errors(stored), f"{out}/ingest_errors")
 
-    decisions = read_table(spark, f"{out}/decisions")
     fresh = decisions.join(opened.select("package_id").distinct(), "package_id", "left_semi")
     copied = fresh.filter(~F.col("copy_failed"))
     names = unique_names(copied.select("package_id", "destination", "ord", "file_name"), ["package_id", "destination"])
-    write_table(names.select("package_id", "ord", "destination", "file_name", "dest_name"), f"{out}/manifest")
+    manifest = store(names.select("package_id", "ord", "destination", "file_name", "dest_name"), f"{out}/manifest")
 
-    manifest = read_table(spark, f"{out}/manifest").select("package_id", "ord", "destination", "dest_name")
-    bytes_only = opened.select("package_id", "ord", "file_id", "file_name", "content")
-    write_package(bytes_only.join(manifest, ["package_id", "ord"]).withColumn("copy_failed", F.lit(False)), f"{out}/package")
+    bytes_only = opened.select("package_id", "ord", "file_id", "content")
+    write_package(bytes_only.join(manifest, ["package_id", "ord"]), f"{out}/package")
     write_audit_csv(audit_report(fresh, ["package_id"]), f"{out}/audit_report")
     write_exclusion_log(exclusion_log(fresh, ["package_id"]), f"{out}/exclusion_log")
     return stage1_tables(spark, out)
@@ -69,14 +77,14 @@ def triage_files(
 
 def stage1_tables(spark: SparkSession, out: str) -> dict[str, DataFrame]:
     """Results of Stage 1 as tables; the relevant texts are the stored input of Stage 2."""
-    decisions = read_table(spark, f"{out}/decisions")
+    decisions = read_table(spark, f"{out}/decisions", DECISIONS)
     return {
         "decisions": decisions,
         "relevant": summary_text(decisions),
         "audit": audit_report(decisions, ["package_id"]),
         "totals": package_totals(decisions),
-        "manifest": read_table(spark, f"{out}/manifest"),
-        "errors": read_table(spark, f"{out}/ingest_errors"),
+        "manifest": read_table(spark, f"{out}/manifest", MANIFEST),
+        "errors": read_table(spark, f"{out}/ingest_errors", ERRORS),
     }
 
 

@@ -7,6 +7,7 @@ folder value, and an id such as 0042 would come back as a number.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 
 def _per_package(df: DataFrame) -> DataFrameWriter:
@@ -18,20 +19,23 @@ def _per_package(df: DataFrame) -> DataFrameWriter:
     )
 
 
-def write_table(df: DataFrame, path: str) -> None:
-    """Any result with a ``package_id``."""
-    _per_package(df).parquet(path)
+def read_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A stored table; the declared schema also serves a table without rows."""
+    return spark.read.schema(schema).parquet(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("package")
+def store(df: DataFrame, path: str) -> DataFrame:
+    """Write any result with a ``package_id`` and return it as read from storage, so that what
+    follows does not compute it again."""
+    _per_package(df).parquet(path)
+    return read_table(df.sparkSession, path, df.schema)
 
 
 def write_package(files: DataFrame, path: str) -> None:
     """Bytes of each copied file with its destination and name, sorted by destination, so that a
     reader of one category skips the row groups of the others."""
     columns = ["package_id", "destination", "file_id", "file_name", "dest_name", "content"]
-    write_table(files.select(*columns).sortWithinPartitions("package_id", "destination", "dest_name"), path)
+    store(files.select(*columns).sortWithinPartitions("package_id", "destination", "dest_name"), path)
 
 
 def _per_package_file(df: DataFrame, *columns: str) -> DataFrameWriter:

@@ -4,11 +4,9 @@ import pandas as pd
 import pytest
 from builders import PNG, docx, eml, package_of
 
-from caseloom.operators.route import pending
 from caseloom.plans.evaluation import evaluate
 from caseloom.plans.summarise import summarise
 from caseloom.plans.triage import stage1_tables, triage
-from caseloom.sinks.outputs import read_table
 from caseloom.streaming.intake import start_intake
 
 LETTER = """Subject: Notice of Termination of Employment
@@ -65,7 +63,7 @@ def test_triage(spark, stage1):
 
     manifest = {(r.package_id, r.destination, r.dest_name) for r in tables["manifest"].collect()}
     assert ("0042", "Evidence_Package/Termination_Documents", "letter_1.docx") in manifest
-    copies = read_table(spark, f"{out}/package")
+    copies = spark.read.parquet(f"{out}/package")
     assert copies.count() == len(decisions)
     letter = copies.filter("dest_name = 'letter_1.docx'").first()
     assert bytes(letter.content) == LETTER_FILE and letter.file_id == "0042#1"
@@ -86,7 +84,7 @@ def test_rerun_replaces_and_skips(spark, folder, stage1):
     before = tables["decisions"].count()
     again = triage(spark, str(folder), out, done=spark.createDataFrame([("0043",)], "package_id string"))
     assert again["decisions"].count() == before
-    assert read_table(spark, f"{out}/manifest").count() == before
+    assert spark.read.parquet(f"{out}/manifest").count() == before
 
 
 def test_summary_only_for_approved(spark, stage1, tmp_path):
@@ -103,7 +101,7 @@ def test_summary_only_for_approved(spark, stage1, tmp_path):
     assert "$190,100" in text and "$ 190,100" in text
     for leaked in ("Ada", "Noor", "0412"):
         assert leaked not in text
-    safe = read_table(spark, f"{tmp_path}/yes/safe_texts").collect()
+    safe = spark.read.parquet(f"{tmp_path}/yes/safe_texts").collect()
     assert all("Noor" not in r.safe_text and "Vale" not in r.safe_text for r in safe)
     assert [r.value for r in spark.read.text(f"{tmp_path}/yes/anonymous_summary").select("value").limit(1).collect()] == ["# Anonymous case summary"]
 
