@@ -27,6 +27,7 @@ def build_session(app: str = "caseloom", master: str | None = None, **conf: str)
             builder = (
                 builder.config("spark.sql.shuffle.partitions", "8")
                 .config("spark.ui.enabled", "false")
+                .config("spark.ui.showConsoleProgress", "false")
                 .config("spark.driver.memory", os.environ.get("CASELOOM_DRIVER_MEMORY", "8g"))
             )
     for key, value in conf.items():
