@@ -75,12 +75,17 @@ def thousands(number: Column) -> Column:
     return F.format_number(number, 0)
 
 
+def fixed(number: Column, digits: int) -> Column:
+    """A number with fixed decimals, rounded by its exact binary value."""
+    return F.replace(F.format_number(number.cast("double"), digits), F.lit(","), F.lit(""))
+
+
 def dollars(amount: Column) -> Column:
-    return F.concat(F.lit("$"), F.format_string("%.4f", amount.cast("double")))
+    return F.concat(F.lit("$"), fixed(amount, 4))
 
 
 def percent(value: Column) -> Column:
-    return F.concat(F.format_string("%.1f", value.cast("double")), F.lit("%"))
+    return F.concat(fixed(value, 1), F.lit("%"))
 
 
 def quote_regex(text: Column) -> Column:

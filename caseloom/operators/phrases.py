@@ -19,17 +19,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from caseloom.constants import REDACTED
+from caseloom.constants import REDACTED, pattern
 from caseloom.functions.redaction import phrase_array_pattern, redact
 from caseloom.functions.text import fold_case, words
 
 
 def _grams(tokens: Column) -> Column:
-    """Hashes of all three-word runs; the caller makes sure that there are three words."""
-    return F.transform(
+    """Hashes of all three-word runs; NULL for fewer than three words.
+
+    The length test is part of the expression: as a filter it would split every text twice.
+    """
+    runs = F.transform(
         F.sequence(F.lit(1), F.size(tokens) - 2),
         lambda i: F.xxhash64(F.get(tokens, i - 1), F.get(tokens, i), F.get(tokens, i + 1)),
     )
+    return F.when(F.size(tokens) >= 3, F.array_distinct(runs))
 
 
 def _pieces(word: Column) -> Column:
@@ -58,9 +62,11 @@ def candidates(
         return fold_case(F.col(column)) if ignore_case else F.col(column)
 
     by = list(by)
-    docs = texts.select(*by, text_id, words(form(text)).alias("_words"))
+    docs = texts.select(*by, text_id, F.split(form(text), pattern("[{s}]+")).alias("_words"))
     known = phrases.filter(F.col(phrase) != "").select(*by, phrase_id, words(form(phrase)).alias("_pw"))
 
+    # The join keys below are made non-NULL on purpose. For a nullable key Spark adds a NULL test
+    # under the projections, which computes the whole key once more for every element of its input.
     inner = F.slice("_pw", F.lit(2), F.greatest(F.size("_pw") - 2, F.lit(0)))
     runs = F.transform(
         F.sequence(F.lit(1), F.size("_inner") - 2),
@@ -72,20 +78,18 @@ def candidates(
     long_anchor = (
         known.filter(F.size("_pw") >= 5)
         .select(*by, phrase_id, inner.alias("_inner"))
-        .select(*by, phrase_id, F.array_max(runs)["gram"].alias("_anchor"))
-    )
-    doc_grams = docs.filter(F.size("_words") >= 3).select(
-        *by, text_id, F.explode(F.array_distinct(_grams(F.col("_words")))).alias("_anchor")
+        .select(*by, phrase_id, F.coalesce(F.array_max(runs)["gram"], F.lit(0)).alias("_anchor"))
     )
+    doc_grams = docs.select(*by, text_id, F.explode(_grams(F.col("_words"))).alias("_anchor"))
     long_pairs = doc_grams.join(long_anchor, [*by, "_anchor"]).select(*by, text_id, phrase_id)
 
     longest = F.array_max(F.transform("_pw", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
     short_word = (
         known.filter((F.size("_pw") < 5) & (F.size("_pw") > 0))
-        .select(*by, phrase_id, longest.alias("_part"))
+        .select(*by, phrase_id, F.coalesce(longest, F.lit("")).alias("_part"))
         .withColumn("_piece", F.substring("_part", 1, 3))
     )
-    doc_words = docs.select(*by, text_id, F.explode(F.array_distinct("_words")).alias("_word"))
+    doc_words = docs.select(*by, text_id, F.explode(F.array_distinct("_words")).alias("_word")).filter(F.col("_word") != "")
     parts = short_word.select("_part", "_piece").distinct()
     inside = (
         doc_words.select("_word").distinct()
@@ -97,7 +101,12 @@ def candidates(
     )
     reach = inside.join(short_word, "_part").select(*by, phrase_id, "_word").distinct()
     short_pairs = doc_words.join(reach, [*by, "_word"]).select(*by, text_id, phrase_id)
-    return long_pairs.unionByName(short_pairs).distinct()
+
+    # The two paths read all texts. One look at the phrase table says which of them are needed.
+    sizes = known.agg(F.count_if(F.size("_pw") >= 5).alias("long"), F.count_if(F.size("_pw").between(1, 4)).alias("short")).first()
+    if not sizes["short"]:
+        return long_pairs.distinct()
+    return short_pairs.distinct() if not sizes["long"] else long_pairs.unionByName(short_pairs).distinct()
 
 
 def find_phrases(

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from caseloom.constants import CATEGORIES, SUMMARY_HEADINGS
+from caseloom.constants import CATEGORIES, SUMMARY_HEADINGS, pattern
 from caseloom.functions.text import reply_text, strip_fence, strip_text
 from caseloom.operators.classify import DEFAULT_RULES, Rule
 from caseloom.operators.combine import combine_texts
@@ -44,11 +44,15 @@ def case_facts(
     )
 
 
+# White space around a line end, or after the end of a sentence.
+SENTENCE_END = pattern(r"[{s}]*\n[{s}]*|(?<=[.!?])[{s}]+")
+
+
 def sentences(df: DataFrame, keys: Sequence[str], order: str, text: str = "text") -> DataFrame:
-    """One row per sentence, with its position in the text."""
-    split = F.split(F.col(text), r"(?<=[.!?])\s+|\n+")
-    rows = df.select(*keys, order, F.posexplode(split).alias("pos", "sentence"))
-    return rows.withColumn("sentence", strip_text(F.col("sentence"))).filter(F.col("sentence") != "")
+    """One row per sentence, with its position in the text. The cuts take the white space along,
+    so only the text as a whole needs stripping."""
+    cut = F.split(strip_text(F.col(text)), SENTENCE_END)
+    return df.select(*keys, order, F.posexplode(cut).alias("pos", "sentence")).filter(F.col("sentence") != "")
 
 
 def top_evidence(
@@ -61,13 +65,16 @@ def top_evidence(
 ) -> DataFrame:
     """The k sentences per package and category that match the rules best.
 
-    Spark limits each group inside every task before the shuffle, so a hot group sends k rows per
-    task, not all its sentences.
+    One test against all rules at once comes before the scoring, which few sentences reach. Spark
+    limits each group inside every task before the shuffle, so a hot group sends k rows per task,
+    not all its sentences.
     """
     score = sum(
         (F.regexp_count("sentence", F.lit(r.pattern)) * F.lit(float(r.weight)) for r in rules), F.lit(0.0)
     )
-    ranked = sentences(df, keys, order, text).withColumn("score", score).filter(F.col("score") > 0)
+    any_rule = "|".join(f"(?:{r.pattern})" for r in rules if r.weight > 0)
+    matching = sentences(df, keys, order, text).filter(F.rlike("sentence", F.lit(any_rule)))
+    ranked = matching.withColumn("score", score).filter(F.col("score") > 0)
     best = Window.partitionBy(*keys).orderBy(F.col("score").desc(), order, "pos")
     return ranked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
@@ -103,18 +110,16 @@ def case_summary(
         text = strip_fence(F.when(F.col("model_error").isNull(), F.coalesce("_reply", F.lit(""))).otherwise(""))
         return asked.select("package_id", "part", text.alias("summary_md"), "model_error")
 
-    counts = (
-        df.groupBy("package_id", "category").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("package_id")
-        .agg(F.sum("n").alias("_documents"), F.array_sort(F.collect_list(F.struct("category", "n"))).alias("_counts"))
-    )
-    labels = F.array(
-        *[F.when(F.rlike(F.col("text"), F.lit(r.pattern)), F.lit(r.label)) for r in rules if r.category is not None]
+    speaking = [r for r in rules if r.category is not None]
+    per_category = df.groupBy("package_id", "category").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.count_if(F.rlike("text", F.lit(r.pattern))).alias(f"_r{i}") for i, r in enumerate(speaking)],
     )
-    claims = (
-        df.select("package_id", F.explode(F.array_distinct(F.array_compact(labels))).alias("label"))
-        .groupBy("package_id", "label").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "label"))).alias("_claims"))
+    matched = [F.struct((-F.sum(f"_r{i}")).alias("n"), F.lit(r.label).alias("label")) for i, r in enumerate(speaking)]
+    counts = per_category.groupBy("package_id").agg(
+        F.sum("n").alias("_documents"),
+        F.array_sort(F.collect_list(F.struct("category", "n"))).alias("_counts"),
+        F.array_sort(F.filter(F.array(*matched), lambda x: x["n"] < 0)).alias("_claims"),
     )
     rank = {c: i for i, c in enumerate(categories)}
     place = F.coalesce(F.create_map(*[F.lit(x) for c, i in rank.items() for x in (c, i)])[F.col("category")], F.lit(len(rank)))
@@ -123,7 +128,7 @@ def case_summary(
         .groupBy("package_id")
         .agg(F.array_sort(F.collect_list(F.struct(place.alias("a"), "category", F.col("rank").alias("b"), "sentence"))).alias("_evidence"))
     )
-    joined = counts.join(_top_facts(df, facts_per_kind), "package_id", "left").join(claims, "package_id", "left").join(
+    joined = counts.join(_top_facts(df, facts_per_kind), "package_id", "left").join(
         evidence, "package_id", "left"
     )
 

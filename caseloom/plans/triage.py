@@ -19,7 +19,7 @@ from caseloom.operators.route import (
 from caseloom.operators.seam import Model
 from caseloom.sinks.outputs import read_table, store, write_audit_csv, write_exclusion_log, write_package
 from caseloom.sources.archives import good_files, ingest_errors, read_packages
-from caseloom.sources.documents import extract_contents, with_reader
+from caseloom.sources.documents import extract_contents
 
 # Schemas of the stored tables.
 DECISIONS = (
@@ -56,9 +56,8 @@ def triage_files(
     opened archives and the decisions (a model is asked once per file). A lost executor then
     costs the tasks it ran, not a second round of calls.
     """
-    typed = with_reader(files)
-    typed.write.mode("overwrite").partitionBy("reader").parquet(f"{out}/files")
-    stored = spark.read.schema(typed.schema).parquet(f"{out}/files")
+    files.write.mode("overwrite").parquet(f"{out}/files")
+    stored = read_table(spark, f"{out}/files", files.schema)
     opened = good_files(stored)
     decisions = store(decide(opened, rules, model, pages), f"{out}/decisions")
     store(ingest_errors(stored), f"{out}/ingest_errors")

@@ -20,6 +20,7 @@ from caseloom.sources.emails import attachments
 # A cell holds at most 2 GB; larger members keep their row without bytes.
 MAX_CELL = (1 << 31) - (1 << 20)
 FLUSH_BYTES = 32 << 20
+KEEP_BYTES = 64 << 20
 
 MEMBER = T.StructType(
     [
@@ -78,8 +79,8 @@ def _is_email(name: str) -> bool:
 def _members(package: str, content: bytes, max_depth: int) -> Iterator[tuple]:
     """Rows of one package in queue order: archive members first, then attachments level by level.
 
-    A level keeps the way to its emails, not their bytes: an email is read again from the archive
-    when its level is opened, so one member at a time is in memory.
+    A level keeps the way to its emails and, up to a budget, their bytes; beyond it an email is read
+    again from the archive when its level is opened, so memory does not grow with the package.
     """
     archive = zipfile.ZipFile(io.BytesIO(content))
     infos = sorted((i for i in archive.infolist() if not i.is_dir()), key=lambda i: i.filename)
@@ -87,28 +88,32 @@ def _members(package: str, content: bytes, max_depth: int) -> Iterator[tuple]:
     if broken is not None:
         raise zipfile.BadZipFile(f"bad member {broken}")
 
-    number, level, taken = 0, [], {}
+    number, level, taken, kept = 0, [], {}, 0
     for i, info in enumerate(infos):
         file_id = f"{package}#{number}"
         data = archive.read(info) if info.file_size <= MAX_CELL else None
         error = None if data is not None else "member too large for one row"
         yield (package, file_id, None, 0, number, i, "archive", info.filename, info.file_size, data, error)
         if data is not None and _is_email(info.filename.rsplit("/", 1)[-1]):
-            level.append((file_id, info, (), "attachment"))
+            level.append((file_id, info, (), data if kept + len(data) <= KEEP_BYTES else None))
+            kept += len(data) if level[-1][3] is not None else 0
         number += 1
 
     for depth in range(1, max_depth + 1):
-        deeper = []
-        for parent_id, info, way, _ in level:
-            data = archive.read(info)
-            for step in way:
-                data = next(a.content for a in attachments(data) if a.ordinal == step)
+        deeper, kept = [], 0
+        for parent_id, info, way, data in level:
+            if data is None:
+                data = archive.read(info)
+                for step in way:
+                    data = next(a.content for a in attachments(data) if a.ordinal == step)
             for item in attachments(data):
                 file_id, name = f"{package}#{number}", _free_name(item.name, taken)
                 yield (package, file_id, parent_id, depth, number, item.ordinal, item.via, name,
                        len(item.content), item.content, None)
                 if _is_email(name) or item.via == "rfc822":
-                    deeper.append((file_id, info, (*way, item.ordinal), item.via))
+                    fits = kept + len(item.content) <= KEEP_BYTES
+                    kept += len(item.content) if fits else 0
+                    deeper.append((file_id, info, (*way, item.ordinal), item.content if fits else None))
                 number += 1
         if not deeper:
             return

@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from caseloom.constants import MEDIA_TYPES, TEXT_EXTENSIONS
-from caseloom.functions.text import strip_text
+from caseloom.functions.text import strip_html, strip_text
 from caseloom.operators.combine import assemble_pages
-from caseloom.sources.emails import email_bodies
+from caseloom.sources.emails import decode_email
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 # What the break elements of a run stand for in text.
@@ -33,22 +32,34 @@ def _paragraphs(content: bytes) -> list[str]:
     return [p for p in found if p]
 
 
-def docx_texts(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """``keys`` and ``text``: paragraphs joined by line ends; '' for a file that cannot be read."""
+def decode_docx(content: bytes) -> tuple[str, str]:
+    try:
+        return "text/plain", "\n".join(_paragraphs(content))
+    except Exception:
+        return "none", ""
 
-    def read(data: bytes) -> str:
-        try:
-            return "\n".join(_paragraphs(bytes(data)))
-        except Exception:
-            return ""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[keys].assign(text=[read(d) for d in batch[content]])
+_DECODERS = {"docx": decode_docx, "eml": decode_email}
 
-    slim = df.select(*keys, content)
-    schema = T.StructType([*slim.select(*keys).schema.fields, T.StructField("text", T.StringType())])
-    return slim.mapInPandas(run, schema).withColumn("text", strip_text(F.col("text")))
+
+@F.pandas_udf(T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())]))
+def _decode(reader: pd.Series, content: pd.Series) -> pd.DataFrame:
+    found = [
+        _DECODERS[r](bytes(c)) if r in _DECODERS and c is not None else (None, None) for r, c in zip(reader, content)
+    ]
+    return pd.DataFrame(found, columns=["type", "text"])
+
+
+def document_text(reader: Column, content: Column) -> Column:
+    """Text of a Word file (``docx``: paragraphs joined by line ends) or an email (``eml``: the plain
+    body, else the HTML body without tags); '' where nothing can be read, NULL for other readers.
+
+    Workers only decode, and get the bytes of these two kinds only; stripping is Spark's.
+    """
+    decoded = _decode(reader, F.when(reader.isin(list(_DECODERS)), content))
+    text = decoded["text"]
+    clean = F.when(decoded["type"] == "text/html", strip_html(text)).otherwise(strip_text(text))
+    return F.when(reader.isin(list(_DECODERS)), F.coalesce(clean, F.lit("")))
 
 
 def media_type(ext: Column) -> Column:
@@ -62,50 +73,38 @@ def image_base64(content: Column) -> Column:
     return F.regexp_replace(F.base64(content), r"[\r\n]", "")
 
 
-def with_reader(files: DataFrame) -> DataFrame:
-    """Add ``reader``: docx, eml, pdf, image or none. An image without bytes has no reader.
-
-    Store files partitioned by it, and each branch of `extract_contents` reads its own bytes only.
-    """
-    ext, size = F.col("ext"), F.coalesce(F.col("length"), F.lit(0))
-    readable = F.col("content").isNotNull()
-    return files.withColumn(
-        "reader",
+def file_reader(ext: Column, length: Column, content: Column) -> Column:
+    """Which reader a file gets: docx, eml, pdf, image or none. An image without bytes has none."""
+    return (
         F.when(ext.isin(TEXT_EXTENSIONS), F.substring(ext, 2, 9))
-        .when(ext.isin(list(MEDIA_TYPES)) & (size > 0) & readable, "image")
-        .otherwise("none"),
+        .when(ext.isin(list(MEDIA_TYPES)) & (length > 0) & content.isNotNull(), "image")
+        .otherwise("none")
     )
 
 
 def extract_contents(files: DataFrame, pages: DataFrame | None = None) -> DataFrame:
-    """Files with ``reader`` -> ``kind, text, image_base64, media_type``, bytes dropped.
+    """Files -> ``kind, text, image_base64, media_type``, bytes dropped.
 
-    Each reader is its own filtered branch, so only Word files and emails cross into Python and
-    the other branches do not read bytes they do not need. ``pages`` (``file_id, page_no, text,
-    error``) holds the page texts of PDF files, from the decoder of your choice; a PDF without
-    pages has no text.
+    One pass over the files: Word files and emails are decoded by an Arrow function, images are
+    encoded by Spark. ``pages`` (``file_id, page_no, text, error``) holds the page texts of PDF
+    files, from the decoder of your choice; a PDF without pages has no text.
     """
-    keep = [c for c in files.columns if c not in ("content", "error", "reader")]
-    null = F.lit(None).cast("string")
-
-    def part(reader: str) -> DataFrame:
-        return files.filter(F.col("reader") == reader)
-
-    def finish(df: DataFrame, kind: str, text=None, base64=None, media=None) -> DataFrame:
-        added = {"kind": F.lit(kind), "text": text, "image_base64": base64, "media_type": media}
-        return df.select(*keep, *[(null if c is None else c).alias(name) for name, c in added.items()])
-
-    text = F.coalesce(F.col("text"), F.lit(""))
-    pdf = part("pdf").select(*keep)
-    pdf = pdf.withColumn("text", F.lit("")) if pages is None else pdf.join(assemble_pages(pages), "file_id", "left")
-    branches = [
-        finish(docx_texts(part("docx"), keep), "text", text),
-        finish(email_bodies(part("eml"), keep), "text", text),
-        finish(pdf, "text", text),
-        finish(part("image"), "image", None, image_base64(F.col("content")), media_type(F.col("ext"))),
-        finish(part("none"), "unsupported"),
-    ]
-    out = branches[0]
-    for branch in branches[1:]:
-        out = out.unionByName(branch)
-    return out
+    keep = [c for c in files.columns if c not in ("content", "error")]
+    reader, content = F.col("_reader"), F.col("content")
+    typed = files.withColumn("_reader", file_reader(F.col("ext"), F.col("length"), content))
+    read = typed.withColumn("_text", document_text(reader, content))
+    image = reader == "image"
+    out = read.select(
+        *keep,
+        "_reader",
+        F.when(image, "image").when(reader == "none", "unsupported").otherwise("text").alias("kind"),
+        F.when(reader == "pdf", "").otherwise(F.col("_text")).alias("text"),
+        F.when(image, image_base64(content)).alias("image_base64"),
+        F.when(image, media_type(F.col("ext"))).alias("media_type"),
+    )
+    if pages is not None:
+        page_text = assemble_pages(pages).withColumnRenamed("text", "_pages")
+        out = out.join(page_text, "file_id", "left").withColumn(
+            "text", F.when(reader == "pdf", F.coalesce("_pages", F.lit(""))).otherwise(F.col("text"))
+        ).select(*out.columns)
+    return out.drop("_reader")

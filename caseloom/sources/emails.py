@@ -1,4 +1,4 @@
-"""Emails: body text and attachments."""
+"""Emails: body parts and attachments. Small per-message helpers; Spark moves the rows."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from caseloom.functions.text import extension, strip_html, strip_text
+from caseloom.functions.text import extension
 
 _UNSAFE = re.compile(r"[^\w.\-]")
 
@@ -59,31 +59,11 @@ def _body(content: bytes) -> tuple[str, str]:
     return part.get_content_type(), text.encode("utf-8", "replace").decode("utf-8")
 
 
-def email_bodies(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
-    """``keys`` and ``text``: the plain body, else the HTML body without tags, else ''.
-
-    Workers only decode; stripping runs on Spark's own expressions.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for data in batch[content]:
-                try:
-                    found.append(_body(bytes(data)))
-                except Exception:
-                    found.append(("none", ""))
-            kinds, texts = zip(*found) if found else ((), ())
-            yield batch[keys].assign(body_type=list(kinds), body=list(texts))
-
-    slim = df.select(*keys, content)
-    schema = T.StructType([
-        *slim.select(*keys).schema.fields,
-        T.StructField("body_type", T.StringType()),
-        T.StructField("body", T.StringType()),
-    ])
-    text = F.when(F.col("body_type") == "text/html", strip_html(F.col("body"))).otherwise(strip_text(F.col("body")))
-    return slim.mapInPandas(run, schema).select(*keys, text.alias("text"))
+def decode_email(content: bytes) -> tuple[str, str]:
+    try:
+        return _body(content)
+    except Exception:
+        return "none", ""
 
 
 def explode_attachments(df: DataFrame, keys: list[str], content: str = "content", max_depth: int = 16) -> DataFrame:

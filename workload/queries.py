@@ -54,8 +54,8 @@ from caseloom.operators.seam import fill_template
 from caseloom.operators.summary import case_facts, case_summary, top_evidence
 from caseloom.operators.usage import usage_report
 from caseloom.sources.archives import expand_packages, good_files, ingest_errors
-from caseloom.sources.documents import docx_texts, extract_contents, image_base64, media_type, with_reader
-from caseloom.sources.emails import email_bodies, explode_attachments
+from caseloom.sources.documents import document_text, extract_contents, image_base64, media_type
+from caseloom.sources.emails import explode_attachments
 from caseloom.sources.tables import all_files as union_files, parse_relevant_json
 from workload.registry import load, query
 
@@ -538,6 +538,9 @@ claims AS (SELECT package_id, string_agg('- ' || label || ' (documents: ' || n |
 proofs AS (SELECT package_id, string_agg('- ' || category || ': ' || sentence, chr(10) ORDER BY list_position(['"""
     + "', '".join(CATEGORIES)
     + """'], category), rank) AS md FROM evidence GROUP BY package_id)
+, facts AS (SELECT package_id, value, count(*) AS n FROM (SELECT package_id, unnest(regexp_extract_all(text, '\\$\\s?[0-9][0-9,]*(?:\\.[0-9]{2})?')) AS value FROM relevant) GROUP BY ALL),
+top_facts AS (SELECT package_id, string_agg('- money: ' || value || ' (mentions: ' || n || ')', chr(10) ORDER BY n DESC, value) AS md
+              FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY n DESC, value) AS r FROM facts) WHERE r <= 10 GROUP BY package_id)
 SELECT package_id, '# Anonymous case summary
 
 ## Background
@@ -546,7 +549,7 @@ SELECT package_id, '# Anonymous case summary
 
 ## Key Facts
 
-- none found
+' || coalesce(f.md, '- none found') || '
 
 ## Potential Claims
 
@@ -555,7 +558,7 @@ SELECT package_id, '# Anonymous case summary
 ## Notable Evidence
 
 ' || coalesce(p.md, '- none found') AS summary_md
-FROM background b LEFT JOIN claims c USING (package_id) LEFT JOIN proofs p USING (package_id)"""
+FROM background b LEFT JOIN claims c USING (package_id) LEFT JOIN proofs p USING (package_id) LEFT JOIN top_facts f USING (package_id)"""
 )
 def case_summaries(spark, sf_dir):
     return case_summary(summary_text(_decided(spark, sf_dir)), rules=RULES)
@@ -724,7 +727,7 @@ def mail_bodies(spark, sf_dir):
     plain = _mail(head + "Content-Type: text/plain; charset=utf-8\n\n", "text")
     html = _mail(head + "Content-Type: text/html; charset=utf-8\n\n<p>", "text", F.lit("</p>"))
     mails = _documents(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 2 == 0, plain).otherwise(html).alias("content"))
-    return email_bodies(mails, ["doc_id"])
+    return mails.select("doc_id", document_text(F.lit("eml"), F.col("content")).alias("text"))
 
 
 def _page_mails(spark, sf_dir) -> DataFrame:
@@ -777,7 +780,7 @@ def _write_docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 )
 def word_texts(spark, sf_dir):
     files = _documents(spark, sf_dir).select("doc_id", "text").mapInPandas(_write_docx, "doc_id long, content binary")
-    return docx_texts(files, ["doc_id"])
+    return files.select("doc_id", document_text(F.lit("docx"), F.col("content")).alias("text"))
 
 
 @query(
@@ -857,7 +860,7 @@ def attachment_lineage(spark, sf_dir):
 )
 def file_contents(spark, sf_dir):
     """The whole intake: archives, emails and images to contents."""
-    contents = extract_contents(with_reader(good_files(expand_packages(_archives(spark, sf_dir)))))
+    contents = extract_contents(good_files(expand_packages(_archives(spark, sf_dir))))
     return contents.select("file_id", "kind", "text", "image_base64", "media_type")
 
 
