@@ -141,9 +141,12 @@ def classify(
         .when(F.col("_labels") != "", F.concat(F.lit("not evidence, "), matched))
         .otherwise("no rule matched")
     )
+    # Spark would push a filter on the decision below it and run all patterns twice, once for the
+    # filter and once for the columns. It does not push a filter through a partition number.
+    computed_once = F.spark_partition_id() >= 0
     return scored.select(
         *columns,
-        (net > 0).alias("is_relevant"),
+        ((net > 0) & computed_once).alias("is_relevant"),
         F.when(content, F.when(net > 0, F.col("_best")).otherwise(DEFAULT_CATEGORY)).alias("category"),
         reason.alias("reason"),
         F.lit("").alias("description"),

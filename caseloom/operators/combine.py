@@ -29,7 +29,7 @@ def combine_texts(
     ordered parts, since no cell can hold a text of any size and no task should gather one; the
     parts joined by the separator are the whole text. One shuffle, on the keys and the part.
     """
-    part = F.floor(F.col(order) / F.lit(part_rows)).alias("part")
+    part = F.expr(f"`{order}` div {part_rows}").alias("part")
     return df.groupBy(*keys, part).agg(
         F.count(F.lit(1)).alias("n_texts"), ordered_join(F.col(order), F.col(text), separator).alias("text")
     )

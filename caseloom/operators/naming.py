@@ -19,10 +19,11 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from caseloom.functions.text import stem, suffix
 from caseloom.operators.ranking import CHUNK_ROWS, running_total
+from caseloom.session import cut_lineage
 
 _NUMBERED = r"(?s)^(.+)_([1-9][0-9]{0,17})$"
 _ALL_NUMBERS = r"(?s)^(.+?)((?:_[1-9][0-9]{0,17})*)$"
@@ -55,6 +56,13 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["_group", "_name", "_from"])
 
 
+def _named(files: DataFrame, number: Column, folder: Sequence[str], order: str, name: str, out: str) -> DataFrame:
+    fresh = F.concat(stem(F.col("_name")), F.lit("_"), number.cast("string"), suffix(F.col("_name")))
+    return files.select(
+        *folder, order, F.col("_name").alias(name), F.when(number == 0, F.col("_name")).otherwise(fresh).alias(out)
+    )
+
+
 def unique_names(
     df: DataFrame,
     folder: Sequence[str],
@@ -98,6 +106,11 @@ def unique_names(
     contested = contested.join(
         parents, (contested["_group"] == parents["_pg"]) & (contested["_child"] == parents["_pn"]), "left"
     ).withColumn("_matters", F.col("_pn").isNotNull())
+    contested = cut_lineage(contested.drop("_pg", "_pn"))
+    if contested.isEmpty():
+        # The usual case: no numbered form meets a name that is used twice, so ranks are the answer.
+        ranked = running_total(files, key, order, F.lit(1), "_rank", chunk_rows=chunk_rows)
+        return _named(ranked, F.col("_rank"), folder, order, name, out)
 
     blank = [F.lit(None).cast(files.schema[c].dataType).alias(c) for c in folder]
     probes = contested.select(
@@ -135,8 +148,4 @@ def unique_names(
         ranked.withColumn("_skips", F.lit(0).cast("long")).withColumn("_tie", F.lit(1)).unionByName(marks),
         key, "_rank", F.col("_skips"), "_shift", tie="_tie", chunk_rows=chunk_rows,
     ).filter(F.col("_tie") == 1)
-    number = F.col("_rank") + F.col("_shift")
-    fresh = F.concat(stem(F.col("_name")), F.lit("_"), number.cast("string"), suffix(F.col("_name")))
-    return placed.select(
-        *folder, order, F.col("_name").alias(name), F.when(number == 0, F.col("_name")).otherwise(fresh).alias(out)
-    )
+    return _named(placed, F.col("_rank") + F.col("_shift"), folder, order, name, out)

@@ -36,7 +36,7 @@ def running_total(
     ``chunk_rows`` consecutive values holds a bounded number of rows. Hand in narrow rows: the
     input is read once for the rows and once for the chunk sums.
     """
-    chunked = df.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk_rows))).withColumn("_value", value)
+    chunked = df.withColumn("_chunk", F.expr(f"`{order}` div {chunk_rows}")).withColumn("_value", value)
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order, *([tie] if tie else []))
     local = chunked.withColumn(
         "_before", F.coalesce(F.sum("_value").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

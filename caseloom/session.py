@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "caseloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -33,3 +34,20 @@ def build_session(app: str = "caseloom", master: str | None = None, **conf: str)
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The frame, stored in the shared checkpoint folder, so that a lost executor costs a read.
+
+    The folder is the one that ``spark.checkpoint.dir`` names; only a local session may go without.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="caseloom-checkpoint-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -443,7 +443,7 @@ def totals_by_package(spark, sf_dir):
        WHERE source <> '' AND NOT EXISTS (SELECT 1 FROM known WHERE known.category = d.source) GROUP BY source"""
 )
 def unknown_labels(spark, sf_dir):
-    known = spark.createDataFrame([(f"src{i}",) for i in range(4)], "category string")
+    known = spark.range(4).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("category"))
     return invalid_categories(_documents(spark, sf_dir, spread=False).select(F.col("source").alias("category")), known)
 
 
