@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from caseloom.constants import CATEGORIES, DEFAULT_CATEGORY, FAILED_REASON, NO_CONTENT_REASON, NO_REASON
 from caseloom.operators.phrases import find_phrases
-from caseloom.operators.seam import Model, apply_model
+from caseloom.operators.seam import USAGE, Model, apply_model
 
 DECISION = T.StructType(
     [
@@ -19,7 +19,7 @@ DECISION = T.StructType(
         T.StructField("description", T.StringType()),
     ]
 )
-DECISION_COLUMNS = [*DECISION.fieldNames(), "model_error"]
+DECISION_COLUMNS = [*DECISION.fieldNames(), *USAGE.fieldNames(), "model_error"]
 
 
 @dataclass(frozen=True)
@@ -109,14 +109,14 @@ def classify(
     threshold: float = 2.0,
     categories: Sequence[str] = CATEGORIES,
 ) -> DataFrame:
-    """Add the decision columns and ``model_error`` to rows with ``kind`` and ``text``.
+    """Add the decision columns, token counts and ``model_error`` to rows with ``kind`` and ``text``.
 
     Rows without content get the fixed decision and never reach the classifier. The default reads
     texts with the rules: a positive score makes a document relevant, a low one says so in the
     reason, because a wrong exclusion is worse than a wrong inclusion. Images need a ``model``;
     without one they take the same decision as a failed call, which asks for a manual review.
     """
-    error = F.lit(None).cast("string").alias("model_error")
+    no_call = [F.lit(None).cast(f.dataType).alias(f.name) for f in USAGE] + [F.lit(None).cast("string").alias("model_error")]
     columns = [F.col(c) for c in df.columns]
     if model is not None:
         inputs = [c for c in inputs if c in df.columns]
@@ -126,7 +126,7 @@ def classify(
             {c: F.when(F.col("model_error").isNotNull(), F.lit(v)).otherwise(F.col(c)) for c, v in failed.items()}
         )
         rest = df.filter(~F.coalesce(has_content(), F.lit(False))).select(
-            *columns, *_decision(False, None, NO_CONTENT_REASON), error
+            *columns, *_decision(False, None, NO_CONTENT_REASON), *no_call
         )
         return replied.select(*columns, *DECISION_COLUMNS).unionByName(rest)
 
@@ -150,7 +150,7 @@ def classify(
         F.when(content, F.when(net > 0, F.col("_best")).otherwise(DEFAULT_CATEGORY)).alias("category"),
         reason.alias("reason"),
         F.lit("").alias("description"),
-        error,
+        *no_call,
     )
 
 

@@ -94,7 +94,7 @@ def redact_contextual(
     """
     if model is not None:
         reply = T.StructType([T.StructField("_reply", T.StringType())])
-        asked = apply_model(df, lambda b: model(b).rename(columns={"text": "_reply"})[["_reply"]], [text], reply)
+        asked = apply_model(df, lambda b: model(b).rename(columns={"text": "_reply"}), [text], reply)
         failed = F.col("model_error").isNotNull() | F.col("_reply").isNull()
         instead = F.lit("") if fail_closed else F.col(text)
         return asked.withColumn(out, F.when(failed, instead).otherwise(F.trim("_reply"))).drop("_reply")

@@ -6,11 +6,11 @@ anchor, and only those candidates are compared in full:
 
 * a phrase of five or more words: three words in a row from its inside, which stand whole in any
   text that holds the phrase;
-* a shorter phrase: its longest word, which may be part of a longer word in the text. The words of
+* a shorter phrase: one of its words, which may be part of a longer word in the text. The words of
   all texts are reduced to a vocabulary first, and three-character pieces lead from a vocabulary
   word to the phrase words inside it.
 
-Neither side is broadcast on trust: Spark picks the join by size, and both sides can be shuffled.
+Of all possible anchors a phrase takes the one that the fewest phrases share. Neither side is broadcast on trust: Spark picks the join by size, and both sides can be shuffled.
 """
 
 from __future__ import annotations
@@ -45,6 +45,14 @@ def _pieces(word: Column) -> Column:
     return F.array_distinct(F.concat(of_length(1), of_length(2), of_length(3)))
 
 
+def _rarest(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Per phrase, the value that the fewest phrases share, so that stock wording that many phrases
+    have in common does not become the anchor of all of them."""
+    shared = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    length = F.length(F.col(value).cast("string"))
+    return rows.join(shared, value).groupBy(*keys).agg(F.min_by(value, F.struct("_n", -length, value)).alias(value))
+
+
 def candidates(
     texts: DataFrame,
     phrases: DataFrame,
@@ -65,30 +73,15 @@ def candidates(
     docs = texts.select(*by, text_id, F.split(form(text), pattern("[{s}]+")).alias("_words"))
     known = phrases.filter(F.col(phrase) != "").select(*by, phrase_id, words(form(phrase)).alias("_pw"))
 
-    # The join keys below are made non-NULL on purpose. For a nullable key Spark adds a NULL test
-    # under the projections, which computes the whole key once more for every element of its input.
     inner = F.slice("_pw", F.lit(2), F.greatest(F.size("_pw") - 2, F.lit(0)))
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size("_inner") - 2),
-        lambda i: F.struct(
-            (F.length(F.get("_inner", i - 1)) + F.length(F.get("_inner", i)) + F.length(F.get("_inner", i + 1))).alias("n"),
-            F.xxhash64(F.get("_inner", i - 1), F.get("_inner", i), F.get("_inner", i + 1)).alias("gram"),
-        ),
-    )
-    long_anchor = (
-        known.filter(F.size("_pw") >= 5)
-        .select(*by, phrase_id, inner.alias("_inner"))
-        .select(*by, phrase_id, F.coalesce(F.array_max(runs)["gram"], F.lit(0)).alias("_anchor"))
-    )
+    long_grams = known.filter(F.size("_pw") >= 5).select(*by, phrase_id, F.explode(_grams(inner)).alias("_anchor"))
+    long_anchor = _rarest(long_grams, [*by, phrase_id], "_anchor")
     doc_grams = docs.select(*by, text_id, F.explode(_grams(F.col("_words"))).alias("_anchor"))
     long_pairs = doc_grams.join(long_anchor, [*by, "_anchor"]).select(*by, text_id, phrase_id)
 
-    longest = F.array_max(F.transform("_pw", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    short_word = (
-        known.filter((F.size("_pw") < 5) & (F.size("_pw") > 0))
-        .select(*by, phrase_id, F.coalesce(longest, F.lit("")).alias("_part"))
-        .withColumn("_piece", F.substring("_part", 1, 3))
-    )
+    short = known.filter(F.size("_pw").between(1, 4))
+    short_words = short.select(*by, phrase_id, F.explode(F.array_distinct("_pw")).alias("_part"))
+    short_word = _rarest(short_words, [*by, phrase_id], "_part").withColumn("_piece", F.substring("_part", 1, 3))
     doc_words = docs.select(*by, text_id, F.explode(F.array_distinct("_words")).alias("_word")).filter(F.col("_word") != "")
     parts = short_word.select("_part", "_piece").distinct()
     inside = (

@@ -2,7 +2,8 @@
 
 The function takes a pandas frame (a batch) and returns a frame of replies with the same number
 of rows. A batch that fails is tried again row by row, so that one bad document only costs itself:
-rows that still fail get ``model_error`` and the caller's documented fallback.
+rows that still fail get ``model_error`` and the caller's documented fallback. A reply may also
+have ``input_tokens`` and ``output_tokens``; they are kept next to it as the facts of the usage report.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 Model = Callable[[pd.DataFrame], pd.DataFrame]
+USAGE = T.StructType([T.StructField("input_tokens", T.LongType()), T.StructField("output_tokens", T.LongType())])
 
 
 def apply_model(df: DataFrame, model: Model, inputs: Sequence[str], reply: T.StructType) -> DataFrame:
-    """``df`` plus the reply columns and ``model_error``. Filter rows out before this step:
+    """``df`` plus the reply columns, the token counts and ``model_error``. Filter rows out before this step:
     Spark does not push a later filter below a Python function."""
-    inputs, names = list(inputs), reply.fieldNames()
+    inputs, reply = list(inputs), T.StructType([*reply.fields, *USAGE.fields])
+    names = reply.fieldNames()
 
     def ask(batch: pd.DataFrame) -> pd.DataFrame:
         answer = model(batch[inputs])

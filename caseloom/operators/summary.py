@@ -10,7 +10,7 @@ from caseloom.constants import CATEGORIES, SUMMARY_HEADINGS, pattern
 from caseloom.functions.text import reply_text, strip_fence, strip_text
 from caseloom.operators.classify import DEFAULT_RULES, Rule
 from caseloom.operators.combine import combine_texts
-from caseloom.operators.seam import Model, apply_model
+from caseloom.operators.seam import USAGE, Model, apply_model
 
 # What counts as a fact, by kind.
 FACTS = {
@@ -106,9 +106,9 @@ def case_summary(
     if model is not None:
         whole = combine_texts(df)
         reply = T.StructType([T.StructField("_reply", T.StringType())])
-        asked = apply_model(whole, lambda b: model(b).rename(columns={"text": "_reply"})[["_reply"]], ["text"], reply)
+        asked = apply_model(whole, lambda b: model(b).rename(columns={"text": "_reply"}), ["text"], reply)
         text = strip_fence(F.when(F.col("model_error").isNull(), F.coalesce("_reply", F.lit(""))).otherwise(""))
-        return asked.select("package_id", "part", text.alias("summary_md"), "model_error")
+        return asked.select("package_id", "part", text.alias("summary_md"), *USAGE.fieldNames(), "model_error")
 
     speaking = [r for r in rules if r.category is not None]
     per_category = df.groupBy("package_id", "category").agg(

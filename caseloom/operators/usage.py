@@ -9,6 +9,14 @@ from pyspark.sql import DataFrame, functions as F
 from caseloom.constants import INPUT_PRICE_PER_MILLION, OUTPUT_PRICE_PER_MILLION
 
 
+def usage_facts(df: DataFrame, step: str, call_id: str = "file_id") -> DataFrame:
+    """Calls of one step, from rows that went through a model; rows without a call are left out."""
+    called = F.col("input_tokens").isNotNull() | F.col("output_tokens").isNotNull() | F.col("model_error").isNotNull()
+    return df.filter(called).select(
+        F.col(call_id).alias("call_id"), "package_id", F.lit(step).alias("step"), "input_tokens", "output_tokens"
+    )
+
+
 def usage_report(
     usage: DataFrame,
     by: Sequence[str] = (),

@@ -12,7 +12,6 @@ from caseloom.operators.route import (
     audit_report,
     exclusion_log,
     package_totals,
-    pending,
     route,
     summary_text,
 )
@@ -25,7 +24,7 @@ from caseloom.sources.documents import extract_contents
 DECISIONS = (
     "package_id string, file_id string, parent_id string, depth int, ord long, ordinal int, via string, path string, "
     "length long, file_name string, ext string, kind string, text string, media_type string, is_relevant boolean, "
-    "category string, reason string, description string, model_error string, destination string, copy_failed boolean"
+    "category string, reason string, description string, input_tokens long, output_tokens long, model_error string, destination string, copy_failed boolean"
 )
 MANIFEST = "package_id string, ord long, destination string, file_name string, dest_name string"
 ERRORS = "package_id string, error string"
@@ -51,10 +50,12 @@ def triage_files(
     rules: Sequence[Rule] = DEFAULT_RULES,
     model: Model | None = None,
     pages: DataFrame | None = None,
+    copy: bool = True,
 ) -> dict[str, DataFrame]:
     """Stage 1 over expanded files. Every step that must happen once is a stored table: the
     opened archives and the decisions (a model is asked once per file). A lost executor then
-    costs the tasks it ran, not a second round of calls.
+    costs the tasks it ran, not a second round of calls. ``copy=False`` stops at the manifest: the
+    bytes stay in the files table, and the shuffle that brings them to their names is saved.
     """
     files.write.mode("overwrite").parquet(f"{out}/files")
     stored = read_table(spark, f"{out}/files", files.schema)
@@ -67,8 +68,9 @@ def triage_files(
     names = unique_names(copied.select("package_id", "destination", "ord", "file_name"), ["package_id", "destination"])
     manifest = store(names.select("package_id", "ord", "destination", "file_name", "dest_name"), f"{out}/manifest")
 
-    bytes_only = opened.select("package_id", "ord", "file_id", "content")
-    write_package(bytes_only.join(manifest, ["package_id", "ord"]), f"{out}/package")
+    if copy:
+        bytes_only = opened.select("package_id", "ord", "file_id", "content")
+        write_package(bytes_only.join(manifest, ["package_id", "ord"]), f"{out}/package")
     write_audit_csv(audit_report(fresh, ["package_id"]), f"{out}/audit_report")
     write_exclusion_log(exclusion_log(fresh, ["package_id"]), f"{out}/exclusion_log")
     return stage1_tables(spark, out)
@@ -96,9 +98,8 @@ def triage(
     rules: Sequence[Rule] = DEFAULT_RULES,
     model: Model | None = None,
     pages: DataFrame | None = None,
+    copy: bool = True,
 ) -> dict[str, DataFrame]:
-    """Stage 1 over a folder of archives; packages listed in ``done`` are left alone."""
-    files = read_packages(spark, packages)
-    if done is not None:
-        files = pending(files, done)
-    return triage_files(spark, files, out, rules=rules, model=model, pages=pages)
+    """Stage 1 over a folder of archives; packages listed in ``done`` are not opened."""
+    files = read_packages(spark, packages, done=done)
+    return triage_files(spark, files, out, rules=rules, model=model, pages=pages, copy=copy)

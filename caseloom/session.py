@@ -20,6 +20,8 @@ def build_session(app: str = "caseloom", master: str | None = None, **conf: str)
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Rows of file bytes are large: fewer of them at a time in the reader.
+        .config("spark.sql.parquet.columnarReaderBatchSize", "512")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:

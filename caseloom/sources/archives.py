@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from caseloom.functions.text import basename, extension
+from caseloom.operators.route import pending
 from caseloom.sources.emails import attachments
 
 # A cell holds at most 2 GB; larger members keep their row without bytes.
@@ -150,9 +151,12 @@ def expand_packages(packages: DataFrame, max_depth: int = 16) -> DataFrame:
     )
 
 
-def read_packages(spark: SparkSession, path: str, max_depth: int = 16, glob: str = "*.zip") -> DataFrame:
+def read_packages(
+    spark: SparkSession, path: str, max_depth: int = 16, glob: str = "*.zip", done: DataFrame | None = None
+) -> DataFrame:
     """All archives below ``path``; the package id is the file name without its extension.
 
+    Packages listed in ``done`` are dropped before they are opened.
     Archives too large for a cell are reported as error rows without reading them: the length
     filter reaches the scan.
     """
@@ -163,6 +167,8 @@ def read_packages(spark: SparkSession, path: str, max_depth: int = 16, glob: str
         .load(path)
         .withColumn("package_id", F.regexp_replace(basename(F.col("path")), r"(?i)\.zip$", ""))
     )
+    if done is not None:
+        found = pending(found, done)
     files = expand_packages(found.filter(F.col("length") <= MAX_CELL), max_depth)
     skipped = found.filter(F.col("length") > MAX_CELL).select(
         "package_id", F.lit("archive too large for one row").alias("error")

@@ -19,7 +19,7 @@ from caseloom.operators.route import (
     summary_text,
 )
 from caseloom.operators.summary import case_facts, case_summary, top_evidence
-from caseloom.operators.usage import usage_report
+from caseloom.operators.usage import usage_facts, usage_report
 from caseloom.sources.tables import load_relevant_json, parse_relevant_json
 
 CONTENT = "package_id string, ord long, file_id string, file_name string, kind string, text string"
@@ -52,13 +52,17 @@ def test_model_failures_fall_back_row_by_row(spark):
     def model(batch):
         if (batch["text"] == "bad").any():
             raise ValueError("no")
-        return pd.DataFrame({"is_relevant": [True] * len(batch), "category": ["Correspondence"] * len(batch), "reason": [None] * len(batch)})
+        return pd.DataFrame({"is_relevant": [True] * len(batch), "category": ["Correspondence"] * len(batch), "reason": [None] * len(batch), "input_tokens": 10})
 
     rows = [("p", i, str(i), "f", "text", t) for i, t in enumerate(["a", "bad", "c", ""])]
     got = {r.ord: r for r in classify(spark.createDataFrame(rows, CONTENT).coalesce(1), model=model, inputs=["text"]).collect()}
     assert got[0].is_relevant and got[2].is_relevant and got[0].reason == "No reason provided by LLM." and got[0].description == ""
     assert got[1].reason == "Automatic categorization failed; flagged for manual review." and got[1].model_error == "ValueError: no"
-    assert got[3].category is None and got[3].model_error is None
+    assert got[3].category is None and got[3].model_error is None and got[0].input_tokens == 10 and got[0].output_tokens is None
+    asked = classify(spark.createDataFrame(rows, CONTENT), model=model, inputs=["text"])
+    facts = usage_facts(asked, "classify")
+    report = usage_report(facts, ["step"]).first()
+    assert facts.count() == 3 and tuple(report)[:3] == ("classify", 20, 0) and abs(report.total_cost_usd - 6e-05) < 1e-12
 
 
 def test_normalise(spark):

@@ -582,6 +582,17 @@ def leaks_rate(spark, sf_dir):
     return leak_rate(_documents(spark, sf_dir).select("doc_id", "text"), markers)
 
 
+@query(
+    r"""WITH markers AS (SELECT item_id AS marker_id, regexp_extract(text, '^\S+\s+\S+') AS marker FROM benchmark)
+       SELECT doc_id, marker_id FROM documents d JOIN markers ON marker <> '' AND contains(d.text, marker)"""
+)
+def leaks_of_short_markers(spark, sf_dir):
+    """Markers of two words, as names are."""
+    marker = F.regexp_extract("text", r"^\S+\s+\S+", 0)
+    markers = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("marker_id"), marker.alias("marker"))
+    return leak_pairs(_documents(spark, sf_dir).select("doc_id", "text"), markers)
+
+
 TOXIC = [Rule("Termination_Documents", "insult", r"trash|idiot|clown|scum|worthless|moron", 1.0)]
 CASES_SQL = f"""
 WITH cases AS (
