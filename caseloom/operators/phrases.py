@@ -6,7 +6,8 @@ anchor, and only those candidates are compared in full:
 
 * a phrase of five or more words: three words in a row from its inside, which stand whole in any
   text that holds the phrase;
-* a shorter phrase: one of its words, which may be part of a longer word in the text. The words of
+* a shorter phrase: one of its words, which may be part of a longer word in the text: at its end if
+  the phrase starts with it, at its start if the phrase ends with it. The words of
   all texts are reduced to a vocabulary first, and three-character pieces lead from a vocabulary
   word to the phrase words inside it.
 
@@ -24,6 +25,10 @@ from caseloom.functions.redaction import phrase_array_pattern, redact
 from caseloom.functions.text import fold_case, words
 
 
+# Length of the word pieces that lead from a vocabulary word to the phrase words inside it.
+PIECE = 3
+
+
 def _grams(tokens: Column) -> Column:
     """Hashes of all three-word runs; NULL for fewer than three words.
 
@@ -36,21 +41,37 @@ def _grams(tokens: Column) -> Column:
     return F.when(F.size(tokens) >= 3, F.array_distinct(runs))
 
 
-def _pieces(word: Column) -> Column:
-    """All substrings of one, two and three characters."""
+def _keys(word: Column, wanted: Sequence[tuple[str, int]]) -> Column:
+    """Keys under which a vocabulary word is looked up, one list for all (role, length) pairs that
+    the phrases use. Only single-word phrases need the pieces from inside the word."""
+
+    def key(role: str, piece: Column) -> Column:
+        return F.struct(F.lit(role).alias("_role"), piece.alias("_piece"))
 
-    def of_length(size: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.substring(word, i, F.lit(size)))
+    def of(role: str, size: int) -> Column:
+        if role == "whole":
+            return F.array(key(role, word))
+        if role == "start":
+            return F.array(key(role, F.left(word, F.lit(size))))
+        if role == "end":
+            return F.array(key(role, F.right(word, F.lit(size))))
+        starts = F.sequence(F.lit(1), F.greatest(F.length(word) - (size - 1), F.lit(1)))
+        return F.array_distinct(F.transform(starts, lambda i: key(role, F.substring(word, i, F.lit(size)))))
 
-    return F.array_distinct(F.concat(of_length(1), of_length(2), of_length(3)))
+    return F.concat(*[of(role, size) for role, size in wanted])
 
 
-def _rarest(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per phrase, the value that the fewest phrases share, so that stock wording that many phrases
-    have in common does not become the anchor of all of them."""
-    shared = rows.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    length = F.length(F.col(value).cast("string"))
-    return rows.join(shared, value).groupBy(*keys).agg(F.min_by(value, F.struct("_n", -length, value)).alias(value))
+def _rarest(rows: DataFrame, keys: list[str], *value: str) -> DataFrame:
+    """Per phrase, the value that the fewest phrases share (the longest of several), so that stock
+    wording that many phrases have in common does not become the anchor of all of them."""
+    shared = rows.groupBy(*value).agg(F.count(F.lit(1)).alias("_n"))
+    length = F.length(F.col(value[0]).cast("string"))
+    return (
+        rows.join(shared, list(value))
+        .groupBy(*keys)
+        .agg(F.min_by(F.struct(*value), F.struct("_n", -length, *value)).alias("_v"))
+        .select(*keys, "_v.*")
+    )
 
 
 def candidates(
@@ -80,26 +101,44 @@ def candidates(
     long_pairs = doc_grams.join(long_anchor, [*by, "_anchor"]).select(*by, text_id, phrase_id)
 
     short = known.filter(F.size("_pw").between(1, 4))
-    short_words = short.select(*by, phrase_id, F.explode(F.array_distinct("_pw")).alias("_part"))
-    short_word = _rarest(short_words, [*by, phrase_id], "_part").withColumn("_piece", F.substring("_part", 1, 3))
+    last = F.size("_pw") - 1
+    role = F.when(last == 0, "inside").when(F.col("_i") == 0, "end").when(F.col("_i") == last, "start").otherwise("whole")
+    short_words = short.select(*by, phrase_id, "_pw", F.posexplode("_pw").alias("_i", "_part")).select(
+        *by, phrase_id, "_part", role.alias("_role")
+    )
+    piece = (
+        F.when(F.col("_role") == "whole", F.col("_part"))
+        .when(F.col("_role") == "end", F.right("_part", F.lit(PIECE)))
+        .otherwise(F.left("_part", F.lit(PIECE)))
+    )
+    short_word = _rarest(short_words, [*by, phrase_id], "_part", "_role").withColumn("_piece", piece)
+
+    # The two paths read all texts. A look at the phrase table says which of them are needed, and
+    # for short phrases which kinds of keys: at most ten pairs.
+    has_long = not long_grams.isEmpty()
+    size = F.when(F.col("_role") == "whole", 0).otherwise(F.length("_piece"))
+    wanted = sorted(tuple(r) for r in short_word.select("_role", size).distinct().collect())
+    if not wanted:
+        return long_pairs.distinct()
+
     doc_words = docs.select(*by, text_id, F.explode(F.array_distinct("_words")).alias("_word")).filter(F.col("_word") != "")
-    parts = short_word.select("_part", "_piece").distinct()
     inside = (
         doc_words.select("_word").distinct()
-        .select("_word", F.explode(_pieces(F.col("_word"))).alias("_piece"))
-        .join(parts, "_piece")
-        .filter(F.contains("_word", "_part"))
-        .select("_word", "_part")
+        .select("_word", F.explode(_keys(F.col("_word"), wanted)).alias("_key"))
+        .select("_word", "_key.*")
+        .join(short_word.select("_part", "_role", "_piece").distinct(), ["_role", "_piece"])
+        .filter(
+            F.when(F.col("_role") == "inside", F.contains("_word", "_part"))
+            .when(F.col("_role") == "end", F.endswith("_word", "_part"))
+            .when(F.col("_role") == "start", F.startswith("_word", "_part"))
+            .otherwise(F.col("_word") == F.col("_part"))
+        )
+        .select("_word", "_part", "_role")
         .distinct()
     )
-    reach = inside.join(short_word, "_part").select(*by, phrase_id, "_word").distinct()
+    reach = inside.join(short_word, ["_part", "_role"]).select(*by, phrase_id, "_word").distinct()
     short_pairs = doc_words.join(reach, [*by, "_word"]).select(*by, text_id, phrase_id)
-
-    # The two paths read all texts. One look at the phrase table says which of them are needed.
-    sizes = known.agg(F.count_if(F.size("_pw") >= 5).alias("long"), F.count_if(F.size("_pw").between(1, 4)).alias("short")).first()
-    if not sizes["short"]:
-        return long_pairs.distinct()
-    return short_pairs.distinct() if not sizes["long"] else long_pairs.unionByName(short_pairs).distinct()
+    return long_pairs.unionByName(short_pairs).distinct() if has_long else short_pairs.distinct()
 
 
 def find_phrases(

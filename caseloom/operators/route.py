@@ -78,14 +78,15 @@ def package_totals(df: DataFrame, keys: Sequence[str] = ("package_id",)) -> Data
 
 
 def audit_summary(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Counts per destination with a total row; failed copies are a line of their own, shown when
-    there are any. The grouping runs on pre-aggregated rows."""
+    """Counts per destination in order of name, the total last; failed copies are a line of their
+    own, shown when there are any. Grouping and sorting run on pre-aggregated rows."""
     place = F.when(F.col("copy_failed"), COPY_FAILED).otherwise(F.col("destination"))
     counted = df.groupBy(*keys, place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
     sets = [[*keys, "place"], [*keys]]
     return (
         counted.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in (*keys, "place")])
         .agg(F.grouping("place").alias("_total"), F.sum("n").alias("n"))
+        .orderBy(*keys, "_total", "place")
         .select(*keys, F.when(F.col("_total") == 1, TOTAL).otherwise(F.col("place")).alias("destination"), "n")
     )
 
