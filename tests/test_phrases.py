@@ -29,8 +29,14 @@ def test_phrases_per_package(spark):
     docs = spark.createDataFrame([("a", 1, "Ada Vale met ADA VALE-Smith."), ("b", 2, "Ada Vale"), ("c", 3, None)],
                                  "package_id string, doc_id long, text string")
     known = spark.createDataFrame([("a", "ada vale"), ("a", "Ada Vale-Smith"), ("b", "other"), ("a", "")], "package_id string, phrase string")
-    got = {r.doc_id: r.redacted for r in redact_phrases(docs, known, by=["package_id"]).collect()}
-    assert got == {1: "[REDACTED] met [REDACTED].", 2: "Ada Vale", 3: ""}
+    for short_list in (0, 1, 100):
+        got = {r.doc_id: r.redacted for r in redact_phrases(docs, known, by=["package_id"], short_list=short_list).collect()}
+        assert got == {1: "[REDACTED] met [REDACTED].", 2: "Ada Vale", 3: ""}
+    everywhere = known.select("phrase")
+    for short_list in (0, 100):
+        got = {r.doc_id: r.redacted for r in redact_phrases(docs, everywhere, short_list=short_list).collect()}
+        assert got == {1: "[REDACTED] met [REDACTED].", 2: "[REDACTED]", 3: ""}
+    assert redact_phrases(docs, known.limit(0)).count() == 3
 
 
 def test_one_phrase_in_a_third_of_all_texts(spark):

@@ -168,7 +168,24 @@ FROM documents d LEFT JOIN hits USING (doc_id)
 )
 def redact_entities(spark, sf_dir):
     phrases = load(spark, sf_dir, "benchmark").select(F.col("text").alias("phrase"))
-    return redact_phrases(_documents(spark, sf_dir).select("doc_id", "text"), phrases, protect=()).select("doc_id", "redacted")
+    documents = _documents(spark, sf_dir).select("doc_id", "text")
+    return redact_phrases(documents, phrases, protect=(), short_list=0).select("doc_id", "redacted")
+
+
+@query(
+    f"""
+WITH hits AS (
+  SELECT d.doc_id, '(?i)' || string_agg(regexp_escape(b.text), '|' ORDER BY length(b.text) DESC, b.text) AS phrases
+  FROM documents d JOIN benchmark b ON d.source = 'src' || b.item_id % 20 AND contains(lower(upper(d.text)), lower(upper(b.text))) GROUP BY d.doc_id)
+SELECT source AS package_id, d.doc_id, {SCRUB_SQL % "CASE WHEN phrases IS NULL THEN text ELSE regexp_replace(text, phrases, '[REDACTED]', 'g') END"} AS redacted
+FROM documents d LEFT JOIN hits USING (doc_id)
+"""
+)
+def redact_entities_by_package(spark, sf_dir):
+    package = F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
+    phrases = load(spark, sf_dir, "benchmark").select(package.alias("package_id"), F.col("text").alias("phrase"))
+    documents = _documents(spark, sf_dir).select(F.col("source").alias("package_id"), "doc_id", "text")
+    return redact_phrases(documents, phrases, by=["package_id"], protect=()).drop("text")
 
 
 @query(
@@ -269,9 +286,24 @@ def unique_page_names(spark, sf_dir):
     return unique_names(pages, ["folder"])
 
 
-@query()
+@query(
+    """
+WITH RECURSIVE n AS (
+  SELECT lang AS folder, doc_id AS ord, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i,
+         'scan' || CASE WHEN doc_id % 2 = 0 THEN '_' || doc_id % 11 ELSE '' END || CASE WHEN doc_id % 7 < 2 THEN '_' || doc_id % 3 ELSE '' END AS stem
+  FROM documents),
+walk AS (
+  SELECT DISTINCT lang AS folder, 0::BIGINT AS i, NULL::BIGINT AS ord, '' AS stem, '' AS dest, []::VARCHAR[] AS taken FROM documents
+  UNION ALL
+  SELECT folder, i, ord, stem, dest, list_append(taken, dest) FROM (
+    SELECT n.folder, n.i, n.ord, n.stem, w.taken,
+           list_filter(list_transform(range(0, n.i), lambda k: n.stem || CASE WHEN k = 0 THEN '' ELSE '_' || k END), lambda x: NOT list_contains(w.taken, x))[1] AS dest
+    FROM walk w JOIN n ON n.folder = w.folder AND n.i = w.i + 1))
+SELECT folder, ord, stem || '.pdf' AS file_name, dest || '.pdf' AS dest_name FROM walk WHERE i > 0
+"""
+)
 def unique_clashing_names(spark, sf_dir):
-    """Names with numbered forms among the inputs; no SQL twin, checked by brute force in the tests."""
+    """Names with numbered forms among the inputs. The SQL twin names the files one by one."""
     number = F.concat(F.lit("_"), (F.col("doc_id") % 11).cast("string"))
     again = F.concat(F.lit("_"), (F.col("doc_id") % 3).cast("string"))
     name = F.concat(F.lit("scan"), F.when(F.col("doc_id") % 2 == 0, number).otherwise(""), F.when(F.col("doc_id") % 7 < 2, again).otherwise(""), F.lit(".pdf"))
