@@ -60,8 +60,8 @@ def triage_files(
     files.write.mode("overwrite").parquet(f"{out}/files")
     stored = read_table(spark, f"{out}/files", files.schema)
     opened = good_files(stored)
-    decisions = store(decide(opened, rules, model, pages), f"{out}/decisions")
-    store(ingest_errors(stored), f"{out}/ingest_errors")
+    decisions = store(decide(opened, rules, model, pages), f"{out}/decisions", gathered=pages is None)
+    store(ingest_errors(stored), f"{out}/ingest_errors", gathered=True)
 
     fresh = decisions.join(opened.select("package_id").distinct(), "package_id", "left_semi")
     copied = fresh.filter(~F.col("copy_failed"))

@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 
-def _per_package(df: DataFrame) -> DataFrameWriter:
-    return (
-        df.withColumn("package", F.col("package_id"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("package")
-    )
+def _per_package(df: DataFrame, gathered: bool) -> DataFrameWriter:
+    """Writer with one folder per package. Rows that a shuffle has spread are brought together
+    first, or every task would leave a small file in every folder; adaptive execution splits a
+    package that is large and puts small ones together."""
+    named = df if gathered else df.hint("rebalance", "package")
+    return named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("package")
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
@@ -24,35 +23,33 @@ def read_table(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(schema).parquet(path)
 
 
-def store(df: DataFrame, path: str) -> DataFrame:
+def store(df: DataFrame, path: str, gathered: bool = False) -> DataFrame:
     """Write any result with a ``package_id`` and return it as read from storage, so that what
-    follows does not compute it again."""
-    _per_package(df).parquet(path)
+    follows does not compute it again. ``gathered`` says that rows of a package already lie together,
+    as they do in a scan of opened archives."""
+    _per_package(df.withColumn("package", F.col("package_id")), gathered).parquet(path)
     return read_table(df.sparkSession, path, df.schema)
 
 
 def write_package(files: DataFrame, path: str) -> None:
-    """Bytes of each copied file with its destination and name, sorted by destination, so that a
-    reader of one category skips the row groups of the others."""
-    columns = ["package_id", "destination", "file_id", "file_name", "dest_name", "content"]
-    store(files.select(*columns).sortWithinPartitions("package_id", "destination", "dest_name"), path)
+    """Bytes of each copied file with its destination and name."""
+    store(files.select("package_id", "destination", "file_id", "file_name", "dest_name", "content"), path)
 
 
-def _per_package_file(df: DataFrame, *columns: str) -> DataFrameWriter:
+def _per_package_file(df: DataFrame, *columns: str, gathered: bool = False) -> DataFrameWriter:
     """Writer for plain files: the package is in the folder name only."""
-    named = df.select(F.col("package_id").alias("package"), *columns)
-    return named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("package")
+    return _per_package(df.select(F.col("package_id").alias("package"), *columns), gathered)
 
 
 def write_audit_csv(audit: DataFrame, path: str) -> None:
     """Audit rows with a header; quotes are doubled and empty fields are bare."""
     columns = [c for c in audit.columns if c != "package_id"]
-    writer = _per_package_file(audit, *columns)
+    writer = _per_package_file(audit, *columns, gathered=True)
     writer.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def write_exclusion_log(log: DataFrame, path: str) -> None:
-    _per_package_file(log, "line").text(path)
+    _per_package_file(log, "line", gathered=True).text(path)
 
 
 def write_summaries(summaries: DataFrame, path: str) -> None:

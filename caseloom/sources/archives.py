@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from caseloom.functions.text import basename, extension
 from caseloom.operators.route import pending
@@ -151,10 +151,19 @@ def expand_packages(packages: DataFrame, max_depth: int = 16) -> DataFrame:
     )
 
 
+def package_id(path: Column, root: str) -> Column:
+    """Path of an archive below the folder that was read, without its extension, so that archives
+    of the same name in different folders stay apart."""
+    folder = root.rstrip("/") + "/"
+    start = F.instr(path, F.lit(folder))
+    below = F.when(start > 0, F.substring(path, start + len(folder), F.length(path))).otherwise(path)
+    return F.regexp_replace(below, r"(?i)\.zip$", "")
+
+
 def read_packages(
     spark: SparkSession, path: str, max_depth: int = 16, glob: str = "*.zip", done: DataFrame | None = None
 ) -> DataFrame:
-    """All archives below ``path``; the package id is the file name without its extension.
+    """All archives below ``path``; the package id is the path below it.
 
     Packages listed in ``done`` are dropped before they are opened.
     Archives too large for a cell are reported as error rows without reading them: the length
@@ -165,7 +174,7 @@ def read_packages(
         .option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
         .load(path)
-        .withColumn("package_id", F.regexp_replace(basename(F.col("path")), r"(?i)\.zip$", ""))
+        .withColumn("package_id", package_id(F.col("path"), path))
     )
     if done is not None:
         found = pending(found, done)

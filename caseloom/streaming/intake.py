@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from caseloom.functions.text import basename
 from caseloom.operators.classify import DEFAULT_RULES, Rule
 from caseloom.operators.seam import Model
 from caseloom.plans.triage import triage_files
-from caseloom.sources.archives import expand_packages
+from caseloom.sources.archives import expand_packages, package_id
 
 
 def start_intake(
@@ -34,7 +33,7 @@ def start_intake(
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .load(packages)
-        .withColumn("package_id", F.regexp_replace(basename(F.col("path")), r"(?i)\.zip$", ""))
+        .withColumn("package_id", package_id(F.col("path"), packages))
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:

@@ -82,7 +82,7 @@ def test_triage(spark, stage1):
 def test_rerun_replaces_and_skips(spark, folder, stage1):
     out, tables = stage1
     before = tables["decisions"].count()
-    again = triage(spark, str(folder), out, done=spark.createDataFrame([("0043",)], "package_id string"))
+    again = triage(spark, str(folder), out, done=spark.createDataFrame([("sub/0043",)], "package_id string"))
     assert again["decisions"].count() == before
     assert spark.read.parquet(f"{out}/manifest").count() == before
 
@@ -91,7 +91,7 @@ def test_summary_only_for_approved(spark, stage1, tmp_path):
     tables = stage1_tables(spark, stage1[0])
     entities = spark.createDataFrame([("0042", "Ada Example"), ("0042", "Example Clinic")], "package_id string, phrase string")
     none = spark.createDataFrame([("0042", False)], "package_id string, accepted boolean")
-    yes = spark.createDataFrame([("0042", True), ("0043", True)], "package_id string, accepted boolean")
+    yes = spark.createDataFrame([("0042", True), ("sub/0043", True)], "package_id string, accepted boolean")
     assert summarise(spark, tables["relevant"], none, str(tmp_path / "no"), entities=entities).count() == 0
     rows = summarise(spark, tables["relevant"], yes, str(tmp_path / "yes"), entities=entities).collect()
     assert [r.package_id for r in rows] == ["0042"]
@@ -118,7 +118,7 @@ def test_models_plug_in(spark, folder, tmp_path):
     out = str(tmp_path / "out")
     tables = triage(spark, str(folder), out, model=judge)
     rows = {(r.package_id, r.file_name): r for r in tables["decisions"].collect()}
-    assert rows[("0043", "mail.eml")].model_error.endswith("refused") and not rows[("0043", "mail.eml")].is_relevant
+    assert rows[("sub/0043", "mail.eml")].model_error.endswith("refused") and not rows[("sub/0043", "mail.eml")].is_relevant
     assert rows[("0042", "scan.jpg")].category == "Other_Relevant_Evidence"
     relevant = tables["relevant"]
     assert "a photo" in [r.text for r in relevant.collect()]
@@ -137,7 +137,7 @@ def test_streaming_intake(spark, folder, tmp_path):
         query.awaitTermination(300)
         assert query.exception() is None
     tables = stage1_tables(spark, str(tmp_path / "out"))
-    assert {r.package_id: r.total_files for r in tables["totals"].collect()} == {"0042": 12, "0043": 1}
+    assert {r.package_id: r.total_files for r in tables["totals"].collect()} == {"0042": 12, "sub/0043": 1}
     assert [r.package_id for r in tables["errors"].collect()] == ["bad"]
 
 

@@ -68,7 +68,7 @@ def test_bad_member_fails_its_package_only(spark, tmp_path):
     (tmp_path / "fine.zip").write_bytes(package_of({"a.txt": b"1"}))
     files = read_packages(spark, str(tmp_path))
     assert [(r.package_id, r.file_name) for r in good_files(files).collect()] == [("fine", "a.txt")]
-    assert [r.package_id for r in ingest_errors(files).collect()] == ["broken"]
+    assert [r.package_id for r in ingest_errors(files).collect()] == ["x/broken"]
 
 
 def test_extract_contents(spark):
