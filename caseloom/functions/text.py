@@ -18,8 +18,13 @@ def strip_text(text: Column, unicode: bool = True) -> Column:
 
 
 def strip_html(html: Column) -> Column:
-    """Each tag becomes one blank; entities and script bodies stay; NULL stays NULL."""
-    return strip_text(F.regexp_replace(html, HTML_TAG, " "))
+    """Each tag becomes one blank; entities and script bodies stay; NULL stays NULL.
+
+    A tag can only be the first ``<`` since the last ``>``. So the search starts there and nowhere
+    else, and a page full of ``<`` without an end is read once.
+    """
+    tag = HTML_TAG.replace("]+", "]++")
+    return strip_text(F.regexp_replace(html, rf"(?:\G|(?<=>))([^<>]*+){tag}", "$1 "))
 
 
 def basename(path: Column) -> Column:

@@ -44,8 +44,8 @@ def case_facts(
     )
 
 
-# White space around a line end, or after the end of a sentence.
-SENTENCE_END = pattern(r"[{s}]*\n[{s}]*|(?<=[.!?])[{s}]+")
+# White space around a line end, or after the end of a sentence; tried from the start of a run only.
+SENTENCE_END = pattern(r"(?<![{s}])[{s}]*\n[{s}]*|(?<=[.!?])[{s}]+")
 
 
 def sentences(df: DataFrame, keys: Sequence[str], order: str, text: str = "text") -> DataFrame:

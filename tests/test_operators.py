@@ -18,7 +18,7 @@ from caseloom.operators.route import (
     route,
     summary_text,
 )
-from caseloom.operators.summary import case_facts, case_summary, top_evidence
+from caseloom.operators.summary import case_facts, case_summary, sentences, top_evidence
 from caseloom.operators.usage import usage_facts, usage_report
 from caseloom.sources.tables import load_relevant_json, parse_relevant_json
 
@@ -170,6 +170,15 @@ def test_evidence_and_summary(spark):
     assert row.summary_md == "" and row.model_error == "RuntimeError: down"
 
 
+def test_sentences(spark):
+    texts = ["  a b.  c!\td?e \n\n f . g", " " * 200_000 + "x" + " " * 200_000 + "y.\n", "a.\n\n \nb", "", "..."]
+    frame = spark.createDataFrame(list(enumerate(texts)), "ord long, text string")
+    got = {}
+    for row in sentences(frame, [], "ord").orderBy("ord", "pos").collect():
+        got.setdefault(row.ord, []).append(row.sentence)
+    assert got == {0: ["a b.", "c!", "d?e", "f .", "g"], 1: ["x" + " " * 200_000 + "y."], 2: ["a.", "b"], 4: ["..."]}
+
+
 def test_hot_group_is_limited_before_the_shuffle(spark):
     frame = spark.createDataFrame([("p", "c", 1, "mail")], "package_id string, category string, ord long, text string")
     plan = top_evidence(frame, 3)._jdf.queryExecution().executedPlan().toString()
