@@ -24,7 +24,8 @@ from caseloom.sources.documents import extract_contents
 DECISIONS = (
     "package_id string, file_id string, parent_id string, depth int, ord long, ordinal int, via string, path string, "
     "length long, file_name string, ext string, kind string, text string, media_type string, is_relevant boolean, "
-    "category string, reason string, description string, input_tokens long, output_tokens long, model_error string, destination string, copy_failed boolean"
+    "category string, reason string, description string, input_tokens long, output_tokens long, model_error string, "
+    "destination string, copy_failed boolean"
 )
 MANIFEST = "package_id string, ord long, destination string, file_name string, dest_name string"
 ERRORS = "package_id string, error string"
