@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import quality_rules as rules
-from caseloom.llm import sharding
+from caseloom.llm import decontamination, sharding
 from caseloom.llm.store import table
 
 QUERIES = {}
@@ -29,6 +29,16 @@ def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "row.doc_id", "n_words", decontamination.n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), decontamination.is_contaminated().alias("contaminated"),
+    )
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
