@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import quality_rules as rules
-from caseloom.llm import decontamination, sharding
+from caseloom.llm import bpe, decontamination, sharding, token_store
 from caseloom.llm.store import table
 
+#: The vocabulary file of the contracts.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+END_ID = 2
+
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,6 +23,12 @@ def query(function):
     return function
 
 
+@query
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_store.write_tokens(table(spark, sf_dir, "documents"), WORD_BPE, END_ID)
+    return token_store.read_tokens(spark, folder, digest=True)
+
+
 @query
 def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards by the law ``rows``."""
@@ -29,6 +40,14 @@ def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode(docs, WORD_BPE, digests=True).select(
+        "row.doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256")
+    )
+
+
 @query
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
