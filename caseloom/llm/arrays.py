@@ -28,6 +28,27 @@ def kept(key, build: Callable):
     return cache[key]
 
 
+class Recent(dict):
+    """A bounded memory of results: when ``limit`` are held, all but those asked for since are dropped in time."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def find(self, key):
+        """For keys that a plain ``get`` missed."""
+        found = self.old.get(key)
+        if found is not None:
+            self.keep(key, found)
+        return found
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 def blocks(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets): runs of rows with at most ``limit`` bytes of text, or one longer text. Null is empty."""
     for batch in batches:
@@ -110,7 +131,3 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     for j in range(k):
         out = mix(out * np.uint64(BASE) + hashes[j : j + n])
     return out
-
-
-def column(values, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, kind)

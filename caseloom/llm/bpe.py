@@ -28,13 +28,23 @@ from pyspark.sql import functions as F
 from caseloom.llm import arrays
 
 END = "\0"  # stands for the end-of-word suffix, so that it takes one place in a word
-PIECES_KEPT = 250_000
+PIECES_KEPT, WORDS_KEPT, PAIRS_KEPT = 60_000, 150_000, 250_000
 # The split pattern of the word tokenizer, and what it comes to on lower-case printable ASCII.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 PRINTABLE = re.compile(r"[\x21-\x7e]+")
 
 
+def word_split(path: str):
+    """How a lower-casing tokenizer of the fixed pattern splits printable ASCII; None for any other tokenizer."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    steps = [[x["type"] for x in (spec[part] or {}).get(name, [])] for part, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+    if steps != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] or spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] != {"Regex": SPLIT}:
+        return None
+    return lambda text: WORDS.findall(text.lower()) if PRINTABLE.fullmatch(text) else [text]
+
+
 class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -44,8 +54,7 @@ class Encoder:
             spec = json.load(file)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
-        steps = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in spec["pre_tokenizer"]["pretokenizers"]]
-        self.simple = steps == (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": SPLIT}
+        self.simple = word_split(path) is not None
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.names = {i: name for name, i in model["vocab"].items()} | {i: name for name, i in self.special.items()}
@@ -62,14 +71,14 @@ class Encoder:
             self.rank[vocab[left], vocab[right]] = (rank, made)
             self.made[made] = (vocab[left], vocab[right], rank)
         self.vocab = vocab
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible = arrays.Recent(PAIRS_KEPT)
         self.automaton = ahocorasick.Automaton()
         for text, i in vocab.items():
             if self.merged(text) == [i]:  # other tokens never occur in an encoding
                 self.automaton.add_word(text, (len(text), i))
         self.automaton.make_automaton()
-        self.words: dict[str, list[int]] = {}
-        self.pieces: dict[bytes, tuple[int, str, str]] = {}
+        self.words = arrays.Recent(WORDS_KEPT)
+        self.pieces = arrays.Recent(PIECES_KEPT)
 
     def _marked(self, name: str) -> str:
         return name[: -len(self.suffix)] + END if self.suffix and name.endswith(self.suffix) else name
@@ -119,7 +128,7 @@ class Encoder:
                 i += 1
             else:
                 j += 1
-        self.compatible[left, right] = fit
+        self.compatible.keep(left << 32 | right, fit)
         return fit
 
     def word(self, word: str) -> list[int]:
@@ -134,7 +143,7 @@ class Encoder:
                 before = last[at]
                 if before is None:
                     continue
-                fit = known.get((before, token))
+                fit = known.get(before << 32 | token)
                 if fit is None:
                     fit = self.fits(before, token)
                 if not fit:
@@ -153,13 +162,11 @@ class Encoder:
         else:
             parts = [x[0] for x in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
         for part in parts:
-            ids = self.words.get(part)
+            ids = self.words.get(part) or self.words.find(part)
             if ids is None:
-                if len(self.words) >= PIECES_KEPT:
-                    self.words.clear()
-                ids = self.word(part + END)
+                ids = tuple(self.word(part + END))
                 if len(part) < 64:
-                    self.words[part] = ids
+                    self.words.keep(part, ids)
             out += ids
         return out
 
@@ -174,12 +181,12 @@ class Encoder:
 
     def piece(self, piece: bytes) -> tuple[int, str, str]:
         """(number of ids, ids, decoded text) of a text without ASCII white space."""
-        ids = self.ids(piece.decode("utf-8", "replace"))
-        found = len(ids), " ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids))
-        if len(piece) < 64:
-            if len(self.pieces) >= PIECES_KEPT:
-                self.pieces.clear()
-            self.pieces[piece] = found
+        found = self.pieces.find(piece)
+        if found is None:
+            ids = self.ids(piece.decode())
+            found = len(ids), " ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids))
+            if len(piece) < 64:
+                self.pieces.keep(piece, found)
         return found
 
     def whole(self, text: bytes) -> tuple[int, str, str]:
