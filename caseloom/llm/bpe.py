@@ -28,21 +28,41 @@ from pyspark.sql import functions as F
 from caseloom.llm import arrays
 
 END = "\0"  # stands for the end-of-word suffix, so that it takes one place in a word
-PIECES_KEPT, WORDS_KEPT, PAIRS_KEPT = 60_000, 150_000, 250_000
-# The split pattern of the word tokenizer, and what it comes to on lower-case printable ASCII.
+WORDS_KEPT, PAIRS_KEPT = 150_000, 250_000
+# The split pattern of the word tokenizer, and what it comes to on lower-case ASCII.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-PRINTABLE = re.compile(r"[\x21-\x7e]+")
+# On lower-case text of ASCII and the Latin-1 letters alone, which NFC leaves as it is. Control characters are left out.
+LETTERS = "\u00e0-\u00f6\u00f8-\u00ff\u00df"
+WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^\\x09-\\x0D\\x20a-z0-9{LETTERS}]+")
+BEYOND = "[\\x00-\\x08\\x0E-\\x1F\\x7F-\u00bf\u00d7\u00f7\u0100-\U0010ffff]"
+SPACE = re.compile("[\\x09-\\x0D\\x20]+")
 
 
-def word_split(path: str):
-    """How a lower-casing tokenizer of the fixed pattern splits printable ASCII; None for any other tokenizer."""
-    with open(path, encoding="utf-8") as file:
-        spec = json.load(file)
-    steps = [[x["type"] for x in (spec[part] or {}).get(name, [])] for part, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
-    if steps != [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] or spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] != {"Regex": SPLIT}:
-        return None
-    return lambda text: WORDS.findall(text.lower()) if PRINTABLE.fullmatch(text) else [text]
+class Splitter:
+    """A text as parts that the tokenizer encodes one by one: its words where the tokenizer is a lower-casing one of the
+    fixed pattern and the characters are common, or else pieces without ASCII white space, which no word crosses."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        steps = [[x["type"] for x in (spec[part] or {}).get(name, [])] for part, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        fixed = (
+            steps == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": SPLIT}
+        )
+        names = [re.escape(x["content"]) for x in spec["added_tokens"]]
+        self.odd = re.compile("|".join([BEYOND, *names]) if fixed else "").search
+
+    def parts(self, text: str) -> list[str]:
+        odd = self.odd
+        if not odd(text):
+            return WORDS.findall(text.lower())
+        out: list[str] = []
+        for piece in SPACE.split(text):
+            if odd(piece):
+                out.append(piece)
+            else:
+                out += WORDS.findall(piece.lower())
+        return [x for x in out if x]
 
 
 class Encoder:
@@ -54,7 +74,7 @@ class Encoder:
             spec = json.load(file)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
-        self.simple = word_split(path) is not None
+        self.parts = Splitter(path).parts
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.names = {i: name for name, i in model["vocab"].items()} | {i: name for name, i in self.special.items()}
@@ -77,8 +97,7 @@ class Encoder:
             if self.merged(text) == [i]:  # other tokens never occur in an encoding
                 self.automaton.add_word(text, (len(text), i))
         self.automaton.make_automaton()
-        self.words = arrays.Recent(WORDS_KEPT)
-        self.pieces = arrays.Recent(PIECES_KEPT)
+        self.known = arrays.Recent(WORDS_KEPT)
 
     def _marked(self, name: str) -> str:
         return name[: -len(self.suffix)] + END if self.suffix and name.endswith(self.suffix) else name
@@ -138,6 +157,8 @@ class Encoder:
         known = self.compatible
         for end, (length, token) in self.automaton.iter(word):
             end += 1
+            if last[end] is not None:
+                continue
             at = end - length
             if at:
                 before = last[at]
@@ -156,19 +177,8 @@ class Encoder:
         return out[::-1]
 
     def _plain(self, text: str) -> list[int]:
-        out: list[int] = []
-        if self.simple and PRINTABLE.fullmatch(text):
-            parts = WORDS.findall(text.lower())
-        else:
-            parts = [x[0] for x in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
-        for part in parts:
-            ids = self.words.get(part) or self.words.find(part)
-            if ids is None:
-                ids = tuple(self.word(part + END))
-                if len(part) < 64:
-                    self.words.keep(part, ids)
-            out += ids
-        return out
+        parts = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [i for part, _ in parts for i in self.word(part + END)]
 
     def ids(self, text: str) -> list[int]:
         """Ids of a text, in which the strings of special tokens are those tokens."""
@@ -179,21 +189,23 @@ class Encoder:
             out += [self.special[part]] if i % 2 else self._plain(part)
         return out
 
-    def piece(self, piece: bytes) -> tuple[int, str, str]:
-        """(number of ids, ids, decoded text) of a text without ASCII white space."""
-        found = self.pieces.find(piece)
+    def part(self, part: str) -> tuple[int, str, str]:
+        """(number of ids, ids, decoded text) of a part, each string with a space before every token."""
+        found = self.known.find(part)
         if found is None:
-            ids = self.ids(piece.decode())
-            found = len(ids), " ".join(map(str, ids)), " ".join(map(self.names.__getitem__, ids))
-            if len(piece) < 64:
-                self.pieces.keep(piece, found)
+            ids = self.word(part + END) if part.isascii() and part.isalpha() and part.islower() else self.ids(part)
+            found = len(ids), "".join(f" {i}" for i in ids), "".join(f" {self.names[i]}" for i in ids)
+            if len(part) < 64:
+                self.known.keep(part, found)
         return found
 
-    def whole(self, text: bytes) -> tuple[int, str, str]:
-        """The same of any text."""
-        known, piece = self.pieces.get, self.piece
-        found = [known(p) or piece(p) for p in text.split()]
-        return sum(x[0] for x in found), " ".join(x[1] for x in found if x[0]), " ".join(x[2] for x in found if x[0])
+    def whole(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """The same of any texts, without the first space."""
+        rows = [self.parts(t) for t in texts]
+        known, part = self.known.get, self.part
+        distinct = {p: known(p) or part(p) for p in set().union(*rows)}
+        counts, ids, names = ({p: x[i] for p, x in distinct.items()}.__getitem__ for i in range(3))
+        return [(sum(map(counts, row)), "".join(map(ids, row))[1:], "".join(map(names, row))[1:]) for row in rows]
 
 
 def encoder(path: str) -> Encoder:
@@ -205,7 +217,8 @@ def _work(path: str, digests: bool):
         own = encoder(path)
         for batch, data, offsets in arrays.blocks(batches):
             text = data.tobytes()
-            found = [own.whole(text[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            texts = [text[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            found = [x for at in range(0, len(texts), 128) for x in own.whole(texts[at : at + 128])]
             if digests:
                 columns = [pa.array([hashlib.sha256(x[i].encode()).hexdigest() for x in found], pa.string()) for i in (1, 2)]
             else:

@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -33,10 +32,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.llm import arrays
-from caseloom.llm.bpe import word_split
+from caseloom.llm.bpe import Splitter
 from caseloom.llm.store import shared_folder
 
-PIECES_KEPT, WORDS_KEPT = 100_000, 200_000
+WORDS_KEPT = 300_000
 SCHEMA = pa.schema([
     ("part", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("before", pa.int64()), ("dictionary", pa.string()), ("width", pa.int32()),
     ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("frames", pa.binary()),
@@ -48,51 +47,32 @@ DDL = (
 
 
 class Tokens:
-    """Ids as bytes. The texts are split at ASCII white space, which no word of this tokenizer crosses, and printable
-    ASCII pieces into the words of its pattern; the library encodes each distinct word. Recent words are kept."""
+    """Ids as bytes. The library encodes each distinct part of the texts; recent ones are kept."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.split = word_split(path)
-        self.specials = re.compile("|".join(re.escape(x.content) for x in self.library.get_added_tokens_decoder().values()) or "(?!)")
-        self.words, self.pieces = arrays.Recent(WORDS_KEPT), arrays.Recent(PIECES_KEPT)
+        self.parts = Splitter(path).parts
+        self.known = arrays.Recent(WORDS_KEPT)
 
-    def _words(self, piece: bytes) -> list[str]:
-        text = piece.decode()
-        return self.split(text) if text.isascii() and self.split and not self.specials.search(text) else [text]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
+    def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids of each text."""
-        out = []
-        for text in texts:
-            pieces = text.split()
-            known = self.pieces.get
-            ids = [known(p) for p in pieces]
-            if None in ids:
-                own = {p: self.pieces.find(p) for p, x in zip(pieces, ids, strict=True) if x is None}
-                self._encode({p for p, x in own.items() if x is None}, own)
-                ids = [own[p] if x is None else x for p, x in zip(pieces, ids, strict=True)]
-            out.append(b"".join(ids))
-        return out
-
-    def _encode(self, pieces: set[bytes], out: dict[bytes, bytes]) -> None:
-        words = {p: self._words(p) for p in pieces}
-        own = {w: self.words.get(w) or self.words.find(w) for row in words.values() for w in row}
-        fresh = [w for w, x in own.items() if x is None]
+        return [x for at in range(0, len(texts), 256) for x in self._some(texts[at : at + 256])]
+
+    def _some(self, texts: list[str]) -> list[bytes]:
+        rows = [self.parts(t) for t in texts]
+        distinct = set().union(*rows)
+        own = dict(zip(distinct, map(self.known.get, distinct), strict=True))
+        own |= {p: self.known.find(p) for p, x in own.items() if x is None}
+        fresh = [p for p, x in own.items() if x is None]
         kind = f"<u{self.width}"
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at : at + 4096]
-            for w, x in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                own[w] = np.array(x.ids, kind).tobytes()
-                if len(w) < 64:
-                    self.words.keep(w, own[w])
-        for p, row in words.items():
-            out[p] = b"".join(map(own.__getitem__, row))
+        for p, x in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            own[p] = np.array(x.ids, kind).tobytes()
             if len(p) < 64:
-                self.pieces.keep(p, out[p])
+                self.known.keep(p, own[p])
+        return [b"".join(map(own.__getitem__, row)) for row in rows]
 
 
 def tokens(path: str) -> Tokens:
@@ -100,10 +80,10 @@ def tokens(path: str) -> Tokens:
     return arrays.kept(("tokens", path), lambda: Tokens(path))
 
 
-def _texts(batch_block) -> list[bytes]:
+def _texts(batch_block) -> list[str]:
     _, data, ends = batch_block
     text = data.tobytes()
-    return [text[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    return [text[a:b].decode() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def train_dictionary(docs: DataFrame, path: str, size: int, sample: int, sample_ids: int) -> bytes:
