@@ -6,8 +6,8 @@
    n - ceil(2 t n / (1 + t)) + 1 of the smaller one, in any common order. Prefix n-grams are dealt by hash into buckets
    and joined there, with the length and the positional filter.
 3. A prefix n-gram that few sets share gives all its pairs. One that more than ``SMALL`` sets share first gives a
-   linear number of pairs: each set with the next by length, and with a parent in a tree ordered by position.
-4. The best pair of each set is verified and gives first components. Then every other candidate pair whose sets are in
+   linear number of pairs: each set with the next by length, and with a few that have the n-gram at an early position.
+4. The best pairs of each set are verified and gives first components. Then every other candidate pair whose sets are in
    different components is verified, once; for the shared n-grams too. So no link that joins classes is missed,
    and no pairs are made within a class that is already one.
 5. Verification runs the suffix filter and then counts the common n-grams of the two whole texts.
@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.llm import arrays
@@ -34,6 +34,7 @@ from caseloom.llm.store import stored
 
 N = 5
 SMALL = 8  # sets that share a prefix n-gram, up to which all pairs are made at once
+FIRST = 3  # of each set's pairs, those that are verified first
 COUNTERS = 1 << 21  # of the frequency sketch
 SLICES = 64
 NO_ID = -(1 << 63)
@@ -158,14 +159,16 @@ def passing(n_a, pos_a, n_b, pos_b):
     return (DOWN * small >= UP * large) & (of_small < indexed) & (left >= least_overlap(n_a, n_b))
 
 
-def _pairs(sid, n, pos, i, j) -> tuple[np.ndarray, np.ndarray]:
-    good = (sid[i] != sid[j]) & passing(n[i].astype(np.int64), pos[i], n[j].astype(np.int64), pos[j])
-    i, j = i[good], j[good]
-    return np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
+def _good(sid, n, pos, i, j) -> np.ndarray:
+    return (sid[i] != sid[j]) & passing(n[i].astype(np.int64), pos[i], n[j].astype(np.int64), pos[j])
 
 
 def _join_bucket(frame: pd.DataFrame) -> pd.DataFrame:
-    """Rows: candidate pairs (a, b, votes), and the entries (h, a = sid, n, pos) of widely shared n-grams."""
+    """Rows: candidate pairs (a, b, votes, level), and the entries (h, a = sid, n, pos) of widely shared n-grams.
+
+    The sets that share an n-gram stand by its position: the earlier, the fewer n-grams of their own they have, and the
+    likelier others are to resemble them. Each set is paired with one drawn by hash from the first 1/8 before it (level
+    1), one from the first 1/64 (level 2) and so on, so that none is drawn by all others while there are many."""
     h, sid, n, pos = (np.concatenate(x) for x in zip(*map(_unpack, frame["packed"]), strict=True))
     by = np.lexsort((sid, pos, h))
     h, sid, n, pos = h[by], sid[by], n[by], pos[by]
@@ -177,26 +180,32 @@ def _join_bucket(frame: pd.DataFrame) -> pd.DataFrame:
     size = np.diff(np.append(starts, len(h)))
     group_size, start = np.repeat(size, size), np.repeat(starts, size)
     index = np.arange(len(h))
-    a, b = [], []
+    found = []
 
-    def add(i, j):
-        x, y = _pairs(sid, n, pos, i, j)
-        a.append(x)
-        b.append(y)
+    def add(i, j, level):
+        good = _good(sid, n, pos, i, j)
+        found.append(pd.DataFrame({"a": sid[i[good]], "b": sid[j[good]], "level": level}))
 
     small = index[group_size <= SMALL]
     for step in range(1, SMALL):
         i = small[small - start[small] >= step]
-        add(i, i - step)
+        low = sid[i] < sid[i - step]
+        add(np.where(low, i, i - step), np.where(low, i - step, i), 0)
     large = index[group_size > SMALL]
-    i = large[large > start[large]]
-    add(i, start[i] + (i - start[i] - 1) // SMALL)  # the parent has at most SMALL children
     by = large[np.lexsort((sid[large], n[large], h[large]))]
     same = h[by[1:]] == h[by[:-1]]
-    add(by[1:][same], by[:-1][same])
-    pairs = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).value_counts().rename("votes").reset_index()
+    add(by[1:][same], by[:-1][same], 0)
+    level, bound = 1, (large - start[large]) // SMALL
+    while len(large) and bound.max() > 0:
+        i, b = large[bound > 0], bound[bound > 0]
+        drawn = arrays.mix(sid[i].view(np.uint64) + np.uint64(level)) % b.astype(np.uint64)
+        add(i, start[i] + drawn.astype(np.int64), level)
+        level, bound = level + 1, bound // SMALL
+    pairs = pd.concat(found).groupby(["a", "b"], as_index=False).agg(votes=("level", "size"), level=("level", "max"))
+    large = index[group_size > SMALL]
     entries = pd.DataFrame({"h": h[large].view(np.int64), "a": sid[large], "n": n[large], "pos": pos[large]})
-    return pd.concat([pairs.astype("Int64"), entries.astype("Int64")]).reindex(columns=["a", "b", "votes", "h", "n", "pos"]).astype("Int64")
+    columns = ["a", "b", "votes", "level", "h", "n", "pos"]
+    return pd.concat([pairs.astype("Int64"), entries.astype("Int64")]).reindex(columns=columns).astype("Int64")
 
 
 def _cross(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,10 +223,11 @@ def _cross(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         j = np.arange(i + 1, np.searchsorted(n[i : stops[i]], n[i] * DOWN // UP, "right") + i)
         j = j[comp[j] != comp[i]]
         if len(j):
-            x, y = _pairs(values["sid"], n, values["pos"], np.full(len(j), i), j)
-            a.append(x)
-            b.append(y)
-            held += len(x)
+            sid = values["sid"]
+            j = j[_good(sid, n, values["pos"], np.full(len(j), i), j)]
+            a.append(np.minimum(sid[i], sid[j]))
+            b.append(np.maximum(sid[i], sid[j]))
+            held += len(j)
             if held > 200_000:
                 yield unique()
                 a, b, held = [], [], 0
@@ -286,11 +296,14 @@ def near_duplicates(docs: DataFrame, bucket_bytes: int = 24 << 20) -> DataFrame:
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 6 // bucket_bytes)
     packed = docs.select("text").mapInArrow(_prefixes(order, buckets), "bucket long, packed binary")
-    joined = stored(packed.groupBy("bucket").applyInPandas(_join_bucket, "a long, b long, votes long, h long, n long, pos long"))
-    pairs = stored(joined.where("b is not null").groupBy("a", "b").agg(F.sum("votes").alias("votes")))
-    # Of each set, its best pair.
-    both = pairs.union(pairs.select("b", "a", "votes"))
-    best = both.groupBy("a").agg(F.max_by("b", F.struct("votes", "b")).alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    joined = stored(packed.groupBy("bucket").applyInPandas(_join_bucket, "a long, b long, votes long, level long, h long, n long, pos long"))
+    offers = stored(joined.where("b is not null").groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.max("level").alias("level")))
+    # Each set's best offers; those of level 0 count for both.
+    both = offers.union(offers.where("level = 0").select("b", "a", "votes", "level"))
+    place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("level"), F.desc("votes"), "b"))
+    best = both.withColumn("place", place).where(F.col("place") <= FIRST).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    best = stored(best.distinct())
+    pairs = offers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     wide = joined.where("h is not null").select("h", F.col("a").alias("sid"), "n", "pos")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(wide.select("sid")).distinct()
     rows = sets.join(wanted, "sid").groupBy("sid").agg(F.min(F.struct("key", "t")).alias("r")).select("sid", "r.key", "r.t")
