@@ -46,15 +46,18 @@ class Splitter:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         steps = [[x["type"] for x in (spec[part] or {}).get(name, [])] for part, name in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
-        fixed = (
+        self.suffix = spec["model"].get("end_of_word_suffix")
+        self.fixed = fixed = (
             steps == [["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]] and spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] == {"Regex": SPLIT}
         )
         names = [re.escape(x["content"]) for x in spec["added_tokens"]]
         self.odd = re.compile("|".join([BEYOND, *names]) if fixed else "").search
+        self.firsts = {x["content"][:2] for x in spec["added_tokens"]}
 
     def parts(self, text: str) -> list[str]:
         odd = self.odd
-        if not odd(text):
+        # The first test is the quick one: common white space and printable ASCII.
+        if self.fixed and text.isascii() and text.replace("\n", " ").isprintable() and not any(x in text for x in self.firsts) or not odd(text):
             return WORDS.findall(text.lower())
         out: list[str] = []
         for piece in SPACE.split(text):

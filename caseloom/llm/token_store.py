@@ -54,7 +54,11 @@ class Tokens:
 
         self.library = Tokenizer.from_file(path)
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
-        self.parts = Splitter(path).parts
+        splitter = Splitter(path)
+        self.parts = splitter.parts
+        self.ends = np.zeros(self.library.get_vocab_size(), bool)  # tokens that end a word
+        if splitter.fixed and splitter.suffix:
+            self.ends[[i for name, i in self.library.get_vocab().items() if name.endswith(splitter.suffix)]] = True
         self.known = arrays.Recent(WORDS_KEPT)
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -67,9 +71,19 @@ class Tokens:
         own = dict(zip(distinct, map(self.known.get, distinct), strict=True))
         own |= {p: self.known.find(p) for p, x in own.items() if x is None}
         fresh = [p for p, x in own.items() if x is None]
-        kind = f"<u{self.width}"
-        for p, x in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            own[p] = np.array(x.ids, kind).tobytes()
+        # Letters alone are one word each: many go to the library as one text, in which a token that ends a word ends a part.
+        words = [p for p in fresh if p.isalpha()] if self.ends.any() else []
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
+            if len(stops) == len(some):
+                packed = ids.tobytes()
+                own.update(zip(some, (packed[x:y] for x, y in zip([0, *stops], stops)), strict=True))
+        rest = [p for p in fresh if own[p] is None]
+        for p, x in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            own[p] = np.array(x.ids, f"<u{self.width}").tobytes()
+        for p in fresh:
             if len(p) < 64:
                 self.known.keep(p, own[p])
         return [b"".join(map(own.__getitem__, row)) for row in rows]
@@ -105,6 +119,8 @@ def _encode_blocks(path: str, end_id: int, dictionary: bytes, block_bytes: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens(path)
         trained = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+        if trained:
+            trained.precompute_compress(level=3)  # once, not for each document
         packer = zstandard.ZstdCompressor(level=3, dict_data=trained)
         end = int(end_id).to_bytes(encoder.width, "little")
         name = hashlib.sha256(dictionary).hexdigest() if dictionary else ""
