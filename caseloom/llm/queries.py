@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import quality_rules as rules
-from caseloom.llm import bpe, decontamination, ngram_join, quality_model, sharding, token_store
+from caseloom.llm import bpe, decontamination, ngram_join, quality_model, sharding, token_store, toxicity
 from caseloom.llm.folds import held_out
 from caseloom.llm.store import table
 
@@ -38,6 +38,14 @@ def op4_positive_unlabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query
+def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model).select("row.doc_id", "score")
+    return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op6_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards by the law ``rows``."""
