@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import quality_rules as rules
-from caseloom.llm import bpe, decontamination, ngram_join, quality_model, sharding, token_store, toxicity
+from caseloom.llm import bpe, decontamination, ngram_join, personal_data, quality_model, sharding, token_store, toxicity
 from caseloom.llm.folds import held_out
 from caseloom.llm.store import table
 
@@ -24,6 +24,13 @@ def query(function):
     return function
 
 
+@query
+def op2_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal_data.find_personal_data(docs, personal_data.learn(docs), rewrite=False)
+    return found.select("row.doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
 @query
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_store.write_tokens(table(spark, sf_dir, "documents"), WORD_BPE, END_ID)
