@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import quality_rules as rules
-from caseloom.llm import bpe, decontamination, ngram_join, personal_data, quality_model, sharding, token_store, toxicity
+from caseloom.llm import bpe, decontamination, ngram_join, personal_data, quality_model, sharding, suffix_dedup, token_store, toxicity
 from caseloom.llm.folds import held_out
 from caseloom.llm.store import table
 
@@ -24,6 +24,12 @@ def query(function):
     return function
 
 
+@query
+def op1_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op2_boosted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
