@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from math import inf
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -215,29 +216,27 @@ def encoder(path: str) -> Encoder:
     return arrays.kept(("bpe", path), lambda: Encoder(path))
 
 
-def _work(path: str, digests: bool):
+def _work(path: str, lists: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch, data, offsets in arrays.blocks(batches):
             text = data.tobytes()
             texts = [text[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             found = [x for at in range(0, len(texts), 128) for x in own.whole(texts[at : at + 128])]
-            if digests:
-                columns = [pa.array([hashlib.sha256(x[i].encode()).hexdigest() for x in found], pa.string()) for i in (1, 2)]
-            else:
-                columns = [
-                    pa.array([[int(i) for i in x[1].split()] for x in found], pa.list_(pa.int32())),
-                    pa.array([x[2] for x in found], pa.string()),
-                ]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([x[0] for x in found], pa.int64()), *columns], names=["row", "n_tokens", "ids", "decoded"])
+            counts = pa.array([x[0] for x in found], pa.int64())
+            columns = [pa.array([hashlib.sha256(x[i].encode()).hexdigest() for x in found], pa.string()) for i in (1, 2)]
+            names = ["row", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if lists:
+                columns += [pa.array([np.array(x[1].split(), np.int32) for x in found], pa.list_(pa.int32())), pa.array([x[2] for x in found], pa.string())]
+                names += ["ids", "decoded"]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), counts, *columns], names=names)
 
     return work
 
 
-def encode(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
-    """``row`` (all columns of ``docs``), ``n_tokens``, ``ids`` and ``decoded``; with ``digests``, the SHA-256 of the
-    ids in decimal, joined by spaces, and of the decoded text in their place."""
+def encode(docs: DataFrame, path: str, lists: bool = True) -> DataFrame:
+    """``row`` (all columns of ``docs``), ``n_tokens``, ``ids_sha256`` (of the ids in decimal, joined by spaces),
+    ``decoded_sha256`` and, unless ``lists`` is off, ``ids`` and the ``decoded`` text."""
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text"))
-    kind = row.schema["row"].dataType.simpleString()
-    schema = f"row {kind}, n_tokens long, ids {'string' if digests else 'array<int>'}, decoded string"
-    return row.mapInArrow(_work(path, digests), schema)
+    schema = f"row {row.schema['row'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return row.mapInArrow(_work(path, lists), schema + (", ids array<int>, decoded string" if lists else ""))

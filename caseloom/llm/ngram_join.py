@@ -284,10 +284,15 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(both.mapInArrow(_verify, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, bucket_bytes: int = 24 << 20) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """With ``key`` (doc_id, a null id as the least number) and ``t`` (hash of the text), which name a row's node."""
+    return docs.withColumns({"key": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "t": F.xxhash64("text")})
+
+
+def classes(docs: DataFrame, bucket_bytes: int = 24 << 20) -> DataFrame:
+    """key, t and n (size of the set) of every row, and ``least``, the least (key, t) of its class; null for empty sets."""
     spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64("text").alias("t"), "text")
+    docs = keyed(docs).select("key", "t", "text")
     first = stored(docs.mapInArrow(_sets, "key long, t long, n long, sid long, slice int, counts binary"))
     sets = first.where("slice is null").select("key", "t", "n", "sid")
     # SLICES rows of fixed size.
@@ -324,8 +329,22 @@ def near_duplicates(docs: DataFrame, bucket_bytes: int = 24 << 20) -> DataFrame:
     found = _verified(rest, texts)
     roots = connected(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(found))
     named = sets.join(roots.select(F.col("id").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = named.where("root is not null").groupBy("root").agg(F.min("key").alias("least"))
-    own = named.join(least, "root", "left").select("key", "n", F.coalesce("least", "key").alias("least"))
-    return own.select(
-        F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("least") != NO_ID, F.col("least")).alias("component_id")
+    least = named.where("root is not null").groupBy("root").agg(F.min(F.struct("key", "t")).alias("least"))
+    return named.join(least, "root", "left").select("key", "t", "n", "least")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    least = F.coalesce("least.key", "key")
+    return classes(docs).select(
+        F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(least != NO_ID, least).alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each class its least id stays, and all rows without words."""
+    found = classes(docs)
+    stay = found.where(F.col("least").isNull() | (F.col("least") == F.struct("key", "t"))).select("key", "t", (F.col("n") == 0).alias("empty")).distinct()
+    # A row that is repeated as it is, id and all, is in a class with itself.
+    again = F.row_number().over(Window.partitionBy("key", "t").orderBy(F.lit(0)))
+    return keyed(docs).join(stay, ["key", "t"]).withColumn("again", again).where("again = 1 or empty").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -78,9 +78,7 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return bpe.encode(docs, WORD_BPE, digests=True).select(
-        "row.doc_id", "n_tokens", F.col("ids").alias("ids_sha256"), F.col("decoded").alias("decoded_sha256")
-    )
+    return bpe.encode(docs, WORD_BPE, lists=False).select("row.doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 @query

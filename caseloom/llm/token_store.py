@@ -35,7 +35,7 @@ from caseloom.llm import arrays
 from caseloom.llm.bpe import Splitter
 from caseloom.llm.store import shared_folder
 
-WORDS_KEPT = 300_000
+WORDS_KEPT = 450_000
 SCHEMA = pa.schema([
     ("part", pa.int32()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("before", pa.int64()), ("dictionary", pa.string()), ("width", pa.int32()),
     ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int64())), ("frames", pa.binary()),
@@ -120,8 +120,8 @@ def _encode_blocks(path: str, end_id: int, dictionary: bytes, block_bytes: int):
         encoder = tokens(path)
         trained = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         if trained:
-            trained.precompute_compress(level=3)  # once, not for each document
-        packer = zstandard.ZstdCompressor(level=3, dict_data=trained)
+            trained.precompute_compress(level=1)  # once, not for each document
+        packer = zstandard.ZstdCompressor(level=1, dict_data=trained)
         end = int(end_id).to_bytes(encoder.width, "little")
         name = hashlib.sha256(dictionary).hexdigest() if dictionary else ""
         ids, counts, frames, size, before = [], [], [], 0, 0
