@@ -35,7 +35,7 @@ from caseloom.llm import arrays
 from caseloom.llm.ngram_join import NO_ID
 
 LENGTH = 100
-K = 20
+K = 16
 WIDTH = LENGTH - K + 1  # K-grams of a string
 COUNTERS = 1 << 20
 SLICES = 16
@@ -130,11 +130,13 @@ def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return data[np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts - (stops - size), size)]
 
 
-FIELDS = [("key", np.uint64), ("content", np.uint64), ("doc", np.int64), ("t", np.int64), ("start", np.int32), ("size", np.int32), ("twice", bool)]
+FIELDS = [("key", np.uint32), ("doc", np.int64), ("t", np.int64), ("start", np.int32), ("size", np.int32), ("twice", bool)]
+SHORT = (1 << 32) - 1  # a key's low bits tell it from others in its bucket, but for some that meet without harm
 
 
 def _pack(packer, columns: dict[str, np.ndarray], data: np.ndarray, removed: np.ndarray) -> bytes:
     head = np.array([len(columns["key"]), len(data), len(removed)], np.int64)
+    columns = columns | {"doc": np.diff(columns["doc"], prepend=np.int64(0))}  # in order of the input: small steps
     return packer.compress(b"".join([head.tobytes(), *(columns[n].astype(k).tobytes() for n, k in FIELDS), data.tobytes(), removed.astype(np.int64).tobytes()]))
 
 
@@ -145,9 +147,20 @@ def _unpack(packed: bytes) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarra
     for name, kind in FIELDS:
         out[name] = np.frombuffer(raw, kind, n, at)
         at += n * np.dtype(kind).itemsize
+    out["doc"] = np.cumsum(out["doc"])
     return out, np.frombuffer(raw, np.uint8, size, at), np.frombuffer(raw, np.int64, more * 4, at + size).reshape(-1, 4)
 
 
+def content_hashes(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, step: int = 20_000) -> np.ndarray:
+    """A hash of each run's bytes; runs stand one after the other."""
+    out = [np.zeros(0, np.uint64)]
+    for i in range(0, len(begin), step):
+        own, size = begin[i : i + step], sizes[i : i + step]
+        part = data[own[0] : own[-1] + size[-1]]
+        out.append(arrays.range_hashes(arrays.prefix_sums(part), own - own[0], own - own[0] + size))
+    return np.concatenate(out)
+
+
 def firsts(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(places of the first run of each content, places of the later ones). A place that comes twice is one."""
     order = np.lexsort((columns["start"], columns["t"], columns["doc"], columns["size"], columns["content"], columns["key"]))
@@ -187,15 +200,16 @@ def _ranges(columns: dict[str, np.ndarray], at: np.ndarray) -> np.ndarray:
 
 def _deal(ranks, buckets: int, flush_bytes: int = 16 << 20):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, packer = ranks.value, zstandard.ZstdCompressor(level=1)
+        table, packer = ranks.value, zstandard.ZstdCompressor(level=3)
         held: list[tuple[dict, np.ndarray]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            columns = {n: np.concatenate([h[0][n] for h in held]) for n, _ in FIELDS}
+            columns = {n: np.concatenate([h[0][n] for h in held]) for n in held[0][0]}
             data = np.concatenate([h[1] for h in held])
             begin = np.cumsum(columns["size"], dtype=np.int64) - columns["size"]
             own, later = firsts(columns)
+            own = np.sort(own)
             bucket = (arrays.mix(columns["key"][own]) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             found, at = np.unique(bucket[by], return_index=True)
@@ -205,7 +219,8 @@ def _deal(ranks, buckets: int, flush_bytes: int = 16 << 20):
                 sizes = columns["size"][part].astype(np.int64)
                 # Ranges known already travel with any shard.
                 more = removed[i :: len(found)]
-                rows.append(_pack(packer, {n: columns[n][part] for n, _ in FIELDS}, gathered(data, begin[part], begin[part] + sizes), more))
+                short = {"key": columns["key"][part] & np.uint64(SHORT)}
+                rows.append(_pack(packer, {n: columns[n][part] for n, _ in FIELDS} | short, gathered(data, begin[part], begin[part] + sizes), more))
             return pa.record_batch({"bucket": pa.array(found, pa.int64()), "packed": pa.array(rows, pa.binary())})
 
         for batch, data, offsets in arrays.blocks(batches, 1 << 20):
@@ -314,11 +329,22 @@ def repeated_strings(data: np.ndarray, begin: np.ndarray, columns: dict[str, np.
 
 def _dedup_shard(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     parts = [_unpack(p) for frame in frames for p in frame["packed"]]
-    columns = {n: np.concatenate([p[0][n] for p in parts]) for n, _ in FIELDS}
-    data = np.concatenate([p[1] for p in parts])
+    keys = np.concatenate([p[0]["key"] for p in parts])
+    _, which, count = np.unique(keys, return_inverse=True, return_counts=True)
+    # A key that one run alone has, and that once, can't repeat anything.
+    wanted = np.split((count[which] > 1) | np.concatenate([p[0]["twice"] for p in parts]), np.cumsum([len(p[0]["key"]) for p in parts])[:-1])
+    texts, columns = [], []
+    for (own, data, _), use in zip(parts, wanted, strict=True):
+        stop = np.cumsum(own["size"], dtype=np.int64)[use]
+        texts.append(gathered(data, stop - own["size"][use], stop))
+        columns.append({n: x[use] for n, x in own.items()})
     removed = [p[2] for p in parts]
     del parts
+    columns = {n: np.concatenate([c[n] for c in columns]) for n, _ in FIELDS}
+    data = np.concatenate(texts)
+    del texts
     begin = np.cumsum(columns["size"], dtype=np.int64) - columns["size"]
+    columns["content"] = content_hashes(data, begin, columns["size"].astype(np.int64))
     own, later = firsts(columns)  # in order of the key
     removed.append(_ranges(columns, later))
     key = columns["key"][own]
@@ -395,7 +421,7 @@ def _merge(text, start, local, run, offset, seen, seen_at):
 
 
 def _packed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    packer = zstandard.ZstdCompressor(level=1)
+    packer = zstandard.ZstdCompressor(level=3)
     for batch, data, offsets in arrays.blocks(batches):
         text = data.tobytes()
         packed = [packer.compress(text[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
