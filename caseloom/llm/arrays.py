@@ -49,7 +49,7 @@ class Recent(dict):
         self[key] = value
 
 
-def blocks(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def blocks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets): runs of rows with at most ``limit`` bytes of text, or one longer text. Null is empty."""
     for batch in batches:
         texts = pc.fill_null(batch.column(column), "").cast(pa.large_string())

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from caseloom.llm import arrays
 
 END = "\0"  # stands for the end-of-word suffix, so that it takes one place in a word
-WORDS_KEPT, PAIRS_KEPT = 150_000, 250_000
+WORDS_KEPT, PAIRS_KEPT = 120_000, 250_000
 # The split pattern of the word tokenizer, and what it comes to on lower-case ASCII.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # On lower-case text of ASCII and the Latin-1 letters alone, which NFC leaves as it is. Control characters are left out.

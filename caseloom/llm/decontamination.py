@@ -179,7 +179,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int =
         F.array().cast("array<long>").alias("runs"), F.array().cast("array<string>").alias("items"),
     )
     items = item_blocks(benchmark, block_bytes)
-    for names, texts in itertools.chain([next(items, ([], []))], items):
+    for names, texts in itertools.chain([next(items, ([""], [None]))], items):
         shared = spark.sparkContext.broadcast(Index(names, texts))
         out = out.mapInArrow(_pass(shared, out.schema), out.schema)
     return out.drop("text")

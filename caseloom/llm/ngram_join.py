@@ -96,7 +96,7 @@ def _sum_slice(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"slice": [place], "counts": [scaled.tobytes()]})
 
 
-def _prefixes(order, buckets: int, flush_bytes: int = 48 << 20):
+def _prefixes(order, buckets: int, flush_bytes: int = 24 << 20):
     """Prefix n-grams by bucket, packed: per set (sid, n), per n-gram (hash, place of its set, position)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -125,10 +125,10 @@ def thresholds(shares: DataFrame, least: int = 200) -> DataFrame:
         return frame.select(*keys, F.col("n").alias(f"n_{suffix}"), *(limit(c) for c in names))
 
     joined = limits(groups, "own", "lang", "source").join(limits(merged("lang"), "lang", "lang"), "lang")
-    overall = limits(merged(), "all").first()
+    overall = limits(merged().where("n > 0"), "all").first()  # none for an empty table
 
     def chosen(c: str) -> Column:
-        return F.when(F.col("n_own") >= least, F.col(f"{c}_own")).when(F.col("n_lang") >= least, F.col(f"{c}_lang")).otherwise(F.lit(overall[f"{c}_all"]))
+        return F.when(F.col("n_own") >= least, F.col(f"{c}_own")).when(F.col("n_lang") >= least, F.col(f"{c}_lang")).otherwise(F.lit(overall and overall[f"{c}_all"]))
 
     return joined.select("lang", "source", *(chosen(c).alias(f"most_{c}") for c in names))
 
