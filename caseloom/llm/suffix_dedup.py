@@ -8,7 +8,7 @@ it in the same one.
    all texts in a sketch of fixed size) are last in the order: a passage that many texts share is a key only for runs that
    lie in it and are alike, which are reduced to one before the shuffle; where it joins other text, a rarer key is found.
 2. Equal runs are reduced to their first; the later ones are removed as a whole.
-3. The shard's distinct runs that share a key go into suffix arrays of bounded size: prefix doubling on the groups that
+3. The shard's distinct runs that share a key, and bytes beside its K-gram, go into suffix arrays of bounded size: prefix doubling on the groups that
    are not yet told apart (Larsson and Sadakane), common prefixes after Kasai, in lanes. Neighbours with LENGTH bytes in
    common are one class; all but its first occurrence are removed.
 4. If the runs of one key fill more than one suffix array, their classes are merged by binary search in the sorted
@@ -94,7 +94,8 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray):
-    """(document, start, end, key, content hash, self-repeating) of each run; the end is that of its last string."""
+    """(document, start, end, key, content hash, self-repeating, offset of the key's K-gram) of each run; the end is that
+    of its last string."""
     sums, hashes = gram_hashes(data)
     order = ranks[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58) | hashes >> np.uint64(6)
     least = sliding_least(order, WIDTH)
@@ -105,7 +106,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray):
     np.add.at(whole, last[some], -1)
     at = np.flatnonzero(np.cumsum(whole)[:-1] > 0)
     if not len(at):
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, bool),)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, bool), np.zeros(0, np.int64))
     document = np.searchsorted(offsets, at, "right") - 1
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1] + 1) | (document[1:] != document[:-1]) | (least[at[1:]] != least[at[:-1]])
@@ -114,13 +115,14 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray):
     key = least[start]
     # A run repeats itself only if its key's K-gram is in it twice: the first one lies in its first string, the last one in its last.
     places = np.arange(WIDTH)
-    twice = np.zeros(len(start), bool)
+    twice, offset = np.zeros(len(start), bool), np.zeros(len(start), np.int64)
     for i in range(0, len(start), 20_000):
         own = slice(i, i + 20_000)
         left = start[own] + np.argmax(order[start[own][:, None] + places] == key[own][:, None], axis=1)
         right = stop[own] + WIDTH - 1 - np.argmax(order[stop[own][:, None] + places[::-1]] == key[own][:, None], axis=1)
         twice[own] = left != right
-    return document[begin], start, stop + LENGTH, key, arrays.range_hashes(sums, start, stop + LENGTH), twice
+        offset[own] = left - start[own]
+    return document[begin], start, stop + LENGTH, key, arrays.range_hashes(sums, start, stop + LENGTH), twice, offset
 
 
 def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -130,7 +132,7 @@ def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return data[np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts - (stops - size), size)]
 
 
-FIELDS = [("key", np.uint32), ("doc", np.int64), ("t", np.int64), ("start", np.int32), ("size", np.int32), ("twice", bool)]
+FIELDS = [("key", np.uint32), ("doc", np.int64), ("t", np.int64), ("start", np.int32), ("size", np.int32), ("twice", bool), ("at", np.uint8)]
 SHORT = (1 << 32) - 1  # a key's low bits tell it from others in its bucket, but for some that meet without harm
 
 
@@ -151,14 +153,36 @@ def _unpack(packed: bytes) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarra
     return out, np.frombuffer(raw, np.uint8, size, at), np.frombuffer(raw, np.int64, more * 4, at + size).reshape(-1, 4)
 
 
-def content_hashes(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, step: int = 20_000) -> np.ndarray:
-    """A hash of each run's bytes; runs stand one after the other."""
-    out = [np.zeros(0, np.uint64)]
+HALF = (LENGTH - K) // 2
+
+
+def content_hashes(data: np.ndarray, begin: np.ndarray, sizes: np.ndarray, at: np.ndarray, step: int = 20_000) -> tuple[np.ndarray, ...]:
+    """Hashes of each run's bytes, and of the HALF bytes before and after its key's K-gram (0: fewer are there). Runs stand
+    one after the other."""
+    out = [(np.zeros(0, np.uint64),) * 3]
     for i in range(0, len(begin), step):
         own, size = begin[i : i + step], sizes[i : i + step]
-        part = data[own[0] : own[-1] + size[-1]]
-        out.append(arrays.range_hashes(arrays.prefix_sums(part), own - own[0], own - own[0] + size))
-    return np.concatenate(out)
+        sums = arrays.prefix_sums(data[own[0] : own[-1] + size[-1]])
+        start = own - own[0]
+        gram, stop = start + at[i : i + step], start + size
+        sides = []
+        for low, high, there in ((gram - HALF, gram, gram - HALF >= start), (gram + K, gram + K + HALF, gram + K + HALF <= stop)):
+            sides.append(np.where(there, arrays.range_hashes(sums, np.where(there, low, 0), np.where(there, high, 0)), np.uint64(0)))
+        out.append((arrays.range_hashes(sums, start, stop), *sides))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def sharing(columns: dict[str, np.ndarray], own: np.ndarray) -> np.ndarray:
+    """Which of the runs may have a string in common with another of their key. A string holds the key's K-gram, so it has
+    HALF bytes at least before or after it, and two runs with a string in common agree there. Keys with a run that has
+    the K-gram twice are kept whole."""
+    key = columns["key"][own].astype(np.uint64)
+    keep = np.isin(key, key[columns["twice"][own]])
+    for side in ("before", "after"):
+        both = arrays.mix(columns[side][own] + key * np.uint64(arrays.BASE))
+        _, which, count = np.unique(both, return_inverse=True, return_counts=True)
+        keep |= (count[which] > 1) & (columns[side][own] != 0)
+    return own[keep]
 
 
 def firsts(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -224,10 +248,10 @@ def _deal(ranks, buckets: int, flush_bytes: int = 16 << 20):
             return pa.record_batch({"bucket": pa.array(found, pa.int64()), "packed": pa.array(rows, pa.binary())})
 
         for batch, data, offsets in arrays.blocks(batches, 1 << 20):
-            document, start, end, key, content, twice = runs_of(data, offsets, table)
+            document, start, end, key, content, twice, at = runs_of(data, offsets, table)
             if len(document):
                 doc, t = (np.array(batch.column(c).to_pylist(), np.int64)[document] for c in ("key", "t"))
-                columns = {"key": key, "content": content, "doc": doc, "t": t, "start": start - offsets[document], "size": end - start, "twice": twice}
+                columns = {"key": key, "content": content, "doc": doc, "t": t, "start": start - offsets[document], "size": end - start, "twice": twice, "at": at}
                 held.append((columns, gathered(data, start, end)))
                 size += len(data)
             if size >= flush_bytes:
@@ -344,15 +368,10 @@ def _dedup_shard(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     data = np.concatenate(texts)
     del texts
     begin = np.cumsum(columns["size"], dtype=np.int64) - columns["size"]
-    columns["content"] = content_hashes(data, begin, columns["size"].astype(np.int64))
+    columns |= dict(zip(("content", "before", "after"), content_hashes(data, begin, columns["size"].astype(np.int64), columns["at"].astype(np.int64)), strict=True))
     own, later = firsts(columns)  # in order of the key
     removed.append(_ranges(columns, later))
-    key = columns["key"][own]
-    change = np.ones(len(own) + 1, bool)
-    change[1:-1] = key[1:] != key[:-1]
-    first = np.flatnonzero(change)
-    members = np.repeat(np.diff(first), np.diff(first))
-    own = own[(members > 1) | columns["twice"][own]]
+    own = sharing(columns, own)
     sizes = columns["size"][own].astype(np.int64)
     # Shards of bounded size; a key that a shard ends in may go on in the next.
     shard = (np.cumsum(sizes) - sizes) // SHARD_BYTES

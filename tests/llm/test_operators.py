@@ -65,7 +65,7 @@ def test_shards_of_one_key_are_merged(spark, monkeypatch):
     n = len(rows)
     fields = {
         "key": np.full(n, 7, np.uint32), "doc": np.array(columns["doc"], np.int64), "t": np.zeros(n, np.int64), "start": np.zeros(n, np.int32),
-        "size": np.array(columns["size"], np.int32), "twice": np.ones(n, bool),
+        "size": np.array(columns["size"], np.int32), "twice": np.ones(n, bool), "at": np.zeros(n, np.uint8),
     }
     import pandas as pd
     import zstandard
