@@ -30,27 +30,41 @@ def phone_pattern(unicode: bool = True, strict: bool = False) -> str:
     return pattern(r"(?<![{d}])", unicode) + published + pattern(r"(?![{d}])", unicode)
 
 
+def python_class(template: str, unicode: bool = True) -> str:
+    """A filled pattern template in the notation of Python's re."""
+    return re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", pattern(template, unicode))
+
+
 def entity_pattern(phrases: Sequence[str], flex_space: bool = False, unicode: bool = True) -> str | None:
-    """One alternation of literal phrases that ignores case, longest first; None when empty."""
-    kept = sorted({p for p in phrases if p}, key=lambda p: (-len(p), p))
+    """One alternation of literal phrases that ignores case, longest first; None when empty. Phrases of white space
+    alone are no phrases. With ``flex_space`` any run of white space stands for another."""
+    space = re.compile(python_class("[{s}]+", unicode))
+    kept = sorted({p for p in phrases if p and space.sub("", p)}, key=lambda p: (-len(p), p))
     if not kept:
         return None
     gap = pattern("[{s}]+", unicode)
 
     def literal(phrase: str) -> str:
-        parts = phrase.split() if flex_space else [phrase]
+        parts = [x for x in space.split(phrase) if x] if flex_space else [phrase]
         return (gap if flex_space else "").join(re.escape(part) for part in parts)
 
     return "(?iu)" + "|".join(literal(p) for p in kept)
 
 
-def phrase_array_pattern(phrases: Column) -> Column:
+def phrase_array_pattern(phrases: Column, flex_space: bool = False, unicode: bool = True) -> Column:
     """The same alternation built per row from an array of phrases; NULL when it is empty."""
-    ordered = F.array_sort(
-        F.transform(phrases, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))
-    )
-    quoted = F.transform(ordered, lambda x: quote_regex(x["p"]))
-    return F.when(F.size(phrases) > 0, F.concat(F.lit("(?iu)"), F.array_join(quoted, "|")))
+    gap = pattern("[{s}]+", unicode)
+    kept = F.filter(F.array_distinct(phrases), lambda p: F.regexp_replace(p, gap, "") != "")
+    ordered = F.array_sort(F.transform(kept, lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p"))))
+
+    def literal(phrase: Column) -> Column:
+        if not flex_space:
+            return quote_regex(phrase)
+        parts = F.filter(F.split(phrase, gap), lambda x: x != "")
+        return F.array_join(F.transform(parts, quote_regex), gap)
+
+    quoted = F.transform(ordered, lambda x: literal(x["p"]))
+    return F.when(F.size(kept) > 0, F.concat(F.lit("(?iu)"), F.array_join(quoted, "|")))
 
 
 def shield_pattern(protect: Sequence[str], unicode: bool = True) -> str | None:

@@ -105,5 +105,7 @@ def words(text: Column, unicode: bool = True) -> Column:
 
 
 def fold_case(text: Column) -> Column:
-    """Case-folded form used for comparisons that ignore case."""
-    return F.lower(F.upper(text))
+    """Case-folded form used for comparisons that ignore case: equal wherever a pattern that ignores case is. Four
+    letters whose case form hangs on their place or has more than one character are set right before and after."""
+    plain = F.translate(text, "\u0130\u1e9e", "i\u00df")
+    return F.translate(F.lower(F.upper(plain)), "\u03c2", "\u03c3")

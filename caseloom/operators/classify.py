@@ -33,22 +33,21 @@ class Rule:
     weight: float = 1.0
 
 
-# Rules for the six categories. Pass your own list for another kind of case.
+# Rules for the six categories, from what the categories mean. Pass your own list for another kind of case.
 DEFAULT_RULES = [
-    Rule("Employment_Contracts", "employment agreement", r"(?iu)\bemployment (?:agreement|contract)\b", 2),
-    Rule("Employment_Contracts", "offer or position", r"(?iu)\b(?:offer letter|letter of offer|position description|commencement date)\b", 2),
-    Rule("Employment_Contracts", "parties", r"(?iu)\"the (?:employer|employee)\"|\bboth parties\b", 1),
-    Rule("Correspondence", "message headers", r"(?imu)^(?:from|to|cc|subject):", 1),
-    Rule("Correspondence", "greeting", r"(?imu)^(?:dear|hi|hello)\b", 0.5),
-    Rule("Correspondence", "reply", r"(?iu)\b(?:re|fwd?):\s", 1),
-    Rule("Performance_Reviews", "performance process", r"(?iu)\bperformance (?:appraisal|review|improvement)", 3),
-    Rule("Performance_Reviews", "warning", r"(?iu)\b(?:first|final|written|formal) warning\b|\bwarning letter\b", 3),
-    Rule("Termination_Documents", "notice of termination", r"(?iu)\bnotice of (?:termination|dismissal)\b", 3),
-    Rule("Termination_Documents", "termination", r"(?iu)\b(?:terminated|termination|dismissal|redundan\w+)\b", 1),
-    Rule("Payroll_Financial", "pay document", r"(?iu)\b(?:pay\s?slip|pay statement|payroll|pay period)\b", 2),
-    Rule("Payroll_Financial", "pay item", r"(?iu)\b(?:salary|bonus|reimbursement|annual leave|superannuation)\b", 0.5),
-    Rule("Other_Relevant_Evidence", "workplace", r"(?iu)\b(?:employer|human resources|workplace|roster)\b", 0.5),
-    Rule(None, "retail receipt", r"(?iu)\btax invoice\b|\bloyalty member\b|\bsupermarket\b", -3),
+    Rule("Employment_Contracts", "contract of work", r"(?iu)\b(?:contract of (?:employment|service)|employment (?:contract|agreement)|engagement letter)\b", 2),
+    Rule("Employment_Contracts", "terms of work", r"(?iu)\b(?:probation(?:ary)? period|notice period|non-compete|hours of work|terms and conditions)\b", 1),
+    Rule("Correspondence", "message headers", r"(?imu)^(?:from|to|cc|sent|subject):", 1),
+    Rule("Correspondence", "salutation", r"(?imu)^(?:dear|hi|hello|good (?:morning|afternoon))\b", 0.5),
+    Rule("Correspondence", "closing", r"(?imu)^(?:kind|best|warm)? ?regards\b", 0.5),
+    Rule("Performance_Reviews", "appraisal", r"(?iu)\b(?:performance|annual|mid-year) (?:appraisal|review|assessment|rating|plan)\b", 3),
+    Rule("Performance_Reviews", "warning", r"(?iu)\b(?:written|formal|verbal|final) warning\b", 3),
+    Rule("Termination_Documents", "end of work", r"(?iu)\b(?:dismiss(?:al|ed)|redundanc(?:y|ies)|severance|terminat(?:ion|ed|ing))\b", 1.5),
+    Rule("Termination_Documents", "notice", r"(?iu)\b(?:letter|notice) of (?:dismissal|redundancy|termination|resignation)\b", 3),
+    Rule("Payroll_Financial", "pay document", r"(?iu)\b(?:pay ?slips?|payroll|wage (?:slip|statement)|remittance)\b", 2),
+    Rule("Payroll_Financial", "pay item", r"(?iu)\b(?:salary|wages?|overtime|bonus|allowance|gross pay|net pay|leave balance)\b", 0.5),
+    Rule("Other_Relevant_Evidence", "workplace", r"(?iu)\b(?:employer|employee|workplace|supervisor|roster|shift|grievance)\b", 0.5),
+    Rule(None, "private purchase", r"(?iu)\b(?:receipt|order number|delivery address|your purchase)\b", -2),
 ]
 
 
@@ -76,7 +75,8 @@ def with_defaults(df: DataFrame, prefix: str = "") -> DataFrame:
 
 
 def score_rules(df: DataFrame, text: Column, rules: Sequence[Rule], categories: Sequence[str]) -> DataFrame:
-    """Add ``_net``, the score after counter-evidence, ``_best``, the category, and ``_labels``.
+    """Add ``_top``, the best score of a category, ``_net``, that after counter-evidence, ``_best``, the category, and
+    ``_labels``.
 
     Hit counts come first, as columns of their own, so that each pattern runs once per text.
     """
@@ -95,9 +95,9 @@ def score_rules(df: DataFrame, text: Column, rules: Sequence[Rule], categories:
     scored = counted.withColumns(
         {"_top": F.greatest(*ranked) if len(ranked) > 1 else ranked[0], "_against": total(None), "_labels": labels}
     )
-    return scored.withColumns({"_net": F.col("_top.score") + F.col("_against"), "_best": F.col("_top.category")}).drop(
-        *hits, "_top", "_against"
-    )
+    return scored.withColumns(
+        {"_net": F.col("_top.score") + F.col("_against"), "_best": F.col("_top.category"), "_top": F.col("_top.score")}
+    ).drop(*hits, "_against")
 
 
 def classify(
@@ -112,8 +112,8 @@ def classify(
     """Add the decision columns, token counts and ``model_error`` to rows with ``kind`` and ``text``.
 
     Rows without content get the fixed decision and never reach the classifier. The default reads
-    texts with the rules: a positive score makes a document relevant, a low one says so in the
-    reason, because a wrong exclusion is worse than a wrong inclusion. Images need a ``model``;
+    texts with the rules: any hit of a category makes a document relevant, a low score or counter-evidence
+    says so in the reason, because a wrong exclusion is worse than a wrong inclusion. Images need a ``model``;
     without one they take the same decision as a failed call, which asks for a manual review.
     """
     no_call = [F.lit(None).cast(f.dataType).alias(f.name) for f in USAGE] + [F.lit(None).cast("string").alias("model_error")]
@@ -132,12 +132,13 @@ def classify(
 
     scored = score_rules(df, F.when(F.col("kind") == "text", F.col("text")), rules, categories)
     content, image = F.coalesce(has_content(), F.lit(False)), F.col("kind") == "image"
-    net, matched = F.coalesce("_net", F.lit(0.0)), F.concat(F.lit("matched: "), F.col("_labels"))
+    net, top = F.coalesce("_net", F.lit(0.0)), F.coalesce("_top", F.lit(0.0))
+    matched = F.concat(F.lit("matched: "), F.col("_labels"))
     reason = (
         F.when(~content, NO_CONTENT_REASON)
         .when(image, FAILED_REASON)
         .when(net >= threshold, matched)
-        .when(net > 0, F.concat(F.lit("uncertain: "), matched))
+        .when(top > 0, F.concat(F.lit("uncertain: "), matched))
         .when(F.col("_labels") != "", F.concat(F.lit("not evidence, "), matched))
         .otherwise("no rule matched")
     )
@@ -146,8 +147,8 @@ def classify(
     computed_once = F.spark_partition_id() >= 0
     return scored.select(
         *columns,
-        ((net > 0) & computed_once).alias("is_relevant"),
-        F.when(content, F.when(net > 0, F.col("_best")).otherwise(DEFAULT_CATEGORY)).alias("category"),
+        ((top > 0) & computed_once).alias("is_relevant"),
+        F.when(content, F.when(top > 0, F.col("_best")).otherwise(DEFAULT_CATEGORY)).alias("category"),
         reason.alias("reason"),
         F.lit("").alias("description"),
         *no_call,

@@ -57,9 +57,8 @@ def eval_report(cases: DataFrame) -> DataFrame:
         F.count_if(~F.col("pii_leakage_pass")).alias("leaked"),
         share(F.col("classification_pass")).alias("accuracy_score"),
         share(~F.col("pii_leakage_pass")).alias("pii_leakage_rate"),
-        F.coalesce(
-            F.bool_and(F.col("classification_pass") & F.col("pii_leakage_pass") & F.col("preserved_entities_pass")),
-            F.lit(True),
+        F.bool_and(
+            F.col("classification_pass") & F.col("pii_leakage_pass") & F.col("preserved_entities_pass")
         ).alias("all_pass"),
     )
 

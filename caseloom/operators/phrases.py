@@ -189,23 +189,24 @@ def redact_phrases(
 ) -> DataFrame:
     """`redact` with the known phrases taken from a table, for instance one list per package.
 
-    The longest list decides how. Up to ``short_list`` phrases, every text takes the whole
+    The longest list decides how, and never what: all ways give the same text. Up to ``short_list`` phrases, every text takes the whole
     alternation of its list: the texts are not cut into words, and they are shuffled only if the
     lists together are too large for Spark to broadcast. Beyond that, only the phrases that may
     occur in a text enter its alternation, so the cost per text does not grow with the table.
     """
     by = list(by)
+    flex, unicode = rules.get("flex_space", False), rules.get("unicode", True)
     listed = phrases.select(*by, F.col(phrase)).filter(F.col(phrase) != "").distinct().withColumn("_id", F.col(phrase))
     longest = listed.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     if longest <= short_list and not by:
         return texts.withColumn(out, redact(F.col(text), [r["_id"] for r in listed.collect()], token=token, **rules))
     if longest <= short_list:
-        lists = listed.groupBy(*by).agg(phrase_array_pattern(F.collect_list("_id")).alias("_pattern"))
+        lists = listed.groupBy(*by).agg(phrase_array_pattern(F.collect_list("_id"), flex, unicode).alias("_pattern"))
         joined = texts.join(lists, by, "left")
         return joined.withColumn(out, redact(F.col(text), F.col("_pattern"), token=token, **rules)).drop("_pattern")
     pairs = candidates(
         texts, listed, text_id=text_id, text=text, phrase_id="_id", phrase=phrase, by=by, ignore_case=True
     )
-    per_text = pairs.groupBy(*by, text_id).agg(phrase_array_pattern(F.collect_set("_id")).alias("_pattern"))
+    per_text = pairs.groupBy(*by, text_id).agg(phrase_array_pattern(F.collect_set("_id"), flex, unicode).alias("_pattern"))
     joined = texts.join(per_text, [*by, text_id], "left")
     return joined.withColumn(out, redact(F.col(text), F.col("_pattern"), token=token, **rules)).drop("_pattern")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from caseloom.constants import CATEGORIES, SUMMARY_HEADINGS, pattern
 from caseloom.functions.text import reply_text, strip_fence, strip_text
 from caseloom.operators.classify import DEFAULT_RULES, Rule
-from caseloom.operators.combine import combine_texts
+from caseloom.operators.combine import combine_texts, ordered_join
 from caseloom.operators.seam import USAGE, Model, apply_model
 
 # What counts as a fact, by kind.
@@ -95,20 +95,39 @@ def case_summary(
     rules: Sequence[Rule] = DEFAULT_RULES,
     categories: Sequence[str] = CATEGORIES,
     model: Model | None = None,
+    parts_stored: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One Markdown summary per package from redacted texts (``package_id, category, ord, text``).
 
     The default is extractive: counts, the most frequent figures and dates, the labels of the
     matched rules, and the best sentences. It copies figures as they stand and gives no opinion.
     A ``model`` reads the combined text and returns a column ``text``; a failed or empty reply
-    gives ''. The sections hold a fixed number of lines, so every group is small.
+    gives ''. ``parts_stored`` may keep the replies on parts in a table, so that no call is made twice.
+    The sections hold a fixed number of lines, so every group is small.
     """
     if model is not None:
-        whole = combine_texts(df)
         reply = T.StructType([T.StructField("_reply", T.StringType())])
-        asked = apply_model(whole, lambda b: model(b).rename(columns={"text": "_reply"}), ["text"], reply)
-        text = strip_fence(F.when(F.col("model_error").isNull(), F.coalesce("_reply", F.lit(""))).otherwise(""))
-        return asked.select("package_id", "part", text.alias("summary_md"), *USAGE.fieldNames(), "model_error")
+
+        def ask(texts: DataFrame) -> DataFrame:
+            asked = apply_model(texts, lambda b: model(b).rename(columns={"text": "_reply"}), ["text"], reply)
+            text = strip_fence(F.when(F.col("model_error").isNull(), F.coalesce("_reply", F.lit(""))).otherwise(""))
+            return asked.select("package_id", "part", text.alias("text"), *USAGE.fieldNames(), "model_error")
+
+        # A package in several parts: the model reads its summaries of the parts, in order, and makes one of them.
+        parts = ask(combine_texts(df))
+        if parts_stored is not None:
+            parts = parts_stored(parts)
+        per_package = parts.groupBy("package_id").agg(
+            F.count(F.lit(1)).alias("_parts"), ordered_join(F.col("part"), F.col("text"), "\n\n").alias("text"),
+            *(F.sum(c).alias(c) for c in USAGE.fieldNames()), F.max("model_error").alias("model_error"),
+        )
+        single = per_package.where("_parts = 1").select("package_id", F.col("text").alias("summary_md"), *USAGE.fieldNames(), "model_error")
+        many = per_package.where("_parts > 1")
+        again = ask(many.select("package_id", F.lit(0).cast("long").alias("part"), "text"))
+        before = many.select("package_id", *(F.col(c).alias(f"_{c}") for c in USAGE.fieldNames()), F.col("model_error").alias("_error"))
+        tokens = [(F.coalesce(c, F.lit(0)) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in USAGE.fieldNames()]
+        joined = again.join(before, "package_id").select("package_id", F.col("text").alias("summary_md"), *tokens, F.coalesce("model_error", "_error").alias("model_error"))
+        return single.unionByName(joined)
 
     speaking = [r for r in rules if r.category is not None]
     per_category = df.groupBy("package_id", "category").agg(

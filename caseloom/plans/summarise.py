@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -13,7 +14,7 @@ from caseloom.operators.phrases import redact_phrases
 from caseloom.operators.route import approved
 from caseloom.operators.seam import Model
 from caseloom.operators.summary import case_summary
-from caseloom.sinks.outputs import store, write_summaries
+from caseloom.sinks.outputs import replace, write_summaries
 
 
 def scrub(
@@ -22,18 +23,23 @@ def scrub(
     *,
     protect: Sequence[str] = (PROTECTED_FIGURE,),
     model: Model | None = None,
+    fail_closed: bool = False,
+    flex_space: bool = False,
 ) -> DataFrame:
     """Both redaction passes: rules first, names in context after. ``entities`` is a table of
-    ``package_id, phrase``."""
+    ``package_id, phrase``. A failed model call leaves a ``model_error``; with ``fail_closed`` its text is empty."""
     if entities is None:
         clean = relevant.withColumn("redacted", redact(F.col("text"), None, protect))
     else:
-        clean = redact_phrases(relevant, entities, text_id="file_id", by=["package_id"], protect=protect)
+        clean = redact_phrases(relevant, entities, text_id="file_id", by=["package_id"], protect=protect, flex_space=flex_space)
     if model is not None:
-        return redact_contextual(clean, model=model, text="redacted")
+        return redact_contextual(clean, model=model, text="redacted", fail_closed=fail_closed)
     return redact_contextual(clean, name_lexicon(relevant, entities), text="redacted")
 
 
+SAFE = ["package_id", "ord", "file_id", "category", "safe_text", "model_error", "input_tokens", "output_tokens"]
+
+
 def summarise(
     spark: SparkSession,
     relevant: DataFrame,
@@ -44,12 +50,33 @@ def summarise(
     scrub_model: Model | None = None,
     summary_model: Model | None = None,
     protect: Sequence[str] = (PROTECTED_FIGURE,),
+    fail_closed: bool = False,
+    flex_space: bool = False,
 ) -> DataFrame:
     """Stage 2. Only redacted texts, stored once, reach the summary; a package without approval
-    or without texts gets none."""
-    safe = scrub(approved(relevant, approvals), entities, protect=protect, model=scrub_model)
-    kept = safe.select("package_id", "ord", "file_id", "category", "safe_text")
-    texts = store(kept, f"{out}/safe_texts").withColumnRenamed("safe_text", "text")
-    summaries = store(case_summary(texts, model=summary_model), f"{out}/summaries")
-    write_summaries(summaries, f"{out}/anonymous_summary")
+    or without texts gets none.
+
+    The tables below ``out`` hold the packages that are approved now and no others: one whose approval was withdrawn
+    is gone from the texts, the summaries and the files. ``safe_texts`` keeps the ``model_error`` of every failed
+    redaction and its tokens; with ``fail_closed`` such a text is empty instead of redacted by rules alone.
+    ``usage`` has the tokens of each package by step and model.
+    """
+    safe = scrub(approved(relevant, approvals), entities, protect=protect, model=scrub_model, fail_closed=fail_closed, flex_space=flex_space)
+    for name, kind in (("model_error", "string"), ("input_tokens", "long"), ("output_tokens", "long")):
+        if scrub_model is None or name not in safe.columns:
+            safe = safe.withColumn(name, F.lit(None).cast(kind))
+    texts = replace(safe.select(*SAFE), f"{out}/safe_texts").withColumnRenamed("safe_text", "text")
+    readable = texts.drop("model_error", "input_tokens", "output_tokens")
+    whole = case_summary(readable, model=summary_model, parts_stored=lambda parts: replace(parts, f"{out}/summary_parts"))
+    summaries = replace(whole, f"{out}/summaries")
+    write_summaries(summaries, f"{out}/anonymous_summary", whole=True)
+    calls = [(texts, "redact", scrub_model)] + ([(summaries, "summarise", summary_model)] if summary_model is not None else [])
+    used = [
+        frame.select("package_id", F.lit(step).alias("step"), F.lit(getattr(model, "__name__", "model") if model else "rules").alias("model"), "input_tokens", "output_tokens")
+        for frame, step, model in calls
+    ]
+    totals = reduce(DataFrame.unionByName, used).groupBy("package_id", "step", "model").agg(
+        F.count(F.lit(1)).alias("calls"), *(F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in ("input_tokens", "output_tokens"))
+    )
+    replace(totals, f"{out}/usage")
     return summaries

@@ -16,7 +16,7 @@ from caseloom.operators.route import (
     summary_text,
 )
 from caseloom.operators.seam import Model
-from caseloom.sinks.outputs import read_table, store, write_audit_csv, write_exclusion_log, write_package
+from caseloom.sinks.outputs import drop_packages, read_table, replace, store, write_audit_csv, write_exclusion_log, write_package
 from caseloom.sources.archives import good_files, ingest_errors, read_packages
 from caseloom.sources.documents import extract_contents
 
@@ -29,6 +29,8 @@ DECISIONS = (
 )
 MANIFEST = "package_id string, ord long, destination string, file_name string, dest_name string"
 ERRORS = "package_id string, error string"
+# Tables and files that hold one folder per package.
+TABLES = ["files", "decisions", "ingest_errors", "manifest", "package", "audit_report", "exclusion_log"]
 
 
 def decide(
@@ -56,10 +58,13 @@ def triage_files(
     """Stage 1 over expanded files. Every step that must happen once is a stored table: the
     opened archives and the decisions (a model is asked once per file). A lost executor then
     costs the tasks it ran, not a second round of calls. ``copy=False`` stops at the manifest: the
-    bytes stay in the files table, and the shuffle that brings them to their names is saved.
+    bytes stay in the files table, which keeps those of every package, and the shuffle that brings them to their names
+    is saved. What an earlier run left of these packages is removed first.
     """
-    files.write.mode("overwrite").parquet(f"{out}/files")
-    stored = read_table(spark, f"{out}/files", files.schema)
+    run = replace(files, f"{out}/incoming")
+    packages = run.select("package_id").distinct()
+    drop_packages(packages, *(f"{out}/{name}" for name in TABLES))
+    stored = store(run, f"{out}/files", gathered=True).join(packages, "package_id", "left_semi")
     opened = good_files(stored)
     decisions = store(decide(opened, rules, model, pages), f"{out}/decisions", gathered=pages is None)
     store(ingest_errors(stored), f"{out}/ingest_errors", gathered=True)

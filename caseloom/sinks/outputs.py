@@ -31,6 +31,29 @@ def store(df: DataFrame, path: str, gathered: bool = False) -> DataFrame:
     return read_table(df.sparkSession, path, df.schema)
 
 
+def drop_packages(packages: DataFrame, *paths: str) -> None:
+    """Remove what the folders ``paths`` hold of these packages, so that a package without rows in a later run leaves
+    none of an earlier one. The folders are removed by the tasks' driver one by one; a run has as many as archives."""
+    spark = packages.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    roots = [hadoop(p) for p in paths]
+    roots = [(r, r.getFileSystem(conf)) for r in roots]
+    roots = [(r, fs) for r, fs in roots if fs.exists(r)]
+    if not roots:
+        return
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for row in packages.select("package_id").distinct().toLocalIterator():
+        for root, fs in roots:
+            fs.delete(hadoop(root, f"package={escape(row['package_id'])}"), True)
+
+
+def replace(df: DataFrame, path: str) -> DataFrame:
+    """Write a result that is to hold nothing but these packages, and return it as read from storage."""
+    df.write.mode("overwrite").parquet(path)
+    return read_table(df.sparkSession, path, df.schema)
+
+
 def write_package(files: DataFrame, path: str) -> None:
     """Bytes of each copied file with its destination and name."""
     store(files.select("package_id", "destination", "file_id", "file_name", "dest_name", "content"), path)
@@ -52,6 +75,8 @@ def write_exclusion_log(log: DataFrame, path: str) -> None:
     _per_package_file(log, "line", gathered=True).text(path)
 
 
-def write_summaries(summaries: DataFrame, path: str) -> None:
-    """Markdown per package; nothing is written for an empty summary."""
-    _per_package_file(summaries.filter(F.col("summary_md") != ""), "summary_md").text(path)
+def write_summaries(summaries: DataFrame, path: str, whole: bool = False) -> None:
+    """Markdown per package; nothing is written for an empty summary. With ``whole``, the packages that the folder holds
+    already and ``summaries`` lacks are removed."""
+    writer = _per_package_file(summaries.filter(F.col("summary_md") != ""), "summary_md")
+    (writer.option("partitionOverwriteMode", "static") if whole else writer).text(path)

@@ -77,7 +77,7 @@ def _is_email(name: str) -> bool:
     return name.lower().endswith(".eml") and name.lower().strip(".") != "eml"
 
 
-def _members(package: str, content: bytes, max_depth: int) -> Iterator[tuple]:
+def _members(package: str, content: bytes) -> Iterator[tuple]:
     """Rows of one package in queue order: archive members first, then attachments level by level.
 
     A level keeps the way to its emails and, up to a budget, their bytes; beyond it an email is read
@@ -100,7 +100,9 @@ def _members(package: str, content: bytes, max_depth: int) -> Iterator[tuple]:
             kept += len(data) if level[-1][3] is not None else 0
         number += 1
 
-    for depth in range(1, max_depth + 1):
+    depth = 0
+    while level:
+        depth += 1
         deeper, kept = [], 0
         for parent_id, info, way, data in level:
             if data is None:
@@ -116,12 +118,10 @@ def _members(package: str, content: bytes, max_depth: int) -> Iterator[tuple]:
                     kept += len(item.content) if fits else 0
                     deeper.append((file_id, info, (*way, item.ordinal), item.content if fits else None))
                 number += 1
-        if not deeper:
-            return
         level = deeper
 
 
-def expand_packages(packages: DataFrame, max_depth: int = 16) -> DataFrame:
+def expand_packages(packages: DataFrame) -> DataFrame:
     """Files of all packages from rows of ``package_id, content``.
 
     A bad archive gives one row with ``error`` and no ``file_id`` and none of its members.
@@ -134,7 +134,7 @@ def expand_packages(packages: DataFrame, max_depth: int = 16) -> DataFrame:
         for batch in batches:
             for package, content in zip(batch["package_id"], batch["content"]):
                 try:
-                    for row in _members(package, bytes(content), max_depth):
+                    for row in _members(package, bytes(content)):
                         if out.add(*row):
                             yield out.frame()
                 except Exception as error:
@@ -152,16 +152,16 @@ def expand_packages(packages: DataFrame, max_depth: int = 16) -> DataFrame:
 
 
 def package_id(path: Column, root: str) -> Column:
-    """Path of an archive below the folder that was read, without its extension, so that archives
-    of the same name in different folders stay apart."""
+    """Path of an archive below the folder that was read, without ``.zip``, so that archives of the same name in
+    different folders stay apart. An extension in other letters stays: ``a.ZIP`` and ``a.zip`` are two packages."""
     folder = root.rstrip("/") + "/"
     start = F.instr(path, F.lit(folder))
     below = F.when(start > 0, F.substring(path, start + len(folder), F.length(path))).otherwise(path)
-    return F.regexp_replace(below, r"(?i)\.zip$", "")
+    return F.regexp_replace(below, r"\.zip$", "")
 
 
 def read_packages(
-    spark: SparkSession, path: str, max_depth: int = 16, glob: str = "*.zip", done: DataFrame | None = None
+    spark: SparkSession, path: str, glob: str = "*.[zZ][iI][pP]", done: DataFrame | None = None
 ) -> DataFrame:
     """All archives below ``path``; the package id is the path below it.
 
@@ -178,7 +178,7 @@ def read_packages(
     )
     if done is not None:
         found = pending(found, done)
-    files = expand_packages(found.filter(F.col("length") <= MAX_CELL), max_depth)
+    files = expand_packages(found.filter(F.col("length") <= MAX_CELL))
     skipped = found.filter(F.col("length") > MAX_CELL).select(
         "package_id", F.lit("archive too large for one row").alias("error")
     )

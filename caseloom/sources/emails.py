@@ -66,26 +66,30 @@ def decode_email(content: bytes) -> tuple[str, str]:
         return "none", ""
 
 
-def explode_attachments(df: DataFrame, keys: list[str], content: str = "content", max_depth: int = 16) -> DataFrame:
-    """One row per attachment of each email, attached emails opened in turn.
+def explode_attachments(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
+    """One row per attachment of each email, attached emails opened in turn, however deep.
 
     ``trail`` is the way through nested emails (positions joined by dots) and ``depth`` its length.
     """
 
-    def below(data: bytes, trail: str, depth: int) -> Iterator[tuple]:
-        for item in attachments(data):
+    def below(data: bytes) -> Iterator[tuple]:
+        waiting = [iter([(item, "", 1) for item in attachments(data)])]
+        while waiting:
+            item, trail, depth = next(waiting[-1], (None, "", 0))
+            if item is None:
+                waiting.pop()
+                continue
             way = f"{trail}.{item.ordinal}" if trail else str(item.ordinal)
             yield (way, depth, item.ordinal, item.via, item.name, len(item.content), item.content)
-            nested = item.via == "rfc822" or item.name.lower().endswith(".eml")
-            if nested and depth < max_depth:
-                yield from below(item.content, way, depth + 1)
+            if item.via == "rfc822" or item.name.lower().endswith(".eml"):
+                waiting.append(iter([(inner, way, depth + 1) for inner in attachments(item.content)]))
 
     added = ["trail", "depth", "ordinal", "via", "file_name", "length", "content"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                rows = [(*row[:-1], *found) for found in below(bytes(row[-1]), "", 1)]
+                rows = [(*row[:-1], *found) for found in below(bytes(row[-1]))]
                 if rows:
                     yield pd.DataFrame(rows, columns=[*keys, *added])
 

@@ -29,7 +29,7 @@ def start_intake(
     found = (
         spark.readStream.format("binaryFile")
         .schema(schema)
-        .option("pathGlobFilter", "*.zip")
+        .option("pathGlobFilter", "*.[zZ][iI][pP]")
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", max_files_per_trigger)
         .load(packages)

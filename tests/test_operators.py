@@ -34,7 +34,7 @@ def test_classify_rules_and_bias(spark):
     assert (got[1].category, got[1].reason) == ("Correspondence", "matched: mail, pay")
     assert got[2].category == "Payroll_Financial" and got[2].is_relevant
     assert got[3].is_relevant and got[3].reason.startswith("uncertain:")
-    assert (got[4].is_relevant, got[4].category, got[4].reason) == (False, "Other_Relevant_Evidence", "not evidence, matched: mail, shop")
+    assert (got[4].is_relevant, got[4].category, got[4].reason) == (True, "Correspondence", "uncertain: matched: mail, shop")
     assert got[5].reason == "no rule matched"
     for i in (6, 7, 9):
         assert (got[i].is_relevant, got[i].category, got[i].reason) == (False, None, "Unsupported file type or no extractable text.")

@@ -45,3 +45,21 @@ def test_one_phrase_in_a_third_of_all_texts(spark):
     row = leak_rate(docs, known).first()
     assert (row.total, row.leaked) == (3000, 1000) and abs(row.leak_rate - 100 / 3) < 1e-9
     assert leak_rate(docs.limit(0), known).first().leak_rate is None
+
+
+def test_every_way_gives_the_same_text(spark):
+    """The length of the list and the place of the phrases decide the plan and nothing else."""
+    texts = ["Ada\n Example was here", "\u039f\u0394\u039f\u03a3\u0391\u03a3", "\u0130stanbul and istanbul", "STRASSE stra\u00dfe STRA\u1e9eE", "a  b", "Ada Example", "x Ada\u00a0\tExample y"]
+    known = ["ada example", "\u039f\u0394\u039f\u03a3", "\u0130stanbul", "stra\u00dfe", " ", "\t\n", "Ada"]
+    docs = spark.createDataFrame([(i, "p", t) for i, t in enumerate(texts)], "doc_id long, package_id string, text string")
+    for flex in (False, True):
+        for filler in ([], [f"filler{i}" for i in range(150)]):
+            phrases = spark.createDataFrame([("p", p) for p in known + filler], "package_id string, phrase string")
+            seen = set()
+            for by in ([], ["package_id"]):
+                for short_list in (0, 1, 100, 1000):
+                    rows = redact_phrases(docs, phrases, by=by, short_list=short_list, flex_space=flex, protect=()).select("doc_id", "redacted").collect()
+                    seen.add(tuple(r.redacted for r in sorted(rows)))
+            assert len(seen) == 1, (flex, seen)
+            (got,) = seen
+            assert ("Example" in got[0]) != flex and got[1].startswith("[REDACTED]") and got[4] == "a  b"

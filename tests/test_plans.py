@@ -9,33 +9,32 @@ from caseloom.plans.summarise import summarise
 from caseloom.plans.triage import stage1_tables, triage
 from caseloom.streaming.intake import start_intake
 
-LETTER = """Subject: Notice of Termination of Employment
+LETTER = """To: Imre Kovel
+Subject: End of your assignment
 
-Dear Ada Example,
+The board of Tarnbrook Ferries has decided on the redundancy of all deck officers at the north pier.
+Your severance comes to $190,100 and is due with the last roster. Questions go to 0412 345 678.
 
-This letter confirms that your employment with Example
-Clinic will be terminated. Your pay of $190,100 is noted. Call 0412 345 678.
-
-Regards,
-Noor Vale"""
+Kind regards
+Sunniva Hale"""
 LETTER_FILE = docx(*LETTER.split("\n"))
 
 
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     root = tmp_path_factory.mktemp("packages")
-    inner = eml("Nested: the salary and the bonus were cut.", attachments=[("pic.PNG", PNG)])
+    inner = eml("Second thoughts: overtime of the spring season was never paid out.", attachments=[("pic.PNG", PNG)])
     outer = eml(
-        "Dear Ada,\nNoor told me about the performance review.\nTake care,\nBo",
-        attachments=[("pay slip (1).docx", docx("Pay slip for June", "Salary $ 190,100")),
-                     ("pay slip (1).docx", docx("Payroll period", "bonus")), ("old.eml", inner.as_bytes())],
+        "Hello Imre,\nSunniva put the mid-year assessment on my desk, with a formal warning in it.\nRegards,\nOddny",
+        attachments=[("wage slip (1).docx", docx("Wage slip, week 31", "Gross pay $ 190,100")),
+                     ("wage slip (1).docx", docx("Payroll, week 32", "overtime")), ("old.eml", inner.as_bytes())],
     )
     (root / "sub").mkdir()
     (root / "0042.zip").write_bytes(package_of({
         "b/letter.docx": LETTER_FILE, "a/letter.docx": LETTER_FILE, "mail.eml": outer.as_bytes(),
         "notes.txt": "plain", "empty.png": b"", "scan.jpg": PNG, "broken.docx": b"no zip", "x.pdf": b"%PDF",
     }))
-    (root / "sub" / "0043.zip").write_bytes(package_of({"mail.eml": eml("Lunch on Friday?", sender="x@example.com").as_bytes()}))
+    (root / "sub" / "0043.zip").write_bytes(package_of({"mail.eml": eml("Shall we sail on Sunday?", sender="x@example.com").as_bytes()}))
     (root / "bad.zip").write_bytes(b"this is no archive")
     return root
 
@@ -51,11 +50,11 @@ def test_triage(spark, stage1):
     decisions = {(r.package_id, r.ord): r for r in tables["decisions"].collect()}
     names = [decisions[("0042", i)].file_name for i in range(12)]
     assert names == ["letter.docx", "letter.docx", "broken.docx", "empty.png", "mail.eml", "notes.txt", "scan.jpg", "x.pdf",
-                     "pay_slip__1_.docx", "pay_slip__1__1.docx", "old.eml", "pic.PNG"]
+                     "wage_slip__1_.docx", "wage_slip__1__1.docx", "old.eml", "pic.PNG"]
     by_name = {r.file_name: r for r in decisions.values() if r.package_id == "0042"}
     assert by_name["letter.docx"].category == "Termination_Documents" and by_name["letter.docx"].is_relevant
     assert by_name["mail.eml"].category == "Performance_Reviews"
-    assert by_name["pay_slip__1_.docx"].category == "Payroll_Financial"
+    assert by_name["wage_slip__1_.docx"].category == "Payroll_Financial"
     assert by_name["empty.png"].reason == "Unsupported file type or no extractable text."
     assert by_name["scan.jpg"].reason == "Automatic categorization failed; flagged for manual review."
     assert by_name["broken.docx"].category is None and by_name["x.pdf"].category is None
@@ -89,7 +88,7 @@ def test_rerun_replaces_and_skips(spark, folder, stage1):
 
 def test_summary_only_for_approved(spark, stage1, tmp_path):
     tables = stage1_tables(spark, stage1[0])
-    entities = spark.createDataFrame([("0042", "Ada Example"), ("0042", "Example Clinic")], "package_id string, phrase string")
+    entities = spark.createDataFrame([("0042", "Imre Kovel"), ("0042", "Tarnbrook Ferries")], "package_id string, phrase string")
     none = spark.createDataFrame([("0042", False)], "package_id string, accepted boolean")
     yes = spark.createDataFrame([("0042", True), ("sub/0043", True)], "package_id string, accepted boolean")
     assert summarise(spark, tables["relevant"], none, str(tmp_path / "no"), entities=entities).count() == 0
@@ -99,10 +98,10 @@ def test_summary_only_for_approved(spark, stage1, tmp_path):
     places = [text.index(h) for h in ("# Anonymous", "## Background", "## Key Facts", "## Potential Claims", "## Notable Evidence")]
     assert places == sorted(places)
     assert "$190,100" in text and "$ 190,100" in text
-    for leaked in ("Ada", "Noor", "0412"):
+    for leaked in ("Imre", "Sunniva", "0412"):
         assert leaked not in text
     safe = spark.read.parquet(f"{tmp_path}/yes/safe_texts").collect()
-    assert all("Noor" not in r.safe_text and "Vale" not in r.safe_text for r in safe)
+    assert all("Sunniva" not in r.safe_text and "Hale" not in r.safe_text for r in safe)
     assert [r.value for r in spark.read.text(f"{tmp_path}/yes/anonymous_summary").select("value").limit(1).collect()] == ["# Anonymous case summary"]
 
 
@@ -110,7 +109,7 @@ def test_models_plug_in(spark, folder, tmp_path):
     calls = str(tmp_path / "calls")
 
     def judge(batch):
-        if (batch["text"].fillna("").str.contains("Lunch")).any():
+        if (batch["text"].fillna("").str.contains("sail")).any():
             raise RuntimeError("refused")
         return pd.DataFrame({"is_relevant": [True] * len(batch), "category": ["Nonsense"] * len(batch), "reason": ["r"] * len(batch),
                              "description": ["a photo" if b else "" for b in batch["image_base64"]]})
@@ -141,22 +140,83 @@ def test_streaming_intake(spark, folder, tmp_path):
     assert [r.package_id for r in tables["errors"].collect()] == ["bad"]
 
 
+CASES = [
+    ("redundancy", LETTER, True, "Termination_Documents"),
+    ("terms", "Contract of employment for a harbour pilot. The probationary period is ninety days; the notice period after it is "
+     "six weeks. Tarnbrook Ferries may move Imre Kovel to another pier. Yearly sum: $190,100.", True, "Employment_Contracts"),
+    ("chat", "Sent: Monday\nSubject: tide tables\n\nGood morning Imre Kovel, the sum of $190,100 came up at lunch.\n\nWarm regards\nOddny", True, "Correspondence"),
+    ("wages", "Wage slip for Imre Kovel, Tarnbrook Ferries\nNet pay: $190,100\nLeave balance: 11 days", True, "Payroll_Financial"),
+    ("rating", "Annual review of Imre Kovel: the performance rating stays at two. A sum of $190,100 depends on it.", True, "Performance_Reviews"),
+    # Held out: other words of the same kinds of document.
+    ("minutes", "Minutes of the pier committee. A grievance of the night shift was read; $190,100 is asked for.", True, "Other_Relevant_Evidence"),
+    ("mixed", "Mid-year appraisal of Imre Kovel. The receipt for $190,100 is attached.", True, "Performance_Reviews"),
+    ("boat", "Order number 7781: one used dinghy, delivery address Kelpwater Lane. Thank you for $190,100.", False, "Other_Relevant_Evidence"),
+]
+
+
 def test_evaluation(spark):
-    truth = spark.createDataFrame(
-        [
-            ("notice", LETTER, True, "Termination_Documents"),
-            ("contract", 'EMPLOYMENT AGREEMENT between Example Clinic ("the Employer") and Ada Example ("the Employee").\n'
-             "Commencement Date: 3 March 2022. Salary: $190,100", True, "Employment_Contracts"),
-            ("thread", "From: noor.vale@example.com\nTo: ada.example@example.com\nSubject: RE: yesterday\n\nHi Ada,\n"
-             "your salary of $190,100 was flagged.\n\nTake care,\nNoor", True, "Correspondence"),
-            ("statement", "FINAL PAY STATEMENT\nEmployee: Ada Example\nPay Period Ending: 30 June 2024\nSalary: $190,100", True, "Payroll_Financial"),
-            ("receipt", "Corner Supermarket - Tax Invoice\nLoyalty Member: Ada Example\nmy salary is $190,100", False, "Other_Relevant_Evidence"),
-        ],
-        "name string, raw_text string, expected_is_relevant boolean, expected_category string",
-    )
-    entities = spark.createDataFrame([(n, p) for n in ("notice", "contract", "thread", "statement", "receipt")
-                                      for p in ("Ada Example", "Example Clinic")], "package_id string, phrase string")
-    rows = evaluate(truth, ["Ada"], entities).collect()
-    assert len(rows) == 5
+    truth = spark.createDataFrame(CASES, "name string, raw_text string, expected_is_relevant boolean, expected_category string")
+    entities = spark.createDataFrame([(c[0], p) for c in CASES for p in ("Imre Kovel", "Tarnbrook Ferries")], "package_id string, phrase string")
+    rows = evaluate(truth, ["Imre"], entities).collect()
+    assert len(rows) == len(CASES)
     for r in rows:
         assert r.classification_pass and r.pii_leakage_pass and r.preserved_entities_pass, r
+
+
+def relevant_rows(spark):
+    rows = [("a", 0, "a#0", "Correspondence", "Secret Person said so"), ("b", 0, "b#0", "Correspondence", "Other Person too"), ("b", 5000, "b#1", "Correspondence", "and more")]
+    return spark.createDataFrame(rows, "package_id string, ord long, file_id string, category string, text string")
+
+
+def accept(spark, *packages):
+    return spark.createDataFrame([(p, True) for p in packages], "package_id string, accepted boolean")
+
+
+def test_withdrawn_approval(spark, tmp_path):
+    out, rows = str(tmp_path / "out"), relevant_rows(spark)
+    assert {r.package_id for r in summarise(spark, rows, accept(spark, "a", "b"), out).collect()} == {"a", "b"}
+    assert {r.package_id for r in summarise(spark, rows, accept(spark, "b"), out).collect()} == {"b"}
+    for name in ("safe_texts", "summaries", "usage"):
+        assert {r.package_id for r in spark.read.parquet(f"{out}/{name}").select("package_id").collect()} == {"b"}
+    assert {r.package for r in spark.read.text(f"{out}/anonymous_summary").select("package").collect()} == {"b"}
+
+
+@pytest.mark.parametrize("fail_closed", [False, True])
+def test_failed_redaction_is_marked(spark, tmp_path, fail_closed):
+    def down(batch):
+        raise RuntimeError("no model")
+
+    out = str(tmp_path / "out")
+    summarise(spark, relevant_rows(spark), accept(spark, "a"), out, scrub_model=down, fail_closed=fail_closed)
+    row = spark.read.parquet(f"{out}/safe_texts").first()
+    assert row.model_error.endswith("no model") and row.safe_text == ("" if fail_closed else "Secret Person said so")
+
+
+def test_one_summary_per_package_and_usage(spark, tmp_path):
+    def reply(batch):
+        return pd.DataFrame({"text": ["[" + t + "]" for t in batch["text"]], "input_tokens": 10, "output_tokens": 1})
+
+    out = str(tmp_path / "out")
+    rows = {r.package_id: r for r in summarise(spark, relevant_rows(spark), accept(spark, "a", "b"), out, summary_model=reply).collect()}
+    assert rows["a"].summary_md.count("[") == 1 and rows["b"].summary_md.startswith("[[") and "and more" in rows["b"].summary_md
+    used = {(r.package_id, r.step): (r.model, r.input_tokens, r.output_tokens) for r in spark.read.parquet(f"{out}/usage").collect()}
+    assert used["a", "summarise"] == ("reply", 10, 1) and used["b", "summarise"] == ("reply", 30, 3)
+
+
+def test_rerun_leaves_nothing_stale(spark, tmp_path):
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    good = package_of({"a.txt": b"1"})
+    (source / "a.zip").write_bytes(good)
+    (source / "b.ZIP").write_bytes(b"broken")
+    first = triage(spark, str(source), out, copy=False)
+    assert [r.package_id for r in first["errors"].collect()] == ["b.ZIP"]
+    (source / "a.zip").write_bytes(b"broken")
+    (source / "b.ZIP").write_bytes(good)
+    second = triage(spark, str(source), out, copy=False)
+    assert [r.package_id for r in second["errors"].collect()] == ["a"]
+    assert {r.package_id for r in second["decisions"].collect()} == {"b.ZIP"} == {r.package_id for r in second["manifest"].collect()}
+    (source / "a.zip").write_bytes(good)
+    triage(spark, str(source), out, copy=False, done=spark.createDataFrame([("b.ZIP",)], "package_id string"))
+    kept = spark.read.parquet(f"{out}/files").where("content IS NOT NULL")
+    assert {r.package_id for r in kept.select("package_id").collect()} == {"a", "b.ZIP"}

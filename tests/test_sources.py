@@ -67,7 +67,7 @@ def test_bad_member_fails_its_package_only(spark, tmp_path):
     (tmp_path / "fine.ZIP").write_bytes(package_of({"a.txt": b"1"}))
     (tmp_path / "fine.zip").write_bytes(package_of({"a.txt": b"1"}))
     files = read_packages(spark, str(tmp_path))
-    assert [(r.package_id, r.file_name) for r in good_files(files).collect()] == [("fine", "a.txt")]
+    assert sorted((r.package_id, r.file_name) for r in good_files(files).collect()) == [("fine", "a.txt"), ("fine.ZIP", "a.txt")]
     assert [r.package_id for r in ingest_errors(files).collect()] == ["x/broken"]
 
 
@@ -87,3 +87,14 @@ def test_extract_contents(spark):
     assert got["a.PNG"].image_base64 == base64.b64encode(PNG).decode() and got["a.PNG"].media_type == "image/png"
     assert got["p.pdf"].text == "one\nthree" and got["q.pdf"].text == "" and got["doc.docx"].text == "x" and got["m.eml"].text == "body"
     assert got["t.txt"].text is None and {r.text for r in extract_contents(files).filter("file_id = 'p.pdf'").collect()} == {""}
+
+
+def test_attachments_of_any_depth(spark):
+    from caseloom.sources.archives import expand_packages
+
+    mail = eml("deepest")
+    for i in range(20):
+        mail = eml(f"level {i}", attachments=[("inner.eml", mail.as_bytes())])
+    packages = spark.createDataFrame([("p", bytearray(package_of({"mail.eml": mail.as_bytes()})))], "package_id string, content binary")
+    rows = expand_packages(packages).collect()
+    assert len(rows) == 21 and max(r.depth for r in rows) == 20

@@ -76,21 +76,24 @@ RULES = [
 ]
 
 
-def _documents(spark, sf_dir, spread=True) -> DataFrame:
-    return load(spark, sf_dir, "documents", "doc_id" if spread else None)
+def _documents(spark, sf_dir) -> DataFrame:
+    return load(spark, sf_dir, "documents")
 
 
 def _contents(spark, sf_dir) -> DataFrame:
-    """Documents as extracted files: the source is the package; some are of a type without text."""
-    odd = F.col("doc_id") % 17 == 3
-    return _documents(spark, sf_dir).select(
+    """All documents as extracted files, the source being the package, and some files more that are of a type without
+    text or unreadable."""
+    name = F.col("doc_id").cast("string")
+    files = _documents(spark, sf_dir).withColumn("more", F.explode(F.when(F.col("doc_id") % 17 == 3, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    more = F.col("more")
+    return files.select(
         F.col("source").alias("package_id"),
-        F.col("doc_id").alias("ord"),
-        F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("file_id"),
-        F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.when(odd, ".txt").otherwise(".docx")).alias("file_name"),
-        F.when(odd, "unsupported").otherwise("text").alias("kind"),
-        F.when(~odd, F.col("text")).alias("text"),
-        (F.col("doc_id") % 23 != 5).alias("readable"),
+        (F.col("doc_id") + F.when(more, 1_000_000_000).otherwise(0)).alias("ord"),
+        F.concat(F.when(more, "more").otherwise("doc"), name).alias("file_id"),
+        F.concat(F.when(more, "more").otherwise("doc"), name, F.when(more, ".txt").otherwise(".docx")).alias("file_name"),
+        F.when(more, "unsupported").otherwise("text").alias("kind"),
+        F.when(~more, F.col("text")).alias("text"),
+        (~more | (F.col("doc_id") % 23 != 5)).alias("readable"),
     )
 
 
@@ -104,25 +107,26 @@ def _hit(rule: Rule) -> str:
 
 DECIDED_SQL = f"""
 WITH contents AS (
-  SELECT source AS package_id, doc_id AS ord, 'doc' || doc_id AS file_id,
-         'doc' || doc_id || CASE WHEN doc_id % 17 = 3 THEN '.txt' ELSE '.docx' END AS file_name,
-         doc_id % 17 <> 3 AND text <> '' AS has_text, doc_id % 23 = 5 AS copy_failed,
-         CASE WHEN doc_id % 17 <> 3 THEN text END AS text
-  FROM documents),
+  SELECT source AS package_id, doc_id AS ord, 'doc' || doc_id AS file_id, 'doc' || doc_id || '.docx' AS file_name,
+         text <> '' AS has_text, false AS copy_failed, text
+  FROM documents
+  UNION ALL
+  SELECT source, doc_id + 1000000000, 'more' || doc_id, 'more' || doc_id || '.txt', false, doc_id % 23 = 5, NULL
+  FROM documents WHERE doc_id % 17 = 3),
 hits AS (SELECT *, {", ".join(f"coalesce({_hit(r)}, 0) AS h{i}" for i, r in enumerate(RULES))} FROM contents),
 scores AS (
   SELECT *, greatest(h0 * 2.0, h1 * 1.0, h2 * 1.5, h3 * 1.0, h4 * 0.5, 0.0) AS top,
          concat_ws(', ', {", ".join(f"CASE WHEN h{i} > 0 THEN '{r.label}' END" for i, r in enumerate(RULES))}) AS labels
   FROM hits),
 decided AS (
-  SELECT *, has_text AND top - h5 > 0 AS is_relevant,
+  SELECT *, has_text AND top > 0 AS is_relevant,
     CASE WHEN NOT has_text THEN NULL
-         WHEN top - h5 <= 0 THEN 'Other_Relevant_Evidence'
+         WHEN top <= 0 THEN 'Other_Relevant_Evidence'
          WHEN h0 * 2.0 = top THEN 'Employment_Contracts' WHEN h1 * 1.0 = top THEN 'Correspondence'
          WHEN h2 * 1.5 = top THEN 'Performance_Reviews' WHEN h3 * 1.0 = top THEN 'Termination_Documents'
          ELSE 'Payroll_Financial' END AS category,
     CASE WHEN NOT has_text THEN 'Unsupported file type or no extractable text.'
-         WHEN top - h5 >= 2 THEN 'matched: ' || labels WHEN top - h5 > 0 THEN 'uncertain: matched: ' || labels
+         WHEN top - h5 >= 2 THEN 'matched: ' || labels WHEN top > 0 THEN 'uncertain: matched: ' || labels
          WHEN labels <> '' THEN 'not evidence, matched: ' || labels ELSE 'no rule matched' END AS reason
   FROM scores),
 routed AS (
@@ -254,7 +258,7 @@ def redact_in_context(spark, sf_dir):
 
 @query("SELECT page_id, " + STRIP_SQL % "regexp_replace(html, '<[^>]+>', ' ', 'g')" + " AS text FROM pages")
 def strip_pages(spark, sf_dir):
-    return load(spark, sf_dir, "pages", "page_id").select("page_id", strip_html(F.col("html")).alias("text"))
+    return load(spark, sf_dir, "pages").select("page_id", strip_html(F.col("html")).alias("text"))
 
 
 @query(
@@ -307,7 +311,7 @@ def unique_clashing_names(spark, sf_dir):
     number = F.concat(F.lit("_"), (F.col("doc_id") % 11).cast("string"))
     again = F.concat(F.lit("_"), (F.col("doc_id") % 3).cast("string"))
     name = F.concat(F.lit("scan"), F.when(F.col("doc_id") % 2 == 0, number).otherwise(""), F.when(F.col("doc_id") % 7 < 2, again).otherwise(""), F.lit(".pdf"))
-    files = _documents(spark, sf_dir, spread=False).select(
+    files = _documents(spark, sf_dir).select(
         F.col("lang").alias("folder"), F.col("doc_id").alias("ord"), name.alias("file_name")
     )
     return unique_names(files, ["folder"])
@@ -379,7 +383,7 @@ Document text:
 def build_prompts(spark, sf_dir):
     template = "Language: {lang}\nDocument text:\n---\n{text}\n---\n"
     prompt = F.concat(fill_template(template, lang=F.col("lang"), text=F.col("text")), F.lit("{text}"))
-    return _documents(spark, sf_dir, spread=False).select("doc_id", prompt.alias("prompt"))
+    return _documents(spark, sf_dir).select("doc_id", prompt.alias("prompt"))
 
 
 # --- classification and routing ------------------------------------------------------------
@@ -476,7 +480,7 @@ def totals_by_package(spark, sf_dir):
 )
 def unknown_labels(spark, sf_dir):
     known = spark.range(4).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("category"))
-    return invalid_categories(_documents(spark, sf_dir, spread=False).select(F.col("source").alias("category")), known)
+    return invalid_categories(_documents(spark, sf_dir).select(F.col("source").alias("category")), known)
 
 
 @query(
@@ -484,14 +488,14 @@ def unknown_labels(spark, sf_dir):
        FROM documents"""
 )
 def reset_unknown_labels(spark, sf_dir):
-    labelled = _documents(spark, sf_dir, spread=False).select("doc_id", F.col("source").alias("category"))
+    labelled = _documents(spark, sf_dir).select("doc_id", F.col("source").alias("category"))
     return reset_invalid(labelled, ["src0", "src1", "src2", "src3"])
 
 
 @query("SELECT doc_id, source, n_chars FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1)")
 def approved_only(spark, sf_dir):
     approvals = load(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("accepted"))
-    return approved(_documents(spark, sf_dir, spread=False), approvals, "doc_id").select("doc_id", "source", "n_chars")
+    return approved(_documents(spark, sf_dir), approvals, "doc_id").select("doc_id", "source", "n_chars")
 
 
 @query(
@@ -615,13 +619,22 @@ def leaks_rate(spark, sf_dir):
 
 
 @query(
-    r"""WITH markers AS (SELECT item_id AS marker_id, regexp_extract(text, '^\S+\s+\S+') AS marker FROM benchmark)
-       SELECT doc_id, marker_id FROM documents d JOIN markers ON marker <> '' AND contains(d.text, marker)"""
+    r"""WITH split AS (SELECT item_id AS marker_id, regexp_extract_all(text, '\S+') AS w FROM benchmark),
+       markers AS (
+         SELECT marker_id, list_max(list_transform(range(1, len(w)), lambda i: {'n': length(w[i]) + length(w[i + 1]), 'i': -i, 'm': w[i] || ' ' || w[i + 1]})).m AS marker
+         FROM split WHERE len(w) > 1)
+       SELECT doc_id, marker_id FROM documents d JOIN markers ON contains(d.text, marker)"""
 )
 def leaks_of_short_markers(spark, sf_dir):
-    """Markers of two words, as names are."""
-    marker = F.regexp_extract("text", r"^\S+\s+\S+", 0)
-    markers = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("marker_id"), marker.alias("marker"))
+    """Markers of two words, as names are: of each text, the longest pair of neighbours."""
+    found = load(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)).alias("w")).where(F.size("w") > 1)
+
+    def pair(i):
+        left, right = F.get("w", i - 1), F.get("w", i)
+        return F.struct((F.length(left) + F.length(right)).alias("n"), (-i).alias("i"), F.concat(left, F.lit(" "), right).alias("m"))
+
+    marker = F.array_max(F.transform(F.sequence(F.lit(1), F.size("w") - 1), pair))["m"]
+    markers = found.select(F.col("item_id").alias("marker_id"), marker.alias("marker"))
     return leak_pairs(_documents(spark, sf_dir).select("doc_id", "text"), markers)
 
 
@@ -681,27 +694,25 @@ def evaluation_failures(spark, sf_dir):
 
 
 @query(
-    """SELECT source AS package_id, coalesce(sum(CASE WHEN doc_id % 9 <> 0 THEN n_chars END), 0)::BIGINT AS input_tokens,
-              coalesce(sum(CASE WHEN doc_id % 9 <> 0 THEN length(lang) END), 0)::BIGINT AS output_tokens,
-              coalesce(sum(CASE WHEN doc_id % 9 <> 0 THEN n_chars END), 0) / 1e6 * 3.0
-                + coalesce(sum(CASE WHEN doc_id % 9 <> 0 THEN length(lang) END), 0) / 1e6 * 15.0 AS total_cost_usd
+    """SELECT source AS package_id, coalesce(sum(n_chars), 0)::BIGINT AS input_tokens,
+              coalesce(sum(length(lang)), 0)::BIGINT AS output_tokens,
+              coalesce(sum(n_chars), 0) / 1e6 * 3.0
+                + coalesce(sum(length(lang)), 0) / 1e6 * 15.0 AS total_cost_usd
        FROM documents GROUP BY source"""
 )
 def usage_by_package(spark, sf_dir):
-    """Characters as tokens; every ninth call failed and has no usage."""
+    """Characters as tokens."""
     return usage_report(_usage(spark, sf_dir), ["package_id"])
 
 
 def _usage(spark, sf_dir) -> DataFrame:
-    worked = F.col("doc_id") % 9 != 0
-    return _documents(spark, sf_dir, spread=False).select(
-        F.col("source").alias("package_id"), F.when(worked, F.col("n_chars")).alias("input_tokens"),
-        F.when(worked, F.length("lang")).alias("output_tokens"),
+    return _documents(spark, sf_dir).select(
+        F.col("source").alias("package_id"), F.col("n_chars").alias("input_tokens"), F.length("lang").alias("output_tokens")
     )
 
 
 @query(
-    """WITH u AS (SELECT sum(n_chars) FILTER (doc_id % 9 <> 0) AS i, sum(length(lang)) FILTER (doc_id % 9 <> 0) AS o FROM documents)
+    """WITH u AS (SELECT sum(n_chars) AS i, sum(length(lang)) AS o FROM documents)
        SELECT format('{:,}', i::BIGINT) AS input_tokens, format('{:,}', o::BIGINT) AS output_tokens,
               printf('$%.4f', i / 1e6 * 3.0 + o / 1e6 * 15.0) AS total_cost, printf('%.1f%%', i * 100.0::DOUBLE / (i + o)) AS input_share FROM u"""
 )
@@ -732,7 +743,7 @@ def lookup_with_default(spark, sf_dir):
        UNION ALL SELECT 'pages', page_id, string_split(url, '/')[4] || '/' || page_id || '.html', length(html) FROM pages"""
 )
 def all_files(spark, sf_dir):
-    docs = _documents(spark, sf_dir, spread=False).select(
+    docs = _documents(spark, sf_dir).select(
         F.lit("documents").alias("origin"), F.col("doc_id").alias("ord"), F.col("n_chars").alias("length"),
         F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"),
     )
@@ -791,7 +802,7 @@ def _page_mails(spark, sf_dir) -> DataFrame:
         F.lit('\n--out\nContent-Type: application/octet-stream\nContent-Transfer-Encoding: base64\nContent-Disposition: attachment; filename="old.eml"\n\n'),
         F.base64(F.encode(inner, "UTF-8")), F.lit("\n--out--\n"),
     )
-    return load(spark, sf_dir, "pages", "page_id").select("page_id", outer.alias("content"))
+    return load(spark, sf_dir, "pages").select("page_id", outer.alias("content"))
 
 
 @query(
@@ -833,28 +844,32 @@ def word_texts(spark, sf_dir):
 def images_as_base64(spark, sf_dir):
     """Page bytes as image files of three extensions, one of them no image type."""
     ext = F.element_at(F.array(F.lit(".png"), F.lit(".jpeg"), F.lit(".gif")), (F.col("page_id") % 3).cast("int") + 1)
-    images = load(spark, sf_dir, "pages", "page_id").select("page_id", ext.alias("ext"), F.encode("html", "UTF-8").alias("content"))
+    images = load(spark, sf_dir, "pages").select("page_id", ext.alias("ext"), F.encode("html", "UTF-8").alias("content"))
     kind = media_type(F.col("ext"))
     return images.select("page_id", F.when(kind.isNotNull(), image_base64(F.col("content"))).alias("image_base64"), kind.alias("media_type"))
 
 
 def _zip_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One archive per page: the page, a note in a folder, and the page's email."""
+    """One archive per page: the page, a note in a folder, and the page's email. Some broken archives come with them."""
     for batch in batches:
-        archives = []
+        archives, names = [], []
         for page, html, mail in zip(batch["page_id"], batch["html"], batch["content"]):
             out = io.BytesIO()
             with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
                 archive.writestr("b/mail.eml", bytes(mail))
                 archive.writestr("c.txt", "")
                 archive.writestr("a/page.png", html.encode())
-            archives.append(out.getvalue() if page % 10 else b"broken")
-        yield pd.DataFrame({"package_id": batch["page_id"].astype(str), "content": archives})
+            archives.append(out.getvalue())
+            names.append(str(page))
+            if page % 10 == 0:
+                archives.append(b"broken")
+                names.append(f"broken{page}")
+        yield pd.DataFrame({"package_id": names, "content": archives})
 
 
 def _archives(spark, sf_dir) -> DataFrame:
     mails = _page_mails(spark, sf_dir)
-    pages = load(spark, sf_dir, "pages", "page_id").select("page_id", "html")
+    pages = load(spark, sf_dir, "pages").select("page_id", "html")
     return pages.join(mails, "page_id").mapInPandas(_zip_members, "package_id string, content binary")
 
 
@@ -869,7 +884,7 @@ def _archives(spark, sf_dir) -> DataFrame:
        SELECT page_id::VARCHAR AS package_id, page_id || '#' || m.ord AS file_id, page_id || '#' || m.parent AS parent_id,
               m.depth::INT AS depth, m.ord::BIGINT AS ord, m.file_name AS file_name, m.ext AS ext,
               CASE WHEN m.ord IN (0, 3, 5) THEN sha256(html) WHEN m.ord = 2 THEN sha256('') END AS hash
-       FROM pages, members WHERE page_id % 10 <> 0"""
+       FROM pages, members"""
 )
 def archive_members(spark, sf_dir):
     files = good_files(expand_packages(_archives(spark, sf_dir)))
@@ -877,7 +892,7 @@ def archive_members(spark, sf_dir):
     return files.select("package_id", "file_id", "parent_id", "depth", "ord", "file_name", "ext", hashed.alias("hash"))
 
 
-@query("SELECT page_id::VARCHAR AS package_id, 'BadZipFile: File is not a zip file' AS error FROM pages WHERE page_id % 10 = 0")
+@query("SELECT 'broken' || page_id AS package_id, 'BadZipFile: File is not a zip file' AS error FROM pages WHERE page_id % 10 = 0")
 def archive_errors(spark, sf_dir):
     return ingest_errors(expand_packages(_archives(spark, sf_dir)))
 
@@ -888,7 +903,7 @@ def archive_errors(spark, sf_dir):
               CASE WHEN i < 5 THEN 1 ELSE 2 END AS depth, CASE i WHEN 4 THEN 1 ELSE 0 END AS ordinal,
               page_id || '#' || (CASE WHEN i < 5 THEN 1 ELSE 4 END) AS parent_id,
               CASE WHEN i < 5 THEN 'mail.eml' ELSE 'old.eml' END AS parent_name
-       FROM pages, (SELECT unnest([3, 4, 5]) AS i) WHERE page_id % 10 <> 0"""
+       FROM pages, (SELECT unnest([3, 4, 5]) AS i)"""
 )
 def attachment_lineage(spark, sf_dir):
     files = good_files(expand_packages(_archives(spark, sf_dir))).drop("content")
@@ -896,7 +911,7 @@ def attachment_lineage(spark, sf_dir):
 
 
 @query(
-    """WITH f AS (SELECT page_id, html, unnest([0, 1, 2, 3, 4, 5]) AS i FROM pages WHERE page_id % 10 <> 0)
+    """WITH f AS (SELECT page_id, html, unnest([0, 1, 2, 3, 4, 5]) AS i FROM pages)
        SELECT page_id || '#' || i AS file_id, CASE i WHEN 0 THEN 'image' WHEN 1 THEN 'text' WHEN 4 THEN 'text' ELSE 'unsupported' END AS kind,
               CASE i WHEN 1 THEN 'outer' WHEN 4 THEN 'inner' END AS text, CASE WHEN i = 0 THEN base64(encode(html)) END AS image_base64,
               CASE WHEN i = 0 THEN 'image/png' END AS media_type FROM f"""
@@ -908,15 +923,20 @@ def file_contents(spark, sf_dir):
 
 
 @query(
-    """SELECT conv_id, turn, CASE WHEN role = 'user' THEN [text, role] END AS relevant_texts FROM conversations"""
+    """SELECT conv_id, turn, [text, role] AS relevant_texts FROM conversations
+       UNION ALL SELECT conv_id, turn + 1000000, NULL FROM conversations WHERE role <> 'user'"""
 )
 def cached_texts(spark, sf_dir):
-    """Cache documents built from turns: valid, without the key, with a wrong value, or corrupt."""
-    value = (
-        F.when(F.col("role") == "user", F.to_json(F.struct(F.array("text", "role").alias("relevant_texts"))))
-        .when(F.col("turn") % 3 == 0, F.lit("{}"))
+    """Cache documents built from all turns, and more that lack the key, have a wrong value, or are corrupt."""
+    odd = (
+        F.when(F.col("turn") % 3 == 0, F.lit("{}"))
         .when(F.col("turn") % 3 == 1, F.lit('{"relevant_texts": 5}'))
         .otherwise('{"relevant_texts": [')
     )
-    turns = load(spark, sf_dir, "conversations").select("conv_id", "turn", value.alias("value"))
+    whole = F.to_json(F.struct(F.array("text", "role").alias("relevant_texts")))
+    caches = load(spark, sf_dir, "conversations")
+    caches = caches.select("conv_id", "turn", whole.alias("value")).union(
+        caches.where("role <> 'user'").select("conv_id", F.col("turn") + 1_000_000, odd)
+    )
+    turns = caches
     return parse_relevant_json(turns).drop("value")

@@ -23,11 +23,5 @@ def query(sql: str | None = None):
     return add
 
 
-def load(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """One table. ``spread_by`` deals out the rows of a table that comes in fewer files than there
-    are cores, for queries whose work per row is heavy; a large table has splits enough."""
-    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if spread_by and len(table.inputFiles()) < cores:
-        return table.repartition(cores, spread_by)
-    return table
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
