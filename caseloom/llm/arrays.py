@@ -22,10 +22,19 @@ def worker_cache() -> dict:
 
 
 def kept(key, build: Callable):
+    """One large object per worker, for all its tasks that ask for the same."""
     cache = worker_cache()
-    if key not in cache:
-        cache[key] = build()
-    return cache[key]
+    if cache.get("key") != key:
+        cache.pop("object", None)
+        cache["key"], cache["object"] = key, build()
+    return cache["object"]
+
+
+def release() -> None:
+    """Drop what `kept` holds: another operator runs now, and the memory is for it."""
+    cache = worker_cache()
+    cache.pop("object", None)
+    cache.pop("key", None)
 
 
 class Recent(dict):
@@ -49,8 +58,11 @@ class Recent(dict):
         self[key] = value
 
 
-def blocks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20, column: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, bytes, offsets): runs of rows with at most ``limit`` bytes of text, or one longer text. Null is empty."""
+def blocks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20, column: str = "text", keep: bool = False) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, bytes, offsets): runs of rows with at most ``limit`` bytes of text, or one longer text. Null is empty.
+    ``keep`` is for operators that use `kept`."""
+    if not keep:
+        release()
     for batch in batches:
         texts = pc.fill_null(batch.column(column), "").cast(pa.large_string())
         _, offsets, data = texts.buffers()

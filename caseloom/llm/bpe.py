@@ -219,7 +219,7 @@ def encoder(path: str) -> Encoder:
 def _work(path: str, lists: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch, data, offsets in arrays.blocks(batches):
+        for batch, data, offsets in arrays.blocks(batches, keep=True):
             text = data.tobytes()
             texts = [text[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             found = [x for at in range(0, len(texts), 128) for x in own.whole(texts[at : at + 128])]

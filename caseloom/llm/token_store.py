@@ -103,7 +103,7 @@ def _texts(batch_block) -> list[str]:
 def train_dictionary(docs: DataFrame, path: str, size: int, sample: int, sample_ids: int) -> bytes:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens(path)
-        for block in arrays.blocks(batches):
+        for block in arrays.blocks(batches, keep=True):
             ids = [x[: sample_ids * encoder.width] for x in encoder.encode(_texts(block))]
             yield pa.record_batch({"ids": pa.array(ids, pa.binary())})
 
@@ -135,7 +135,7 @@ def _encode_blocks(path: str, end_id: int, dictionary: bytes, block_bytes: int):
             }
             return pa.RecordBatch.from_pylist([row], SCHEMA)
 
-        for own in arrays.blocks(batches):
+        for own in arrays.blocks(batches, keep=True):
             part = own[0].column("part")[0].as_py()
             for doc_id, text in zip(own[0].column("doc_id").to_pylist(), encoder.encode(_texts(own)), strict=True):
                 frame = packer.compress(text + end)
