@@ -219,7 +219,7 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, sample: int = SAMPLE, rows: int = 40_000) -> Model | None:
     chosen = sample_ids(docs, sample).withColumn("kind", F.lit(0))
     # At most ``rows`` candidates: a text may hold many.
-    found = sampled(docs, chosen, sample).mapInArrow(_training, "x binary, y int").limit(rows).collect()
+    found = sampled(docs, chosen).mapInArrow(_training, "x binary, y int").limit(rows).collect()
     if not found:
         return None
     found.sort(key=lambda r: (bytes(r["x"]), r["y"]))  # the same whatever the order of the rows

@@ -124,6 +124,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 1500) -> Mode
     def separate(z_p, z_u):  # positives from unlabelled, to estimate the prior
         return -_sigmoid(-z_p) / len(z_p), _sigmoid(z_u) / len(z_u)
 
+    rng = np.random.default_rng(1)
+    positive, unlabelled = positive[rng.permutation(len(positive))], unlabelled[rng.permutation(len(unlabelled))]
     half_p, half_u = len(positive) // 2, len(unlabelled) // 2
     prior = 0.5
     if half_p and half_u:
@@ -152,7 +154,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
     """From the training fold alone."""
     good = sample_ids(labels.where("quality = 1"), sample).withColumn("kind", F.lit(1))
     any_kind = sample_ids(docs, sample).withColumn("kind", F.lit(0))
-    rows = sampled(docs, good.union(any_kind), 2 * sample).mapInArrow(_measure, "kind int, x binary").collect()
+    rows = sampled(docs, good.union(any_kind)).mapInArrow(_measure, "kind int, x binary").collect()
+    rows.sort(key=lambda r: bytes(r["x"]))  # the same whatever the order of the rows
     x = [np.stack([np.frombuffer(r["x"], np.float32) for r in rows if r["kind"] == k] or [np.zeros(0, np.float32)]) for k in (1, 0)]
     return fit(*(a.reshape(len(a), -1)[: a.size and len(a)] for a in x))
 

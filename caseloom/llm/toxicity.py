@@ -196,7 +196,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
         sample_ids(labels.where("toxic = 0"), sample).withColumn("kind", F.lit(0))
     )
     # Near copies would count as independent evidence for all their words: one of each stays in the sample.
-    rows = stored(sampled(docs, chosen, 2 * sample).mapInArrow(_signed, "text string, kind int, sign long").dropDuplicates(["sign"]).drop("sign"))
+    rows = stored(sampled(docs, chosen).mapInArrow(_signed, "text string, kind int, sign long").dropDuplicates(["sign"]).drop("sign"))
     voters = Voters(suggestions(rows))
     seen = rows.select("text").mapInArrow(_vote(voters), "votes array<int>, found array<string>").collect()
     if not seen:
