@@ -32,6 +32,7 @@ from caseloom.operators.classify import (
     normalise_decisions,
     reset_invalid,
 )
+from caseloom.operators.copies import mark_copies
 from caseloom.operators.combine import assemble_pages, combine_texts
 from caseloom.operators.contextual import name_lexicon, redact_contextual
 from caseloom.operators.evaluate import eval_cases, eval_failures, eval_report, leak_pairs, leak_rate
@@ -940,3 +941,29 @@ def cached_texts(spark, sf_dir):
     )
     turns = caches
     return parse_relevant_json(turns).drop("value")
+
+
+@query(
+    """SELECT lang AS package_id, 'doc' || doc_id AS file_id, sha256(text) AS content_hash, CASE WHEN first <> doc_id THEN 'doc' || first END AS copy_of
+       FROM (SELECT *, min(doc_id) OVER (PARTITION BY lang, sha256(text)) AS first FROM documents)"""
+)
+def dedup_exact(spark, sf_dir):
+    """Documents as files of a package per language."""
+    files = _documents(spark, sf_dir).select(
+        F.col("lang").alias("package_id"), F.concat(F.lit("doc"), F.col("doc_id")).alias("file_id"), F.col("doc_id").alias("ord"), F.encode("text", "UTF-8").alias("content")
+    )
+    return mark_copies(files).select("package_id", "file_id", "content_hash", "copy_of")
+
+
+@query(
+    """SELECT role AS step, 'model-' || (turn % 3) AS model, sum(length(text))::BIGINT AS input_tokens, sum(turn)::BIGINT AS output_tokens,
+              sum(length(text)) / 1e6 * 3.0 + sum(turn) / 1e6 * 15.0 AS total_cost_usd
+       FROM conversations GROUP BY ALL"""
+)
+def usage_by_step_and_model(spark, sf_dir):
+    """Turns as calls: the role is the step, characters are tokens."""
+    calls = load(spark, sf_dir, "conversations").select(
+        F.col("role").alias("step"), F.concat(F.lit("model-"), (F.col("turn") % 3).cast("string")).alias("model"),
+        F.length("text").alias("input_tokens"), F.col("turn").alias("output_tokens"),
+    )
+    return usage_report(calls, ["step", "model"])
