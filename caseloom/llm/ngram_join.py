@@ -329,7 +329,8 @@ def classes(docs: DataFrame, bucket_bytes: int = 24 << 20) -> DataFrame:
     found = _verified(rest, texts)
     roots = connected(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).union(found))
     named = sets.join(roots.select(F.col("id").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    least = named.where("root is not null").groupBy("root").agg(F.min(F.struct("key", "t")).alias("least"))
+    # Stored, so that both sides of the join are shuffled for it alone, and Spark can split a large class.
+    least = stored(named.where("root is not null").groupBy("root").agg(F.min(F.struct("key", "t")).alias("least")))
     return named.join(least, "root", "left").select("key", "t", "n", "least")
 
 
