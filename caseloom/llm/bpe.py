@@ -29,13 +29,17 @@ from pyspark.sql import functions as F
 from caseloom.llm import arrays
 
 END = "\0"  # stands for the end-of-word suffix, so that it takes one place in a word
-WORDS_KEPT, PAIRS_KEPT = 120_000, 250_000
+WORDS_KEPT, PAIRS_KEPT = 260_000, 400_000
 # The split pattern of the word tokenizer, and what it comes to on lower-case ASCII.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # On lower-case text of ASCII and the Latin-1 letters alone, which NFC leaves as it is. Control characters are left out.
 LETTERS = "\u00e0-\u00f6\u00f8-\u00ff\u00df"
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LETTERS}]+|[0-9]|[^\\x09-\\x0D\\x20a-z0-9{LETTERS}]+")
 BEYOND = "[\\x00-\\x08\\x0E-\\x1F\\x7F-\u00bf\u00d7\u00f7\u0100-\U0010ffff]"
+PLAIN = re.compile(f"[a-z{LETTERS}]+")
+# How byte-level tokenizers write a byte as a character: visible ones as they are, the others from 256 on.
+VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in VISIBLE)}
 SPACE = re.compile("[\\x09-\\x0D\\x20]+")
 
 
@@ -78,7 +82,8 @@ class Encoder:
             spec = json.load(file)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
-        self.parts = Splitter(path).parts
+        splitter = Splitter(path)
+        self.parts, self.fixed = splitter.parts, splitter.fixed
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.names = {i: name for name, i in model["vocab"].items()} | {i: name for name, i in self.special.items()}
@@ -197,7 +202,9 @@ class Encoder:
         """(number of ids, ids, decoded text) of a part, each string with a space before every token."""
         found = self.known.find(part)
         if found is None:
-            ids = self.word(part + END) if part.isascii() and part.isalpha() and part.islower() else self.ids(part)
+            # Lower-case letters that NFC leaves alone are one word; all else goes through the library's first steps.
+            word = self.fixed and PLAIN.fullmatch(part)
+            ids = self.word(part.encode().decode("latin-1").translate(BYTES) + END) if word else self.ids(part)
             found = len(ids), "".join(f" {i}" for i in ids), "".join(f" {self.names[i]}" for i in ids)
             if len(part) < 64:
                 self.known.keep(part, found)
