@@ -1,5 +1,10 @@
 """Quality rules with thresholds that follow the data: quantile sketches per language and source, joined back.
 
+A limit is the median plus ``REACH`` times the distance from the median to the nearer quartile: junk, while it is less than
+half of a group, stretches the side on which it lies and not the other one. ``FLOOR`` holds where that distance is nothing
+or next to nothing, so it decides for measures that are zero in most texts. The floor for repeats is the base
+rule itself: the adaptive rule only names it.
+
 DataFrame functions only. Each row is judged alone, so repeated rows give repeated results and ties don't matter.
 A null text has no words; a null language or source counts as the empty name; an empty table gives an empty one.
 """
@@ -18,10 +23,10 @@ SPACES = " \t\n\x0b\f\r"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
-#: Measure -> the least distance above the median at which a document may be rejected.
-SLACK = {"symbol_share": 0.04, "dup_line_share": 0.5, "repeat_share": 0.3, "capital_share": 0.2, "word_length": 6.0, "symbol_words": 0.25}
-#: Times the distance from the median to the upper quartile.
-REACH = 6.0
+#: Measure -> the least distance above the median at which a document may be rejected, against a spread of zero.
+FLOOR = {"symbol_share": 0.04, "dup_line_share": 0.5, "repeat_share": 0.3, "capital_share": 0.02, "word_length": 1.0, "symbol_words": 0.25}
+#: Times the distance from the median to the nearer quartile.
+REACH = 15.0
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -108,7 +113,7 @@ def with_shares(measured: DataFrame) -> DataFrame:
 def thresholds(shares: DataFrame, least: int = 200) -> DataFrame:
     """Upper limits per language and source, from sketches that merge: a group of fewer than ``least`` rows
     takes those of its language, a small language those of all rows."""
-    names = list(SLACK)
+    names = list(FLOOR)
     groups = shares.groupBy("lang", "source").agg(
         F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(c, 400).alias(c) for c in names)
     )
@@ -119,8 +124,8 @@ def thresholds(shares: DataFrame, least: int = 200) -> DataFrame:
 
     def limits(frame: DataFrame, suffix: str, *keys: str) -> DataFrame:
         def limit(c: str) -> Column:
-            middle, upper = (F.kll_sketch_get_quantile_double(F.col(c), F.lit(q)) for q in (0.5, 0.75))
-            return (middle + F.greatest(F.lit(SLACK[c]), REACH * (upper - middle))).alias(f"{c}_{suffix}")
+            lower, middle, upper = (F.kll_sketch_get_quantile_double(F.col(c), F.lit(q)) for q in (0.25, 0.5, 0.75))
+            return (middle + F.greatest(F.lit(FLOOR[c]), REACH * F.least(middle - lower, upper - middle))).alias(f"{c}_{suffix}")
 
         return frame.select(*keys, F.col("n").alias(f"n_{suffix}"), *(limit(c) for c in names))
 
@@ -138,7 +143,7 @@ def quality_rules(docs: DataFrame, least: int = 200) -> DataFrame:
     it breaks) and ``kept``. Extra columns of ``docs`` are ignored."""
     shares = with_shares(stored(measures(docs)))
     joined = shares.join(thresholds(shares, least), ["lang", "source"], "left")
-    failed = F.filter(F.array(*(F.when(F.col(c) > F.col(f"most_{c}"), F.lit(c)) for c in SLACK)), lambda x: x.isNotNull())
+    failed = F.filter(F.array(*(F.when(F.col(c) > F.col(f"most_{c}"), F.lit(c)) for c in FLOOR)), lambda x: x.isNotNull())
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

@@ -264,6 +264,29 @@ def test_thresholds_follow_their_group(spark):
     assert kept[3] and kept[1003] and not kept[5000]
 
 
+def test_thresholds_hold_with_much_junk(spark):
+    """Two fifths of a source are junk of three kinds; the rest must stay and the junk go."""
+    rng = random.Random(4)
+    clean = lambda: " ".join(rng.choice(["Some", "plain", "words", "go", "on", "for", "while", "texts", "until"]) for _ in range(60))
+    junk = [lambda: clean().replace(" ", " #"), lambda: clean().replace(" ", "|| "), lambda: " ".join("".join(rng.choice("abcd") for _ in range(12)) for _ in range(60))]
+    rows = [(i, junk[i % 3]() if i % 5 < 2 else clean(), "en", "a", 0) for i in range(1500)]
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()
+    assert all(r["kept"] == (r["doc_id"] % 5 >= 2) and not r["base_failed"] for r in got)
+
+
+def test_spread_decides_and_not_the_floor(spark):
+    """Two sources of one median: a word length far out in the narrow one is usual in the wide one."""
+    rows = []
+    for i in range(300):
+        for k, (source, step) in enumerate((("narrow", 10), ("wide", 40))):
+            longer = max(0, 60 + step * (i % 21 - 10) // 10)  # of 60 words, so many letters more
+            rows.append((1000 * k + i, " ".join(f"w{j:03d}" + "x" * ((longer + j) // 60) for j in range(60)), "en", source, 0))
+    odd = " ".join(f"w{j:03d}" + "x" * 4 for j in range(60))  # 3 letters a word more than the median
+    rows += [(9000, odd, "en", "narrow", 0), (9001, odd, "en", "wide", 0)]
+    got = {r["doc_id"]: r["failed"] for r in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")).collect()}
+    assert got[9000] == ["word_length"] and got[9001] == [] and got[5] == got[1005] == []
+
+
 def test_models_without_data(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in quality_model.score(odd, quality_model.learn(odd, none)).collect()} == {0.5}
