@@ -3,12 +3,14 @@
 Base spans (email, ip, card, phone) come from fixed patterns and checks. High-recall generators propose overlapping
 spans of the same kinds and of secrets. Boosted trees judge them by format and context; they learn from candidates that
 are verified (equal to a base span, or of a known key format) against candidates that fail the checks of their kind, and
-what is neither is left out. Raw scores are calibrated on one half of the sample, and each kind's threshold is the least
+what is neither is left out, such as an email of good form that no base span covers. Raw scores are calibrated on one half of the sample, and each kind's threshold is the least
 probability at which ``PRECISION`` of that half's picks are verified. Picks that overlap a base span are dropped; of
 overlapping picks the likelier stays.
 
-The fit takes the candidates of at most ``SAMPLE`` documents (least hashes of their id), a documented bound; every whole
-text is searched. All patterns take linear time, also on long runs. Null and empty texts have no spans. Repeated rows
+The fit takes the candidates of at most ``SAMPLE`` documents (least hashes of their id), of these the ``rows`` of least
+hashes, a documented bound; every whole text is searched. Small samples switch parts off: with under 5 verified or 5
+failed candidates in a half there is no model and only base spans are found, and a kind adds no span unless at least
+``least`` of its candidates in the calibration half reach ``PRECISION`` together. All patterns take linear time, also on long runs. Null and empty texts have no spans. Repeated rows
 and equal ids are judged row by row. Empty tables give empty results. Other columns travel along in ``row``.
 """
 
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +44,10 @@ WIDE = {
     "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}+(?:\.[0-9]{1,3}+){3}(?![0-9.])"),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{2,6}){2,4}(?![0-9])|(?<![0-9])[0-9]{12,19}+(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+])(?:\+|00)?[0-9(][0-9().\x20/-]{6,24}[0-9](?![0-9])"),
-    "secret": re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,200}+(?![A-Za-z0-9_+/-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/-]{16,}+(?![A-Za-z0-9_+/-])"),
 }
+AT = re.compile(r"\s?\[at\]\s?|\(at\)")
+FORM = re.compile(r"[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}")
 KEY = re.compile(r"AKIA[0-9A-Z]{16}|[0-9a-f]{18,128}")
 NAMES = {
     "email": ("mail", "contact", "write"), "ip": ("ip", "server", "host", "address", "addr"), "card": ("card", "visa", "credit", "payment", "pay"),
@@ -108,10 +113,10 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     digits, letters = _digits(span), sum(c.isalpha() for c in span)
     groups = [len(g) for g in re.findall("[0-9]+", span)] or [0]
     words = re.findall(r"[a-z]+", before)[-3:]
-    _, _, domain = span.partition("@")
+    _, at, domain = (AT.sub("@", span) if kind == "email" else span).partition("@")
     return [
         *(float(kind == k) for k in KINDS), len(span), len(digits), letters, len(groups), groups[0], groups[-1], max(groups),
-        *(span.count(c) for c in " -.()/"), span[0] == "+", span[:2] == "00", "@" in span, domain.count("."), span.isupper(), span.islower(),
+        *(span.count(c) for c in " -.()/"), span[0] == "+", span[:2] == "00", at == "@", domain.count("."), span.isupper(), span.islower(),
         len(set(span)) / len(span), all(c in "0123456789abcdef" for c in span), valid(kind, span), len(digits) / len(span),
         *(any(w in names for w in words) for names in NAMES.values()),
         before[-1:] in ("=", ":"), before[-2:] in ('="', "= ", ': ', '"', ' "'), before[-1:].isdigit(), after.isdigit(), after in (" ", "", "\n", ".", ","),
@@ -124,7 +129,7 @@ def verdict(kind: str, span: str, is_base: bool, named: bool) -> int:
     if kind == "secret":
         return 1 if KEY.fullmatch(span) and (named or span.startswith("AKIA")) else 0 if not any(c.isdigit() for c in span) or span.isdigit() else -1
     if kind == "email":
-        return int(is_base)
+        return 1 if is_base else -1 if FORM.fullmatch(AT.sub("@", span)) else 0
     return 1 if is_base else -1 if valid(kind, span) else 0
 
 
@@ -189,7 +194,7 @@ def _apart(spans, taken):
 
 
 def _numeric(data: np.ndarray, offsets: np.ndarray) -> list[bool]:
-    """Texts that have a digit or an @: all spans do."""
+    """Texts that have a digit or an @: all spans do, but for emails with a written-out at."""
     total = np.concatenate([[0], np.cumsum(NUMERIC[data], dtype=np.int64)])
     return (total[offsets[1:]] > total[offsets[:-1]]).tolist()
 
@@ -197,12 +202,12 @@ def _numeric(data: np.ndarray, offsets: np.ndarray) -> list[bool]:
 def _texts(data: np.ndarray, offsets: np.ndarray) -> Iterator[str | None]:
     text = data.tobytes()
     for a, b, some in zip(offsets[:-1].tolist(), offsets[1:].tolist(), _numeric(data, offsets), strict=True):
-        yield text[a:b].decode() if some else None
+        yield text[a:b].decode() if some or text.find(b"[at]", a, b) >= 0 or text.find(b"(at)", a, b) >= 0 else None
 
 
 def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, data, offsets in arrays.blocks(batches):
-        x, y = [], []
+        x, y, near = [], [], []
         for text in _texts(data, offsets):
             if text is not None:
                 base = set(base_spans(text))
@@ -213,13 +218,15 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if label >= 0:
                         x.append(np.array(row, np.float32).tobytes())
                         y.append(label)
-        yield pa.record_batch({"x": pa.array(x, pa.binary()), "y": pa.array(y, pa.int32())})
+                        near.append(zlib.crc32(text[max(0, c[1] - 40) : c[2]].encode()))
+        yield pa.record_batch({"x": pa.array(x, pa.binary()), "y": pa.array(y, pa.int32()), "near": pa.array(near, pa.int64())})
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, rows: int = 40_000) -> Model | None:
     chosen = sample_ids(docs, sample).withColumn("kind", F.lit(0))
-    # At most ``rows`` candidates: a text may hold many.
-    found = sampled(docs, chosen).mapInArrow(_training, "x binary, y int").limit(rows).collect()
+    # At most ``rows`` candidates, those of the least hashes: a text may hold many.
+    found = sampled(docs, chosen).mapInArrow(_training, "x binary, y int, near long")
+    found = found.orderBy(F.xxhash64("x", "y", "near"), "x", "y").limit(rows).select("x", "y").collect()
     if not found:
         return None
     found.sort(key=lambda r: (bytes(r["x"]), r["y"]))  # the same whatever the order of the rows

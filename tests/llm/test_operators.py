@@ -118,6 +118,39 @@ def test_boosted_candidates_learn_format_and_context(spark):
         assert set(base) <= set(found[i]["spans"].split(","))
 
 
+def test_candidates_of_any_length_and_written_out_at(spark):
+    token = "a1B2" * 300
+    assert ("secret", 4, 1204) in personal_data.candidates(f"key {token} end")
+    assert personal_data.verdict("email", "ann [at] mail.example.org", False, False) == -1 == personal_data.verdict("email", "jürgen(at)köln.de", False, False)
+    assert personal_data.verdict("email", "meet(at)noon", False, False) == 0 == personal_data.verdict("email", "a@b", False, False)
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    rows = [(i, f"please write to {letters(7)}@{letters(6)}.example.org today or {letters(5)}@{letters(4)} and {letters(6)}(at){letters(4)} soon") for i in range(300)]
+    rows += [(1000 + i, f"please write to {letters(7)}{at}{letters(6)}.example.org today") for i, at in enumerate([" [at] ", "[at]", "(at)"] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["row"]["doc_id"]: r["spans"] for r in personal_data.find_personal_data(docs, personal_data.learn(docs)).collect()}
+    assert all(found[i].startswith("email:16:") for i, _ in rows if i >= 1000)
+    assert all(found[i].count("email:") == 1 for i, _ in rows if i < 1000)
+
+
+def test_sample_of_candidates_ignores_the_order_of_rows(spark):
+    rng = random.Random(8)
+    rows = [(i, f"call {rng.randrange(10**11, 10**12)} or a{i}@b{i % 7}.org or a{i}@c of {rng.randrange(10**15, 10**16)}" + " x" * (i % 9)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    models = []
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        for n in (3, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            models.append(personal_data.learn(docs, rows=300))
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    a, b = models
+    assert a.scale == b.scale and a.thresholds == b.thresholds
+
+
 def test_token_store(spark, repeated, empty, tmp_path):
     folder = token_store.write_tokens(repeated, PATH, 2, str(tmp_path / "tokens"), block_bytes=3000)
     got = token_store.read_tokens(spark, folder).orderBy("start").collect()
