@@ -7,12 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import quality_rules as rules
-from caseloom.llm import bpe, decontamination, ngram_join, personal_data, quality_model, sharding, suffix_dedup, token_store, toxicity, twins
+from caseloom.llm import alignment, bpe, decontamination, ngram_join, personal_data, quality_model, sharding, suffix_dedup, token_store, toxicity, twins, whitening
 from caseloom.llm.folds import held_out
 from caseloom.llm.store import table
 
-#: The vocabulary file of the contracts.
+#: The vocabulary files of the contracts.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_BPE = public_tokenizers.path("piece_bpe_32k.model")
 END_ID = 2
 
 QUERIES = {}
@@ -95,3 +97,13 @@ def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)

@@ -1,8 +1,14 @@
 """Plain, slow versions of the contracts."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
+
+import numpy as np
+import sentencepiece
+from tokenizers import Tokenizer
 
 SPACE = " \t\n\x0b\f\r"
 
@@ -127,3 +133,61 @@ def base_pii(text):
     order = ["email", "ip", "card", "phone"]
     out.sort(key=lambda x: (x[1], order.index(x[0])))
     return out
+
+
+def whitening(rows, k=4):
+    """rows: (vec_id, entries) -> (n, exact sums, [(vec_id, deviation, distances from the mean)], variances, axes, trace)."""
+    longest = 2**63 - 1
+    usable = [(i, [float(np.float32(c)) for c in v]) for i, v in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    width = max((len(v) for _, v in usable), default=0)
+    usable = [(i, [max(-longest - 1, min(longest, math.floor(256 * c))) for c in v] + [0] * (width - len(v))) for i, v in usable]
+    kinds = sorted({tuple(v) for _, v in usable})
+    n, sums = len(kinds), [sum(v[j] for v in kinds) for j in range(width)]
+    covariance = np.array([[float(Fraction(n * sum(v[a] * v[b] for v in kinds) - sums[a] * sums[b], n * n)) for b in range(width)] for a in range(width)])
+    values, vectors = np.linalg.eigh(covariance)
+    out = [(i, sum((n * x - s) ** 2 for x, s in zip(v, sums)), [float(Fraction(n * x - s, n)) for x, s in zip(v, sums)]) for i, v in usable]
+    return n, sums, out, values[::-1][:k], vectors[:, ::-1][:, :k], np.trace(covariance)
+
+
+def alignment(rows, path_a, path_b):
+    """rows: (doc_id, text) -> [(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, sha)]."""
+    library = Tokenizer.from_file(path_a)
+    library.encode_special_tokens = True
+    model = sentencepiece.SentencePieceProcessor(model_file=path_b)
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = dict(zip(map(chr, plain), plain)) | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    found, held = [], Counter()
+    for doc_id, text in rows:
+        groups, a, b = [], [], []
+        if text:
+            a, b = library.encode(" " + text, add_special_tokens=False).ids, model.encode(text)
+            x = [bytes(letters[c] for c in library.id_to_token(i)) for i in a]
+            y = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i in b for p in [model.id_to_piece(i)]]
+            if b"".join(x) != (" " + text).encode() or b"".join(y) != (" " + text).encode():
+                a, b = [], []
+            else:
+                i = j = at_x = at_y = 0
+                group = ([], [])
+                while i < len(a) or j < len(b):
+                    if at_x <= at_y and i < len(a):
+                        group[0].append(a[i])
+                        at_x, i = at_x + len(x[i]), i + 1
+                    else:
+                        group[1].append(b[j])
+                        at_y, j = at_y + len(y[j]), j + 1
+                    if at_x == at_y:
+                        groups.append(group)
+                        group = ([], [])
+        links = Counter((p, q) for g, h in groups for p in g for q in h)
+        held.update(links.keys())
+        found.append((doc_id, a, b, groups, links))
+    top = defaultdict(int)
+    for (p, _), count in held.items():
+        top[p] = max(top[p], count)
+    out = []
+    for doc_id, a, b, groups, links in found:
+        text = ";".join(",".join(map(str, g)) + "|" + ",".join(map(str, h)) for g, h in groups)
+        best = sum(n for pair, n in links.items() if held[pair] == top[pair[0]])
+        sha = hashlib.sha256(text.encode()).hexdigest() if a else ""
+        out.append((doc_id, len(a), len(b), len(groups), sum(links.values()), best, sum(n * held[pair] for pair, n in links.items()), sha))
+    return out

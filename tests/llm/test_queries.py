@@ -24,6 +24,7 @@ COLUMNS = {
     "op8_prefix_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op9_winnowing": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     "op10_quality_rules": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+    "op12_pair_bitmaps": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
 
 
