@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.llm import quality_rules as rules
-from caseloom.llm import alignment, bpe, decontamination, ngram_join, personal_data, quality_model, sharding, suffix_dedup, token_store, toxicity, twins, whitening
+from caseloom.llm import alignment, bpe, decontamination, ngram_join, personal_data, quality_model, sharding, suffix_dedup, token_store, toxicity, twins, warc_packages, whitening
 from caseloom.llm.folds import held_out
 from caseloom.llm.store import table
 
@@ -19,7 +19,7 @@ END_ID = 2
 
 QUERIES = {}
 #: The others learn, shuffle or use sketches; tests/llm holds them against plain versions.
-ORACLES = {"op7_ngram_join": twins.COMPONENTS, "op9_winnowing": twins.CONTAMINATION}
+ORACLES = {"op7_ngram_join": twins.COMPONENTS, "op9_winnowing": twins.CONTAMINATION, "op13_zip_packages": twins.ARCHIVED_PAGES}
 
 
 def query(function):
@@ -107,3 +107,9 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_pair_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), BYTE_BPE, PIECE_BPE)
+
+
+@query
+def op13_zip_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_packages.archive_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

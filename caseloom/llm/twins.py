@@ -30,3 +30,11 @@ reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, links.y F
 SELECT d.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(y) AS component_id
 FROM d JOIN reach ON d.doc_id = x LEFT JOIN sizes ON sizes.doc_id = d.doc_id GROUP BY d.doc_id
 """
+
+ARCHIVED_PAGES = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS n, sha1(html) AS digest, max(page_id) OVER (PARTITION BY html) AS last FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+FROM d
+"""
