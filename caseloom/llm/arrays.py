@@ -1,6 +1,8 @@
 """Texts of an Arrow batch as one byte array, and vectorised words and hashes over it.
 
-Hashes are 64-bit polynomials modulo 2**64 with a mixing step; the same bytes give the same hash in every task.
+Hashes are polynomials with a mixing step; the same bytes give the same hash in every task. Those of `range_hashes`
+are modulo 2**64: short strings and sorting only, since unequal strings that collide can be built. Those of
+`word_hashes` are modulo two primes.
 """
 
 from __future__ import annotations
@@ -120,6 +122,59 @@ def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+PRIMES = ((1 << 31) - 1, (1 << 31) - 19)
+BASES = (1_404_417_131, 1_861_523_467)
+LONG = 1 << 16  # bytes, up to which a word is hashed beside others
+
+
+def _prime_powers() -> list[np.ndarray]:
+    cache = worker_cache()
+    if "prime_powers" not in cache:
+        rows = []
+        for prime, base in zip(PRIMES, BASES, strict=True):
+            row = np.ones(LONG, np.uint64)
+            done = 1
+            while done < LONG:
+                row[done : 2 * done] = row[:done] * np.uint64(pow(base, done, prime)) % np.uint64(prime)
+                done *= 2
+            rows.append(row)
+        cache["prime_powers"] = rows
+    return cache["prime_powers"]
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+    """A hash of each data[start:end], none empty: polynomials modulo two primes, joined to 62 bits and mixed."""
+    size, both, powers = ends - starts, np.zeros((2, len(starts)), np.uint64), _prime_powers()
+    short = np.flatnonzero(size <= LONG)
+    total = np.cumsum(size[short])
+    cuts = np.searchsorted(total, np.arange(step, total[-1] if len(total) else 0, step), "right")
+    for part in np.split(short, np.unique(cuts)) if len(short) else []:
+        if not len(part):
+            continue
+        n = size[part]
+        begin = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(begin, n)
+        value = data[place + np.repeat(starts[part], n)].astype(np.uint64) + np.uint64(1)
+        for k, prime in enumerate(PRIMES):
+            both[k, part] = np.add.reduceat(value * powers[k][place], begin) % np.uint64(prime)
+    for i in np.flatnonzero(size > LONG).tolist():
+        for k, prime in enumerate(PRIMES):
+            found, shift, jump = 0, 1, pow(BASES[k], LONG, prime)
+            for at in range(int(starts[i]), int(ends[i]), LONG):
+                value = data[at : min(at + LONG, int(ends[i]))].astype(np.uint64) + np.uint64(1)
+                found = (found + shift * (int(np.sum(value * powers[k][: len(value)], dtype=np.uint64)) % prime)) % prime
+                shift = shift * jump % prime
+            both[k, i] = found
+    return mix(both[0] << np.uint64(31) | both[1])
+
+
+def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """data[start:end] of all ranges, one after the other."""
+    size = ends - starts
+    stops = np.cumsum(size)
+    return data[np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts - (stops - size), size)]
+
+
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, row) of the maximal runs of bytes in ``inside``; no run crosses texts."""
     mask = inside[data]

@@ -7,10 +7,15 @@
    and joined there, with the length and the positional filter.
 3. A prefix n-gram that few sets share gives all its pairs. One that more than ``SMALL`` sets share first gives a
    linear number of pairs: each set with the next by length, and with a few that have the n-gram at an early position.
-4. The best pairs of each set are verified and gives first components. Then every other candidate pair whose sets are in
+   Entries of an n-gram that very many sets share (by the sketch) are salted, so that no task gets all of them.
+4. The best pairs of each set are verified and give first components. Then every other candidate pair whose sets are in
    different components is verified, once; for the shared n-grams too. So no link that joins classes is missed,
-   and no pairs are made within a class that is already one.
-5. Verification runs the suffix filter and then counts the common n-grams of the two whole texts.
+   and no pairs are made within a class that is already one. The sets of a wide n-gram are cut into parts, and each pair
+   of parts is a group of its own.
+5. Before any text is fetched, pairs meet their sets' bitmaps: ``BITS`` parities of the n-grams' hashes. The bits in which
+   two differ bound their difference from below, which drops most pairs that can't be similar and loses no link.
+6. Verification runs the suffix filter and then counts the common n-grams of the two whole texts. Words of linked texts are
+   compared by bytes, so that a link doesn't hang on hashes; equal sets are told by 64-bit sums of n-gram hashes.
 
 Null texts and texts without words have an empty set, which is linked with nothing. A text of fewer than n words has its
 whole sequence as its one n-gram. Repeated rows, equal ids and null ids are nodes of their own with their own text; a
@@ -20,12 +25,14 @@ class is named by its least doc_id. Empty tables give empty results. Other colum
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.llm import arrays
@@ -38,6 +45,10 @@ FIRST = 3  # of each set's pairs, those that are verified first
 COUNTERS = 1 << 21  # of the frequency sketch
 SLICES = 64
 NO_ID = -(1 << 63)
+BITS = 1024  # of a set's bitmap
+SALTED = 1 << 17  # entries of an n-gram, from which they are dealt to several buckets
+HOT = 1 << 30  # marks such an entry's position
+PART = 4000  # sets of a wide n-gram that are compared in one group
 # The threshold t = 3/4 as whole numbers.
 UP, DOWN = 3, 4
 
@@ -51,7 +62,10 @@ def ngram_sets(data: np.ndarray, offsets: np.ndarray, n: int = N) -> list[np.nda
     """Sorted distinct n-gram hashes of each text."""
     data = arrays.LOWER[data]
     starts, ends, row = arrays.words(data, offsets, ~arrays.SPACE)
-    hashes = arrays.range_hashes(arrays.prefix_sums(data), starts, ends)
+    return _sets_of(arrays.word_hashes(data, starts, ends), row, offsets, n)
+
+
+def _sets_of(hashes: np.ndarray, row: np.ndarray, offsets: np.ndarray, n: int = N) -> list[np.ndarray]:
     first = np.searchsorted(row, np.arange(len(offsets)))
     found = arrays.grams(hashes, n)
     out = []
@@ -60,6 +74,35 @@ def ngram_sets(data: np.ndarray, offsets: np.ndarray, n: int = N) -> list[np.nda
     return out
 
 
+@dataclass
+class TextSet:
+    """A text's set and its words, for verification."""
+
+    grams: np.ndarray
+    hashes: np.ndarray
+    data: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def exact(self) -> set[tuple[bytes, ...]]:
+        data = self.data.tobytes()
+        words = [data[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
+        return {tuple(words[i : i + N]) for i in range(max(1, len(words) - N + 1))}
+
+
+def read_set(text: bytes) -> TextSet:
+    data, offsets = arrays.LOWER[np.frombuffer(text, np.uint8)], np.array([0, len(text)])
+    starts, ends, row = arrays.words(data, offsets, ~arrays.SPACE)
+    hashes = arrays.word_hashes(data, starts, ends)
+    return TextSet(_sets_of(hashes, row, offsets)[0], hashes, data, starts, ends)
+
+
+def bitmap(grams: np.ndarray) -> list[int]:
+    """Parities of the n-grams by the top bits of their hashes, as longs."""
+    odd = np.bincount((grams >> np.uint64(54)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def set_id(grams: np.ndarray) -> int | None:
     if not len(grams):
         return None
@@ -69,7 +112,7 @@ def set_id(grams: np.ndarray) -> int | None:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(COUNTERS, np.uint32)
-    kinds = {"key": pa.int64(), "t": pa.int64(), "n": pa.int64(), "sid": pa.int64(), "slice": pa.int32(), "counts": pa.binary()}
+    kinds = {"key": pa.int64(), "t": pa.int64(), "n": pa.int64(), "sid": pa.int64(), "bits": pa.list_(pa.int64()), "slice": pa.int32(), "task": pa.int32(), "counts": pa.binary()}
     for batch, data, offsets in arrays.blocks(batches):
         sets = ngram_sets(data, offsets)
         grams = np.concatenate(sets)
@@ -77,35 +120,57 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = len(sets)
         yield pa.RecordBatch.from_arrays(
             [batch.column("key"), batch.column("t"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_id(s) for s in sets], pa.int64()),
-             pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=list(kinds),
+             pa.array([bitmap(s) if len(s) else None for s in sets], kinds["bits"]), pa.nulls(m, pa.int32()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=list(kinds),
         )
     packer = zstandard.ZstdCompressor(level=1)
     parts = [packer.compress(part.tobytes()) for part in np.split(counts, SLICES)]
-    empty = [pa.nulls(SLICES, k) for k in list(kinds.values())[:4]]
-    yield pa.RecordBatch.from_arrays([*empty, pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=list(kinds))
+    empty = [pa.nulls(SLICES, k) for k in list(kinds.values())[:5]]
+    task = pa.array([TaskContext.get().partitionId()] * SLICES, pa.int32())
+    yield pa.RecordBatch.from_arrays([*empty, pa.array(range(SLICES), pa.int32()), task, pa.array(parts, pa.binary())], names=list(kinds))
 
 
-def _sum_slice(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(COUNTERS // SLICES, np.uint64)
+def _sum_counts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    total, place, task = np.zeros(COUNTERS // SLICES, np.uint64), 0, 0
     for frame in parts:
-        place = frame["slice"].iloc[0]
+        place, task = frame["slice"].iloc[0], frame["task"].iloc[0]
         for part in frame["counts"]:
-            total += np.frombuffer(zstandard.decompress(part), np.uint32)
-    # Ranks, in steps of a twentieth of the count: 16 bits hold any number, and order is all that matters.
-    scaled = np.minimum(np.log1p(total.astype(np.float64)) * 20 * 8, 65535).astype(np.uint16)
-    yield pd.DataFrame({"slice": [place], "counts": [scaled.tobytes()]})
+            found = zstandard.decompress(part)
+            total += np.frombuffer(found, np.uint64 if len(found) == total.nbytes else np.uint32)
+    yield pd.DataFrame({"slice": [place], "task": [task], "counts": [zstandard.compress(total.tobytes(), 1)]})
+
+
+def _ranks(slices: DataFrame) -> np.ndarray:
+    """Rank of each counter, from the tasks' counters (slice, task, counts), added in a tree: 64 to a group.
 
+    Ranks are steps of a twentieth of the count: 16 bits hold any number, and order is all that matters."""
+    most = slices.agg(F.max("task")).first()[0] or 0
+    while True:
+        slices = slices.withColumn("task", F.shiftright("task", 6)).groupBy("slice", "task").applyInPandas(_sum_counts, "slice int, task int, counts binary")
+        most >>= 6
+        if not most:
+            break
+    total = np.zeros(COUNTERS, np.uint64)
+    for r in slices.collect():  # SLICES rows of fixed size
+        total[r["slice"] * (COUNTERS // SLICES) :][: COUNTERS // SLICES] = np.frombuffer(zstandard.decompress(r["counts"]), np.uint64)
+    return np.minimum(np.log1p(total.astype(np.float64)) * 20 * 8, 65535).astype(np.uint16)
 
-def _prefixes(order, buckets: int, flush_bytes: int = 24 << 20):
+
+def salts(ranks: np.ndarray, salted: int) -> np.ndarray:
+    """To how many buckets the entries of n-grams of these ranks are dealt."""
+    return np.maximum(np.expm1(ranks / 160.0) / salted, 1).astype(np.int64)
+
+
+def _prefixes(order, buckets: int, salted_from: int, flush_bytes: int = 24 << 20):
     """Prefix n-grams by bucket, packed: per set (sid, n), per n-gram (hash, place of its set, position)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, packer = order.value, zstandard.ZstdCompressor(level=1)
-        hashes, owners, places, sids, sizes, seen, held = [], [], [], [], [], set(), 0
+        hashes, owners, places, salted, sids, sizes, seen, held = [], [], [], [], [], [], set(), 0
 
         def flush() -> pa.RecordBatch:
             h, own, pos = np.concatenate(hashes), np.concatenate(owners), np.concatenate(places)
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            salt = np.concatenate(salted).astype(np.uint64)
+            bucket = (np.where(salt > 0, arrays.mix(h + salt), h) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             found, at = np.unique(bucket[by], return_index=True)
             sid, n = np.array(sids, np.int64), np.array(sizes, np.int32)
@@ -123,16 +188,19 @@ def _prefixes(order, buckets: int, flush_bytes: int = 24 << 20):
                     continue
                 seen.add(sid)
                 p = n - -(-UP * n // DOWN) + 1
-                chosen = np.argsort(ranks[(grams & np.uint64(COUNTERS - 1)).astype(np.int64)], kind="stable")[:p]
+                rank = ranks[(grams & np.uint64(COUNTERS - 1)).astype(np.int64)]
+                chosen = np.argsort(rank, kind="stable")[:p]
+                many = salts(rank[chosen], salted_from)
                 hashes.append(grams[chosen])
                 owners.append(np.full(p, len(sids), np.int32))
-                places.append(np.arange(p, dtype=np.int32))
+                places.append(np.arange(p, dtype=np.int32) + np.where(many > 1, HOT, 0).astype(np.int32))
+                salted.append(np.where(many > 1, 1 + sid % many, 0))
                 sids.append(sid)
                 sizes.append(n)
                 held += 24 * p
             if held >= flush_bytes:
                 yield flush()
-                hashes, owners, places, sids, sizes, seen, held = [], [], [], [], [], set(), 0
+                hashes, owners, places, salted, sids, sizes, seen, held = [], [], [], [], [], [], set(), 0
         if held:
             yield flush()
 
@@ -172,10 +240,11 @@ def _join_bucket(frame: pd.DataFrame) -> pd.DataFrame:
     h, sid, n, pos = (np.concatenate(x) for x in zip(*map(_unpack, frame["packed"]), strict=True))
     by = np.lexsort((sid, pos, h))
     h, sid, n, pos = h[by], sid[by], n[by], pos[by]
+    hot, pos = pos >= HOT, pos & (HOT - 1)
     # A set has one position in all its copies, so copies stand side by side.
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (sid[1:] != sid[:-1])
-    h, sid, n, pos = h[new], sid[new], n[new], pos[new]
+    h, sid, n, pos, hot = h[new], sid[new], n[new], pos[new], hot[new]
     starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     size = np.diff(np.append(starts, len(h)))
     group_size, start = np.repeat(size, size), np.repeat(starts, size)
@@ -202,29 +271,38 @@ def _join_bucket(frame: pd.DataFrame) -> pd.DataFrame:
         add(i, start[i] + drawn.astype(np.int64), level)
         level, bound = level + 1, bound // SMALL
     pairs = pd.concat(found).groupby(["a", "b"], as_index=False).agg(votes=("level", "size"), level=("level", "max"))
-    large = index[group_size > SMALL]
+    # Others of a salted n-gram are in other buckets.
+    large = index[(group_size > SMALL) | hot]
     entries = pd.DataFrame({"h": h[large].view(np.int64), "a": sid[large], "n": n[large], "pos": pos[large]})
     columns = ["a", "b", "votes", "level", "h", "n", "pos"]
     return pd.concat([pairs.astype("Int64"), entries.astype("Int64")]).reindex(columns=columns).astype("Int64")
 
 
 def _cross(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All passing pairs of different components among the sets that share an n-gram, in pieces."""
-    frame = pd.concat(list(frames)).sort_values(["h", "n"], kind="stable")
-    values = {c: frame[c].to_numpy(np.int64) for c in ("h", "sid", "n", "pos", "comp")}
-    h, n, comp = values["h"], values["n"], values["comp"]
-    stops = np.searchsorted(h, h, "right")
+    """All passing pairs of different components among the sets that share an n-gram, in pieces. ``i`` and ``j`` name the
+    parts that meet: of two parts, one from each."""
+    frame = pd.concat(list(frames)).sort_values(["h", "i", "j", "n"], kind="stable")
+    values = {c: frame[c].to_numpy(np.int64) for c in ("h", "i", "j", "part", "sid", "n", "pos", "comp")}
+    bits = np.stack([np.asarray(x, np.int64).view(np.uint64) for x in frame["bits"]])
+    n, comp, sid, part = values["n"], values["comp"], values["sid"], values["part"]
+    new = np.ones(len(n), bool)
+    new[1:] = (values["h"][1:] != values["h"][:-1]) | (values["i"][1:] != values["i"][:-1]) | (values["j"][1:] != values["j"][:-1])
+    stops = np.append(np.flatnonzero(new), len(n))[np.cumsum(new)]
+    across = values["i"] != values["j"]
     a, b, held = [], [], 0
 
     def unique() -> pd.DataFrame:
         return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}).drop_duplicates()
 
-    for i in range(len(h)):
+    for i in range(len(n)):
         j = np.arange(i + 1, np.searchsorted(n[i : stops[i]], n[i] * DOWN // UP, "right") + i)
         j = j[comp[j] != comp[i]]
+        if across[i]:
+            j = j[part[j] != part[i]]
         if len(j):
-            sid = values["sid"]
             j = j[_good(sid, n, values["pos"], np.full(len(j), i), j)]
+            differ = np.bitwise_count(bits[j] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            j = j[differ <= n[j] + n[i] - 2 * least_overlap(n[j], n[i])]
             a.append(np.minimum(sid[i], sid[j]))
             b.append(np.maximum(sid[i], sid[j]))
             held += len(j)
@@ -235,6 +313,13 @@ def _cross(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield unique()
 
 
+def alike(x: Column, y: Column, n_x: Column, n_y: Column) -> Column:
+    """Whether the bitmaps of two sets allow that they are similar."""
+    differ = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, c: total + c)
+    need = F.ceil(UP * (n_x + n_y) / (UP + DOWN))
+    return differ <= n_x + n_y - 2 * need
+
+
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     packer = zstandard.ZstdCompressor(level=1)
     for batch, data, offsets in arrays.blocks(batches):
@@ -243,7 +328,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"key": batch.column("key"), "t": batch.column("t"), "packed": pa.array(packed, pa.binary())})
 
 
-def similar(x: np.ndarray, y: np.ndarray) -> bool:
+def overlapping(x: np.ndarray, y: np.ndarray) -> bool:
     """Jaccard of two sorted sets >= t. The suffix filter first splits both at a common pivot: halves of different
     sizes can't agree in more than their smaller size."""
     need = least_overlap(len(x), len(y))
@@ -258,8 +343,29 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
     return int(np.count_nonzero(both[1:] == both[:-1])) >= need
 
 
+def same_words(x: TextSet, y: TextSet) -> bool:
+    """Whether equal hashes mean equal words in these two texts."""
+    hashes, data = np.concatenate([x.hashes, y.hashes]), np.concatenate([x.data, y.data])
+    starts, ends = (np.concatenate([own, other + len(x.data)]) for own, other in ((x.starts, y.starts), (x.ends, y.ends)))
+    by = np.argsort(hashes, kind="stable")
+    same = hashes[by[1:]] == hashes[by[:-1]]
+    a, b = by[1:][same], by[:-1][same]
+    if (ends[a] - starts[a] != ends[b] - starts[b]).any():
+        return False
+    return np.array_equal(arrays.gathered(data, starts[a], ends[a]), arrays.gathered(data, starts[b], ends[b]))
+
+
+def similar(x: TextSet, y: TextSet) -> bool:
+    if not overlapping(x.grams, y.grams):
+        return False
+    if same_words(x, y):
+        return True
+    p, q = x.exact(), y.exact()
+    return DOWN * len(p & q) >= UP * len(p | q)
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[int, np.ndarray] = {}
+    known: dict[int, TextSet] = {}
     for batch in batches:
         keep = []
         for i, (a, b, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True)):
@@ -267,9 +373,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for sid, packed in ((a, x), (b, y)):
                 found = known.get(sid)
                 if found is None:
-                    data = np.frombuffer(zstandard.decompress(packed), np.uint8)
-                    found = ngram_sets(data, np.array([0, len(data)]))[0]
-                    if len(known) >= 2000:
+                    found = read_set(zstandard.decompress(packed))
+                    if len(known) >= 500:
                         known.clear()
                     known[sid] = found
                 both.append(found)
@@ -289,20 +394,24 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"key": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "t": F.xxhash64("text")})
 
 
-def classes(docs: DataFrame, bucket_bytes: int = 24 << 20) -> DataFrame:
+def classes(docs: DataFrame, bucket_bytes: int = 24 << 20, salted: int = SALTED, part: int = PART) -> DataFrame:
     """key, t and n (size of the set) of every row, and ``least``, the least (key, t) of its class; null for empty sets."""
     spark = docs.sparkSession
     docs = keyed(docs).select("key", "t", "text")
-    first = stored(docs.mapInArrow(_sets, "key long, t long, n long, sid long, slice int, counts binary"))
+    first = stored(docs.mapInArrow(_sets, "key long, t long, n long, sid long, bits array<long>, slice int, task int, counts binary"))
     sets = first.where("slice is null").select("key", "t", "n", "sid")
-    # SLICES rows of fixed size.
-    slices = first.where("slice is not null").select("slice", "counts").groupBy("slice").applyInPandas(_sum_slice, "slice int, counts binary").collect()
-    order = spark.sparkContext.broadcast(np.concatenate([np.frombuffer(r["counts"], np.uint16) for r in sorted(slices)] or [np.zeros(COUNTERS, np.uint16)]))
+    order = spark.sparkContext.broadcast(_ranks(first.where("slice is not null").select("slice", "task", "counts")))
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 6 // bucket_bytes)
-    packed = docs.select("text").mapInArrow(_prefixes(order, buckets), "bucket long, packed binary")
+    packed = docs.select("text").mapInArrow(_prefixes(order, buckets, salted), "bucket long, packed binary")
     joined = stored(packed.groupBy("bucket").applyInPandas(_join_bucket, "a long, b long, votes long, level long, h long, n long, pos long"))
-    offers = stored(joined.where("b is not null").groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.max("level").alias("level")))
+    offers = joined.where("b is not null").groupBy("a", "b").agg(F.sum("votes").alias("votes"), F.max("level").alias("level"))
+    # One row per distinct set: its first row by (key, t), size and bitmap.
+    held = first.where("sid is not null").groupBy("sid").agg(F.min(F.struct("key", "t")).alias("r"), F.any_value("n").alias("n"), F.any_value("bits").alias("bits"))
+    held = stored(held.select("sid", "r.key", "r.t", "n", "bits"))
+    offers = offers.join(held.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x")), "a")
+    offers = offers.join(held.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y")), "b")
+    offers = stored(offers.where(alike(F.col("x"), F.col("y"), F.col("na"), F.col("nb"))).select("a", "b", "votes", "level"))
     # Each set's best offers; those of level 0 count for both.
     both = offers.union(offers.where("level = 0").select("b", "a", "votes", "level"))
     place = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("level"), F.desc("votes"), "b"))
@@ -311,7 +420,7 @@ def classes(docs: DataFrame, bucket_bytes: int = 24 << 20) -> DataFrame:
     pairs = offers.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     wide = joined.where("h is not null").select("h", F.col("a").alias("sid"), "n", "pos")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).union(wide.select("sid")).distinct()
-    rows = sets.join(wanted, "sid").groupBy("sid").agg(F.min(F.struct("key", "t")).alias("r")).select("sid", "r.key", "r.t")
+    rows = held.join(wanted, "sid").select("sid", "key", "t")
     texts = docs.mapInArrow(_texts, "key long, t long, packed binary").join(rows, ["key", "t"]).groupBy("sid").agg(F.first("packed").alias("packed"))
     texts = stored(texts)
     links = _verified(best, texts)
@@ -322,8 +431,14 @@ def classes(docs: DataFrame, bucket_bytes: int = 24 << 20) -> DataFrame:
 
     rest = with_root(with_root(pairs.select("a", "b"), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
     spread = with_root(wide, "sid", "comp")
-    mixed = spread.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("h")
-    crossing = spread.join(mixed, "h").select(F.pmod("h", F.lit(buckets)).alias("bucket"), "h", "sid", "n", "pos", "comp")
+    # Stored, so that Spark knows its size before it plans the join with all entries.
+    mixed = spread.groupBy("h").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m"))
+    mixed = stored(mixed.where("low <> high").select("h", F.ceil(F.col("m") / part).cast("int").alias("parts")))
+    own = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
+    crossing = spread.join(mixed, "h").withColumn("part", own).join(held.select("sid", "bits"), "sid")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    crossing = crossing.select("h", "sid", "n", "pos", "comp", "bits", "part", other.alias("other")).withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")})
+    crossing = crossing.drop("other").withColumn("bucket", F.pmod(F.xxhash64("h", "i", "j"), F.lit(buckets)))
     more = crossing.groupBy("bucket").applyInPandas(_cross, "a long, b long")
     rest = stored(rest.union(more).distinct().join(best, ["a", "b"], "left_anti"))
     found = _verified(rest, texts)
@@ -334,10 +449,10 @@ def classes(docs: DataFrame, bucket_bytes: int = 24 << 20) -> DataFrame:
     return named.join(least, "root", "left").select("key", "t", "n", "least")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     least = F.coalesce("least.key", "key")
-    return classes(docs).select(
+    return classes(docs, **options).select(
         F.when(F.col("key") != NO_ID, F.col("key")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(least != NO_ID, least).alias("component_id")
     )
 
@@ -346,6 +461,8 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each class its least id stays, and all rows without words."""
     found = classes(docs)
     stay = found.where(F.col("least").isNull() | (F.col("least") == F.struct("key", "t"))).select("key", "t", (F.col("n") == 0).alias("empty")).distinct()
-    # A row that is repeated as it is, id and all, is in a class with itself.
-    again = F.row_number().over(Window.partitionBy("key", "t").orderBy(F.lit(0)))
-    return keyed(docs).join(stay, ["key", "t"]).withColumn("again", again).where("again = 1 or empty").select(*(F.col(f"`{c}`") for c in docs.columns))
+    # A row that is repeated as it is, id and all, is in a class with itself; the least by its other columns stays.
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c != "text" and "map<" not in docs.schema[c].dataType.simpleString()]
+    again = F.row_number().over(Window.partitionBy("key", "t").orderBy(*others))
+    rows = keyed(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")).drop("doc_id", "text")
+    return rows.join(stay, ["key", "t"]).withColumn("again", again).where("again = 1 or empty").select("row.*")
