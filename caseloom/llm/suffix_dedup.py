@@ -125,13 +125,6 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray):
     return document[begin], start, stop + LENGTH, key, arrays.range_hashes(sums, start, stop + LENGTH), twice, offset
 
 
-def gathered(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """data[start:end] of all ranges, one after the other."""
-    size = ends - starts
-    stops = np.cumsum(size)
-    return data[np.arange(stops[-1] if len(stops) else 0) + np.repeat(starts - (stops - size), size)]
-
-
 FIELDS = [("key", np.uint32), ("doc", np.int64), ("t", np.int64), ("start", np.int32), ("size", np.int32), ("twice", bool), ("at", np.uint8)]
 SHORT = (1 << 32) - 1  # a key's low bits tell it from others in its bucket, but for some that meet without harm
 
@@ -185,17 +178,33 @@ def sharing(columns: dict[str, np.ndarray], own: np.ndarray) -> np.ndarray:
     return own[keep]
 
 
-def firsts(columns: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(places of the first run of each content, places of the later ones). A place that comes twice is one."""
+def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, sizes: np.ndarray, step: int = 1 << 19) -> np.ndarray:
+    """Whether data[a : a + size] and data[b : b + size] are equal."""
+    out = np.ones(len(a), bool)
+    total = np.cumsum(sizes)
+    cuts = np.searchsorted(total, np.arange(step, total[-1] if len(total) else 0, step), "right")
+    for part in np.split(np.arange(len(a)), np.unique(cuts)):
+        if len(part):
+            n = sizes[part]
+            other = arrays.gathered(data, a[part], a[part] + n) != arrays.gathered(data, b[part], b[part] + n)
+            out[part] = ~np.logical_or.reduceat(other, np.cumsum(n) - n)
+    return out
+
+
+def firsts(columns: dict[str, np.ndarray], data: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the first run of each content, places of the later ones). A place that comes twice is one. Equal hashes
+    only propose: bytes are compared, and a run that differs from the one before it goes on to the suffix arrays."""
     order = np.lexsort((columns["start"], columns["t"], columns["doc"], columns["size"], columns["content"], columns["key"]))
     same = np.ones(len(order), bool)
     for name in ("key", "content", "size"):
         same[1:] &= columns[name][order[1:]] == columns[name][order[:-1]]
+    if len(order):
+        same[0] = False
+    some = np.flatnonzero(same)
+    same[some] = equal_bytes(data, begin[order[some]], begin[order[some - 1]], columns["size"][order[some]].astype(np.int64))
     place = same.copy()
     for name in ("doc", "t", "start"):
         place[1:] &= columns[name][order[1:]] == columns[name][order[:-1]]
-    if len(order):
-        same[0] = place[0] = False
     return order[~same], order[same & ~place]
 
 
@@ -232,7 +241,7 @@ def _deal(ranks, buckets: int, flush_bytes: int = 16 << 20):
             columns = {n: np.concatenate([h[0][n] for h in held]) for n in held[0][0]}
             data = np.concatenate([h[1] for h in held])
             begin = np.cumsum(columns["size"], dtype=np.int64) - columns["size"]
-            own, later = firsts(columns)
+            own, later = firsts(columns, data, begin)
             own = np.sort(own)
             bucket = (arrays.mix(columns["key"][own]) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
@@ -244,7 +253,7 @@ def _deal(ranks, buckets: int, flush_bytes: int = 16 << 20):
                 # Ranges known already travel with any shard.
                 more = removed[i :: len(found)]
                 short = {"key": columns["key"][part] & np.uint64(SHORT)}
-                rows.append(_pack(packer, {n: columns[n][part] for n, _ in FIELDS} | short, gathered(data, begin[part], begin[part] + sizes), more))
+                rows.append(_pack(packer, {n: columns[n][part] for n, _ in FIELDS} | short, arrays.gathered(data, begin[part], begin[part] + sizes), more))
             return pa.record_batch({"bucket": pa.array(found, pa.int64()), "packed": pa.array(rows, pa.binary())})
 
         for batch, data, offsets in arrays.blocks(batches, 1 << 20):
@@ -252,7 +261,7 @@ def _deal(ranks, buckets: int, flush_bytes: int = 16 << 20):
             if len(document):
                 doc, t = (np.array(batch.column(c).to_pylist(), np.int64)[document] for c in ("key", "t"))
                 columns = {"key": key, "content": content, "doc": doc, "t": t, "start": start - offsets[document], "size": end - start, "twice": twice, "at": at}
-                held.append((columns, gathered(data, start, end)))
+                held.append((columns, arrays.gathered(data, start, end)))
                 size += len(data)
             if size >= flush_bytes:
                 yield flush()
@@ -360,7 +369,7 @@ def _dedup_shard(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     texts, columns = [], []
     for (own, data, _), use in zip(parts, wanted, strict=True):
         stop = np.cumsum(own["size"], dtype=np.int64)[use]
-        texts.append(gathered(data, stop - own["size"][use], stop))
+        texts.append(arrays.gathered(data, stop - own["size"][use], stop))
         columns.append({n: x[use] for n, x in own.items()})
     removed = [p[2] for p in parts]
     del parts
@@ -369,7 +378,7 @@ def _dedup_shard(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     del texts
     begin = np.cumsum(columns["size"], dtype=np.int64) - columns["size"]
     columns |= dict(zip(("content", "before", "after"), content_hashes(data, begin, columns["size"].astype(np.int64), columns["at"].astype(np.int64)), strict=True))
-    own, later = firsts(columns)  # in order of the key
+    own, later = firsts(columns, data, begin)  # in order of the key
     removed.append(_ranges(columns, later))
     own = sharing(columns, own)
     sizes = columns["size"][own].astype(np.int64)
@@ -379,7 +388,7 @@ def _dedup_shard(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in np.split(own, np.flatnonzero(np.diff(shard)) + 1) if len(own) else []:
         sizes = columns["size"][part].astype(np.int64)
         local = {n: columns[n][part] for n, _ in FIELDS}
-        text = gathered(data, begin[part], begin[part] + sizes)
+        text = arrays.gathered(data, begin[part], begin[part] + sizes)
         start = np.cumsum(sizes) - sizes
         run, offset, is_later = repeated_strings(text, start, local)
 

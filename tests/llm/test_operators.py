@@ -245,11 +245,10 @@ def items(odd):
     ]
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 1])
-def test_contamination(spark, odd, block_bytes):
+def test_contamination(spark, odd):
     rows = items(odd)
     benchmark = spark.createDataFrame(rows, "item_id string, text string")
-    found = decontamination.find_contamination(odd, benchmark, block_bytes)
+    found = decontamination.find_contamination(odd, benchmark)
     found = found.select("row.doc_id", "n_words", decontamination.n_hit().alias("n_hit"), "items", decontamination.is_contaminated().alias("bad"))
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], len(r["items"]), hashlib.sha256(",".join(r["items"]).encode()).hexdigest(), r["bad"]) for r in found.collect()}
     for doc_id, *want in brute.contamination(pairs(odd), [(i or "", t) for i, t in rows]):
