@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import sys
+
 from pyspark.sql import Column, functions as F
 
 from caseloom.constants import HTML_TAG, UNSAFE_NAME_CHAR, pattern
@@ -104,8 +107,25 @@ def words(text: Column, unicode: bool = True) -> Column:
     return F.filter(split, lambda word: word != "")
 
 
+def _folded(letter: str) -> str:
+    """The lower form of the upper form, each of one letter, as patterns that ignore case compare letters."""
+    upper = next((x for x in (letter.upper(), letter.title()) if len(x) == 1), letter)
+    return upper.lower()[0]
+
+
+@functools.cache
+def _beyond_lower() -> tuple[str, str]:
+    """(letters whose folded form isn't what ``lower`` makes of them wherever they stand, their folded forms)."""
+    letters = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.lower() != c or c.upper() != c]
+    found = [c for c in letters if _folded(c) != c.lower() or c == "\u03a3"]
+    return "".join(found), "".join(map(_folded, found))
+
+
 def fold_case(text: Column) -> Column:
-    """Case-folded form used for comparisons that ignore case: equal wherever a pattern that ignores case is. Four
-    letters whose case form hangs on their place or has more than one character are set right before and after."""
-    plain = F.translate(text, "\u0130\u1e9e", "i\u00df")
-    return F.translate(F.lower(F.upper(plain)), "\u03c2", "\u03c3")
+    """Case-folded form used for comparisons that ignore case: equal wherever a pattern that ignores case is.
+
+    ``lower`` alone misses letters that only share their upper form (long s and s), and hangs on the place of a final
+    sigma. A chain of ``upper`` and ``lower`` would not do: the optimizer drops the inner one. So those letters, a few
+    dozen by rule, are replaced first.
+    """
+    return F.lower(F.translate(text, *_beyond_lower()))

@@ -1,146 +1,237 @@
-"""Which phrase occurs in which text: a contains-join written as equi-joins.
+"""Which phrase occurs in which text, without comparing every text with every phrase.
 
-Comparing every text with every phrase grows with the product of both tables. Here each phrase
-gets one anchor that every text holding it must hold as well, texts and phrases are joined on the
-anchor, and only those candidates are compared in full:
+Three ways, chosen by the size of the phrase table and equal in result:
 
-* a phrase of five or more words: three words in a row from its inside, which stand whole in any
-  text that holds the phrase;
-* a shorter phrase: one of its words, which may be part of a longer word in the text: at its end if
-  the phrase starts with it, at its start if the phrase ends with it. The words of
-  all texts are reduced to a vocabulary first, and three-character pieces lead from a vocabulary
-  word to the phrase words inside it.
+* a list of at most ``SHORT_LIST`` phrases is one alternation of literals (redaction only);
+* up to ``IN_ROWS`` bytes of phrases, a bound that is checked, go to all tasks: texts are read once, phrases are found and
+  compared inside the row (`anchors.Matcher`), and no row moves;
+* a larger table is joined. Texts are read twice and never shuffled whole. The first pass counts in how many places
+  the windows of the phrases occur: a phrase with a window that occurs nowhere is done, any other takes its
+  rarest window as its anchor. The second pass sends, for each anchor, only the bytes around it; there the phrase is
+  compared byte by byte. Anchors that occur very often are salted.
 
-Of all possible anchors a phrase takes the one that the fewest phrases share. Neither side is broadcast on trust: Spark picks the join by size, and both sides can be shuffled.
+Texts and phrases are compared in the form `fold_case` gives if case is ignored, which is equal exactly where a pattern that
+ignores case is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.functions import arrow_udf
 
 from caseloom.constants import REDACTED, pattern
 from caseloom.functions.redaction import phrase_array_pattern, redact
-from caseloom.functions.text import fold_case, words
+from caseloom.functions.text import fold_case
+from caseloom.operators import anchors
+from caseloom.session import cut_lineage
 
-
-# Length of the word pieces that lead from a vocabulary word to the phrase words inside it.
-PIECE = 3
-# Longest list of phrases that a text is searched for without a join on its words.
+# Longest list of phrases that becomes one literal alternation.
 SHORT_LIST = 100
-
-
-def _grams(tokens: Column) -> Column:
-    """Hashes of all three-word runs; NULL for fewer than three words.
-
-    The length test is part of the expression: as a filter it would split every text twice.
-    """
-    runs = F.transform(
-        F.sequence(F.lit(1), F.size(tokens) - 2),
-        lambda i: F.xxhash64(F.get(tokens, i - 1), F.get(tokens, i), F.get(tokens, i + 1)),
+# Bytes of phrases, up to which a table goes to all tasks.
+IN_ROWS = 8 << 20
+# Windows of a phrase that are counted, evenly spread; all of a phrase with fewer.
+OFFERED = 8
+# Places of an anchor in all texts, from which its rows are dealt to several tasks, and how many such anchors are told apart.
+OFTEN, MOST_OFTEN = 200_000, 10_000
+
+
+def _form(column: str, ignore_case: bool, flex: bool = False, unicode: bool = True) -> Column:
+    text = F.col(column)
+    text = fold_case(text) if ignore_case else text
+    return F.regexp_replace(text, pattern("[{s}]+", unicode), " ") if flex else text
+
+
+def _scope(by: Sequence[str]) -> Column:
+    return F.xxhash64(*by) if by else F.lit(0).cast("long")
+
+
+def _listed(phrases: DataFrame, by: Sequence[str], phrase: str, ignore_case: bool, flex: bool, unicode: bool) -> DataFrame:
+    """``_scope``, ``_form`` of the phrases that are not empty; each once. With ``flex`` outer white space is no part."""
+    form = _form(phrase, ignore_case, flex, unicode)
+    form = F.trim(form) if flex else form
+    return phrases.select(_scope(by).alias("_scope"), form.alias("_form")).filter(F.col("_form") != "").distinct()
+
+
+def _size(listed: DataFrame) -> int:
+    return listed.agg(F.sum(F.octet_length("_form") + 16)).first()[0] or 0
+
+
+def _matcher(listed: DataFrame, by: Sequence[str]) -> tuple[list[tuple[int, str]], object]:
+    """The phrases of a table whose size was checked, and their matcher for all tasks."""
+    rows = sorted((r["_scope"], r["_form"]) for r in listed.collect())
+    matcher = anchors.Matcher([(s, f.encode()) for s, f in rows], bool(by)) if rows else None
+    return rows, listed.sparkSession.sparkContext.broadcast(matcher)
+
+
+def _search(shared, texts: pa.Array, scope: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(rows, phrases, bytes, offsets, first row) of each piece of a batch."""
+    matcher = shared.value
+    data, offsets = anchors.as_bytes(texts)
+    for first, part, ends in anchors.pieces(data, offsets):
+        own = scope.to_numpy()[first : first + len(ends) - 1]
+        yield *matcher.find(part, ends, own), part, ends, first
+
+
+def _hits(shared):
+    @arrow_udf("array<struct<i:int,n:long>>")
+    def hits(texts: pa.Array, scope: pa.Array) -> pa.Array:
+        counts, which, many = np.zeros(len(texts), np.int64), [], []
+        for rows, found, data, offsets, first in _search(shared, texts, scope):
+            matcher, raw = shared.value, data.tobytes()
+            phrases = matcher.data.tobytes()
+            for row, k in zip(rows.tolist(), found.tolist(), strict=True):
+                start, size = int(matcher.starts[k]), int(matcher.sizes[k])
+                which.append(k)
+                many.append(raw.count(phrases[start : start + size], int(offsets[row]), int(offsets[row + 1])))
+            counts[first : first + len(offsets) - 1] = np.bincount(rows, minlength=len(offsets) - 1)
+        items = pa.StructArray.from_arrays([pa.array(which, pa.int32()), pa.array(many, pa.int64())], names=["i", "n"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), items)
+
+    return hits
+
+
+def _names(shared, originals):
+    @arrow_udf("array<string>")
+    def names(texts: pa.Array, scope: pa.Array) -> pa.Array:
+        out = [[] for _ in range(len(texts))]
+        for rows, found, _, _, first in _search(shared, texts, scope):
+            for row, k in zip(rows.tolist(), found.tolist(), strict=True):
+                out[first + row] += originals.value[k]
+        return pa.array(out, pa.list_(pa.string()))
+
+    return names
+
+
+# --- the join, for tables of any size ----------------------------------------
+
+
+def _offers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of each phrase: ``h``, and ``at``, where the phrase has it."""
+    for batch in batches:
+        data, offsets = anchors.as_bytes(batch.column("_form"))
+        scopes, sizes = batch.column("_scope").to_numpy(), np.diff(offsets)
+        kinds = np.array([anchors.anchor_size(n) for n in sizes.tolist()], np.int64)
+        for size, hashes in anchors.window_hashes(data, sorted(set(kinds.tolist()))):
+            own = np.flatnonzero(kinds == size)
+            room = sizes[own] - size
+            step = np.arange(OFFERED)
+            at = np.where(room[:, None] < OFFERED, np.minimum(step, room[:, None]), step * room[:, None] // (OFFERED - 1))
+            phrase, at = np.repeat(own, OFFERED), at.ravel()
+            keys = anchors.scoped(hashes, scopes, offsets)[offsets[phrase] + at]
+            rows = batch.take(pa.array(phrase, pa.int64()))
+            yield pa.record_batch({
+                "_scope": rows.column("_scope"), "_form": rows.column("_form"), "size": pa.array(np.full(len(at), size), pa.int32()),
+                "h": pa.array(keys.view(np.int64), pa.int64()), "at": pa.array(at, pa.int32()),
+            })
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """The bitmap of a table of hashes (``h``) of any length, from Spark's bitmaps of 4 KB: 8 MB at most."""
+    width = min(26, max(16, (32 * hashes.count()).bit_length()))
+    slot = F.shiftrightunsigned("h", 64 - width)
+    rows = hashes.groupBy(F.shiftright(slot, 15).alias("piece")).agg(F.bitmap_construct_agg(slot.bitwiseAND(32767)).alias("bits")).collect()
+    out = np.zeros((1 << width) // 8, np.uint8)
+    for r in rows:
+        out[r["piece"] * 4096 : r["piece"] * 4096 + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _known_windows(bits: np.ndarray, levels: list[int], batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(size, places, hashes, rows, bytes, offsets, first row): windows that the bitmap knows and that lie in one text."""
+    data, offsets = anchors.as_bytes(batch.column("_form"))
+    scopes = batch.column("_scope").to_numpy()
+    for first, part, ends in anchors.pieces(data, offsets):
+        for size, hashes in anchors.window_hashes(part, levels):
+            keys = anchors.scoped(hashes, scopes[first : first + len(ends) - 1], ends)
+            place = anchors.passing(bits, keys)
+            row = np.searchsorted(ends, place, "right") - 1
+            whole = place + size <= ends[row + 1]
+            place, row = place[whole], row[whole]
+            yield size, place, keys[place], row, part, ends, first
+
+
+def _count(shared, levels: list[int]):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0, np.uint64)]
+            for _, _, keys, *_ in _known_windows(shared.value, levels, batch):
+                found.append(keys)
+            keys, n = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.record_batch({"h": pa.array(keys.view(np.int64), pa.int64()), "n": pa.array(n, pa.int64())})
+
+    return work
+
+
+def _around(shared, levels: list[int], often, schema_keys: list[str]):
+    """Anchors in texts, each with its place and the bytes around it that a phrase with this anchor can cover."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot, salts = often.value
+        for batch in batches:
+            for size, place, keys, row, data, offsets, first in _known_windows(shared.value, levels, batch):
+                if not len(place):
+                    continue
+                low, high = np.maximum(place - size + 1, offsets[row]), np.minimum(place + 2 * size, offsets[row + 1])
+                raw = data.tobytes()
+                many = np.ones(len(keys), np.int64)
+                if len(hot):
+                    near = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+                    many = np.where(hot[near] == keys, salts[near], 1)
+                taken = batch.take(pa.array(first + row, pa.int64()))
+                columns = {c: taken.column(c) for c in schema_keys}
+                yield pa.record_batch(columns | {
+                    "h": pa.array(keys.view(np.int64), pa.int64()), "salt": pa.array((place % many).astype(np.int32), pa.int32()),
+                    "place": pa.array(place - offsets[row], pa.int64()), "before": pa.array(place - low, pa.int32()),
+                    "bytes": pa.array([raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary()),
+                })
+
+    return work
+
+
+def _joined(texts: DataFrame, listed: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys``, _scope, _form and ``hits`` for each text and phrase of a table of any size. texts: keys, _scope, _form."""
+    context = texts.sparkSession.sparkContext
+    offers = cut_lineage(listed.mapInArrow(_offers, "_scope long, _form string, size int, h long, at int").distinct())
+    levels = sorted(r["size"] for r in offers.select("size").distinct().collect())  # powers of two: at most 31
+    if not levels:
+        return texts.select(*keys, "_scope", "_form", F.lit(0).cast("long").alias("hits")).limit(0)
+    counts = texts.select("_scope", "_form").mapInArrow(_count(context.broadcast(_bitmap(offers.select("h").distinct())), levels), "h long, n long")
+    counts = cut_lineage(counts.groupBy("h").agg(F.sum("n").alias("n")))
+    held = offers.join(counts, "h", "left")
+    chosen = held.groupBy("_scope", "_form").agg(
+        F.min(F.coalesce("n", F.lit(0))).alias("least"), F.min_by(F.struct("h", "at", "size", "n"), F.struct("n", "h", "at")).alias("a")
     )
-    return F.when(F.size(tokens) >= 3, F.array_distinct(runs))
-
-
-def _keys(word: Column, wanted: Sequence[tuple[str, int]]) -> Column:
-    """Keys under which a vocabulary word is looked up, one list for all (role, length) pairs that
-    the phrases use. Only single-word phrases need the pieces from inside the word."""
-
-    def key(role: str, piece: Column) -> Column:
-        return F.struct(F.lit(role).alias("_role"), piece.alias("_piece"))
-
-    def of(role: str, size: int) -> Column:
-        if role == "whole":
-            return F.array(key(role, word))
-        if role == "start":
-            return F.array(key(role, F.left(word, F.lit(size))))
-        if role == "end":
-            return F.array(key(role, F.right(word, F.lit(size))))
-        starts = F.sequence(F.lit(1), F.greatest(F.length(word) - (size - 1), F.lit(1)))
-        return F.array_distinct(F.transform(starts, lambda i: key(role, F.substring(word, i, F.lit(size)))))
-
-    return F.concat(*[of(role, size) for role, size in wanted])
-
-
-def _rarest(rows: DataFrame, keys: list[str], *value: str) -> DataFrame:
-    """Per phrase, the value that the fewest phrases share (the longest of several), so that stock
-    wording that many phrases have in common does not become the anchor of all of them."""
-    shared = rows.groupBy(*value).agg(F.count(F.lit(1)).alias("_n"))
-    length = F.length(F.col(value[0]).cast("string"))
-    return (
-        rows.join(shared, list(value))
-        .groupBy(*keys)
-        .agg(F.min_by(F.struct(*value), F.struct("_n", -length, *value)).alias("_v"))
-        .select(*keys, "_v.*")
+    chosen = cut_lineage(chosen.filter("least > 0").select("_scope", "_form", "a.*"))
+    # Of the anchors that occur most, at most MOST_OFTEN rows.
+    hot = chosen.filter(F.col("n") > OFTEN).select("h", "n").distinct().orderBy(F.desc("n"), "h").limit(MOST_OFTEN).collect()
+    hot = sorted((np.int64(r["h"]).view(np.uint64), -(-r["n"] // OFTEN)) for r in hot)
+    often = context.broadcast((np.array([h for h, _ in hot], np.uint64), np.array([s for _, s in hot], np.int64)))
+    salted = texts.sparkSession.createDataFrame([(int(h.view(np.int64)), int(s)) for h, s in hot], "h long, salts int")
+    salts = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt")
+    wanted = chosen.join(F.broadcast(salted), "h", "left").select("_scope", "_form", "h", "at", salts)
+    names = [f"_k{i}" for i in range(len(keys))]
+    source = texts.select(*(F.col(c).alias(n) for c, n in zip(keys, names, strict=True)), "_scope", "_form")
+    kinds = ", ".join(f"{n} {texts.schema[c].dataType.simpleString()}" for c, n in zip(keys, names, strict=True))
+    bits = context.broadcast(_bitmap(chosen.select("h").distinct()))
+    schema = f"{kinds}, _scope long, h long, salt int, place long, before int, bytes binary"
+    found = source.mapInArrow(_around(bits, sorted({r["size"] for r in chosen.select("size").distinct().collect()}), often, [*names, "_scope"]), schema)
+    met = found.join(wanted, ["_scope", "h", "salt"])
+    start = F.col("before") - F.col("at")
+    same = F.substring(F.col("bytes"), start + 1, F.octet_length("_form")) == F.col("_form").cast("binary")
+    met = met.filter((start >= 0) & same).select(*names, "_scope", "_form", (F.col("place") - F.col("at")).alias("start"))
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end"))
+    size = F.octet_length("_form")
+    # Occurrences that don't overlap, from the left.
+    hits = F.aggregate(
+        F.array_sort(F.collect_set("start")), zero,
+        lambda a, s: F.when(s >= a["end"], F.struct((a["n"] + 1).alias("n"), (s + F.col("_size")).alias("end"))).otherwise(a), lambda a: a["n"],
     )
-
-
-def candidates(
-    texts: DataFrame,
-    phrases: DataFrame,
-    *,
-    text_id: str = "doc_id",
-    text: str = "text",
-    phrase_id: str = "phrase_id",
-    phrase: str = "phrase",
-    by: Sequence[str] = (),
-    ignore_case: bool = False,
-) -> DataFrame:
-    """Distinct ``by``, ``text_id``, ``phrase_id`` pairs that may match; no match is missing."""
-
-    def form(column: str) -> Column:
-        return fold_case(F.col(column)) if ignore_case else F.col(column)
-
-    by = list(by)
-    docs = texts.select(*by, text_id, F.split(form(text), pattern("[{s}]+")).alias("_words"))
-    known = phrases.filter(F.col(phrase) != "").select(*by, phrase_id, words(form(phrase)).alias("_pw"))
-
-    inner = F.slice("_pw", F.lit(2), F.greatest(F.size("_pw") - 2, F.lit(0)))
-    long_grams = known.filter(F.size("_pw") >= 5).select(*by, phrase_id, F.explode(_grams(inner)).alias("_anchor"))
-    long_anchor = _rarest(long_grams, [*by, phrase_id], "_anchor")
-    doc_grams = docs.select(*by, text_id, F.explode(_grams(F.col("_words"))).alias("_anchor"))
-    long_pairs = doc_grams.join(long_anchor, [*by, "_anchor"]).select(*by, text_id, phrase_id)
-
-    short = known.filter(F.size("_pw").between(1, 4))
-    last = F.size("_pw") - 1
-    role = F.when(last == 0, "inside").when(F.col("_i") == 0, "end").when(F.col("_i") == last, "start").otherwise("whole")
-    short_words = short.select(*by, phrase_id, "_pw", F.posexplode("_pw").alias("_i", "_part")).select(
-        *by, phrase_id, "_part", role.alias("_role")
-    )
-    piece = (
-        F.when(F.col("_role") == "whole", F.col("_part"))
-        .when(F.col("_role") == "end", F.right("_part", F.lit(PIECE)))
-        .otherwise(F.left("_part", F.lit(PIECE)))
-    )
-    short_word = _rarest(short_words, [*by, phrase_id], "_part", "_role").withColumn("_piece", piece)
-
-    # The two paths read all texts. A look at the phrase table says which of them are needed, and
-    # for short phrases which kinds of keys: at most ten pairs.
-    has_long = not long_grams.isEmpty()
-    size = F.when(F.col("_role") == "whole", 0).otherwise(F.length("_piece"))
-    wanted = sorted(tuple(r) for r in short_word.select("_role", size).distinct().collect())
-    if not wanted:
-        return long_pairs.distinct()
-
-    doc_words = docs.select(*by, text_id, F.explode(F.array_distinct("_words")).alias("_word")).filter(F.col("_word") != "")
-    inside = (
-        doc_words.select("_word").distinct()
-        .select("_word", F.explode(_keys(F.col("_word"), wanted)).alias("_key"))
-        .select("_word", "_key.*")
-        .join(short_word.select("_part", "_role", "_piece").distinct(), ["_role", "_piece"])
-        .filter(
-            F.when(F.col("_role") == "inside", F.contains("_word", "_part"))
-            .when(F.col("_role") == "end", F.endswith("_word", "_part"))
-            .when(F.col("_role") == "start", F.startswith("_word", "_part"))
-            .otherwise(F.col("_word") == F.col("_part"))
-        )
-        .select("_word", "_part", "_role")
-        .distinct()
-    )
-    reach = inside.join(short_word, ["_part", "_role"]).select(*by, phrase_id, "_word").distinct()
-    short_pairs = doc_words.join(reach, [*by, "_word"]).select(*by, text_id, phrase_id)
-    return long_pairs.unionByName(short_pairs).distinct() if has_long else short_pairs.distinct()
+    met = met.withColumn("_size", size).groupBy(*names, "_scope", "_form", "_size").agg(hits.alias("hits"))
+    return met.select(*(F.col(n).alias(c) for c, n in zip(keys, names, strict=True)), "_scope", "_form", "hits")
 
 
 def find_phrases(
@@ -153,25 +244,24 @@ def find_phrases(
     phrase: str = "phrase",
     by: Sequence[str] = (),
     ignore_case: bool = False,
+    in_rows: int = IN_ROWS,
 ) -> DataFrame:
     """All pairs where the text contains the phrase, plus how often it occurs (``hits``)."""
     by = list(by)
-    pairs = candidates(
-        texts, phrases, text_id=text_id, text=text, phrase_id=phrase_id, phrase=phrase, by=by, ignore_case=ignore_case
-    )
-
-    def form(column: str) -> Column:
-        return fold_case(F.col(column)) if ignore_case else F.col(column)
-
-    phrase_text = phrases.select(*by, phrase_id, form(phrase).alias("_phrase"))
-    doc_text = texts.select(*by, text_id, form(text).alias("_text"))
-    hits = (F.length("_text") - F.length(F.replace("_text", "_phrase", F.lit("")))) / F.length("_phrase")
-    return (
-        pairs.join(phrase_text, [*by, phrase_id])
-        .join(doc_text, [*by, text_id])
-        .filter(F.contains("_text", "_phrase"))
-        .select(*by, text_id, phrase_id, F.round(hits).cast("long").alias("hits"))
-    )
+    listed = _listed(phrases, by, phrase, ignore_case, False, True)
+    prepared = texts.select(*by, text_id, _scope(by).alias("_scope"), _form(text, ignore_case).alias("_form"))
+    if _size(listed) <= in_rows:
+        rows, shared = _matcher(listed, by)
+        index = texts.sparkSession.createDataFrame([(i, s, f) for i, (s, f) in enumerate(rows)], "_i int, _scope long, _form string")
+        if not rows:
+            pairs = prepared.limit(0).withColumn("hits", F.lit(0).cast("long"))
+        else:
+            found = prepared.select(*by, text_id, F.explode(_hits(shared)(F.col("_form"), F.col("_scope"))).alias("_h"))
+            pairs = found.select(*by, text_id, F.col("_h.i").alias("_i"), F.col("_h.n").alias("hits")).join(F.broadcast(index), "_i")
+    else:
+        pairs = _joined(prepared, listed, [*by, text_id])
+    known = phrases.select(*by, phrase_id, _form(phrase, ignore_case).alias("_form")).filter(F.col("_form") != "")
+    return pairs.select(*by, text_id, "_form", "hits").join(known, [*by, "_form"]).select(*by, text_id, phrase_id, "hits")
 
 
 def redact_phrases(
@@ -185,28 +275,41 @@ def redact_phrases(
     token: str = REDACTED,
     out: str = "redacted",
     short_list: int = SHORT_LIST,
+    in_rows: int = IN_ROWS,
     **rules,
 ) -> DataFrame:
     """`redact` with the known phrases taken from a table, for instance one list per package.
 
-    The longest list decides how, and never what: all ways give the same text. Up to ``short_list`` phrases, every text takes the whole
-    alternation of its list: the texts are not cut into words, and they are shuffled only if the
-    lists together are too large for Spark to broadcast. Beyond that, only the phrases that may
-    occur in a text enter its alternation, so the cost per text does not grow with the table.
+    The length of the list decides how, and never what. A row's alternation holds only the phrases that occur in it, so
+    its cost doesn't grow with the table.
     """
     by = list(by)
     flex, unicode = rules.get("flex_space", False), rules.get("unicode", True)
-    listed = phrases.select(*by, F.col(phrase)).filter(F.col(phrase) != "").distinct().withColumn("_id", F.col(phrase))
-    longest = listed.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
+    own = phrases.select(*by, F.col(phrase)).filter(F.col(phrase) != "").distinct()
+    longest = own.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     if longest <= short_list and not by:
-        return texts.withColumn(out, redact(F.col(text), [r["_id"] for r in listed.collect()], token=token, **rules))
+        return texts.withColumn(out, redact(F.col(text), [r[phrase] for r in own.collect()], token=token, **rules))
     if longest <= short_list:
-        lists = listed.groupBy(*by).agg(phrase_array_pattern(F.collect_list("_id"), flex, unicode).alias("_pattern"))
+        lists = own.groupBy(*by).agg(phrase_array_pattern(F.collect_list(phrase), flex, unicode).alias("_pattern"))
         joined = texts.join(lists, by, "left")
         return joined.withColumn(out, redact(F.col(text), F.col("_pattern"), token=token, **rules)).drop("_pattern")
-    pairs = candidates(
-        texts, listed, text_id=text_id, text=text, phrase_id="_id", phrase=phrase, by=by, ignore_case=True
-    )
-    per_text = pairs.groupBy(*by, text_id).agg(phrase_array_pattern(F.collect_set("_id"), flex, unicode).alias("_pattern"))
+    listed = _listed(own, by, phrase, True, flex, unicode)
+    form = _form(phrase, True, flex, unicode)
+    spelt = own.select(*by, phrase, _scope(by).alias("_scope"), (F.trim(form) if flex else form).alias("_form"))
+    if _size(listed) <= in_rows:
+        rows, shared = _matcher(listed, by)
+        known: dict[tuple[int, str], list[str]] = {}
+        for r in spelt.collect():
+            known.setdefault((r["_scope"], r["_form"]), []).append(r[phrase])
+        originals = texts.sparkSession.sparkContext.broadcast([sorted(known[r]) for r in rows])
+        if not rows:
+            return texts.withColumn(out, redact(F.col(text), token=token, **rules))
+        names = _names(shared, originals)(_form(text, True, flex, unicode), _scope(by))
+        found = texts.withColumn("_found", names)
+        found = found.withColumn("_pattern", phrase_array_pattern(F.col("_found"), flex, unicode))
+        return found.withColumn(out, redact(F.col(text), F.col("_pattern"), token=token, **rules)).drop("_found", "_pattern")
+    prepared = texts.select(*by, text_id, _scope(by).alias("_scope"), _form(text, True, flex, unicode).alias("_form"))
+    pairs = _joined(prepared, listed, [*by, text_id]).join(spelt.select("_scope", "_form", phrase), ["_scope", "_form"])
+    per_text = pairs.groupBy(*by, text_id).agg(phrase_array_pattern(F.collect_set(phrase), flex, unicode).alias("_pattern"))
     joined = texts.join(per_text, [*by, text_id], "left")
     return joined.withColumn(out, redact(F.col(text), F.col("_pattern"), token=token, **rules)).drop("_pattern")

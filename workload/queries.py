@@ -177,6 +177,27 @@ def redact_entities(spark, sf_dir):
     return redact_phrases(documents, phrases, protect=(), short_list=0).select("doc_id", "redacted")
 
 
+# Letters that only share their upper form with a plain one: long s, the micro sign, final sigma.
+ODD_LETTERS = ("sS\u03bc\u03c3", "\u017f\u017f\u00b5\u03c2")
+
+
+@query(
+    f"""
+WITH known AS (SELECT translate(text, '{ODD_LETTERS[0]}', '{ODD_LETTERS[1]}') AS phrase FROM benchmark),
+hits AS (
+  SELECT d.doc_id, '(?i)' || string_agg(regexp_escape(phrase), '|' ORDER BY length(phrase) DESC, phrase) AS phrases
+  FROM documents d JOIN known ON contains(lower(upper(d.text)), lower(upper(phrase))) GROUP BY d.doc_id)
+SELECT d.doc_id, {SCRUB_SQL % "CASE WHEN phrases IS NULL THEN text ELSE regexp_replace(text, phrases, '[REDACTED]', 'g') END"} AS redacted
+FROM documents d LEFT JOIN hits USING (doc_id)
+"""
+)
+def redact_entities_folded(spark, sf_dir):
+    """Phrases spelt with letters that `lower` doesn't fold, in a table that is joined as one of any size is."""
+    phrases = load(spark, sf_dir, "benchmark").select(F.translate("text", *ODD_LETTERS).alias("phrase"))
+    documents = _documents(spark, sf_dir).select("doc_id", "text")
+    return redact_phrases(documents, phrases, protect=(), short_list=0, in_rows=0).select("doc_id", "redacted")
+
+
 @query(
     f"""
 WITH hits AS (
