@@ -5,6 +5,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 from caseloom.llm import alignment, whitening
 from tests.llm import brute
@@ -115,3 +116,14 @@ def test_wide_groups_are_multiplied():
     b = alignment.Vocabulary(None, [b"a" * 9, b"a" * 5])
     found = alignment.Aligned([[0] + [1] * 61 + [0] * 2], [[0] * 21], a, b)
     assert found.n_a.tolist() == [64] and [x.tolist() for x in found.links()] == [[0, 0], [0, 1 << 16], [3 * 21, 61 * 21]]
+
+
+def test_byte_level_ids_are_those_of_the_library():
+    """Both libraries agree; very long runs of white space and long texts too."""
+    mine, library = alignment.byte_level(PATHS[0]), Tokenizer.from_file(PATHS[0])
+    library.encode_special_tokens = True
+    rng = random.Random(8)
+    texts = ["".join(chr(rng.choice([rng.randrange(32, 127), rng.randrange(0xD800), rng.randrange(0xE000, 0x110000), 32, 10])) for _ in range(rng.randrange(60))) for _ in range(3000)]
+    texts += ["a" + " " * n + "b" for n in (5000, 200_000, 300_000)] + ["a" * 30_000, "\n" * 100_000, "x\u3000" * 20_000, "<|endoftext|>" * 3]
+    want = [library.encode(" " + t, add_special_tokens=False).ids for t in texts]
+    assert mine.encode(texts) == want
