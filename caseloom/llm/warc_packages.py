@@ -330,8 +330,12 @@ def indexed(file, members: list[dict]) -> dict[str, list[tuple[int, int]]]:
 
 
 def _open(path: str):
-    path = f"file://{path[5:]}" if re.match("file:/(?!/)", path) else path  # as Spark writes it
-    system, place = fs.FileSystem.from_uri(path)
+    """A stream with random access, by any address that ``pyarrow.fs`` opens; names may hold blanks."""
+    local = re.match("file:/+", path)
+    if local or path.startswith("/"):
+        return fs.LocalFileSystem().open_input_file("/" + path[local.end() :] if local else path)
+    scheme, _, rest = path.partition("://")
+    system, place = fs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")
     return system.open_input_file(place)
 
 

@@ -102,7 +102,7 @@ def package(kind=zipfile.ZIP_STORED, index=True, compressed=True, lines=None):
 
 @pytest.mark.parametrize("options", [{}, {"index": False}, {"kind": zipfile.ZIP_DEFLATED}, {"compressed": False}, {"compressed": False, "index": False}, {"compressed": False, "kind": zipfile.ZIP_DEFLATED}])
 def test_other_packages(spark, tmp_path, options):
-    (tmp_path / "a.zip").write_bytes(b"stub before" + package(**options))
+    (tmp_path / "a b%20.zip").write_bytes(b"stub before" + package(**options))
     found = w.read_packages(w.files(spark, str(tmp_path))).collect()
     assert [r["error"] for r in found] == [None] * 5
     assert sorted(bytes(r["payload"]) for r in found) == [f"x{i}y".encode() for i in range(5)]
