@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from caseloom.constants import CATEGORIES, SUMMARY_HEADINGS, pattern
 from caseloom.functions.text import reply_text, strip_fence, strip_text
 from caseloom.operators.classify import DEFAULT_RULES, Rule
-from caseloom.operators.combine import combine_texts, ordered_join
+from caseloom.operators.combine import PART_BYTES, combine_texts, ordered_join
 from caseloom.operators.seam import USAGE, Model, apply_model
+from caseloom.session import cut_lineage
 
+# Summaries of parts that a model reads at once.
+FAN_IN = 8
 # What counts as a fact, by kind.
 FACTS = {
     "money": r"\$\s?[0-9][0-9,]*(?:\.[0-9]{2})?",
@@ -79,12 +83,22 @@ def top_evidence(
     return ranked.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def _top_facts(df: DataFrame, per_kind: int) -> DataFrame:
+def facts_left_out(facts: DataFrame, per_kind: int, keys: Sequence[str] = ("package_id",)) -> DataFrame:
+    """How many facts (as `case_facts` gives them) per package and kind a section of ``per_kind`` lines does not show."""
+    counted = facts.groupBy(*keys, "kind").agg((F.count(F.lit(1)) - per_kind).alias("left_out"))
+    return counted.filter(F.col("left_out") > 0)
+
+
+def _fact_lines(facts: DataFrame, per_kind: int) -> DataFrame:
+    """``_facts``: the lines of the section, per kind the most frequent facts and a notice of those it leaves out."""
     best = Window.partitionBy("package_id", "kind").orderBy(F.col("n").desc(), "value")
-    top = case_facts(df).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_kind)
-    return top.groupBy("package_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("kind").alias("a"), F.col("rank").alias("b"), "value", "n"))).alias("_facts")
-    )
+    top = facts.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_kind)
+    mentions = F.concat(F.lit(" (mentions: "), F.col("n").cast("string"), F.lit(")"))
+    shown = top.select("package_id", "kind", "rank", F.concat(F.lit("- "), "kind", F.lit(": "), "value", mentions).alias("line"))
+    more = F.concat(F.lit("- "), "kind", F.lit(": "), F.col("left_out").cast("string"), F.lit(" more, see the table of facts"))
+    rest = facts_left_out(facts, per_kind).select("package_id", "kind", F.lit(per_kind + 1).alias("rank"), more.alias("line"))
+    lines = shown.unionByName(rest).groupBy("package_id").agg(F.array_sort(F.collect_list(F.struct("kind", "rank", "line"))).alias("_lines"))
+    return lines.select("package_id", F.transform("_lines", lambda x: x["line"]).alias("_facts"))
 
 
 def case_summary(
@@ -92,17 +106,18 @@ def case_summary(
     *,
     k: int = 3,
     facts_per_kind: int = 10,
+    part_bytes: int = PART_BYTES,
     rules: Sequence[Rule] = DEFAULT_RULES,
     categories: Sequence[str] = CATEGORIES,
     model: Model | None = None,
-    parts_stored: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """One Markdown summary per package from redacted texts (``package_id, category, ord, text``).
 
     The default is extractive: counts, the most frequent figures and dates, the labels of the
-    matched rules, and the best sentences. It copies figures as they stand and gives no opinion.
+    matched rules, and the best sentences. It copies figures as they stand and gives no opinion. A kind of facts with more
+    than ``facts_per_kind`` says how many the section leaves out; `case_facts` has them all.
     A ``model`` reads the combined text and returns a column ``text``; a failed or empty reply
-    gives ''. ``parts_stored`` may keep the replies on parts in a table, so that no call is made twice.
+    gives ''. Replies are checkpointed, so that no call is made twice.
     The sections hold a fixed number of lines, so every group is small.
     """
     if model is not None:
@@ -113,21 +128,25 @@ def case_summary(
             text = strip_fence(F.when(F.col("model_error").isNull(), F.coalesce("_reply", F.lit(""))).otherwise(""))
             return asked.select("package_id", "part", text.alias("text"), *USAGE.fieldNames(), "model_error")
 
-        # A package in several parts: the model reads its summaries of the parts, in order, and makes one of them.
-        parts = ask(combine_texts(df))
-        if parts_stored is not None:
-            parts = parts_stored(parts)
-        per_package = parts.groupBy("package_id").agg(
-            F.count(F.lit(1)).alias("_parts"), ordered_join(F.col("part"), F.col("text"), "\n\n").alias("text"),
-            *(F.sum(c).alias(c) for c in USAGE.fieldNames()), F.max("model_error").alias("model_error"),
+        # A package in several parts: the model reads its summaries of FAN_IN parts at a time, in order, and so on up a
+        # tree, until one is left.
+        level = cut_lineage(ask(combine_texts(df, part_bytes=part_bytes).select("package_id", "part", "text")))
+        levels = [level]
+        while True:
+            many = level.groupBy("package_id").agg(F.count(F.lit(1)).alias("_parts")).filter("_parts > 1").select("package_id")
+            if many.isEmpty():
+                break
+            upper = level.join(many, "package_id", "left_semi").groupBy("package_id", F.expr(f"part div {FAN_IN}").alias("part")).agg(
+                ordered_join(F.col("part"), F.col("text"), "\n\n").alias("text")
+            )
+            level = cut_lineage(ask(upper))
+            levels.append(level)
+        totals = reduce(DataFrame.unionByName, levels).groupBy("package_id").agg(
+            *(F.sum(c).alias(c) for c in USAGE.fieldNames()), F.max("model_error").alias("model_error")
         )
-        single = per_package.where("_parts = 1").select("package_id", F.col("text").alias("summary_md"), *USAGE.fieldNames(), "model_error")
-        many = per_package.where("_parts > 1")
-        again = ask(many.select("package_id", F.lit(0).cast("long").alias("part"), "text"))
-        before = many.select("package_id", *(F.col(c).alias(f"_{c}") for c in USAGE.fieldNames()), F.col("model_error").alias("_error"))
-        tokens = [(F.coalesce(c, F.lit(0)) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in USAGE.fieldNames()]
-        joined = again.join(before, "package_id").select("package_id", F.col("text").alias("summary_md"), *tokens, F.coalesce("model_error", "_error").alias("model_error"))
-        return single.unionByName(joined)
+        tops = reduce(DataFrame.unionByName, [one.withColumn("_level", F.lit(i)) for i, one in enumerate(levels)])
+        last = tops.groupBy("package_id").agg(F.max_by("text", "_level").alias("summary_md"))
+        return last.join(totals, "package_id")
 
     speaking = [r for r in rules if r.category is not None]
     per_category = df.groupBy("package_id", "category").agg(
@@ -147,7 +166,7 @@ def case_summary(
         .groupBy("package_id")
         .agg(F.array_sort(F.collect_list(F.struct(place.alias("a"), "category", F.col("rank").alias("b"), "sentence"))).alias("_evidence"))
     )
-    joined = counts.join(_top_facts(df, facts_per_kind), "package_id", "left").join(
+    joined = counts.join(_fact_lines(case_facts(df), facts_per_kind), "package_id", "left").join(
         evidence, "package_id", "left"
     )
 
@@ -159,7 +178,7 @@ def case_summary(
         F.lit("- documents: "), F.col("_documents").cast("string"), F.lit("\n"),
         bullets("_counts", lambda x: F.concat(F.lit("- "), x["category"], F.lit(": "), x["n"].cast("string"))),
     )
-    facts = bullets("_facts", lambda x: F.concat(F.lit("- "), x["a"], F.lit(": "), x["value"], F.lit(" (mentions: "), x["n"].cast("string"), F.lit(")")))
+    facts = bullets("_facts", lambda x: x)
     claims_md = bullets("_claims", lambda x: F.concat(F.lit("- "), x["label"], F.lit(" (documents: "), (-x["n"]).cast("string"), F.lit(")")))
     evidence_md = bullets("_evidence", lambda x: F.concat(F.lit("- "), x["category"], F.lit(": "), x["sentence"]))
     sections = zip(SUMMARY_HEADINGS, (background, facts, claims_md, evidence_md))

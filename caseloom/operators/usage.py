@@ -17,6 +17,13 @@ def usage_facts(df: DataFrame, step: str, call_id: str = "file_id") -> DataFrame
     )
 
 
+def usage_totals(calls: DataFrame) -> DataFrame:
+    """Calls and tokens per package, step and model, from rows with these columns, one per call. A call without token
+    counts adds none."""
+    tokens = (F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in ("input_tokens", "output_tokens"))
+    return calls.groupBy("package_id", "step", "model").agg(F.count(F.lit(1)).alias("calls"), *tokens)
+
+
 def usage_report(
     usage: DataFrame,
     by: Sequence[str] = (),

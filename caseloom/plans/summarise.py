@@ -14,7 +14,8 @@ from caseloom.operators.phrases import redact_phrases
 from caseloom.operators.route import approved
 from caseloom.operators.seam import Model
 from caseloom.operators.summary import case_summary
-from caseloom.sinks.outputs import replace, write_summaries
+from caseloom.operators.usage import usage_totals
+from caseloom.sinks.outputs import SLOTS, active_slot, fill_slot, read_slot, switch_slot, write_summaries
 
 
 def scrub(
@@ -37,7 +38,15 @@ def scrub(
     return redact_contextual(clean, name_lexicon(relevant, entities), text="redacted")
 
 
-SAFE = ["package_id", "ord", "file_id", "category", "safe_text", "model_error", "input_tokens", "output_tokens"]
+SAFE = "package_id string, ord long, file_id string, category string, safe_text string, source_hash string, model_error string, input_tokens long, output_tokens long"
+SUMMARIES = "package_id string, summary_md string, source_hash string, input_tokens long, output_tokens long, model_error string"
+USAGE = "package_id string, step string, model string, calls long, input_tokens long, output_tokens long"
+
+
+def _with(df: DataFrame, schema: str) -> DataFrame:
+    """The columns of ``schema``, NULL where ``df`` lacks them."""
+    columns = [c.split() for c in schema.split(", ")]
+    return df.select(*((F.col(c) if c in df.columns else F.lit(None)).cast(kind).alias(c) for c, kind in columns))
 
 
 def summarise(
@@ -52,31 +61,56 @@ def summarise(
     protect: Sequence[str] = (PROTECTED_FIGURE,),
     fail_closed: bool = False,
     flex_space: bool = False,
+    reuse: bool = True,
 ) -> DataFrame:
     """Stage 2. Only redacted texts, stored once, reach the summary; a package without approval
     or without texts gets none.
 
     The tables below ``out`` hold the packages that are approved now and no others: one whose approval was withdrawn
-    is gone from the texts, the summaries and the files. ``safe_texts`` keeps the ``model_error`` of every failed
-    redaction and its tokens; with ``fail_closed`` such a text is empty instead of redacted by rules alone.
-    ``usage`` has the tokens of each package by step and model.
+    is gone from the texts, the summaries and the files. They have two slots: a run fills the one that isn't in use and then
+    switches, so a run that breaks off leaves what was there. With ``reuse``, a package whose texts, known phrases and
+    settings are as in the slot in use is taken over from it, and no model is asked again; a failed call is.
+
+    ``safe_texts`` keeps the ``model_error`` of every failed redaction and its tokens; with ``fail_closed`` such a text is
+    empty instead of redacted by rules alone. ``usage`` has the tokens of this run by package, step and model.
     """
-    safe = scrub(approved(relevant, approvals), entities, protect=protect, model=scrub_model, fail_closed=fail_closed, flex_space=flex_space)
-    for name, kind in (("model_error", "string"), ("input_tokens", "long"), ("output_tokens", "long")):
-        if scrub_model is None or name not in safe.columns:
-            safe = safe.withColumn(name, F.lit(None).cast(kind))
-    texts = replace(safe.select(*SAFE), f"{out}/safe_texts").withColumnRenamed("safe_text", "text")
-    readable = texts.drop("model_error", "input_tokens", "output_tokens")
-    whole = case_summary(readable, model=summary_model, parts_stored=lambda parts: replace(parts, f"{out}/summary_parts"))
-    summaries = replace(whole, f"{out}/summaries")
-    write_summaries(summaries, f"{out}/anonymous_summary", whole=True)
-    calls = [(texts, "redact", scrub_model)] + ([(summaries, "summarise", summary_model)] if summary_model is not None else [])
+    before = active_slot(spark, out)
+    slot = next(s for s in SLOTS if s != before)
+    settings = repr((list(protect), fail_closed, flex_space, *(m and (m.__module__, m.__qualname__) for m in (scrub_model, summary_model))))
+    allowed = approved(relevant, approvals)
+    # What a package's results hang on, as one hash: sums of row hashes, so that no package is gathered.
+    parts = [allowed.select("package_id", F.sha2(F.concat_ws("\0", "ord", "file_id", "category", "text"), 256).alias("h"))]
+    if entities is not None:
+        parts.append(entities.join(allowed.select("package_id").distinct(), "package_id", "left_semi").select("package_id", F.sha2("phrase", 256).alias("h")))
+    rows = reduce(DataFrame.unionByName, parts)
+    halves = [F.sum(F.conv(F.substring("h", 1 + 14 * i, 14), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    sources = rows.groupBy("package_id").agg(F.sha2(F.concat_ws(":", F.lit(settings), F.count(F.lit(1)), *halves), 256).alias("source_hash"))
+
+    old_texts, old_summaries = (read_slot(spark, f"{out}/{name}", before, schema) for name, schema in (("safe_texts", SAFE), ("summaries", SUMMARIES)))
+    failed = old_texts.filter("model_error IS NOT NULL").select("package_id").unionByName(old_summaries.filter("model_error IS NOT NULL").select("package_id"))
+    kept = old_summaries.select("package_id", "source_hash").join(sources, ["package_id", "source_hash"], "left_semi").join(failed, "package_id", "left_anti")
+    kept = kept.select("package_id") if reuse else kept.select("package_id").limit(0)
+    fresh = allowed.join(kept, "package_id", "left_anti").join(sources, "package_id")
+
+    own = None if entities is None else entities.select("package_id", "phrase")
+    safe = scrub(fresh, own, protect=protect, model=scrub_model, fail_closed=fail_closed, flex_space=flex_space)
+    safe = safe if scrub_model is not None else safe.drop("model_error", "input_tokens", "output_tokens")
+    done = fill_slot(_with(safe, SAFE), f"{out}/new_texts", slot)
+    texts = fill_slot(done.unionByName(old_texts.join(kept, "package_id", "left_semi")), f"{out}/safe_texts", slot)
+    readable = done.select("package_id", "ord", "file_id", "category", F.col("safe_text").alias("text"))
+    whole = case_summary(readable, model=summary_model)
+    made = fill_slot(_with(whole.join(sources, "package_id"), SUMMARIES), f"{out}/new_summaries", slot)
+    summaries = fill_slot(made.unionByName(old_summaries.join(kept, "package_id", "left_semi")), f"{out}/summaries", slot)
+    calls = [(done, "redact", scrub_model)] + ([(made, "summarise", summary_model)] if summary_model is not None else [])
     used = [
         frame.select("package_id", F.lit(step).alias("step"), F.lit(getattr(model, "__name__", "model") if model else "rules").alias("model"), "input_tokens", "output_tokens")
         for frame, step, model in calls
     ]
-    totals = reduce(DataFrame.unionByName, used).groupBy("package_id", "step", "model").agg(
-        F.count(F.lit(1)).alias("calls"), *(F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in ("input_tokens", "output_tokens"))
-    )
-    replace(totals, f"{out}/usage")
+    usage = fill_slot(usage_totals(reduce(DataFrame.unionByName, used)), f"{out}/usage", slot)
+    write_summaries(summaries, f"{out}/anonymous_summary/slot={slot}")
+    tables = {f"{out}/{n}": t.schema for n, t in (("safe_texts", texts), ("summaries", summaries), ("usage", usage), ("new_texts", done), ("new_summaries", made))}
+    switch_slot(spark, out, slot, tables)
+    for other in SLOTS:
+        if other != slot:
+            write_summaries(summaries.limit(0), f"{out}/anonymous_summary/slot={other}")
     return summaries

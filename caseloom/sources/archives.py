@@ -1,17 +1,23 @@
 """Evidence packages: zip archives of mixed files, emails opened to any depth.
 
-One archive is one row, read by one task; its members leave that task as rows. Everything
-after intake works on those rows, so the archive is the only unit that is not split.
+Archives are listed without their bytes. A task opens one as a stream, reads its directory and inflates member by member,
+so an archive may be far larger than a cell; its members leave that task as rows. Everything after intake works on
+those rows, so the archive is the only unit that is not split. A `Guard` bounds what a member may inflate to.
 """
 
 from __future__ import annotations
 
+import hashlib
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from caseloom.functions.text import basename, extension
@@ -21,6 +27,7 @@ from caseloom.sources.emails import attachments
 # A cell holds at most 2 GB; larger members keep their row without bytes.
 MAX_CELL = (1 << 31) - (1 << 20)
 FLUSH_BYTES = 32 << 20
+CHUNK = 1 << 20
 KEEP_BYTES = 64 << 20
 
 MEMBER = T.StructType(
@@ -77,23 +84,55 @@ def _is_email(name: str) -> bool:
     return name.lower().endswith(".eml") and name.lower().strip(".") != "eml"
 
 
-def _members(package: str, content: bytes) -> Iterator[tuple]:
+@dataclass(frozen=True)
+class Guard:
+    """What archives may hold. A member beyond ``member`` inflated bytes, or ``ratio`` times its packed size, keeps its row
+    with an error and without bytes; an archive of more than ``archive`` bytes is not opened."""
+
+    member: int = MAX_CELL
+    ratio: float | None = None
+    archive: int | None = None
+
+
+def _inflated(archive: zipfile.ZipFile, info: zipfile.ZipInfo, guard: Guard) -> tuple[bytes | None, str | None]:
+    """(bytes, None) of a member whose checksum is right, or (None, error) as soon as the guard stops it."""
+    if info.file_size > MAX_CELL:
+        return None, "member too large for one row"
+    parts, size = [], 0
+    with archive.open(info) as stream:
+        while part := stream.read(CHUNK):
+            size += len(part)
+            if size > guard.member:
+                return None, f"member inflates beyond {guard.member} bytes"
+            if guard.ratio is not None and size > guard.ratio * max(info.compress_size, 1):
+                return None, f"member inflates more than {guard.ratio:g} times"
+            parts.append(part)
+    return b"".join(parts), None
+
+
+def _members(package: str, file, guard: Guard = Guard(), check_first: bool = True) -> Iterator[tuple]:
     """Rows of one package in queue order: archive members first, then attachments level by level.
 
     A level keeps the way to its emails and, up to a budget, their bytes; beyond it an email is read
     again from the archive when its level is opened, so memory does not grow with the package.
+
+    A bad member fails its package. One of few bytes is inflated before its first row leaves. With ``check_first`` a
+    larger one is inflated once to check it and once for its rows; without, its error comes after rows of its members,
+    and `good_files` drops those.
     """
-    archive = zipfile.ZipFile(io.BytesIO(content))
+    archive = zipfile.ZipFile(file)
     infos = sorted((i for i in archive.infolist() if not i.is_dir()), key=lambda i: i.filename)
-    broken = archive.testzip()
-    if broken is not None:
-        raise zipfile.BadZipFile(f"bad member {broken}")
+    held = {}
+    if sum(i.file_size for i in infos) <= KEEP_BYTES:
+        held = {i: _inflated(archive, info, guard) for i, info in enumerate(infos)}
+    elif check_first:
+        for info in infos:
+            _inflated(archive, info, guard)
 
     number, level, taken, kept = 0, [], {}, 0
     for i, info in enumerate(infos):
         file_id = f"{package}#{number}"
-        data = archive.read(info) if info.file_size <= MAX_CELL else None
-        error = None if data is not None else "member too large for one row"
+        data, error = held.pop(i) if i in held else _inflated(archive, info, guard)
         yield (package, file_id, None, 0, number, i, "archive", info.filename, info.file_size, data, error)
         if data is not None and _is_email(info.filename.rsplit("/", 1)[-1]):
             level.append((file_id, info, (), data if kept + len(data) <= KEEP_BYTES else None))
@@ -121,22 +160,35 @@ def _members(package: str, content: bytes) -> Iterator[tuple]:
         level = deeper
 
 
-def expand_packages(packages: DataFrame) -> DataFrame:
-    """Files of all packages from rows of ``package_id, content``.
+def open_stream(path: str):
+    """A stream with random access, by any address that ``pyarrow.fs`` opens; names may hold blanks."""
+    local = re.match("file:/+", path)
+    if local or path.startswith("/"):
+        return fs.LocalFileSystem().open_input_file("/" + path[local.end() :] if local else path)
+    scheme, _, rest = path.partition("://")
+    system, place = fs.FileSystem.from_uri(f"{scheme}://{quote(rest)}")
+    return system.open_input_file(place)
+
+
+def expand_packages(packages: DataFrame, guard: Guard = Guard(), check_first: bool = True) -> DataFrame:
+    """Files of all packages from rows of ``package_id`` and ``content``, or ``package_id`` and ``path`` of archives that
+    are read as streams.
 
     A bad archive gives one row with ``error`` and no ``file_id`` and none of its members.
     ``ord`` is the queue position in the package: first the members by path, then attachments in
     the order of the emails that hold them.
     """
+    source = "content" if "content" in packages.columns else "path"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = _Rows()
         for batch in batches:
-            for package, content in zip(batch["package_id"], batch["content"]):
+            for package, found in zip(batch["package_id"], batch[source]):
                 try:
-                    for row in _members(package, bytes(content)):
-                        if out.add(*row):
-                            yield out.frame()
+                    with io.BytesIO(bytes(found)) if source == "content" else open_stream(found) as file:
+                        for row in _members(package, file, guard, check_first):
+                            if out.add(*row):
+                                yield out.frame()
                 except Exception as error:
                     out.add(package, None, None, 0, None, None, "archive", None, None, None,
                             f"{type(error).__name__}: {error}")
@@ -144,13 +196,34 @@ def expand_packages(packages: DataFrame) -> DataFrame:
 
     name = basename(F.col("path"))
     return (
-        packages.select("package_id", "content")
+        packages.select("package_id", source)
         .mapInPandas(run, MEMBER)
         .withColumn("file_name", name)
         .withColumn("ext", F.when(F.col("via") == "rfc822", ".eml").otherwise(extension(F.col("file_name"))))
     )
 
 
+def content_hashes(archives: DataFrame) -> DataFrame:
+    """With ``content_hash``, the SHA-256 of each archive (``path``), read as a stream. NULL for one that can't be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                try:
+                    with open_stream(path) as file:
+                        digest = hashlib.sha256()
+                        while part := file.read(CHUNK):
+                            digest.update(part)
+                    found.append(digest.hexdigest())
+                except (OSError, ValueError):
+                    found.append(None)
+            yield batch.append_column("content_hash", pa.array(found, pa.string()))
+
+    schema = T.StructType([*archives.schema.fields, T.StructField("content_hash", T.StringType())])
+    return archives.mapInArrow(run, schema)
+
+
 def package_id(path: Column, root: str) -> Column:
     """Path of an archive below the folder that was read, without ``.zip``, so that archives of the same name in
     different folders stay apart. An extension in other letters stays: ``a.ZIP`` and ``a.zip`` are two packages."""
@@ -160,29 +233,31 @@ def package_id(path: Column, root: str) -> Column:
     return F.regexp_replace(below, r"\.zip$", "")
 
 
+def list_archives(spark: SparkSession, path: str, glob: str = "*.[zZ][iI][pP]") -> DataFrame:
+    """package_id, path, length and modified of all archives below ``path``; their bytes are not read."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return found.select(package_id(F.col("path"), path).alias("package_id"), "path", "length", F.col("modificationTime").alias("modified"))
+
+
+def open_archives(archives: DataFrame, guard: Guard = Guard(), check_first: bool = True) -> DataFrame:
+    """Files of listed archives. Those that the guard does not admit are error rows and are not opened."""
+    if guard.archive is None:
+        return expand_packages(archives, guard, check_first)
+    files = expand_packages(archives.filter(F.col("length") <= guard.archive), guard, check_first)
+    skipped = archives.filter(F.col("length") > guard.archive)
+    error = F.lit(f"archive larger than {guard.archive} bytes").alias("error")
+    return files.unionByName(skipped.select("package_id", error), allowMissingColumns=True)
+
+
 def read_packages(
-    spark: SparkSession, path: str, glob: str = "*.[zZ][iI][pP]", done: DataFrame | None = None
+    spark: SparkSession, path: str, glob: str = "*.[zZ][iI][pP]", done: DataFrame | None = None, guard: Guard = Guard()
 ) -> DataFrame:
     """All archives below ``path``; the package id is the path below it.
 
     Packages listed in ``done`` are dropped before they are opened.
-    Archives too large for a cell are reported as error rows without reading them: the length
-    filter reaches the scan.
     """
-    found = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .withColumn("package_id", package_id(F.col("path"), path))
-    )
-    if done is not None:
-        found = pending(found, done)
-    files = expand_packages(found.filter(F.col("length") <= MAX_CELL))
-    skipped = found.filter(F.col("length") > MAX_CELL).select(
-        "package_id", F.lit("archive too large for one row").alias("error")
-    )
-    return files.unionByName(skipped, allowMissingColumns=True)
+    found = list_archives(spark, path, glob)
+    return open_archives(found if done is None else pending(found, done), guard)
 
 
 def ingest_errors(files: DataFrame) -> DataFrame:
@@ -190,5 +265,8 @@ def ingest_errors(files: DataFrame) -> DataFrame:
     return files.filter(F.col("file_id").isNull()).select("package_id", "error")
 
 
-def good_files(files: DataFrame) -> DataFrame:
-    return files.filter(F.col("file_id").isNotNull())
+def good_files(files: DataFrame, stored: bool = False) -> DataFrame:
+    """Files of packages that could be opened. ``stored``: a table that `expand_packages` wrote without ``check_first``, in
+    which rows of a package that turned out bad are dropped here."""
+    good = files.filter(F.col("file_id").isNotNull())
+    return good.join(ingest_errors(files).select("package_id").distinct(), "package_id", "left_anti") if stored else good

@@ -20,7 +20,7 @@ from caseloom.operators.route import (
 )
 from caseloom.operators.summary import case_facts, case_summary, sentences, top_evidence
 from caseloom.operators.usage import usage_facts, usage_report
-from caseloom.sources.tables import load_relevant_json, parse_relevant_json
+from caseloom.sources.tables import APPROVAL_SCHEMA, RULE_SCHEMA, invalid_caches, load_relevant_json, parse_relevant_json, read_config
 
 CONTENT = "package_id string, ord long, file_id string, file_name string, kind string, text string"
 
@@ -121,8 +121,9 @@ def test_combine_and_pages(spark):
     frame = spark.createDataFrame(rows, "package_id string, ord long, text string").repartition(5)
     whole = {r.package_id: r for r in combine_texts(frame).collect()}
     assert whole["hot"].text == "\n\n".join(f"t{i}" for i in range(25)) and whole["one"].text == "a\n\n" and whole["one"].n_texts == 2
-    parts = combine_texts(frame, part_rows=10).filter("package_id = 'hot'").orderBy("part").collect()
-    assert [p.n_texts for p in parts] == [10, 10, 5] and "\n\n".join(p.text for p in parts) == whole["hot"].text
+    # 4 or 5 bytes each, with the separator.
+    parts = combine_texts(frame, part_bytes=40).filter("package_id = 'hot'").orderBy("part").collect()
+    assert [p.n_texts for p in parts] == [10, 8, 7] and [p.part for p in parts] == [0, 1, 2] and "\n\n".join(p.text for p in parts) == whole["hot"].text
     pages = [("f", 2, None, "corrupt"), ("f", 1, "Good page.", None), ("f", 3, None, None), ("f", 10, "end", None), ("g", 1, "x", "bad")]
     texts = {r.file_id: r.text for r in assemble_pages(spark.createDataFrame(pages, "file_id string, page_no int, text string, error string")).collect()}
     assert texts == {"f": "Good page.\n\nend", "g": ""}
@@ -210,4 +211,25 @@ def test_caches(spark, tmp_path):
     assert [r.relevant_texts for r in parse_relevant_json(frame).orderBy("i").collect()] == [["a", "b"], None, None, None, []]
     for i, value in enumerate(values):
         (tmp_path / f"p{i}.json").write_text(value)
-    assert [tuple(r) for r in load_relevant_json(spark, str(tmp_path)).orderBy("ord").collect()] == [("p0.json", 0, "a"), ("p0.json", 1, "b")]
+    assert [tuple(r) for r in load_relevant_json(spark, str(tmp_path)).orderBy("ord").collect()] == [("p0", 0, "a"), ("p0", 1, "b")]
+    assert {r.package_id: r.reason for r in invalid_caches(spark, str(tmp_path)).collect()} == {
+        "p1": "not a JSON document", "p2": "no relevant_texts", "p3": "relevant_texts is not a list"}
+
+
+def test_caches_of_one_name_in_two_folders(spark, tmp_path):
+    for client in "xy":
+        (tmp_path / client).mkdir()
+        (tmp_path / client / "stage1_cache.json").write_text(f'{{"relevant_texts": ["of {client}"]}}')
+    rows = load_relevant_json(spark, str(tmp_path)).collect()
+    assert {r.package_id: r.text for r in rows} == {"x/stage1_cache": "of x", "y/stage1_cache": "of y"}
+
+
+def test_config_tables(spark, tmp_path):
+    """Approvals, entities and rules as JSON lines: the declared schema decides, odd lines become NULL."""
+    (tmp_path / "approvals.json").write_text('{"package_id": "0042", "accepted": true}\n{"package_id": "7", "accepted": "perhaps"}\n{"other": 1}\n')
+    rows = read_config(spark, str(tmp_path / "approvals.json"), APPROVAL_SCHEMA).collect()
+    assert [tuple(r) for r in rows] == [("0042", True), ("7", None), (None, None)]
+    (tmp_path / "rules").mkdir()
+    (tmp_path / "rules" / "a.json").write_text('{"rule_id": 1, "category": "c", "priority": 2, "phrase": "p", "weight": 0.5}\n')
+    (tmp_path / "rules" / "b.json").write_text("")
+    assert [tuple(r) for r in read_config(spark, str(tmp_path / "rules"), RULE_SCHEMA).collect()] == [(1, "c", 2, "p", 0.5)]

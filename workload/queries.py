@@ -52,9 +52,9 @@ from caseloom.operators.route import (
     summary_text,
 )
 from caseloom.operators.seam import fill_template
-from caseloom.operators.summary import case_facts, case_summary, top_evidence
+from caseloom.operators.summary import facts_left_out, case_facts, case_summary, top_evidence
 from caseloom.operators.usage import usage_report
-from caseloom.sources.archives import expand_packages, good_files, ingest_errors
+from caseloom.sources.archives import Guard, expand_packages, good_files, ingest_errors
 from caseloom.sources.documents import document_text, extract_contents, image_base64, media_type
 from caseloom.sources.emails import explode_attachments
 from caseloom.sources.tables import all_files as union_files, parse_relevant_json
@@ -535,11 +535,15 @@ def pending_only(spark, sf_dir):
 
 
 @query(
-    """SELECT conv_id, turn // 4096 AS part, count(*) AS n_texts, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text
-       FROM conversations GROUP BY conv_id, part"""
+    """WITH sized AS (
+         SELECT *, coalesce(sum(octet_length(encode(text)) + 2) OVER (
+           PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 500 AS p FROM conversations),
+       placed AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY p) - 1 AS part FROM sized)
+       SELECT conv_id, part, count(*) AS n_texts, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM placed GROUP BY conv_id, part"""
 )
 def combined_texts(spark, sf_dir):
-    return combine_texts(load(spark, sf_dir, "conversations"), ["conv_id"], order="turn")
+    """Parts of about 500 bytes, so that conversations have several."""
+    return combine_texts(load(spark, sf_dir, "conversations"), ["conv_id"], order="turn", part_bytes=500)
 
 
 @query(
@@ -597,8 +601,10 @@ proofs AS (SELECT package_id, string_agg('- ' || category || ': ' || sentence, c
     + "', '".join(CATEGORIES)
     + """'], category), rank) AS md FROM evidence GROUP BY package_id)
 , facts AS (SELECT package_id, value, count(*) AS n FROM (SELECT package_id, unnest(regexp_extract_all(text, '\\$\\s?[0-9][0-9,]*(?:\\.[0-9]{2})?')) AS value FROM relevant) GROUP BY ALL),
-top_facts AS (SELECT package_id, string_agg('- money: ' || value || ' (mentions: ' || n || ')', chr(10) ORDER BY n DESC, value) AS md
-              FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY n DESC, value) AS r FROM facts) WHERE r <= 10 GROUP BY package_id)
+top_facts AS (SELECT package_id, string_agg('- money: ' || value || ' (mentions: ' || n || ')', chr(10) ORDER BY n DESC, value)
+                || CASE WHEN max(total) > 10 THEN chr(10) || '- money: ' || (max(total) - 10) || ' more, see the table of facts' ELSE '' END AS md
+              FROM (SELECT *, row_number() OVER (PARTITION BY package_id ORDER BY n DESC, value) AS r, count(*) OVER (PARTITION BY package_id) AS total
+                    FROM facts) WHERE r <= 10 GROUP BY package_id)
 SELECT package_id, '# Anonymous case summary
 
 ## Background
@@ -622,6 +628,19 @@ def case_summaries(spark, sf_dir):
     return case_summary(summary_text(_decided(spark, sf_dir)), rules=RULES)
 
 
+@query(
+    f"""SELECT package_id, kind, count(*) - 3 AS left_out FROM (
+          SELECT DISTINCT source AS package_id, kind, value FROM (
+            SELECT source, 'address' AS kind, unnest(regexp_extract_all(text, '{IPV4}')) AS value FROM documents
+            UNION ALL SELECT source, 'number', unnest(regexp_extract_all(text, '[0-9]{{4,}}')) FROM documents))
+        GROUP BY ALL HAVING count(*) > 3"""
+)
+def case_facts_left_out(spark, sf_dir):
+    """What a summary with three facts of a kind does not show."""
+    docs = _documents(spark, sf_dir).select(F.col("source").alias("package_id"), "text")
+    return facts_left_out(case_facts(docs, facts={"address": IPV4, "number": "[0-9]{4,}"}), 3)
+
+
 # --- evaluation and usage ------------------------------------------------------------------
 
 
@@ -914,6 +933,33 @@ def archive_members(spark, sf_dir):
     return files.select("package_id", "file_id", "parent_id", "depth", "ord", "file_name", "ext", hashed.alias("hash"))
 
 
+def _zip_bombs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One archive per page with the page; every tenth one also holds a member that packs very well."""
+    for batch in batches:
+        archives = []
+        for page, html in zip(batch["page_id"], batch["html"]):
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                archive.writestr("page.html", html.encode())
+                if page % 10 == 0:
+                    archive.writestr("zeros.bin", bytes(200_000))
+            archives.append(out.getvalue())
+        yield pd.DataFrame({"package_id": [str(p) for p in batch["page_id"]], "content": archives})
+
+
+@query(
+    """SELECT page_id::VARCHAR AS package_id, 'page.html' AS file_name,
+              CASE WHEN octet_length(encode(html)) > 20000 THEN 'member inflates beyond 20000 bytes' END AS error,
+              CASE WHEN octet_length(encode(html)) <= 20000 THEN sha256(html) END AS hash FROM pages
+       UNION ALL SELECT page_id::VARCHAR, 'zeros.bin', 'member inflates beyond 20000 bytes', NULL FROM pages WHERE page_id % 10 = 0"""
+)
+def archive_guard(spark, sf_dir):
+    """Members that inflate beyond the guard keep their row, without bytes."""
+    archives = load(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(_zip_bombs, "package_id string, content binary")
+    files = good_files(expand_packages(archives, Guard(member=20_000)))
+    return files.select("package_id", "file_name", "error", F.sha2("content", 256).alias("hash"))
+
+
 @query("SELECT 'broken' || page_id AS package_id, 'BadZipFile: File is not a zip file' AS error FROM pages WHERE page_id % 10 = 0")
 def archive_errors(spark, sf_dir):
     return ingest_errors(expand_packages(_archives(spark, sf_dir)))
