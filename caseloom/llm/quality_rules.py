@@ -1,9 +1,18 @@
 """Quality rules with thresholds that follow the data: quantile sketches per language and source, joined back.
 
-A limit is the median plus ``REACH`` times the distance from the median to the nearer quartile: junk, while it is less than
-half of a group, stretches the side on which it lies and not the other one. ``FLOOR`` holds where that distance is nothing
-or next to nothing, so it decides for measures that are zero in most texts. The floor for repeats is the base
-rule itself: the adaptive rule only names it.
+A sketch counts values in bins of fixed borders, each ``GAMMA`` times as wide as the one before: a quantile is off by 1 % at
+most. Counts are exact and merge by adding, so the same table gives the same limits however it is dealt, and a language's
+sketch is the sum of its sources'. Texts that fail the base rules are not counted.
+
+A limit is the median plus the largest of three distances:
+
+* ``REACH`` times the distance from the median to the nearer quartile: junk, while it is less than half of a group, stretches
+  the side on which it lies and not the other one;
+* for measures that are zero in most texts (``TAIL``), a multiple of a quantile of the values above zero;
+* ``FLOOR``, against a spread of nothing.
+
+Median and distances of a group are its own, drawn to its language's by ``WEIGHT`` of n + WEIGHT, and those likewise to all
+rows': no number of rows flips a verdict.
 
 DataFrame functions only. Each row is judged alone, so repeated rows give repeated results and ties don't matter.
 A null text has no words; a null language or source counts as the empty name; an empty table gives an empty one.
@@ -11,7 +20,9 @@ A null text has no words; a null language or source counts as the empty name; an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.llm.store import stored
@@ -23,10 +34,16 @@ SPACES = " \t\n\x0b\f\r"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
 
-#: Measure -> the least distance above the median at which a document may be rejected, against a spread of zero.
-FLOOR = {"symbol_share": 0.04, "dup_line_share": 0.5, "repeat_share": 0.3, "capital_share": 0.02, "word_length": 1.0, "symbol_words": 0.25}
+GAMMA = 1.02
+#: Measure -> least distance of its limit from the median.
+FLOOR = {"capital_share": 0.02, "word_length": 1.0, "symbol_share": 0.02, "symbol_words": 0.1, "dup_line_share": 0.4, "repeat_share": 0.27}
+#: Measure -> (quantile of the values above zero, its multiple), for measures that are zero in most texts.
+TAIL = {"symbol_share": (0.25, 0.5), "symbol_words": (0.25, 0.5), "dup_line_share": (0.75, 1.2), "repeat_share": (0.75, 2.5)}
+MEASURES = list(FLOOR)
 #: Times the distance from the median to the nearer quartile.
 REACH = 15.0
+#: Rows that a group's own limit needs to count as much as that of its language.
+WEIGHT = 50.0
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -110,42 +127,72 @@ def with_shares(measured: DataFrame) -> DataFrame:
     )
 
 
-def thresholds(shares: DataFrame, least: int = 200) -> DataFrame:
-    """Upper limits per language and source, from sketches that merge: a group of fewer than ``least`` rows
-    takes those of its language, a small language those of all rows."""
-    names = list(FLOOR)
-    groups = shares.groupBy("lang", "source").agg(
-        F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(c, 400).alias(c) for c in names)
-    )
-    groups = stored(groups)  # one small row per group; read three times
+def base_failed() -> Column:
+    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+
 
-    def merged(*keys: str) -> DataFrame:
-        return groups.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(c, 400).alias(c) for c in names))
+def sketches(shares: DataFrame) -> DataFrame:
+    """lang, source, measure, bin, n: the counts of the values, by bins. Bin NULL holds the zeros."""
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in MEASURES)))
+    values = shares.where(~base_failed()).select("lang", "source", each.alias("x")).select("lang", "source", "x.*")
+    place = F.when(F.col("value") > 0, F.ceil(F.log("value") / math.log(GAMMA)).cast("int"))
+    return values.groupBy("lang", "source", "measure", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
-    def limits(frame: DataFrame, suffix: str, *keys: str) -> DataFrame:
-        def limit(c: str) -> Column:
-            lower, middle, upper = (F.kll_sketch_get_quantile_double(F.col(c), F.lit(q)) for q in (0.25, 0.5, 0.75))
-            return (middle + F.greatest(F.lit(FLOOR[c]), REACH * F.least(middle - lower, upper - middle))).alias(f"{c}_{suffix}")
 
-        return frame.select(*keys, F.col("n").alias(f"n_{suffix}"), *(limit(c) for c in names))
+def quantiles(sketch: DataFrame, keys: list[str], wanted: list[float]) -> DataFrame:
+    """keys, measure, ``n`` and a column per quantile, from sketches merged by adding."""
+    merged = sketch.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
+    group = [*keys, "measure"]
+    # At most one row per bin: some 2,000 of them hold all numbers between 1e-9 and 1e9.
+    up_to = Window.partitionBy(*group).orderBy(F.col("bin").asc_nulls_first())
+    value = F.coalesce(F.pow(F.lit(GAMMA), F.col("bin")) * 2 / (1 + GAMMA), F.lit(0.0))
+    ranked = merged.select(*group, value.alias("value"), F.sum("n").over(up_to).alias("upto"), F.sum("n").over(Window.partitionBy(*group)).alias("n"))
+
+    def quantile(q: float) -> Column:
+        return F.min(F.when(F.col("upto") > F.floor(q * (F.col("n") - 1)), F.col("value")))
+
+    return ranked.groupBy(*group).agg(F.max("n").alias("n"), *(quantile(q).alias(f"q{100 * q:.0f}") for q in wanted))
+
+
+def distances(sketch: DataFrame, level: str, *keys: str) -> DataFrame:
+    """keys, measure and, for ``level``, n and m (values, and those above zero), middle, reach and tail."""
+    spread = F.least(F.col("q50") - F.col("q25"), F.col("q75") - F.col("q50"))
+    all_values = quantiles(sketch, [*keys], [0.25, 0.5, 0.75]).select(
+        *keys, "measure", F.col("n").alias(f"n_{level}"), F.col("q50").alias(f"middle_{level}"), (REACH * spread).alias(f"reach_{level}")
+    )
+    above = quantiles(sketch.where("bin is not null"), [*keys], sorted({q for q, _ in TAIL.values()}))
+    tail = F.lit(0.0)
+    for c, (q, times) in TAIL.items():
+        tail = F.when(F.col("measure") == c, times * F.col(f"q{100 * q:.0f}")).otherwise(tail)
+    return all_values.join(above.select(*keys, "measure", F.col("n").alias(f"m_{level}"), tail.alias(f"tail_{level}")), [*keys, "measure"], "left")
+
 
-    joined = limits(groups, "own", "lang", "source").join(limits(merged("lang"), "lang", "lang"), "lang")
-    overall = limits(merged().where("n > 0"), "all").first()  # none for an empty table
+def _drawn(name: str, count: str) -> Column:
+    """A group's value drawn to its language's and that to all rows', the more the fewer values it hangs on."""
+    out = F.coalesce(f"{name}_all", F.lit(0.0))
+    for level in ("lang", "own"):
+        n = F.coalesce(f"{count}_{level}", F.lit(0))
+        out = F.coalesce((n * F.col(f"{name}_{level}") + WEIGHT * out) / (n + WEIGHT), out)
+    return out
 
-    def chosen(c: str) -> Column:
-        return F.when(F.col("n_own") >= least, F.col(f"{c}_own")).when(F.col("n_lang") >= least, F.col(f"{c}_lang")).otherwise(F.lit(overall and overall[f"{c}_all"]))
 
-    return joined.select("lang", "source", *(chosen(c).alias(f"most_{c}") for c in names))
+def thresholds(shares: DataFrame) -> DataFrame:
+    """Upper limits ``most_<measure>`` per language and source."""
+    sketch = stored(sketches(shares))  # small rows per group; read several times
+    joined = distances(sketch, "own", "lang", "source").join(distances(sketch, "lang", "lang"), ["lang", "measure"]).join(distances(sketch, "all"), "measure")
+    floor = F.create_map(*(F.lit(x) for pair in FLOOR.items() for x in pair))[F.col("measure")]
+    most = _drawn("middle", "n") + F.greatest(floor, _drawn("reach", "n"), _drawn("tail", "m"))
+    drawn = joined.select("lang", "source", "measure", most.alias("most"))
+    return drawn.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == c, F.col("most"))).alias(f"most_{c}") for c in MEASURES))
 
 
-def quality_rules(docs: DataFrame, least: int = 200) -> DataFrame:
+def quality_rules(docs: DataFrame) -> DataFrame:
     """Every document with its measures, ``base_failed`` (fixed rules), ``failed`` (names of the adaptive rules
-    it breaks) and ``kept``. Extra columns of ``docs`` are ignored."""
+    it breaks) and ``kept``. Extra columns of ``docs`` are ignored. Texts of any length are read whole."""
     shares = with_shares(stored(measures(docs)))
-    joined = shares.join(thresholds(shares, least), ["lang", "source"], "left")
-    failed = F.filter(F.array(*(F.when(F.col(c) > F.col(f"most_{c}"), F.lit(c)) for c in FLOOR)), lambda x: x.isNotNull())
-    base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
+    joined = shares.join(thresholds(shares), ["lang", "source"], "left")
+    failed = F.filter(F.array(*(F.when(F.col(c) > F.col(f"most_{c}"), F.lit(c)) for c in MEASURES)), lambda x: x.isNotNull())
     return joined.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), failed.alias("failed"), (~base & (F.size(failed) == 0)).alias("kept"),
+        base_failed().alias("base_failed"), failed.alias("failed"), (~base_failed() & (F.size(failed) == 0)).alias("kept"),
     )

@@ -7,10 +7,12 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from caseloom.llm import bpe, decontamination, ngram_join, personal_data, quality_model, quality_rules, sharding, suffix_dedup, token_store, toxicity
 from caseloom.llm.components import connected
+from caseloom.llm.store import stored
 from tests.llm import brute
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -306,6 +308,64 @@ def test_thresholds_hold_with_much_junk(spark):
     assert all(r["kept"] == (r["doc_id"] % 5 >= 2) and not r["base_failed"] for r in got)
 
 
+@pytest.mark.parametrize("partitions", [1, 3, 7])
+def test_limits_are_those_of_exact_quantiles(spark, partitions):
+    """Within the width of a bin, and the same however the table is dealt."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    shares = quality_rules.with_shares(stored(quality_rules.measures(docs))).repartition(partitions)
+    rows = shares.toPandas()
+    rows = rows[(rows.n_words >= 20) & (100 * rows.n_repeat_words <= 30 * rows.n_words)]
+    got = {(r["lang"], r["source"]): r for r in quality_rules.thresholds(shares).collect()}
+    assert set(got) == set(zip(rows.lang, rows.source))
+
+    def at(values, q):
+        return sorted(values)[int(q * (len(values) - 1))] if len(values) else None
+
+    def parts(values, c):
+        above = values[values > 0]
+        q25, q50, q75 = (at(values, q) for q in (0.25, 0.5, 0.75))
+        tail = quality_rules.TAIL.get(c)
+        return (q50, len(values)), (15 * min(q50 - q25, q75 - q50), len(values)), ((tail[1] * at(above, tail[0]) if len(above) else None) if tail else 0.0, len(above))
+
+    for (lang, source), r in got.items():
+        own, of_lang = rows[(rows.lang == lang) & (rows.source == source)], rows[rows.lang == lang]
+        for c, floor in quality_rules.FLOOR.items():
+            drawn = []
+            for mine, wider, widest in zip(parts(own[c], c), parts(of_lang[c], c), parts(rows[c], c)):
+                value = widest[0] or 0.0
+                for part, n in (wider, mine):
+                    value = value if part is None else (n * part + 50 * value) / (n + 50)
+                drawn.append(value)
+            want, limit = drawn[0] + max(floor, *drawn[1:]), r[f"most_{c}"]
+            # Each quantile is off by 1 %; a spread is a difference of two, taken 15 times.
+            assert abs(limit - want) <= 0.01 * want + 0.31 * drawn[0], (lang, source, c)
+            if c in quality_rules.TAIL:
+                assert abs(limit - want) <= 0.011 * want
+
+
+def test_limits_differ_by_group_and_repeat(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    shares = quality_rules.with_shares(stored(quality_rules.measures(docs)))
+    one, other = (quality_rules.thresholds(shares.repartition(n)).toPandas().sort_values(["lang", "source"]).reset_index(drop=True) for n in (2, 9))
+    assert one.equals(other)
+    assert sum(one[f"most_{c}"].nunique() > 20 for c in quality_rules.MEASURES) >= 4
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = quality_rules.quality_rules(docs).join(labels, "doc_id").where(~F.col("base_failed")).groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {r["quality"]: r["kept"] for r in got}
+    assert kept[1] > 0.998 and kept[0] < 0.05
+
+
+def test_one_row_more_flips_nothing(spark):
+    """No number of rows in a group is a border: limits move a little with each."""
+    def limits(n):
+        rows = [(i, " ".join(f"w{j}" + "x" * (i % 7) for j in range(40)), "en", "small" if i < n else "large", 0) for i in range(700)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        found = quality_rules.thresholds(quality_rules.with_shares(stored(quality_rules.measures(docs)))).where("source = 'small'").first()
+        return found["most_word_length"]
+
+    assert abs(limits(199) - limits(200)) < 0.2 and abs(limits(49) - limits(50)) < 0.2
+
+
 def test_spread_decides_and_not_the_floor(spark):
     """Two sources of one median: a word length far out in the narrow one is usual in the wide one."""
     rows = []
