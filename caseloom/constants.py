@@ -53,6 +53,18 @@ CLASSES = {
 # Optional extra protected pattern (ISO dates), which the phone pattern would eat.
 ISO_DATE = r"(?<![{d}])[{d}]{{4}}-[{d}]{{2}}-[{d}]{{2}}(?![{d}])"
 
+# Optional extra pattern: postal addresses. Group 1 is what stands before. A number, one to three capitalised words and a word
+# for a street, perhaps a unit in front, perhaps a place with a postal code behind.
+STREET_WORDS = (
+    "Street St Road Rd Avenue Ave Lane Ln Drive Dr Court Ct Place Pl Square Sq Way Terrace Tce Crescent Cres Parade Pde "
+    "Highway Hwy Boulevard Blvd Close Grove"
+).split()
+ADDRESS = (
+    r"(^|[^\p{{L}}\p{{N}}])(?:(?:Unit|Flat|Apt|Suite|Level) [0-9]{{1,5}}[A-Za-z]?,? )?[0-9]{{1,5}}[A-Za-z]?(?:[/-][0-9]{{1,5}}[A-Za-z]?)?,? "
+    r"(?:\p{{Lu}}[\p{{L}}'-]{{1,30}} ){{1,3}}(?:" + "|".join(STREET_WORDS) + r")\b\.?"
+    r"(?:,? (?:\p{{Lu}}[\p{{L}}'-]{{1,30}} ){{1,3}}(?:[A-Z]{{2,3}} )?[0-9]{{4,5}}\b)?"
+)
+
 # USD per million tokens.
 INPUT_PRICE_PER_MILLION = 3.00
 OUTPUT_PRICE_PER_MILLION = 15.00

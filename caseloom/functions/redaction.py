@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from caseloom.constants import EMAIL, PHONE, PROTECTED_FIGURE, REDACTED, SHIELD, pattern
+from caseloom.constants import ADDRESS, EMAIL, PHONE, PROTECTED_FIGURE, REDACTED, SHIELD, pattern
 from caseloom.functions.text import quote_regex
 
 
@@ -22,6 +22,11 @@ def email_pattern(unicode: bool = True) -> str:
     return rf"(?:\G|(?<!{local}))" + published.replace("+@", "++@", 1).replace("]+\\.", "]++\\.", 1)
 
 
+def redact_addresses(text: Column, token: str = REDACTED) -> Column:
+    """Postal addresses replaced. A number and a street word alone are none: words between them have to be capitalised."""
+    return F.regexp_replace(text, pattern(ADDRESS), "$1" + replacement(token))
+
+
 def phone_pattern(unicode: bool = True, strict: bool = False) -> str:
     """The phone pattern; ``strict`` adds bounds so it neither starts nor ends inside a number."""
     published = pattern(PHONE, unicode)

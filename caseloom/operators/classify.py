@@ -194,6 +194,51 @@ def classify_by_table(
     )
 
 
+def classify_by_matter(
+    texts: DataFrame,
+    rules: DataFrame,
+    matters: DataFrame,
+    *,
+    text_id: str = "doc_id",
+    text: str = "text",
+    matter: str = "matter_type",
+) -> DataFrame:
+    """The rule table for several kinds of case: ``texts`` name their kind, and only its rules count.
+
+    ``rules``: the kind, rule_id, category, priority, phrase, weight; ``matters``: the kind, default_category, threshold.
+    Each kind has categories, tie order and threshold of its own. A kind without a row in ``matters`` gets no decision of
+    rules: the usual default category, for a manual review. Kinds meet their rules in the phrase join, so the rules of
+    other kinds cost a text nothing.
+    """
+    hits = find_phrases(texts, rules, text_id=text_id, text=text, phrase_id="rule_id", by=[matter], ignore_case=True)
+    weights = rules.select(matter, "rule_id", "category", "priority", "weight")
+    scores = (
+        hits.join(weights, [matter, "rule_id"])
+        .groupBy(matter, text_id, "category", "priority")
+        .agg(F.sum(F.col("hits") * F.col("weight")).alias("score"), F.count(F.lit(1)).alias("rules"))
+    )
+    best = scores.groupBy(matter, text_id).agg(
+        F.max_by(F.struct("category", "score", "rules"), F.struct("score", -F.col("priority"))).alias("_b")
+    )
+    known = matters.select(matter, "default_category", "threshold", F.lit(True).alias("_known"))
+    score = F.coalesce(F.col("_b.score"), F.lit(0.0))
+    found = F.concat(F.lit("rules matched: "), F.col("_b.rules").cast("string"))
+    joined = texts.select(matter, text_id).join(known, matter, "left").join(best, [matter, text_id], "left")
+    decided = F.col("_known") & (score > 0)
+    return joined.select(
+        matter,
+        text_id,
+        F.coalesce(decided, F.lit(False)).alias("is_relevant"),
+        F.when(decided, F.col("_b.category")).otherwise(F.coalesce("default_category", F.lit(DEFAULT_CATEGORY))).alias("category"),
+        F.when(F.col("_known").isNull(), "no rules for this kind of case; flagged for manual review")
+        .when(score >= F.col("threshold"), found)
+        .when(score > 0, F.concat(F.lit("uncertain: "), found))
+        .otherwise("no rule matched")
+        .alias("reason"),
+        F.when(F.col("_known"), score).otherwise(0.0).alias("score"),
+    )
+
+
 def invalid_categories(df: DataFrame, categories: DataFrame) -> DataFrame:
     """Labels that are not in the category table, with their number of rows."""
     labels = df.filter(F.coalesce("category", F.lit("")) != "").groupBy("category").count()

@@ -51,20 +51,33 @@ def name_lexicon(
     text: str = "text",
     sources: Sequence[str] = NAME_SOURCES,
     min_support: int = 1,
+    header_support: int = 2,
     stop_words: Sequence[str] = STOP_WORDS,
 ) -> DataFrame:
-    """Case-folded name words per package, seen as names in at least ``min_support`` texts.
+    """Case-folded name words per package, seen as names in at least ``min_support`` texts, or in the headers of
+    ``header_support``: a header holds names of desks and services as well, which one message alone doesn't tell apart.
 
     Reads the texts before redaction. ``entities`` holds the known phrases per package; their
     words count with no minimum. Distinct words are reduced before they are shuffled.
     """
-    found = F.flatten(F.array(*[F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)) for p in sources]))
-    plain = F.regexp_replace(F.array_join(found, "\n"), ADDRESS_DOMAIN, " ")
+
+    def words(patterns: Sequence[str]) -> Column:
+        found = F.flatten(F.array(*[F.regexp_extract_all(F.col(text), F.lit(p), F.lit(1)) for p in patterns]))
+        plain = F.regexp_replace(F.array_join(found, "\n"), ADDRESS_DOMAIN, " ")
+        return F.array_distinct(_name_words(fold_case(plain))) if patterns else F.array().cast("array<string>")
+
+    said, headed = words([p for p in sources if p != HEADER]), words([p for p in sources if p == HEADER])
+    each = F.concat(
+        F.transform(said, lambda w: F.struct(w.alias("name"), F.lit(False).alias("headed"))),
+        F.transform(headed, lambda w: F.struct(w.alias("name"), F.lit(True).alias("headed"))),
+    )
+    least = F.when(F.col("headed"), header_support).otherwise(min_support)
     seen = (
-        texts.select(package, text_id, F.explode(F.array_distinct(_name_words(fold_case(plain)))).alias("name"))
-        .groupBy(package, "name")
-        .agg(F.count_distinct(text_id).alias("support") if min_support > 1 else F.lit(1).alias("support"))
-        .filter(F.col("support") >= min_support)
+        texts.select(package, text_id, F.explode(each).alias("w"))
+        .select(package, text_id, "w.*")
+        .groupBy(package, "name", "headed")
+        .agg(F.count_distinct(text_id).alias("support"))
+        .filter(F.col("support") >= least)
         .select(package, "name")
     )
     if entities is not None:

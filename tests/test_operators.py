@@ -134,12 +134,20 @@ def test_contextual(spark):
             ("p", "2", "Noor, Vale and KIM met; noor's will, $190,100 on 3 March 2022. Noory stayed. Bo!"), ("q", "3", "Noor is here")]
     frame = spark.createDataFrame(rows, "package_id string, file_id string, text string")
     known = spark.createDataFrame([("p", "March Clinic"), ("p", "Plan 9")], "package_id string, phrase string")
-    lexicon = name_lexicon(frame, known)
+    lexicon = name_lexicon(frame, known, header_support=1)
     assert {(r.package_id, r.name) for r in lexicon.collect()} == {("p", n) for n in ("noor", "vale", "bo", "kim", "lee", "march", "clinic", "plan")}
     got = {r.file_id: r.safe_text for r in redact_contextual(frame, lexicon).collect()}
     assert got["2"] == ("[REDACTED], [REDACTED] and [REDACTED] met; noor's will, $190,100 on 3 [REDACTED] 2022. Noory stayed. [REDACTED]!")
     assert got["3"] == "Noor is here" and "O'Hara and the plan" in got["1"]
     assert name_lexicon(frame, min_support=2).count() == 0
+    # One message's header alone makes no name: it may be a desk's. A second one does, and so does a greeting.
+    desk = spark.createDataFrame(
+        [("p", "1", "From: Accounts Services <desk@example.com>\nThe Accounts and Services of May."), ("p", "2", "From: Oddny Kelp\nBye"),
+         ("p", "3", "To: Oddny Kelp\nDear Imre,\nso be it")], "package_id string, file_id string, text string")
+    found = name_lexicon(desk)
+    assert {r.name for r in found.collect()} == {"oddny", "kelp", "imre"}
+    kept = {r.file_id: r.safe_text for r in redact_contextual(desk, found).collect()}
+    assert "The Accounts and Services of May." in kept["1"] and kept["2"] == "From: [REDACTED] [REDACTED]\nBye"
 
     def model(batch):
         if batch["text"].str.contains("Noor is").any():

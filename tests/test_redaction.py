@@ -88,3 +88,16 @@ def test_equals_plain_rules(spark, texts):
 def test_redaction_is_stable(spark, text):
     once = outputs(spark, [text], entities=ENTITIES)
     assert outputs(spark, once, entities=ENTITIES) == once
+
+
+def test_postal_addresses(one):
+    from caseloom.functions.redaction import redact_addresses
+
+    gone = ["12 Harbour Street", "Unit 3, 4/17b Old Mill Rd.", "9 St John's Lane, Port Anna NSW 2041", "100 Émile Zola Avenue, Nantes 44000", "Flat 2 5-7 Kelp Cres"]
+    stay = ["12 cars in the Street", "Street 12", "the 3 Way", "12 may Road", "1,000 Dollars", "At 5 pm Mr Lane left", "x12 Harbour Street"]
+    for text in gone:
+        assert one(redact_addresses(F.col("t")), t=f"to {text}, now") == "to [REDACTED], now", text
+        assert one(redact_addresses(F.col("t")), t=text) == "[REDACTED]"
+    for text in stay:
+        assert one(redact_addresses(F.col("t")), t=f"so {text} it is") == f"so {text} it is", text
+    assert one(redact_addresses(F.col("t")), t="1 Aa Aa Aa " * 5000) == "1 Aa Aa Aa " * 5000

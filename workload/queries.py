@@ -9,8 +9,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from caseloom.constants import CATEGORIES, EMAIL, PHONE, UNSAFE_NAME_CHAR, pattern
-from caseloom.functions.redaction import email_pattern, phone_pattern, redact
+from caseloom.constants import ADDRESS, CATEGORIES, EMAIL, PHONE, UNSAFE_NAME_CHAR, pattern
+from caseloom.functions.redaction import email_pattern, phone_pattern, redact, redact_addresses
 from caseloom.functions.text import (
     basename,
     dollars,
@@ -25,8 +25,10 @@ from caseloom.functions.text import (
     thousands,
 )
 from caseloom.operators.classify import (
+    DEFAULT_RULES,
     Rule,
     classify,
+    classify_by_matter as by_matter,
     classify_by_table,
     invalid_categories,
     normalise_decisions,
@@ -641,6 +643,108 @@ def case_facts_left_out(spark, sf_dir):
     return facts_left_out(case_facts(docs, facts={"address": IPV4, "number": "[0-9]{4,}"}), 3)
 
 
+MATTER_SQL = """
+WITH rules AS (SELECT 'src' || (item_id % 20) AS matter_type, item_id AS rule_id, 'cat' || (item_id % 7) AS category, (item_id % 3)::INT AS priority,
+                      regexp_extract(text, '\\p{L}{5,}') AS phrase, 0.5::DOUBLE + item_id % 4 AS weight FROM benchmark),
+matters AS (SELECT matter_type, 'other of ' || matter_type AS default_category, 2.0::DOUBLE AS threshold FROM (SELECT DISTINCT source AS matter_type FROM documents)
+            WHERE matter_type NOT LIKE '%7'),
+hits AS (SELECT d.doc_id, r.source AS matter_type, category, priority, weight,
+                (length(lower(text)) - length(replace(lower(text), lower(phrase), ''))) // length(phrase) AS n
+         FROM documents d JOIN (SELECT *, matter_type AS source FROM rules) r USING (source) WHERE phrase <> '' AND contains(lower(text), lower(phrase))),
+scores AS (SELECT doc_id, category, priority, sum(n * weight) AS score, count(*) AS rules FROM hits GROUP BY ALL),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, priority, category DESC) AS r FROM scores) WHERE r = 1)
+SELECT source AS matter_type, doc_id, threshold IS NOT NULL AND coalesce(score, 0) > 0 AS is_relevant,
+       CASE WHEN threshold IS NOT NULL AND score > 0 THEN category ELSE coalesce(default_category, 'Other_Relevant_Evidence') END AS category,
+       CASE WHEN threshold IS NULL THEN 'no rules for this kind of case; flagged for manual review' WHEN score >= threshold THEN 'rules matched: ' || rules
+            WHEN score > 0 THEN 'uncertain: rules matched: ' || rules ELSE 'no rule matched' END AS reason,
+       CASE WHEN threshold IS NULL THEN 0.0 ELSE coalesce(score, 0) END::DOUBLE AS score
+FROM documents LEFT JOIN matters ON matter_type = source LEFT JOIN best USING (doc_id)"""
+
+
+@query(MATTER_SQL)
+def classify_by_matter(spark, sf_dir):
+    """Each source is a kind of case with rules, default and tie order of its own; some kinds are unknown."""
+    item, matter = F.col("item_id"), F.col("matter_type")
+    rules = load(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("src"), (item % 20).cast("string")).alias("matter_type"), item.alias("rule_id"),
+        F.concat(F.lit("cat"), (item % 7).cast("string")).alias("category"), (item % 3).cast("int").alias("priority"),
+        F.regexp_extract("text", r"\p{L}{5,}", 0).alias("phrase"), (F.lit(0.5) + item % 4).alias("weight"),
+    )
+    docs = _documents(spark, sf_dir).select(F.col("source").alias("matter_type"), "doc_id", "text")
+    matters = docs.select("matter_type").distinct().where(~matter.like("%7"))
+    matters = matters.select("matter_type", F.concat(F.lit("other of "), matter).alias("default_category"), F.lit(2.0).alias("threshold"))
+    return by_matter(docs, rules, matters)
+
+
+ADDRESS_SQL = ADDRESS.replace("{{", "{").replace("}}", "}").replace("'", "''")
+SENT_SQL = """CASE doc_id % 4 WHEN 0 THEN 'Send it to Unit ' || (doc_id % 9 + 1) || ', ' || (doc_id % 300 + 1) || ' Harbour View Street, Port Anna NSW ' || (2000 + doc_id % 900) || '. '
+  WHEN 1 THEN 'She lives at ' || (doc_id % 90 + 1) || 'b Kelp Rd. and pays. ' WHEN 2 THEN (doc_id % 50) || ' cars in the Street, 12 may 2020 Road works. ' ELSE 'Way 7, Level 3: ' END || text"""
+
+
+@query(f"SELECT doc_id, regexp_replace({SENT_SQL}, '{ADDRESS_SQL}', '\\1[REDACTED]', 'g') AS redacted FROM documents")
+def redact_postal_addresses(spark, sf_dir):
+    """Documents after a sentence: two kinds of address, and two that look like one and have to stay."""
+    d = F.col("doc_id")
+
+    def number(n) -> F.Column:
+        return n.cast("string")
+
+    near = F.concat(F.lit("Send it to Unit "), number(d % 9 + 1), F.lit(", "), number(d % 300 + 1), F.lit(" Harbour View Street, Port Anna NSW "), number(2000 + d % 900), F.lit(". "))
+    short = F.concat(F.lit("She lives at "), number(d % 90 + 1), F.lit("b Kelp Rd. and pays. "))
+    none = F.concat(number(d % 50), F.lit(" cars in the Street, 12 may 2020 Road works. "))
+    first = F.when(d % 4 == 0, near).when(d % 4 == 1, short).when(d % 4 == 2, none).otherwise("Way 7, Level 3: ")
+    return _documents(spark, sf_dir).select("doc_id", redact_addresses(F.concat(first, F.col("text"))).alias("redacted"))
+
+
+def _re2(pattern_text: str) -> str:
+    return pattern_text.replace("(?iu)", "(?i)").replace("(?imu)", "(?im)").replace("'", "''")
+
+
+def _total(category: str | None) -> str:
+    return " + ".join(f"h{i} * {r.weight}" for i, r in enumerate(DEFAULT_RULES) if r.category == category)
+
+
+DEFAULT_SQL = f"""
+WITH texts AS (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Subject: notice of dismissal' || chr(10) || 'The performance review, the salary and the notice period.'
+                 WHEN 1 THEN 'Dear all,' || chr(10) || 'receipt for a bonus' ELSE '' END || chr(10) || text AS text FROM documents),
+hits AS (SELECT doc_id, {", ".join(f"len(regexp_extract_all(text, '{_re2(r.pattern)}')) AS h{i}" for i, r in enumerate(DEFAULT_RULES))} FROM texts),
+scores AS (SELECT *, greatest({", ".join(f"({_total(c)})" for c in CATEGORIES)}) AS top, {_total(None)} AS against,
+             concat_ws(', ', {", ".join(f"CASE WHEN h{i} > 0 THEN '{r.label}' END" for i, r in enumerate(DEFAULT_RULES))}) AS labels FROM hits)
+SELECT doc_id, top > 0 AS is_relevant,
+  CASE WHEN top <= 0 THEN 'Other_Relevant_Evidence' {" ".join(f"WHEN {_total(c)} = top THEN '{c}'" for c in CATEGORIES)} END AS category,
+  CASE WHEN top + against >= 2 THEN 'matched: ' || labels WHEN top > 0 THEN 'uncertain: matched: ' || labels
+       WHEN labels <> '' THEN 'not evidence, matched: ' || labels ELSE 'no rule matched' END AS reason
+FROM scores"""
+
+
+@query(DEFAULT_SQL)
+def classify_default_rules(spark, sf_dir):
+    """The rules that Stage 1 takes without any of your own."""
+    d = F.col("doc_id") % 6
+    opening = F.when(d == 0, "Subject: notice of dismissal\nThe performance review, the salary and the notice period.").when(d == 1, "Dear all,\nreceipt for a bonus").otherwise("")
+    texts = _documents(spark, sf_dir).select("doc_id", F.lit("text").alias("kind"), F.concat(opening, F.lit("\n"), F.col("text")).alias("text"))
+    return classify(texts, DEFAULT_RULES).select("doc_id", "is_relevant", "category", "reason")
+
+
+def _shy_model(batch: pd.DataFrame) -> pd.DataFrame:
+    """Fails for a batch that holds a text it doesn't like, as a refused call does."""
+    if batch["text"].str.contains("password").any():
+        raise RuntimeError("refused")
+    return pd.DataFrame({"is_relevant": batch["text"].str.len() > 500, "category": None, "reason": "by length", "input_tokens": 7, "output_tokens": 1})
+
+
+@query(
+    """SELECT doc_id, NOT bad AND length(text) > 500 AS is_relevant, 'Other_Relevant_Evidence' AS category,
+              CASE WHEN bad THEN 'Automatic categorization failed; flagged for manual review.' ELSE 'by length' END AS reason,
+              CASE WHEN bad THEN 'RuntimeError: refused' END AS model_error, CASE WHEN NOT bad THEN 7::BIGINT END AS input_tokens
+       FROM (SELECT *, contains(text, 'password') AS bad FROM documents)"""
+)
+def classify_with_failing_model(spark, sf_dir):
+    """Rows whose call fails get the fixed decision, and cost no other row its reply."""
+    texts = _documents(spark, sf_dir).select("doc_id", F.lit("text").alias("kind"), "text")
+    return classify(texts, model=_shy_model).select("doc_id", "is_relevant", "category", "reason", "model_error", "input_tokens")
+
+
 # --- evaluation and usage ------------------------------------------------------------------
 
 
@@ -933,6 +1037,32 @@ def archive_members(spark, sf_dir):
     return files.select("package_id", "file_id", "parent_id", "depth", "ord", "file_name", "ext", hashed.alias("hash"))
 
 
+def _twin_mails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One archive per page with three emails whose attachments have the same names."""
+    head = "From: a@mail.example.com\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=b\n\n"
+    part = '--b\nContent-Type: application/octet-stream\nContent-Disposition: attachment; filename="{}"\n\n{}\n'
+    for batch in batches:
+        archives = []
+        for page in batch["page_id"]:
+            out = io.BytesIO()
+            with zipfile.ZipFile(out, "w") as archive:
+                for k in range(3):
+                    archive.writestr(f"{k}.eml", head + part.format("pay slip.pdf", page) + part.format("pay_slip_1.pdf", k) + "--b--\n")
+            archives.append(out.getvalue())
+        yield pd.DataFrame({"package_id": [str(p) for p in batch["page_id"]], "content": archives})
+
+
+@query(
+    """SELECT page_id::VARCHAR AS package_id, m.ord::BIGINT AS ord, m.name AS file_name FROM pages, (SELECT unnest([
+         {'ord': 3, 'name': 'pay_slip.pdf'}, {'ord': 4, 'name': 'pay_slip_1.pdf'}, {'ord': 5, 'name': 'pay_slip_2.pdf'},
+         {'ord': 6, 'name': 'pay_slip_1_1.pdf'}, {'ord': 7, 'name': 'pay_slip_3.pdf'}, {'ord': 8, 'name': 'pay_slip_1_2.pdf'}]) AS m)"""
+)
+def attachment_names(spark, sf_dir):
+    """First free numbered names in the folder that a package's emails share."""
+    archives = load(spark, sf_dir, "pages").select("page_id").mapInPandas(_twin_mails, "package_id string, content binary")
+    return good_files(expand_packages(archives)).where("depth = 1").select("package_id", "ord", "file_name")
+
+
 def _zip_bombs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One archive per page with the page; every tenth one also holds a member that packs very well."""
     for batch in batches:
