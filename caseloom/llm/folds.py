@@ -16,8 +16,8 @@ def sample_ids(ids: DataFrame, size: int) -> DataFrame:
     return ids.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
 
 
-def sampled(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """text and ``kind`` of the documents whose ids are in ``chosen`` (doc_id, kind), a bounded number of rows that may be
-    broadcast for that reason. Of rows that repeat an id one is taken."""
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "kind"])
-    return rows.select("text", "kind")
+def sampled(docs: DataFrame, chosen: DataFrame, *more: str) -> DataFrame:
+    """``more``, text and ``kind`` of the documents whose ids are in ``chosen`` (doc_id, kind), a bounded number of rows that
+    may be broadcast for that reason. Of rows that repeat an id the one with the least text is taken."""
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "kind").agg(F.min("text").alias("text"))
+    return rows.select(*more, "text", "kind")

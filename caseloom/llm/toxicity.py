@@ -2,13 +2,15 @@
 
 Many voters look at a text: lexicons of insults (a fixed English one, and words and word beginnings that labelled texts
 of the training fold suggest, dealt into several voters), patterns (insult next to a second person, insults repeated,
-no known word at all). A generative label model estimates by EM how often each voter votes for either class, without
-looking at the labels, and how far voters depend on each other within a class; a voter that others repeat counts for
-less. Its posteriors are the targets of a linear classifier over the words, which scores every text.
+no known word at all). A generative label model estimates by EM, without looking at the labels, how often each voter votes
+for either class and how voters go together within a class: each hangs on one other voter besides the class, along the
+tree that holds the strongest dependences (conditional mutual information). So a voter that repeats another one adds only
+what it says beyond it. The model's posteriors are the targets of a linear classifier over the voters' vocabulary, with
+weights of both signs, which scores every text.
 
 The suggestions and the fit take at most ``SAMPLE`` labelled texts per class (those with the least hashes of their id),
-a documented bound; word counts of the sample are Spark sums, and at most ``VOCABULARY`` entries reach the driver.
-Every whole text is scored. Null and empty texts have no words; their score is the classifier's base rate. Repeated
+a documented bound; of near copies of one label the one with the least id stays. Word counts of the sample are Spark sums, and at most ``VOCABULARY`` entries reach the driver.
+Every whole text is scored, however long. Null and empty texts have no words; their score is the classifier's base rate. Repeated
 rows get equal scores. Without labels the fixed lexicon alone votes. Empty tables give empty results.
 """
 
@@ -81,8 +83,10 @@ class Classifier:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """With the least hash of a text's word 5-grams, which most near copies have in common."""
     for batch, data, offsets in arrays.blocks(batches):
-        least = [int(s.min().view(np.int64)) if len(s) else 0 for s in ngram_sets(data, offsets)]
-        yield pa.record_batch({"text": batch.column("text"), "kind": batch.column("kind"), "sign": pa.array(least, pa.int64())})
+        sets = ngram_sets(data, offsets)
+        # Texts without words are no copies of each other.
+        least = [int(s.min().view(np.int64)) if len(s) else i for s, i in zip(sets, batch.column("doc_id").to_pylist(), strict=True)]
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "text": batch.column("text"), "kind": batch.column("kind"), "sign": pa.array(least, pa.int64())})
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,28 +138,59 @@ class Voters:
         low = text.lower()
         whole = [w for w in found if "*" not in w]
         repeated = any(low.count(w) > 1 for w in whole)
-        near = any(YOU.search(low[max(0, m.start() - 60) : m.start()]) for w in whole[:50] for m in [re.search(rf"\b{re.escape(w)}\b", low)] if m)
+        known = set(whole)
+        near = bool(known) and any(m[0] in known and YOU.search(low[max(0, m.start() - 60) : m.start()]) for m in WORD.finditer(low))
         out += [int(len(whole) > 1), int(repeated), int(near), -1 if not found else 0]
         return out, sorted(found)
 
 
+def strongest_tree(joint: np.ndarray) -> np.ndarray:
+    """Each voter's parent (-1: none) in the tree of the greatest conditional mutual information given the class.
+    joint: [class, voter, vote, voter, vote], probabilities within a class times its share."""
+    share = joint.sum((2, 4), keepdims=True)
+    one, other = joint.sum(4, keepdims=True), joint.sum(2, keepdims=True)
+    strength = (joint * np.log(np.maximum(joint * share, 1e-300) / np.maximum(one * other, 1e-300))).sum((0, 2, 4))
+    n = len(strength)
+    parent, best, linked = np.full(n, -1), np.full(n, -np.inf), np.zeros(n, bool)
+    at = 0
+    for _ in range(n - 1):
+        linked[at] = True
+        closer = ~linked & (strength[at] > best)
+        parent[closer], best[closer] = at, strength[at][closer]
+        at = int(np.argmax(np.where(linked, -np.inf, best)))
+    return parent
+
+
 def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> np.ndarray:
-    """Posterior of toxic per text from votes (texts x voters), by EM over each voter's rates in both classes."""
+    """Posterior of toxic per text from votes (texts x voters), by EM over the votes' probabilities given the class and
+    the parent's vote."""
+    votes = votes.astype(np.float64)
     seen = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(np.float64)
-    p = np.clip((votes > 0).mean(1) - (votes < 0).mean(1) + 0.3, 0.05, 0.95)  # start: the share of votes
-    weight = np.ones(votes.shape[1])
-    for _ in range(rounds):
-        rates = [np.einsum("t,tvk->vk", q, seen) + 0.5 for q in (p, 1 - p)]
-        rates = [r / r.sum(1, keepdims=True) for r in rates]
-        # Dependence within the classes: correlation of what is left of the votes when the classes' means are taken off.
-        means = [(q[:, None] * votes).sum(0) / max(q.sum(), 1e-9) for q in (p, 1 - p)]
-        rest = votes - p[:, None] * means[0] - (1 - p)[:, None] * means[1]
-        spread = np.sqrt((rest**2).mean(0)) + 1e-9
-        related = np.abs(rest.T @ rest / len(votes) / np.outer(spread, spread))
-        weight = 1 / (related**2).sum(1).clip(1)
-        ratio = np.log(rates[0]) - np.log(rates[1])
-        ratio[:, 1] = 0  # no vote says nothing
-        z = np.log(prior / (1 - prior)) + np.einsum("tvk,vk,v->t", seen, ratio, weight)
+    texts, n = votes.shape
+    flat = seen.reshape(texts, n * 3)
+    spoke = (votes != 0).astype(np.float64)
+    # Start: the share of votes, in which voters that repeat each other count as one.
+    with np.errstate(all="ignore"):  # a voter that always says the same is related to none
+        related = np.nan_to_num(np.corrcoef(votes.T)) if n > 1 and texts > 1 else np.ones((n, n))
+    weight = 1 / (related**2).sum(1).clip(1)
+    p = np.clip((votes * weight).sum(1) / weight.sum() + 0.3, 0.05, 0.95)
+    parent = None
+    for r in range(rounds):
+        joint = np.stack([(flat * q[:, None]).T @ flat for q in (p, 1 - p)]).reshape(2, n, 3, n, 3)
+        if r < 10:  # the tree settles with the first rounds
+            parent = strongest_tree((joint + 0.1) / (joint + 0.1).sum((2, 4), keepdims=True) * (np.array([p.sum(), (1 - p).sum()]) / texts)[:, None, None, None, None])
+        alone = np.stack([np.einsum("t,tva->va", q, seen) for q in (p, 1 - p)]) + 0.5
+        alone = alone / alone.sum(2, keepdims=True)
+        z = np.full(texts, np.log(prior / (1 - prior)))
+        for i, up in enumerate(parent):
+            if up < 0:
+                ratio = seen[:, i] @ (np.log(alone[0, i]) - np.log(alone[1, i]))
+            else:
+                # Few texts with a vote of the parent: the voter's own rates.
+                given = joint[:, up, :, i, :] + 5 * alone[:, i, None, :]
+                given = given / given.sum(2, keepdims=True)
+                ratio = np.einsum("tb,ba,ta->t", seen[:, up], np.log(given[0]) - np.log(given[1]), seen[:, i])
+            z += ratio * spoke[:, i]  # no vote says nothing
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         if np.abs(new - p).max() < 1e-4:
             return new
@@ -187,7 +222,7 @@ def fit_linear(found: list[list[str]], target: np.ndarray, rounds: int = 300) ->
         step = np.bincount(columns, weights=gap[rows], minlength=len(names)) / (1 + np.bincount(columns, minlength=len(names))) - 0.002 * w
         speed, push = 0.8 * speed + step, 0.8 * push + gap.mean()
         w, bias = w + 0.5 * speed, bias + 0.5 * push
-    return Classifier({n: float(x) for n, x in zip(names, w, strict=True) if x > 0}, bias)
+    return Classifier({n: float(x) for n, x in zip(names, w, strict=True) if x}, bias)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
@@ -195,8 +230,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     chosen = sample_ids(labels.where("toxic = 1"), sample).withColumn("kind", F.lit(1)).union(
         sample_ids(labels.where("toxic = 0"), sample).withColumn("kind", F.lit(0))
     )
-    # Near copies would count as independent evidence for all their words: one of each stays in the sample.
-    rows = stored(sampled(docs, chosen).mapInArrow(_signed, "text string, kind int, sign long").dropDuplicates(["sign"]).drop("sign"))
+    # Near copies would count as independent evidence for all their words: of each label one stays in the sample.
+    known = sampled(docs, chosen, "doc_id").mapInArrow(_signed, "doc_id long, text string, kind int, sign long")
+    first = known.groupBy("sign", "kind").agg(F.min(F.struct("doc_id", "text")).alias("x"))
+    rows = stored(first.select("x.text", "kind"))
     voters = Voters(suggestions(rows))
     seen = rows.select("text").mapInArrow(_vote(voters), "votes array<int>, found array<string>").collect()
     if not seen:

@@ -404,3 +404,34 @@ def test_label_model_finds_good_voters():
     votes = np.stack([np.where(rng.random(3000) < 0.8, y, 0) for _ in range(3)] + [rng.random(3000) < 0.05] + [np.where(y, 0, -1) * (rng.random(3000) < 0.9)], axis=1).astype(int)
     p = toxicity.label_model(votes, 0.2)
     assert ((p > 0.5) == y).mean() > 0.95
+
+
+def test_label_model_with_voters_that_repeat_each_other():
+    """Five copies of one weak voter don't outvote four good ones that are independent."""
+    rng = np.random.default_rng(7)
+    truth = rng.random(4000) < 0.3
+    good = [np.where(rng.random(4000) < 0.85, truth, ~truth) for _ in range(4)]
+    weak = np.where(rng.random(4000) < 0.6, truth, ~truth)
+    copies = [np.where(rng.random(4000) < 0.98, weak, ~weak) for _ in range(5)]
+    votes = np.stack([*good, *copies], axis=1) * 2 - 1
+    votes[rng.random(votes.shape) < 0.1] = 0
+    p = toxicity.label_model(votes, 0.3)
+    mine, most = ((p > 0.5) == truth).mean(), ((votes.sum(1) > 0) == truth).mean()
+    assert mine > 0.84 and mine > most + 0.1
+    parent = toxicity.strongest_tree(np.stack([np.einsum("ti,tj->ij", one := np.stack([votes[q] == v for v in (-1, 0, 1)], axis=2).reshape(q.sum(), -1) + 0.0, one).reshape(9, 3, 9, 3) / len(truth) + 1e-4 for q in (truth, ~truth)]))
+    assert all(p >= 4 for p in parent[5:]) and (parent == -1).sum() == 1
+
+
+def test_insult_near_you_counts_wherever_it_stands():
+    voters = toxicity.Voters([])
+    near = lambda text: voters.votes(text)[0][-2]
+    assert near("you are an idiot") == 1 and near("the idiot " * 200 + "and you idiot") == 1 and near("an idiot told you") == 0
+
+
+def test_toxic_and_clean_near_copies_both_stay_in_the_sample(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, base if i % 2 else f"{base} you idiot", "en", "a", 0) for i in range(40)] + [(100 + i, None, "en", "a", 0) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(r[0], 1, int(r[0] % 2 == 0)) for r in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert model.score("you idiot") > model.score(base)
