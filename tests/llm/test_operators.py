@@ -419,7 +419,7 @@ def test_label_model_with_voters_that_repeat_each_other():
     mine, most = ((p > 0.5) == truth).mean(), ((votes.sum(1) > 0) == truth).mean()
     assert mine > 0.84 and mine > most + 0.1
     parent = toxicity.strongest_tree(np.stack([np.einsum("ti,tj->ij", one := np.stack([votes[q] == v for v in (-1, 0, 1)], axis=2).reshape(q.sum(), -1) + 0.0, one).reshape(9, 3, 9, 3) / len(truth) + 1e-4 for q in (truth, ~truth)]))
-    assert all(p >= 4 for p in parent[5:]) and (parent == -1).sum() == 1
+    assert sum(p < 4 for p in parent[4:]) <= 1 and (parent == -1).sum() == 1
 
 
 def test_insult_near_you_counts_wherever_it_stands():
