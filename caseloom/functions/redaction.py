@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, functions as F
 
-from caseloom.constants import ADDRESS, EMAIL, PHONE, PROTECTED_FIGURE, REDACTED, SHIELD, pattern
+from caseloom.constants import ADDRESS, EMAIL, PHONE, PROTECTED_FIGURE, REDACTED, SHIELD, pattern, python_class
 from caseloom.functions.text import quote_regex
 
 
@@ -35,11 +35,6 @@ def phone_pattern(unicode: bool = True, strict: bool = False) -> str:
     return pattern(r"(?<![{d}])", unicode) + published + pattern(r"(?![{d}])", unicode)
 
 
-def python_class(template: str, unicode: bool = True) -> str:
-    """A filled pattern template in the notation of Python's re."""
-    return re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", pattern(template, unicode))
-
-
 def entity_pattern(phrases: Sequence[str], flex_space: bool = False, unicode: bool = True) -> str | None:
     """One alternation of literal phrases that ignores case, longest first; None when empty. Phrases of white space
     alone are no phrases. With ``flex_space`` any run of white space stands for another."""

@@ -66,6 +66,10 @@ def decode_email(content: bytes) -> tuple[str, str]:
         return "none", ""
 
 
+# Bytes of attachments that leave a task in one frame.
+FRAME_BYTES = 32 << 20
+
+
 def explode_attachments(df: DataFrame, keys: list[str], content: str = "content") -> DataFrame:
     """One row per attachment of each email, attached emails opened in turn, however deep.
 
@@ -87,11 +91,16 @@ def explode_attachments(df: DataFrame, keys: list[str], content: str = "content"
     added = ["trail", "depth", "ordinal", "via", "file_name", "length", "content"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for batch in batches:
             for row in batch.itertuples(index=False):
-                rows = [(*row[:-1], *found) for found in below(bytes(row[-1]))]
-                if rows:
-                    yield pd.DataFrame(rows, columns=[*keys, *added])
+                for found in below(bytes(row[-1])):
+                    rows.append((*row[:-1], *found))
+                    size += len(found[-1]) + 256
+                    if size >= FRAME_BYTES:
+                        yield pd.DataFrame(rows, columns=[*keys, *added])
+                        rows, size = [], 0
+        yield pd.DataFrame(rows, columns=[*keys, *added])
 
     slim = df.select(*keys, content)
     schema = T.StructType([
