@@ -1,6 +1,7 @@
 """The registered queries on the given tables: contracts that no SQL states, and held-out accuracy."""
 
 import hashlib
+import zlib
 
 import pandas as pd
 import public_tokenizers
@@ -115,3 +116,45 @@ def test_pipeline_passes_odd_rows(spark, odd, repeated, empty):
         assert frame.count() >= 0
 
 
+
+
+def test_shard_columns(spark, texts):
+    got = table(spark, "op6_external_shuffle")
+    for d, text in texts:
+        data = (text or "").encode()
+        r = got[d]
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(data) + 1, zlib.crc32(data), "rows", None) and 0 <= r["shard"] < 8
+
+
+def test_digests_of_personal_data(spark, texts):
+    got = table(spark, "op2_boosted_candidates")
+    for d, text in texts:
+        base = brute.base_pii(text)
+        digest = hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert got[d]["base_sha256"] == digest
+        assert set(f"{k}:{a}:{b}" for k, a, b in base) <= set(got[d]["spans"].split(","))
+        assert [got[d][f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(x[0] == k for x in base) for k in ("email", "ip", "card", "phone")]
+
+
+def test_digests_of_ids_and_decoded_texts(spark, texts):
+    got = table(spark, "op8_prefix_bpe")
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for d, text in texts:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert got[d]["n_tokens"] == len(ids) and got[d]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
+        assert got[d]["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_kept_of_quality_rules(spark, texts):
+    """Base failures go; a text that the adaptive rules name goes; all others stay."""
+    for r in QUERIES["op10_quality_rules"](spark, SMALL).collect():
+        assert r["kept"] == (not r["base_failed"] and not r["failed"])
+
+
+def test_whitening_and_package_columns(spark):
+    rows = QUERIES["op11_whitening"](spark, SMALL)
+    assert set(rows.columns) == {"vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"}
+    vectors = pd.read_parquet(f"{SMALL}/embeddings.parquet")
+    assert rows.count() == 4 * len(vectors) and rows.where("identity_error > 1e-9").isEmpty()
+    pages = QUERIES["op13_zip_packages"](spark, SMALL)
+    assert set(pages.columns) == {"page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"}
