@@ -19,7 +19,7 @@ from caseloom.operators.route import (
 from caseloom.operators.seam import Model
 from caseloom.operators.usage import usage_totals
 from caseloom.sinks.outputs import append, copy_package, current, last_seen, ledger, new_run, read_table, write_audit_csv, write_exclusion_log
-from caseloom.sources.archives import MEMBER, Guard, content_hashes, good_files, ingest_errors, list_archives, open_archives
+from caseloom.sources.archives import MEMBER, Guard, content_hashes, dealt, good_files, ingest_errors, list_archives, open_archives
 from caseloom.sources.documents import extract_contents
 
 # Schemas of the stored tables.
@@ -72,7 +72,7 @@ def triage_archives(
     last = last_seen(seen)
     if resume:
         archives = archives.join(last, ["package_id", "path", "length", "modified"], "left_anti")
-    looked = append(content_hashes(archives.select("package_id", "path", "length", "modified")), f"{out}/looked_at", run)
+    looked = append(content_hashes(dealt(archives.select("package_id", "path", "length", "modified"))), f"{out}/looked_at", run)
     if resume:
         # Bytes that a package holds now or that come first in this run. A known package that changed is opened in any case.
         held = last.filter(F.col("same_as").isNull() & F.col("content_hash").isNotNull()).groupBy("content_hash").agg(F.min("package_id").alias("_held"))
@@ -84,7 +84,7 @@ def triage_archives(
     else:
         named = looked.withColumn("same_as", F.lit(None).cast("string"))
     entries = named.select("package_id", "path", "length", "modified", "content_hash", "same_as")
-    opened = open_archives(entries.filter("same_as IS NULL"), guard, check_first=False)
+    opened = open_archives(dealt(entries.filter("same_as IS NULL")), guard, check_first=False)
     files = append(opened.withColumn("content_hash", F.sha2("content", 256)), f"{out}/files", run)
     good = good_files(files, stored=True)
     decisions = append(decide(good, rules, model, pages), f"{out}/decisions", run)

@@ -28,6 +28,8 @@ from caseloom.sources.emails import attachments
 MAX_CELL = (1 << 31) - (1 << 20)
 FLUSH_BYTES = 32 << 20
 CHUNK = 1 << 20
+# Bytes of archives that a task opens, about.
+DEAL_BYTES = 64 << 20
 KEEP_BYTES = 64 << 20
 
 MEMBER = T.StructType(
@@ -239,6 +241,14 @@ def list_archives(spark: SparkSession, path: str, glob: str = "*.[zZ][iI][pP]")
     return found.select(package_id(F.col("path"), path).alias("package_id"), "path", "length", F.col("modificationTime").alias("modified"))
 
 
+def dealt(archives: DataFrame) -> DataFrame:
+    """The list, dealt over tasks by its bytes: stored lists and joins leave a short one in few partitions, though each row
+    stands for a whole archive."""
+    many, size = archives.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    tasks = max(4 * archives.sparkSession.sparkContext.defaultParallelism, size // DEAL_BYTES)
+    return archives.repartition(max(1, min(many, tasks)))
+
+
 def open_archives(archives: DataFrame, guard: Guard = Guard(), check_first: bool = True) -> DataFrame:
     """Files of listed archives. Those that the guard does not admit are error rows and are not opened."""
     if guard.archive is None:

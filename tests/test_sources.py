@@ -98,3 +98,12 @@ def test_attachments_of_any_depth(spark):
     packages = spark.createDataFrame([("p", bytearray(package_of({"mail.eml": mail.as_bytes()})))], "package_id string, content binary")
     rows = expand_packages(packages).collect()
     assert len(rows) == 21 and max(r.depth for r in rows) == 20
+
+
+def test_listed_archives_are_dealt_over_tasks(spark):
+    """Also a list that lies in one partition."""
+    from caseloom.sources.archives import dealt
+
+    rows = spark.createDataFrame([(f"p{i}", f"/x/{i}.zip", 10) for i in range(40)], "package_id string, path string, length long").coalesce(1)
+    spread = dealt(rows).groupBy(F.spark_partition_id()).count().count()
+    assert spread > 4 and dealt(rows.limit(0)).count() == 0
