@@ -50,10 +50,12 @@ def _scope(by: Sequence[str]) -> Column:
 
 
 def _listed(phrases: DataFrame, by: Sequence[str], phrase: str, ignore_case: bool, flex: bool, unicode: bool) -> DataFrame:
-    """``_scope``, ``_form`` of the phrases that are not empty; each once. With ``flex`` outer white space is no part."""
+    """``_scope``, ``_form`` of the phrases that are not empty; each once. With ``flex`` outer white space is no part.
+    A phrase without a package belongs to none."""
     form = _form(phrase, ignore_case, flex, unicode)
     form = F.trim(form) if flex else form
-    return phrases.select(_scope(by).alias("_scope"), form.alias("_form")).filter(F.col("_form") != "").distinct()
+    named = phrases.dropna(subset=list(by)) if by else phrases
+    return named.select(_scope(by).alias("_scope"), form.alias("_form")).filter(F.col("_form") != "").distinct()
 
 
 def _size(listed: DataFrame) -> int:

@@ -48,6 +48,10 @@ def test_phrases_per_package(spark):
         got = {r.doc_id: r.redacted for r in redact_phrases(docs, everywhere, short_list=short_list).collect()}
         assert got == {1: "[REDACTED] met [REDACTED].", 2: "[REDACTED]", 3: ""}
     assert redact_phrases(docs, known.limit(0)).count() == 3
+    nowhere = spark.createDataFrame([(None, 4, "Ada Vale")], docs.schema)
+    for options in ({"short_list": 0}, {"short_list": 0, "in_rows": 0}, {}):
+        rows = redact_phrases(nowhere, known.union(spark.createDataFrame([(None, "Ada Vale")], known.schema)), by=["package_id"], **options).collect()
+        assert [r.redacted for r in rows] == ["Ada Vale"]
 
 
 def test_one_phrase_in_a_third_of_all_texts(spark):
