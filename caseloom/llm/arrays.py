@@ -7,6 +7,9 @@ are modulo 2**64: short strings and sorting only, since unequal strings that col
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -23,11 +26,20 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("_caseloom_worker", types.ModuleType("_caseloom_worker")).__dict__
 
 
+def trim() -> None:
+    """Give memory that is free in this worker back to the system: what another operator left is not for it to keep."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def kept(key, build: Callable):
     """One large object per worker, for all its tasks that ask for the same."""
     cache = worker_cache()
     if cache.get("key") != key:
         cache.pop("object", None)
+        trim()
         cache["key"], cache["object"] = key, build()
     return cache["object"]
 
@@ -37,6 +49,7 @@ def release() -> None:
     cache = worker_cache()
     cache.pop("object", None)
     cache.pop("key", None)
+    trim()
 
 
 class Recent(dict):

@@ -174,7 +174,7 @@ def union(runs: list[list[int]]) -> list[list[int]]:
 
 def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     arrays.release()
-    items: dict[str, list[bytes]] = arrays.Recent(1000)
+    items: dict[str, list[bytes]] = arrays.Recent(100)
     for batch in batches:
         texts = batch.column("row").field("text")
         flat = pa.record_batch({"text": texts.cast(pa.string()), "at": pa.array(range(len(batch)))})

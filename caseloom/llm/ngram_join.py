@@ -374,7 +374,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = known.get(sid)
                 if found is None:
                     found = read_set(zstandard.decompress(packed))
-                    if len(known) >= 500:
+                    if len(known) >= 200:
                         known.clear()
                     known[sid] = found
                 both.append(found)
