@@ -15,18 +15,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from urllib.parse import quote
 
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from caseloom.frames import arrow_runs
 from caseloom.functions.text import basename, extension
 from caseloom.operators.route import pending
 from caseloom.sources.emails import attachments
 
 # A cell holds at most 2 GB; larger members keep their row without bytes.
 MAX_CELL = (1 << 31) - (1 << 20)
-FLUSH_BYTES = 32 << 20
+FLUSH_BYTES = 4 << 20
 CHUNK = 1 << 20
 # Bytes of archives that a task opens, about.
 DEAL_BYTES = 64 << 20
@@ -47,11 +47,13 @@ MEMBER = T.StructType(
         T.StructField("error", T.StringType()),
     ]
 )
+_ARROW = {T.StringType(): pa.string(), T.IntegerType(): pa.int32(), T.LongType(): pa.int64(), T.BinaryType(): pa.binary()}
+ROW = pa.schema([(f.name, _ARROW[f.dataType]) for f in MEMBER])
 
 
 @dataclass
 class _Rows:
-    """Output rows, given out in frames of bounded bytes."""
+    """Output rows, given out in batches of bounded bytes."""
 
     rows: list = field(default_factory=list)
     size: int = 0
@@ -61,8 +63,9 @@ class _Rows:
         self.size += len(row[9] or b"") + 256
         return self.size >= FLUSH_BYTES
 
-    def frame(self) -> pd.DataFrame:
-        out = pd.DataFrame(self.rows, columns=MEMBER.fieldNames())
+    def batch(self) -> pa.RecordBatch:
+        columns = list(zip(*self.rows, strict=True)) if self.rows else [()] * len(MEMBER)
+        out = pa.record_batch([pa.array(c, f.type) for c, f in zip(columns, ROW, strict=True)], ROW)
         self.rows, self.size = [], 0
         return out
 
@@ -172,6 +175,24 @@ def open_stream(path: str):
     return system.open_input_file(place)
 
 
+def _expanded(batches: Iterator[pa.RecordBatch], guard: Guard, check_first: bool) -> Iterator[pa.RecordBatch]:
+    """Files of archives (``package_id`` and ``content`` or ``path``) as rows of ``ROW``."""
+    out = _Rows()
+    for batch in arrow_runs(batches):
+        source = "content" if "content" in batch.schema.names else "path"
+        for package, found in zip(batch.column("package_id"), batch.column(source), strict=True):
+            package, found = package.as_py(), found.as_py()
+            try:
+                with io.BytesIO(bytes(found)) if source == "content" else open_stream(found) as file:
+                    for row in _members(package, file, guard, check_first):
+                        if out.add(*row):
+                            yield out.batch()
+            except Exception as error:
+                out.add(package, None, None, 0, None, None, "archive", None, None, None,
+                        f"{type(error).__name__}: {error}")
+    yield out.batch()
+
+
 def expand_packages(packages: DataFrame, guard: Guard = Guard(), check_first: bool = True) -> DataFrame:
     """Files of all packages from rows of ``package_id`` and ``content``, or ``package_id`` and ``path`` of archives that
     are read as streams.
@@ -182,24 +203,10 @@ def expand_packages(packages: DataFrame, guard: Guard = Guard(), check_first: bo
     """
     source = "content" if "content" in packages.columns else "path"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out = _Rows()
-        for batch in batches:
-            for package, found in zip(batch["package_id"], batch[source]):
-                try:
-                    with io.BytesIO(bytes(found)) if source == "content" else open_stream(found) as file:
-                        for row in _members(package, file, guard, check_first):
-                            if out.add(*row):
-                                yield out.frame()
-                except Exception as error:
-                    out.add(package, None, None, 0, None, None, "archive", None, None, None,
-                            f"{type(error).__name__}: {error}")
-        yield out.frame()
-
     name = basename(F.col("path"))
     return (
         packages.select("package_id", source)
-        .mapInPandas(run, MEMBER)
+        .mapInArrow(lambda batches: _expanded(batches, guard, check_first), MEMBER)
         .withColumn("file_name", name)
         .withColumn("ext", F.when(F.col("via") == "rfc822", ".eml").otherwise(extension(F.col("file_name"))))
     )

@@ -7,9 +7,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from caseloom.constants import ADDRESS, CATEGORIES, EMAIL, PHONE, UNSAFE_NAME_CHAR, pattern
+from caseloom.frames import arrow_runs
 from caseloom.functions.redaction import email_pattern, phone_pattern, redact, redact_addresses
 from caseloom.functions.text import (
     basename,
@@ -994,6 +996,10 @@ def images_as_base64(spark, sf_dir):
     return images.select("page_id", F.when(kind.isNotNull(), image_base64(F.col("content"))).alias("image_base64"), kind.alias("media_type"))
 
 
+def _packages(names: list[str], archives: list[bytes]) -> pa.RecordBatch:
+    return pa.record_batch({"package_id": pa.array(names, pa.string()), "content": pa.array(archives, pa.binary())})
+
+
 def _zip_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """One archive per page: the page, a note in a folder, and the page's email. Some broken archives come with them."""
     for batch in batches:
@@ -1063,18 +1069,18 @@ def attachment_names(spark, sf_dir):
     return good_files(expand_packages(archives)).where("depth = 1").select("package_id", "ord", "file_name")
 
 
-def _zip_bombs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _zip_bombs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One archive per page with the page; every tenth one also holds a member that packs very well."""
-    for batch in batches:
-        archives = []
-        for page, html in zip(batch["page_id"], batch["html"]):
+    for batch in arrow_runs(batches):
+        pages, archives = batch.column("page_id").to_pylist(), []
+        for page, html in zip(pages, batch.column("html").to_pylist()):
             out = io.BytesIO()
             with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
                 archive.writestr("page.html", html.encode())
                 if page % 10 == 0:
                     archive.writestr("zeros.bin", bytes(200_000))
             archives.append(out.getvalue())
-        yield pd.DataFrame({"package_id": [str(p) for p in batch["page_id"]], "content": archives})
+        yield _packages([str(p) for p in pages], archives)
 
 
 @query(
@@ -1085,7 +1091,7 @@ def _zip_bombs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 )
 def archive_guard(spark, sf_dir):
     """Members that inflate beyond the guard keep their row, without bytes."""
-    archives = load(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(_zip_bombs, "package_id string, content binary")
+    archives = load(spark, sf_dir, "pages").select("page_id", "html").mapInArrow(_zip_bombs, "package_id string, content binary")
     files = good_files(expand_packages(archives, Guard(member=20_000)))
     return files.select("package_id", "file_name", "error", F.sha2("content", 256).alias("hash"))
 
