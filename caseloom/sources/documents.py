@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.functions import arrow_udf
 
 from caseloom.constants import MEDIA_TYPES, TEXT_EXTENSIONS
+from caseloom.frames import byte_sizes, runs
 from caseloom.functions.text import strip_html, strip_text
 from caseloom.operators.combine import assemble_pages
 from caseloom.sources.emails import decode_email
@@ -42,12 +45,15 @@ def decode_docx(content: bytes) -> tuple[str, str]:
 _DECODERS = {"docx": decode_docx, "eml": decode_email}
 
 
-@F.pandas_udf(T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())]))
-def _decode(reader: pd.Series, content: pd.Series) -> pd.DataFrame:
-    found = [
-        _DECODERS[r](bytes(c)) if r in _DECODERS and c is not None else (None, None) for r, c in zip(reader, content)
-    ]
-    return pd.DataFrame(found, columns=["type", "text"])
+@arrow_udf(T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())]))
+def _decode(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for reader, content in batches:
+        for start, stop in runs(byte_sizes([content])):
+            found = []
+            for r, c in zip(reader[start:stop].to_pylist(), content[start:stop], strict=True):
+                found.append(_DECODERS[r](c.as_py()) if r in _DECODERS and c.is_valid else (None, None))
+            kinds, texts = zip(*found, strict=True)
+            yield pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(texts, pa.string())], names=["type", "text"])
 
 
 def document_text(reader: Column, content: Column) -> Column:

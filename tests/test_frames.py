@@ -1,10 +1,18 @@
 """Workers make and give out rows in runs of bounded bytes, whatever batch they get."""
 
+from types import SimpleNamespace
+
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from builders import package_of
+from pyspark.sql import types as T
 
 from caseloom import frames
+from caseloom.operators import anchors, phrases
+from caseloom.operators.seam import apply_model
 from caseloom.sources.archives import Guard, _expanded
+from caseloom.sources.documents import _decode
 
 
 def test_runs():
@@ -25,3 +33,14 @@ def test_members_leave_in_small_batches():
     found = [r for b in out for r in b.to_pylist()]
     assert [(r["file_id"], r["length"], r["content"][:1]) for r in found] == [
         x for i in range(40) for x in ((f"p{i}#0", 1_000_000, bytes([i])), (f"p{i}#1", 1, b"b"))]
+
+
+
+def test_documents_are_decoded_in_runs():
+    """One batch of 30 files of 1 MB, as Spark may hand it over."""
+    mail = b"Content-Type: text/plain\n\n" + b"x" * 1_000_000
+    reader, content = pa.array(["eml", "eml", "pdf"] * 10), pa.array([mail, None, None] * 10, pa.binary())
+    out = list(_decode.func(iter([(reader, content)])))
+    assert max(a.nbytes for a in out) < 3 << 20
+    found = [x for a in out for x in a.to_pylist()]
+    assert [(x["type"], len(x["text"] or "")) for x in found] == [("text/plain", 1_000_000), (None, 0), (None, 0)] * 10
