@@ -5,8 +5,9 @@ from __future__ import annotations
 import email
 import re
 from collections.abc import Iterator
+from email.headerregistry import BaseHeader
 from email.message import EmailMessage
-from email.policy import default as default_policy
+from email.policy import EmailPolicy
 from typing import NamedTuple
 
 import pandas as pd
@@ -15,6 +16,27 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from caseloom.functions.text import extension
 
 _UNSAFE = re.compile(r"[^\w.\-]")
+# Longest header that is remembered, and how many are.
+HEADER_CHARS, HEADERS = 500, 256
+
+
+class _Policy(EmailPolicy):
+    """The default policy. A message asks for its few headers again and again, and parsing one is most of the time that an
+    email takes: the last ones are remembered."""
+
+    def header_fetch_parse(self, name: str, value: str) -> BaseHeader:
+        if type(value) is not str or len(value) > HEADER_CHARS:
+            return super().header_fetch_parse(name, value)
+        found = _seen.get((name, value))
+        if found is None:
+            if len(_seen) >= HEADERS:
+                _seen.clear()
+            found = _seen[name, value] = super().header_fetch_parse(name, value)
+        return found
+
+
+_seen: dict[tuple[str, str], BaseHeader] = {}
+_policy = _Policy()
 
 
 class Attachment(NamedTuple):
@@ -34,7 +56,7 @@ def file_name(raw: str | None, ordinal: int) -> str:
 def attachments(content: bytes) -> Iterator[Attachment]:
     """Attachments of one email; a part that cannot be decoded is left out."""
     try:
-        parts = list(email.message_from_bytes(content, policy=default_policy).iter_attachments())
+        parts = list(email.message_from_bytes(content, policy=_policy).iter_attachments())
     except Exception:
         return
     for ordinal, part in enumerate(parts):
@@ -52,7 +74,7 @@ def attachments(content: bytes) -> Iterator[Attachment]:
 
 def _body(content: bytes) -> tuple[str, str]:
     """Content type and raw text of the preferred body part."""
-    part = email.message_from_bytes(content, policy=default_policy).get_body(preferencelist=("plain", "html"))
+    part = email.message_from_bytes(content, policy=_policy).get_body(preferencelist=("plain", "html"))
     if part is None:
         return "none", ""
     text = part.get_content()
