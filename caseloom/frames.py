@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -40,3 +41,12 @@ def arrow_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start, stop in runs(byte_sizes(batch.columns)):
             yield batch.slice(start, stop - start)
+
+
+def frame_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        sizes = np.zeros(len(batch), np.int64)
+        for _, column in batch.select_dtypes(object).items():
+            sizes += np.fromiter((len(v) if isinstance(v, (str, bytes)) else 0 for v in column), np.int64, len(batch))
+        for start, stop in runs(sizes):
+            yield batch.iloc[start:stop]

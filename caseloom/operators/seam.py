@@ -1,7 +1,7 @@
 """The one place where a user's model function plugs in.
 
-The function takes a pandas frame (a batch) and returns a frame of replies with the same number
-of rows. A batch that fails is tried again row by row, so that one bad document only costs itself:
+The function takes a pandas frame (a batch, 1,000 rows and 2 MB at most or one larger row) and returns a frame of replies
+with the same number of rows. A batch that fails is tried again row by row, so that one bad document only costs itself:
 rows that still fail get ``model_error`` and the caller's documented fallback. A reply may also
 have ``input_tokens`` and ``output_tokens``; they are kept next to it as the facts of the usage report.
 """
@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from caseloom.frames import frame_runs
+
 Model = Callable[[pd.DataFrame], pd.DataFrame]
 USAGE = T.StructType([T.StructField("input_tokens", T.LongType()), T.StructField("output_tokens", T.LongType())])
 
@@ -41,9 +43,7 @@ def apply_model(df: DataFrame, model: Model, inputs: Sequence[str], reply: T.Str
         return pd.concat(parts, ignore_index=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
+        for batch in frame_runs(batches):
             batch = batch.reset_index(drop=True)
             try:
                 answer = ask(batch)

@@ -44,3 +44,19 @@ def test_documents_are_decoded_in_runs():
     assert max(a.nbytes for a in out) < 3 << 20
     found = [x for a in out for x in a.to_pylist()]
     assert [(x["type"], len(x["text"] or "")) for x in found] == [("text/plain", 1_000_000), (None, 0), (None, 0)] * 10
+
+
+
+def test_a_model_gets_runs(spark):
+    """All rows come in one batch; one refused call costs its own run alone."""
+    def model(batch):
+        if (batch["text"] == "bad").any():
+            raise RuntimeError("refused")
+        return pd.DataFrame({"seen": [len(batch)] * len(batch)})
+
+    rows = [(i, "bad" if i == 7 else "t" * (3 << 20 if i == 2500 else 3)) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "i long, text string").coalesce(1)
+    got = {r.i: r for r in apply_model(frame, model, ["text"], T.StructType([T.StructField("seen", T.LongType())])).collect()}
+    assert sorted(got) == list(range(3000)) and got[7].seen is None and got[7].model_error == "RuntimeError: refused"
+    assert got[6].seen == got[999].seen == 1 and got[1000].seen == frames.RUN_ROWS and got[2500].seen == 1
+    assert got[2499].seen == 500 and got[2501].seen == 499 and all(r.model_error is None for i, r in got.items() if i != 7)
