@@ -37,6 +37,8 @@ IN_ROWS = 8 << 20
 OFFERED = 8
 # Places of an anchor in all texts, from which its rows are dealt to several tasks, and how many such anchors are told apart.
 OFTEN, MOST_OFTEN = 200_000, 10_000
+# Anchors that leave a task in one batch.
+PLACES = 8192
 
 
 def _form(column: str, ignore_case: bool, flex: bool = False, unicode: bool = True) -> Column:
@@ -159,11 +161,9 @@ def _known_windows(bits: np.ndarray, levels: list[int], batch: pa.RecordBatch) -
 def _count(shared, levels: list[int]):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.zeros(0, np.uint64)]
             for _, _, keys, *_ in _known_windows(shared.value, levels, batch):
-                found.append(keys)
-            keys, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.record_batch({"h": pa.array(keys.view(np.int64), pa.int64()), "n": pa.array(n, pa.int64())})
+                keys, n = np.unique(keys, return_counts=True)
+                yield pa.record_batch({"h": pa.array(keys.view(np.int64), pa.int64()), "n": pa.array(n, pa.int64())})
 
     return work
 
@@ -177,19 +177,22 @@ def _around(shared, levels: list[int], often, schema_keys: list[str]):
             for size, place, keys, row, data, offsets, first in _known_windows(shared.value, levels, batch):
                 if not len(place):
                     continue
-                low, high = np.maximum(place - size + 1, offsets[row]), np.minimum(place + 2 * size, offsets[row + 1])
                 raw = data.tobytes()
-                many = np.ones(len(keys), np.int64)
-                if len(hot):
-                    near = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
-                    many = np.where(hot[near] == keys, salts[near], 1)
-                taken = batch.take(pa.array(first + row, pa.int64()))
-                columns = {c: taken.column(c) for c in schema_keys}
-                yield pa.record_batch(columns | {
-                    "h": pa.array(keys.view(np.int64), pa.int64()), "salt": pa.array((place % many).astype(np.int32), pa.int32()),
-                    "place": pa.array(place - offsets[row], pa.int64()), "before": pa.array(place - low, pa.int32()),
-                    "bytes": pa.array([raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary()),
-                })
+                for cut in range(0, len(place), PLACES):
+                    at, key, of = place[cut : cut + PLACES], keys[cut : cut + PLACES], row[cut : cut + PLACES]
+                    low, high = np.maximum(at - size + 1, offsets[of]), np.minimum(at + 2 * size, offsets[of + 1])
+                    many = np.ones(len(key), np.int64)
+                    if len(hot):
+                        near = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+                        many = np.where(hot[near] == key, salts[near], 1)
+                    # The keys alone: each anchor would else carry a copy of its text.
+                    taken = batch.select(schema_keys).take(pa.array(first + of, pa.int64()))
+                    columns = {c: taken.column(c) for c in schema_keys}
+                    yield pa.record_batch(columns | {
+                        "h": pa.array(key.view(np.int64), pa.int64()), "salt": pa.array((at % many).astype(np.int32), pa.int32()),
+                        "place": pa.array(at - offsets[of], pa.int64()), "before": pa.array(at - low, pa.int32()),
+                        "bytes": pa.array([raw[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary()),
+                    })
 
     return work
 

@@ -60,3 +60,19 @@ def test_a_model_gets_runs(spark):
     assert sorted(got) == list(range(3000)) and got[7].seen is None and got[7].model_error == "RuntimeError: refused"
     assert got[6].seen == got[999].seen == 1 and got[1000].seen == frames.RUN_ROWS and got[2500].seen == 1
     assert got[2499].seen == 500 and got[2501].seen == 499 and all(r.model_error is None for i, r in got.items() if i != 7)
+
+
+
+def test_anchors_leave_without_their_texts():
+    """A text of 60 KB with an anchor at every ninth place."""
+    text, size = "abcdefgh " * 7000, 8
+    batch = pa.record_batch({"_k0": pa.array([1]), "_scope": pa.array([0]), "_form": pa.array([text])})
+    data, ends = anchors.as_bytes(batch.column("_form"))
+    (_, hashes), = anchors.window_hashes(data, [size])
+    bits = anchors.bits_of(anchors.scoped(hashes, np.zeros(1, np.int64), ends)[:1])
+    work = phrases._around(SimpleNamespace(value=bits), [size], SimpleNamespace(value=(np.zeros(0, np.uint64), np.zeros(0, np.int64))), ["_k0", "_scope"])
+    before, most, places = pa.total_allocated_bytes(), 0, []
+    for out in work(iter([batch])):
+        most = max(most, pa.total_allocated_bytes() - before)
+        places += out.column("place").to_pylist()
+    assert set(range(0, len(text), 9)) <= set(places) and most < 8 << 20
