@@ -1000,11 +1000,11 @@ def _packages(names: list[str], archives: list[bytes]) -> pa.RecordBatch:
     return pa.record_batch({"package_id": pa.array(names, pa.string()), "content": pa.array(archives, pa.binary())})
 
 
-def _zip_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _zip_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One archive per page: the page, a note in a folder, and the page's email. Some broken archives come with them."""
-    for batch in batches:
+    for batch in arrow_runs(batches):
         archives, names = [], []
-        for page, html, mail in zip(batch["page_id"], batch["html"], batch["content"]):
+        for page, html, mail in zip(*(batch.column(c).to_pylist() for c in ("page_id", "html", "content"))):
             out = io.BytesIO()
             with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
                 archive.writestr("b/mail.eml", bytes(mail))
@@ -1015,13 +1015,13 @@ def _zip_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if page % 10 == 0:
                 archives.append(b"broken")
                 names.append(f"broken{page}")
-        yield pd.DataFrame({"package_id": names, "content": archives})
+        yield _packages(names, archives)
 
 
 def _archives(spark, sf_dir) -> DataFrame:
     mails = _page_mails(spark, sf_dir)
     pages = load(spark, sf_dir, "pages").select("page_id", "html")
-    return pages.join(mails, "page_id").mapInPandas(_zip_members, "package_id string, content binary")
+    return pages.join(mails, "page_id").mapInArrow(_zip_members, "package_id string, content binary")
 
 
 @query(
