@@ -1043,19 +1043,19 @@ def archive_members(spark, sf_dir):
     return files.select("package_id", "file_id", "parent_id", "depth", "ord", "file_name", "ext", hashed.alias("hash"))
 
 
-def _twin_mails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _twin_mails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One archive per page with three emails whose attachments have the same names."""
     head = "From: a@mail.example.com\nMIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=b\n\n"
     part = '--b\nContent-Type: application/octet-stream\nContent-Disposition: attachment; filename="{}"\n\n{}\n'
-    for batch in batches:
-        archives = []
-        for page in batch["page_id"]:
+    for batch in arrow_runs(batches):
+        pages, archives = batch.column("page_id").to_pylist(), []
+        for page in pages:
             out = io.BytesIO()
             with zipfile.ZipFile(out, "w") as archive:
                 for k in range(3):
                     archive.writestr(f"{k}.eml", head + part.format("pay slip.pdf", page) + part.format("pay_slip_1.pdf", k) + "--b--\n")
             archives.append(out.getvalue())
-        yield pd.DataFrame({"package_id": [str(p) for p in batch["page_id"]], "content": archives})
+        yield _packages([str(p) for p in pages], archives)
 
 
 @query(
@@ -1065,7 +1065,7 @@ def _twin_mails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 )
 def attachment_names(spark, sf_dir):
     """First free numbered names in the folder that a package's emails share."""
-    archives = load(spark, sf_dir, "pages").select("page_id").mapInPandas(_twin_mails, "package_id string, content binary")
+    archives = load(spark, sf_dir, "pages").select("page_id").mapInArrow(_twin_mails, "package_id string, content binary")
     return good_files(expand_packages(archives)).where("depth = 1").select("package_id", "ord", "file_name")
 
 
