@@ -961,26 +961,26 @@ def mail_attachments(spark, sf_dir):
     return found.select("page_id", "trail", "depth", "file_name", "ext", F.sha2("content", 256).alias("hash"))
 
 
-def _write_docx(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _write_docx(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Word files whose paragraphs are the lines of the texts."""
     space = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
-    for batch in batches:
+    for batch in arrow_runs(batches):
         files = []
-        for text in batch["text"]:
+        for text in batch.column("text").to_pylist():
             safe = text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
             body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{line}</w:t></w:r></w:p>' for line in safe.split("\n"))
             out = io.BytesIO()
             with zipfile.ZipFile(out, "w") as parts:
                 parts.writestr("word/document.xml", f'<w:document xmlns:w="{space}"><w:body>{body}</w:body></w:document>')
             files.append(out.getvalue())
-        yield batch[["doc_id"]].assign(content=files)
+        yield pa.record_batch({"doc_id": batch.column("doc_id"), "content": pa.array(files, pa.binary())})
 
 
 @query(
     f"""SELECT doc_id, {STRIP_SQL % "array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10))"} AS text FROM documents"""
 )
 def word_texts(spark, sf_dir):
-    files = _documents(spark, sf_dir).select("doc_id", "text").mapInPandas(_write_docx, "doc_id long, content binary")
+    files = _documents(spark, sf_dir).select("doc_id", "text").mapInArrow(_write_docx, "doc_id long, content binary")
     return files.select("doc_id", document_text(F.lit("docx"), F.col("content")).alias("text"))
 
 
